@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import quality_rules, sharding, substring_dedup
 
-QUERIES = {"op2_substring_dedup": substring_dedup.op2_query}
-ORACLE_SQL = {"op2_substring_dedup": substring_dedup.OP2_SQL}
+QUERIES = {
+    "op2_substring_dedup": substring_dedup.op2_query,
+    "op5_quality_rules": quality_rules.op5_query,
+    "op8_sharding": sharding.op8_query,
+}
+ORACLE_SQL = {
+    "op2_substring_dedup": substring_dedup.OP2_SQL,
+    "op5_quality_rules": quality_rules.OP5_SQL,
+}
