@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, ordinal_quality, quality_rules, sharding, substring_dedup, toxicity, url_filter
+from . import bpe, decontamination, jaccard_join, ordinal_quality, quality_rules, sharding, substring_dedup, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_query,
     "op2_substring_dedup": substring_dedup.op2_query,
     "op3_ordinal_quality": ordinal_quality.op3_query,
+    "op4_decontamination": decontamination.op4_query,
     "op5_quality_rules": quality_rules.op5_query,
     "op6_jaccard_join": jaccard_join.op6_query,
+    "op7_bpe": bpe.op7_query,
     "op8_sharding": sharding.op8_query,
     "op9_url_filter": url_filter.op9_query,
+    "op10_token_files": token_files.op10_query,
 }
 ORACLE_SQL = {
     "op2_substring_dedup": substring_dedup.OP2_SQL,
