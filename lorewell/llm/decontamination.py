@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .columnar import Words, pieces, texts
+from .support import numbered
 
 #: Bytes that are not part of a word.
 BREAKS = np.ones(256, bool)
@@ -144,6 +145,31 @@ def _against(docs: DataFrame, ids: list[int], item_texts: list[str], doc: str, t
     return rows.mapInArrow(found, T.StructType([T.StructField("doc_id", rows.schema["d"].dataType), *map(long, ("item_id", "distance", "start_word", "end_word"))]))
 
 
+def matched(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", error_share: float = 0.15, probe: int = 5, least_words: int = 8, most_items: int = 20_000, out: str = "matches") -> DataFrame:
+    """docs with `out`, the ids of the items that a document matches: one pass, no shuffle."""
+    from pyspark.sql import types as T
+
+    docs = docs.drop(out)
+    if benchmark.count() > most_items:
+        raise ValueError(f"more than {most_items} items: use contaminated(), which works in slices")
+    few = benchmark.select(F.col(item).cast("long").alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("x")).collect()
+    ids, item_texts = [r["i"] for r in few], [r["x"] for r in few]
+    plain, names = numbered(docs)
+    t, passed = f"c{names.index(text)}", plain.columns
+
+    def found(batches):
+        items = Items(ids, pa.array(item_texts, pa.string()), error_share, probe, least_words)
+        for batch in batches:
+            got: list[list[int]] = [[] for _ in range(batch.num_rows)]
+            for a, b in pieces(batch, t):
+                for r, i, *_ in matches(items, batch.column(t).slice(a, b - a)):
+                    got[a + r].append(items.ids[i])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.list_(pa.int64()))], names=[*passed, "x"])
+
+    schema = T.StructType([*plain.schema.fields, T.StructField("x", T.ArrayType(T.LongType()))])
+    return plain.mapInArrow(found, schema).toDF(*names, out)
+
+
 def op4_query(spark, sf_dir):
     from .support import table
 

@@ -208,7 +208,7 @@ def _some(h: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndar
 
 def exact_links(ids: np.ndarray, h: np.ndarray, offsets: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect every two sets whose similarity reaches num / den, directly or by others:
-    sets in turn are compared with all later ones that aren't connected with them yet."""
+    a set is compared with the later ones that share a signature and aren't connected with it yet."""
     sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(h), dtype=U)])
     size = np.diff(offsets)
     whole = mix(sums[offsets[1:]] - sums[offsets[:-1]]) ^ size.astype(U)
@@ -219,8 +219,22 @@ def exact_links(ids: np.ndarray, h: np.ndarray, offsets: np.ndarray, num: int, d
     size = size[rows]
     offsets = np.concatenate([[0], np.cumsum(size)])
     label, mark, found = np.arange(len(rows)), np.zeros(h.max(initial=-1) + 1, bool), []
+    sig, of = signatures(h.astype(U), offsets, num, den)
+    order = np.lexsort((of, sig))
+    start = runs(sig[order])
+    members, lot = of[order], np.repeat(np.arange(len(start)), np.diff(np.append(start, len(order)))) if len(order) else order
+    start = np.append(start, len(order))
+    own = np.argsort(members, kind="stable")
+    first = np.searchsorted(members[own], np.arange(len(rows) + 1))
     for i in range(len(rows) - 1):
-        later = np.arange(i + 1, len(rows))
+        lots = lot[own[first[i] : first[i + 1]]]
+        lots = lots[start[lots + 1] - start[lots] > 1]
+        if not len(lots):
+            continue
+        later = np.zeros(len(rows), bool)
+        later[members[_flat(start, lots)]] = True
+        later[: i + 1] = False
+        later = np.flatnonzero(later)
         later = later[(label[later] != label[i]) & (den * np.minimum(size[later], size[i]) >= num * np.maximum(size[later], size[i]))]
         step = 2000
         for c in range(0, len(later), step):
