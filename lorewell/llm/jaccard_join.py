@@ -34,6 +34,8 @@ from .components import components
 from .support import blocks_for, text_bytes
 
 SPARE = 2
+#: Bytes of text whose signatures make one hash range, at every size of the input.
+RANGE_BYTES = 24 << 20
 _PAIRS = ((0, 1), (0, 2), (1, 2))
 
 
@@ -149,7 +151,7 @@ def _links(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 def candidate_links(docs: DataFrame, doc: str, text: str, k: int, num: int, den: int) -> DataFrame:
     """Links (a, b) that join every two documents that share a signature, directly or by others."""
     total = text_bytes(docs, text)
-    ranges = blocks_for(total)
+    ranges = blocks_for(total, RANGE_BYTES, RANGE_BYTES)
     shift = U(64 - max(1, (ranges - 1).bit_length()))
     rows = docs.filter(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("d"), F.col(text).alias("t"))
 
@@ -258,7 +260,7 @@ def jaccard_components(docs: DataFrame, doc: str = "doc_id", text: str = "text",
     size of their sets' intersection is num times the size of their union, or more."""
     clusters = components(candidate_links(docs, doc, text, k, num, den))
     rows = docs.filter(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("node"), F.col(text).alias("t"))
-    members = rows.join(clusters, "node")
+    members = rows.join(clusters.hint("merge"), "node")  # alike at every size, never a broadcast
     blocks = members.groupBy("component").agg(F.ceil(F.sum(F.octet_length("t")) / F.lit(cluster_bytes)).cast("int").alias("n")).filter("n > 1")
     # i and j number the blocks of a large cluster; a small one is the pair (0, 0)
     dealt = members.join(blocks, "component", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
