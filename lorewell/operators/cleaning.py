@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CHROME_LINES, FOOTER_IMAGES, FOOTER_MARKER, SEARCH_HELP
@@ -44,7 +44,8 @@ def outside_blocks(lines: Column) -> Column:
     return F.aggregate(lines, start, step, lambda s: s["out"])
 
 
-def clean(body: Column, rules=CHROME_LINES) -> Column:
-    """A page's body without chrome, with its contact block."""
+def cleaned(pages: DataFrame, body: str = "body", rules=CHROME_LINES) -> DataFrame:
+    """pages with `body` without chrome and with its contact block.  The folded text is a column of its
+    own before the contact block reads it many times, so that it is made once."""
     kept = F.filter(outside_blocks(F.split(body, "\n")), lambda x: ~is_chrome(x, rules))
-    return with_contact(collapse_blank(F.array_join(kept, "\n")))
+    return pages.withColumn(body, collapse_blank(F.array_join(kept, "\n"))).withColumn(body, with_contact(F.col(body)))

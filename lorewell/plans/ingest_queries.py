@@ -1,3 +1,230 @@
-"""."""
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+"""Queries of ingest: identities, crawl outcomes, links, sections, chunks, cleaning."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import ids
+from ..functions import text as tx
+from ..operators import chunking, cleaning, crawl, index
+from .derivations import CHROME, CRAWL, MARKDOWN, chrome_pages, crawl_results, markdown_docs, table
+
+
+def url_identity(spark, d):
+    u = F.col("url")
+    return table(spark, d, "pages").select("page_id", ids.canonical_url(u).alias("canonical"), ids.doc_id(u).alias("doc_id"), ids.raw_doc_id(u).alias("raw_id"), ids.object_key(u).alias("object_key"), ids.sidecar_key(ids.object_key(u)).alias("sidecar_key"))
+
+
+def host_filter(spark, d):
+    host = ids.url_part(F.col("url"), "host")
+    return table(spark, d, "pages").select("page_id", host.alias("host"), crawl.host_allowed(host).alias("allowed"))
+
+
+def blocked_path(spark, d):
+    return table(spark, d, "pages").select("page_id", crawl.path_blocked(F.col("url")).alias("blocked"))
+
+
+_URLS = ("https://a.example.com/x/Paper.PDF?x=1", "report.docx", "/files/old.doc#p", "ftp://a.example.com/x.pdf", "https://a.example.com/x.pdf/", "mailto:x@example.com", "https:///x.pdf", "http://b.example.org/data-set_one.docx")
+
+
+def document_url(spark, d):
+    urls = spark.range(1).select(F.posexplode(F.array(*[F.lit(u) for u in _URLS])).alias("n", "url"))
+    u = F.col("url")
+    return urls.select("n", crawl.is_document_url(u).alias("is_document"), crawl.is_safe_document_url(u).alias("safe"), tx.safe_url(u).alias("link"), tx.title_from_url(u).alias("title"))
+
+
+def page_types(spark, d):
+    return markdown_docs(spark, d).select("doc_id", tx.page_type(F.col("url")).alias("page_type"))
+
+
+def crawl_classify(spark, d):
+    return crawl.classified(crawl_results(spark, d)).select("crawl_seq", "host", "status")
+
+
+def visit_status_counts(spark, d):
+    return crawl.status_counts(crawl.classified(crawl_results(spark, d)))
+
+
+def visit_domain_counts(spark, d):
+    return crawl.host_counts(crawl.classified(crawl_results(spark, d)))
+
+
+def crawl_counters(spark, d):
+    return crawl.crawl_counters(crawl.classified(crawl_results(spark, d)))
+
+
+def _halves(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"))
+    return docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 = 1")
+
+
+def incremental_new_pages(spark, d):
+    new, seen = _halves(spark, d)
+    return crawl.new_pages(new, seen).select("doc_id")
+
+
+def hash_index(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"), F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("url"))
+    return index.last_wins(docs, "content_hash", "url", "doc_id")
+
+
+def link_extract(spark, d):
+    return crawl.links(table(spark, d, "pages")).groupBy("page_id").agg(F.count(F.lit(1)).alias("links"), F.count_if("internal").alias("internal"), F.countDistinct("href").alias("targets"))
+
+
+def bfs_depth(spark, d):
+    """The graph of orders' customers and the nation and region above them."""
+    up = table(spark, d, "customer").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("src"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("dst"))
+    top = table(spark, d, "nation").select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("src"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("dst"))
+    back = up.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return crawl.bfs_depth(up.unionByName(top).unionByName(back), spark.range(1).select(F.lit("r1").alias("node")), 4)
+
+
+def frontmatter_roundtrip(spark, d):
+    m = markdown_docs(spark, d)
+    doc = tx.markdown_document(F.col("url"), F.col("title"), F.col("body"), F.lit(2), F.col("crawl_timestamp"), F.col("document_id"), ids.short_hash(F.col("body")))
+    rows = m.select("doc_id", doc.alias("md"))
+    v = tx.front_matter_values(F.col("md"))
+    return rows.select("doc_id", v["url"].alias("url"), v["title"].alias("title"), v["crawl_depth"].alias("crawl_depth"), v["content_hash"].alias("content_hash"), F.md5(tx.strip(tx.body_of(F.col("md")))).alias("body_md5"))
+
+
+def sections(spark, d):
+    rows = markdown_docs(spark, d).select("doc_id", F.posexplode(chunking.sections(F.col("body"))).alias("n", "s"))
+    return rows.select("doc_id", "n", F.array_join("s.headings_path", " > ").alias("path"), F.md5("s.text").alias("text_md5"), tx.token_estimate(F.col("s.text")).alias("tokens"))
+
+
+def heading_paths(spark, d):
+    return sections(spark, d).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+
+
+def large_section_windows(spark, d):
+    rows = markdown_docs(spark, d).select("doc_id", F.posexplode(chunking.windows(F.col("body"))).alias("n", "w"))
+    return rows.select("doc_id", "n", F.length("w").alias("chars"), F.md5("w").alias("text_md5"))
+
+
+def build_chunks(spark, d):
+    c = chunking.chunk_records(markdown_docs(spark, d))
+    return c.select("chunk_id", "document_id", "chunk_index", "page_type", F.array_join("headings_path", " > ").alias("path"), "content_hash", "token_count")
+
+
+def chunk_stats(spark, d):
+    m = markdown_docs(spark, d)
+    c = chunking.chunk_records(m).groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks"))
+    j = m.join(c, "document_id", "left")
+    return j.agg(F.count("chunks").alias("processed"), F.count_if(F.col("chunks").isNull()).alias("skipped"), F.sum("chunks").alias("total_chunks"), F.max("chunks").alias("most_chunks"))
+
+
+def clean_lines(spark, d):
+    kept = F.filter("lines", lambda x: ~cleaning.is_chrome(x))
+    return chrome_pages(spark, d).select("doc_id", F.size(kept).alias("n_kept"), F.md5(F.array_join(kept, "\n")).alias("kept_md5"))
+
+
+def clean_blocks(spark, d):
+    kept = cleaning.outside_blocks(F.col("lines"))
+    return chrome_pages(spark, d).select("doc_id", F.size(kept).alias("n_kept"), F.md5(F.array_join(kept, "\n")).alias("kept_md5"))
+
+
+def collapse_blank(spark, d):
+    return chrome_pages(spark, d).select("doc_id", F.md5(cleaning.collapse_blank(F.array_join("lines", "\n"))).alias("text_md5"))
+
+
+def clean_pages(spark, d):
+    pages = chrome_pages(spark, d).select("doc_id", F.array_join("lines", "\n").alias("body"))
+    return cleaning.cleaned(pages).select("doc_id", F.md5("body").alias("text_md5"))
+
+
+def contact_extract(spark, d):
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", F.array_join(tx.emails(t), ",").alias("emails"), F.array_join(tx.phones(t), ",").alias("phones"))
+
+
+def _dated(spark, d):
+    m = markdown_docs(spark, d)
+    i = F.col("doc_id")
+    day = F.date_add(F.to_date(F.lit("2023-01-01")), (i % 700).cast("int"))
+    head = F.when(i % 4 == 0, F.concat(F.date_format(day, "EEEE, MMMM d, yyyy"), F.lit("\n"))).when(i % 4 == 1, F.lit("# Resource at '/x' not found\n")).when(i % 4 == 2, F.lit("Monday, Smarch 41, 2023\n")).otherwise("")
+    url = F.concat(F.lit("https://www.example.org"), F.when(i % 3 == 0, "/research/Seminars/").when(i % 3 == 1, "/News/Seminars/").otherwise("/other/"), i.cast("string"))
+    return m.select("doc_id", url.alias("url"), F.concat(head, "body").alias("body"))
+
+
+def error_pages(spark, d):
+    return _dated(spark, d).select("doc_id", tx.is_error_page(F.col("body")).alias("error"))
+
+
+def stale_pages(spark, d):
+    return _dated(spark, d).select("doc_id", tx.is_stale(F.col("url"), F.col("body"), F.to_date(F.lit("2024-06-01"))).alias("stale"))
+
+
+def html_markdown(spark, d):
+    return table(spark, d, "pages").select("page_id", F.md5(tx.markdown_from_html(F.col("html"))).alias("md_md5"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        url_identity, host_filter, blocked_path, document_url, crawl_classify, visit_status_counts, visit_domain_counts, crawl_counters, incremental_new_pages, hash_index, link_extract, bfs_depth, frontmatter_roundtrip,
+        sections, heading_paths, large_section_windows, build_chunks, chunk_stats, clean_lines, clean_blocks, collapse_blank, clean_pages, contact_extract, error_pages, stale_pages, html_markdown,
+    )
+} | {"page_type": page_types}
+
+_PARTS = r"""SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS netloc, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages"""
+_SECTIONS = rf"""{MARKDOWN},
+ln AS (SELECT doc_id, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS i FROM mdd),
+hd AS (SELECT *, CASE WHEN regexp_matches(line, '^#{{1,3}}[^\S\n]+\S') THEN length(regexp_extract(line, '^(#+)', 1)) ELSE 0 END AS level FROM ln),
+sec AS (SELECT *, sum(CASE WHEN level > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM hd),
+body AS (SELECT doc_id, s, max(level) AS level, regexp_replace(string_agg(line, chr(10) ORDER BY i), '^\s+|\s+$', '', 'g') AS text, max(CASE WHEN level > 0 THEN regexp_replace(regexp_replace(line, '^#+', ''), '^\s+|\s+$', '', 'g') END) AS title FROM sec GROUP BY doc_id, s),
+lev AS (SELECT *, max(CASE WHEN level = 1 THEN s END) OVER w AS s1, max(CASE WHEN level = 2 THEN s END) OVER w AS s2, max(CASE WHEN level = 3 THEN s END) OVER w AS s3 FROM body WINDOW w AS (PARTITION BY doc_id ORDER BY s)),
+pth AS (SELECT l.doc_id, l.s, l.text, concat_ws(' > ', a.title, b.title, c.title) AS path FROM lev l LEFT JOIN body a ON a.doc_id = l.doc_id AND a.s = l.s1
+  LEFT JOIN body b ON b.doc_id = l.doc_id AND b.s = l.s2 AND l.s2 > coalesce(l.s1, -1) LEFT JOIN body c ON c.doc_id = l.doc_id AND c.s = l.s3 AND l.s3 > greatest(coalesce(l.s1, -1), coalesce(l.s2, -1)) WHERE l.text <> ''),
+sections AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS INTEGER) AS n, path, text, CAST(length(text) // 4 AS INTEGER) AS tokens FROM pth)"""
+_BLOCK_STEP = r"""ex AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM pages_in),
+li AS (SELECT *, trim(line) AS x, regexp_matches(trim(line), '^##\s*(Search Tips|Search Help|More search options|People Results|News Results)') AS helps FROM ex),
+st(doc_id, i, explore, search, footer, kept) AS (
+  SELECT doc_id, CAST(0 AS BIGINT), false, false, false, false FROM pages_in UNION ALL
+  SELECT q.doc_id, q.i, q.stays OR (NOT q.hidden AND q.x = 'Explore'), CASE WHEN q.stays THEN q.search ELSE q.searching OR (NOT q.hidden AND q.x <> 'Explore' AND (q.x = 'Search' OR q.helps)) END,
+    q.footer OR (NOT q.hidden AND q.x LIKE '### Follow us%'), NOT q.hidden AND q.x <> 'Explore' AND q.x <> 'Search' AND NOT q.helps AND q.x NOT LIKE '### Follow us%'
+  FROM (SELECT *, stays OR searching OR footer AS hidden FROM (SELECT *, NOT stays AND search AND (x NOT LIKE '#%' OR helps) AS searching FROM (
+    SELECT li.doc_id, CAST(li.i AS BIGINT) AS i, li.x, li.helps, st.search, st.footer, st.explore AND NOT regexp_matches(li.x, '^#{1,2}\s+\S') AND (li.x = '' OR li.x LIKE '* [%' OR li.x LIKE '*  %' OR li.x LIKE '* Current page:%') AS stays
+    FROM st JOIN li ON li.doc_id = st.doc_id AND li.i = st.i + 1))) q)"""
+_CHROME_RE = r"""regexp_matches(line, '^\s*\*\s*\[Skip to (main content|search)\]') OR regexp_matches(line, '(Get Directions|See All Locations|Clear search box)') OR regexp_matches(line, '^\s*\*?\s*\[?\s*(Apply|Visit|Give|Shop|Future Students|Current Students|Jobs|Academic Calendar|Privacy Statement|Accessibility|Policies)\s*\]?$')
+ OR regexp_matches(line, '^\s*(Menu|search)\s*$') OR regexp_matches(line, '^\s*!\[\]\(data:image/svg\+xml') OR regexp_matches(line, '^\s*© \d{4} Example')"""
+
+ORACLE_SQL = {
+    "url_identity": rf"""WITH p AS ({_PARTS}), c AS (SELECT *, 'https://' || netloc || CASE WHEN regexp_replace(path, '/+$', '') = '' THEN '/' ELSE regexp_replace(path, '/+$', '') END AS canonical, lower(netloc) || '/' || CASE WHEN trim(path, '/') = '' THEN 'index' ELSE trim(path, '/') END AS k FROM p)
+SELECT page_id, canonical, substr(sha256(canonical), 1, 16) AS doc_id, substr(sha256(url), 1, 16) AS raw_id, k || CASE WHEN k LIKE '%.md' THEN '' ELSE '.md' END AS object_key, regexp_replace(k || CASE WHEN k LIKE '%.md' THEN '' ELSE '.md' END, '\.md$', '.meta.json') AS sidecar_key FROM c""",
+    "host_filter": f"""WITH p AS ({_PARTS}) SELECT page_id, netloc AS host, (netloc IN ('example.com', 'example.org') OR netloc LIKE '%.example.com' OR netloc LIKE '%.example.org') AND NOT (netloc IN ('spam-farm.example.org', 'login.example.com') OR netloc LIKE '%.spam-farm.example.org' OR netloc LIKE '%.login.example.com') AS allowed FROM p""",
+    "blocked_path": f"""WITH p AS ({_PARTS}) SELECT page_id, path LIKE '/es/%' OR path LIKE '/content/%' OR path LIKE '/editor.html%' AS blocked FROM p""",
+    "document_url": """SELECT CAST(n AS INTEGER) AS n, is_document, safe, link, title FROM (VALUES (0, true, true, 'https://a.example.com/x/Paper.PDF?x=1', 'Paper'), (1, true, false, '#', 'Report'), (2, true, false, '#', 'Old'), (3, false, false, '#', 'X'), (4, false, true, 'https://a.example.com/x.pdf/', 'X'),
+(5, false, false, 'mailto:x@example.com', 'X@example'), (6, true, false, 'https:///x.pdf', 'X'), (7, true, true, 'http://b.example.org/data-set_one.docx', 'Data Set One')) t(n, is_document, safe, link, title)""",
+    "page_type": f"""WITH {MARKDOWN} SELECT doc_id, CASE WHEN lower(url) LIKE '%/people/%' OR lower(url) LIKE '%faculty%' THEN 'faculty' WHEN lower(url) LIKE '%/course%' OR lower(url) LIKE '%/classes/%' THEN 'course' WHEN lower(url) LIKE '%/research/%' OR lower(url) LIKE '%/labs/%' THEN 'research'
+WHEN lower(url) LIKE '%/news/%' OR lower(url) LIKE '%/events/%' THEN 'news' WHEN lower(url) LIKE '%/about%' OR lower(url) LIKE '%/info%' THEN 'about' ELSE 'general' END AS page_type FROM mdd""",
+    "crawl_classify": f"WITH {CRAWL} SELECT crawl_seq, host, status FROM logged",
+    "visit_status_counts": f"WITH {CRAWL} SELECT status, count(*) AS n FROM logged GROUP BY status",
+    "visit_domain_counts": f"WITH {CRAWL}, g AS (SELECT host, count(*) AS n, min(crawl_seq) AS first_seq FROM logged GROUP BY host) SELECT *, CAST(row_number() OVER (ORDER BY n DESC, first_seq) AS INTEGER) AS position FROM g",
+    "crawl_counters": f"WITH {CRAWL} SELECT count(*) AS entries, count(DISTINCT host) AS hosts, count(*) FILTER (status = 'SAVED') AS pages_crawled, count(*) FILTER (status IN ('FAILED', 'SKIPPED', 'BLOCKED', 'EMPTY')) AS pages_failed, count(*) FILTER (status = 'DUPLICATE') AS pages_skipped_duplicate FROM logged",
+    "incremental_new_pages": "SELECT doc_id FROM documents n WHERE doc_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM documents s WHERE s.doc_id % 2 = 1 AND s.text = n.text)",
+    "hash_index": "SELECT sha256(text) AS content_hash, 'u' || max(doc_id) AS url FROM documents GROUP BY text",
+    "link_extract": r"""WITH l AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) AS host, unnest(regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1)) AS href FROM pages)
+SELECT page_id, count(*) AS links, count(*) FILTER (NOT regexp_matches(href, '^([A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]') OR lower(regexp_extract(href, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#:]*)', 1)) = host) AS internal, count(DISTINCT href) AS targets FROM l WHERE href <> '' GROUP BY page_id""",
+    "bfs_depth": """WITH RECURSIVE e AS (SELECT 'n' || c_nationkey AS src, 'c' || c_custkey AS dst FROM customer UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer),
+b(node, depth) AS (SELECT 'r1', 0 UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.node WHERE b.depth < 4) SELECT node, min(depth) AS depth FROM b GROUP BY node""",
+    "frontmatter_roundtrip": rf"""WITH {MARKDOWN} SELECT doc_id, url, title, '2' AS crawl_depth, substr(sha256(body), 1, 16) AS content_hash, md5(regexp_replace(body, '^\s+|\s+$', '', 'g')) AS body_md5 FROM mdd""",
+    "sections": f"WITH {_SECTIONS} SELECT doc_id, n, path, md5(text) AS text_md5, tokens FROM sections",
+    "heading_paths": f"WITH {_SECTIONS} SELECT path, count(*) AS n FROM sections GROUP BY path",
+    "large_section_windows": rf"""WITH RECURSIVE {MARKDOWN},
+para AS (SELECT doc_id, list_filter(list_transform(string_split(body, chr(10) || chr(10)), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '') AS ps, length(body) // 4 AS t, body FROM mdd),
+f(doc_id, i, win, size, done) AS (SELECT doc_id, CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CAST(0 AS BIGINT), CAST(NULL AS VARCHAR) FROM para WHERE t > 400 UNION ALL
+  SELECT doc_id, i, CASE WHEN win IS NULL THEN p WHEN NOT fits THEN CASE WHEN regexp_replace(right(win, 256), '\s', '', 'g') <> '' THEN right(win, 256) || chr(10) || chr(10) || p ELSE p END ELSE win || chr(10) || chr(10) || p END,
+    CASE WHEN win IS NULL OR fits THEN size ELSE least(length(win), 256) END + length(p) + 2, CASE WHEN NOT fits THEN win END
+  FROM (SELECT f.doc_id, f.i + 1 AS i, f.win, f.size, para.ps[f.i + 1] AS p, f.win IS NULL OR f.size + length(para.ps[f.i + 1]) + 2 <= 1600 AS fits FROM f JOIN para USING (doc_id) WHERE f.i < len(para.ps))),
+o AS (SELECT doc_id, i, done AS w FROM f WHERE done IS NOT NULL UNION ALL SELECT f.doc_id, f.i + 1, f.win FROM f JOIN para USING (doc_id) WHERE f.i = len(ps) AND f.win IS NOT NULL
+  UNION ALL SELECT doc_id, 0, regexp_replace(body, '^\s+|\s+$', '', 'g') FROM para WHERE t <= 400)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS n, CAST(length(w) AS INTEGER) AS chars, md5(w) AS text_md5 FROM o""",
+    "clean_lines": f"""WITH {CHROME}, x AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM pages_in), k AS (SELECT * FROM x WHERE NOT ({_CHROME_RE})) SELECT doc_id, CAST(count(*) AS INTEGER) AS n_kept, md5(string_agg(line, chr(10) ORDER BY i)) AS kept_md5 FROM k GROUP BY doc_id""",
+    "clean_blocks": f"""WITH RECURSIVE {CHROME}, {_BLOCK_STEP} SELECT doc_id, CAST(count(*) AS INTEGER) AS n_kept, md5(string_agg(line, chr(10) ORDER BY i)) AS kept_md5 FROM st JOIN li USING (doc_id, i) WHERE kept GROUP BY doc_id""",
+    "collapse_blank": rf"""WITH {CHROME} SELECT doc_id, md5(regexp_replace(array_to_string(lines, chr(10)), '\n{{4,}}', chr(10) || chr(10) || chr(10), 'g')) AS text_md5 FROM pages_in""",
+    "contact_extract": r"""WITH e AS (SELECT doc_id, regexp_extract_all(text, '\[([^\]]*@[^\]]+)\]\(mailto:[^)]+\)', 1) AS a, regexp_extract_all(text, '[A-Za-z0-9_.+-]+@(?:[a-z]+\.)?example\.com') AS b, regexp_extract_all(text, '\(?\d{3}\)?[\s.-]\d{3}[\s.-]\d{4}') AS p FROM documents)
+SELECT doc_id, array_to_string(list_filter(CASE WHEN len(a) > 0 THEN a ELSE b END, lambda x, i: list_position(CASE WHEN len(a) > 0 THEN a ELSE b END, x) = i), ',') AS emails, array_to_string(list_filter(p, lambda x, i: list_position(p, x) = i), ',') AS phones FROM e""",
+    "error_pages": "SELECT doc_id, doc_id % 4 = 1 AS error FROM documents",
+    "stale_pages": "SELECT doc_id, doc_id % 4 = 0 AND doc_id % 3 < 2 AND date '2024-06-01' - (date '2023-01-01' + CAST(doc_id % 700 AS INTEGER)) > 180 AS stale FROM documents",
+}

@@ -1,3 +1,105 @@
-"""."""
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+"""Queries of operations: listings, reports, settings, runs, schedules, JSON properties."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..config import SETTINGS_DEFAULTS
+from ..functions import ids
+from ..operators import admin
+from .derivations import table
+
+
+def _objects(spark, d):
+    u = F.col("url")
+    return table(spark, d, "pages").select(ids.url_part(u, "host").alias("bucket"), ids.object_key(u).alias("name"), F.octet_length("html").cast("long").alias("size"), F.lit(None).cast("string").alias("last_modified"))
+
+
+def bucket_stats(spark, d):
+    return admin.bucket_stats(_objects(spark, d))
+
+
+def storage_browse(spark, d):
+    return admin.browse(_objects(spark, d).select("bucket", F.regexp_replace("name", r"^[^/]*/", "site/").alias("name"), "size", "last_modified").dropDuplicates(["name"]), "site/").select("name", "path", "type")
+
+
+def _sides(spark, d):
+    p = table(spark, d, "pages").select("page_id", F.col("url"))
+    canonical = p.select("page_id", ids.canonical_url(F.col("url")).alias("url"))
+    return canonical.filter("page_id % 3 <> 0"), canonical.filter("page_id % 2 = 0")
+
+
+def url_set_ops(spark, d):
+    return admin.url_differences(*_sides(spark, d))
+
+
+def url_prefix_report(spark, d):
+    urls = table(spark, d, "pages").select(ids.canonical_url(F.col("url")).alias("url")).distinct()
+    return admin.url_report(urls).select("prefix", "n", F.array_join("urls", " ").alias("urls"))
+
+
+def _runs(spark, d):
+    return table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("started_at"), F.col("event_type").alias("stage"))
+
+
+def run_history(spark, d):
+    return admin.run_history(_runs(spark, d), 50).select("id", "stage")
+
+
+def settings_overlay(spark, d):
+    base = spark.range(1).select(F.explode(F.create_map(*[F.lit(x) for kv in SETTINGS_DEFAULTS.items() for x in kv])).alias("key", "value"))
+    over = spark.range(1).select(F.explode(F.create_map(F.lit("crawl.max_depth"), F.lit("2"), F.lit("extra"), F.lit("yes"))).alias("key", "value"))
+    return admin.overlay(base, over)
+
+
+_EVENTS = ("start", "ok", "fail", "cancel")
+
+
+def pipeline_state(spark, d):
+    states = spark.range(1).select(F.explode(F.array(*[F.lit(s) for s in (*admin.TRANSITIONS, "DONE", "FAILED", "CANCELLED")])).alias("state"))
+    rows = states.select("state", F.explode(F.array(*[F.lit(e) for e in _EVENTS])).alias("event"))
+    return rows.select("state", "event", admin.next_state(F.col("state"), F.col("event")).alias("next"))
+
+
+def cron_next_runs(spark, d):
+    rows = "SELECT * FROM VALUES ('weekly', '0 3 * * 0', true), ('often', '*/20 9-10 1,15 * *', true), ('off', '0 0 * * *', false), ('bad', '99 * * * *', true) AS t(id, cron, enabled)"
+    return admin.cron_next_runs(spark.sql(rows), "2024-01-01 00:00:00").withColumn("run_at", F.date_format("run_at", "yyyy-MM-dd HH:mm"))
+
+
+def log_tail(spark, d):
+    return admin.log_tail(table(spark, d, "events").select(F.col("event_id").alias("seq"), "event_type"), 100)
+
+
+_CHROME, _CONTENT = ("the ", "Search", "###"), ("and", " of ")
+
+
+def phrase_score(spark, d):
+    return admin.phrase_scores(table(spark, d, "documents").select("doc_id", "text"), list(_CHROME), list(_CONTENT)).drop("text")
+
+
+def props_json(spark, d):
+    k = F.from_json("props", "k int")["k"]
+    return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(k).alias("k_sum"), F.max(k).alias("k_max"))
+
+
+QUERIES = {f.__name__: f for f in (bucket_stats, storage_browse, url_set_ops, url_prefix_report, run_history, settings_overlay, pipeline_state, cron_next_runs, log_tail, phrase_score, props_json)}
+
+_OBJECTS = r"""o AS (SELECT lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS bucket, trim(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/') AS p, octet_length(encode(html)) AS size FROM pages), obj AS (SELECT bucket, CASE WHEN p = '' THEN 'index' ELSE p END || CASE WHEN p LIKE '%.md' THEN '' ELSE '.md' END AS name, size FROM o)"""
+_CANON = r"""cn AS (SELECT page_id, 'https://' || regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) || CASE WHEN regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') = '' THEN '/' ELSE regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') END AS url FROM pages)"""
+
+ORACLE_SQL = {
+    "bucket_stats": f"WITH {_OBJECTS} SELECT bucket, count(*) AS objects, CAST(sum(size) AS BIGINT) AS bytes, round(sum(size) / 1048576.0::DOUBLE, 2) AS mb FROM obj GROUP BY bucket",
+    "storage_browse": f"""WITH {_OBJECTS} SELECT DISTINCT CASE WHEN contains(name, '/') THEN split_part(name, '/', 1) ELSE name END AS name, 'site/' || CASE WHEN contains(name, '/') THEN split_part(name, '/', 1) || '/' ELSE name END AS path, CASE WHEN contains(name, '/') THEN 'folder' ELSE 'file' END AS type FROM obj""",
+    "url_set_ops": f"""WITH {_CANON}, a AS (SELECT DISTINCT url FROM cn WHERE page_id % 3 <> 0), b AS (SELECT DISTINCT url FROM cn WHERE page_id % 2 = 0) SELECT url, 'both' AS "where" FROM a WHERE url IN (SELECT url FROM b) UNION ALL SELECT url, 'a' FROM a WHERE url NOT IN (SELECT url FROM b) UNION ALL SELECT url, 'b' FROM b WHERE url NOT IN (SELECT url FROM a)""",
+    "url_prefix_report": rf"""WITH {_CANON}, u AS (SELECT DISTINCT url, split_part(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '^/+', ''), '/', 1) AS prefix FROM cn) SELECT prefix, count(*) AS n, array_to_string(list_sort(list(url))[1:5], ' ') AS urls FROM u GROUP BY prefix""",
+    "run_history": "SELECT event_id AS id, event_type AS stage FROM events ORDER BY ts DESC, event_id LIMIT 50",
+    "settings_overlay": "SELECT * FROM (VALUES ('crawl.max_depth', '2'), ('crawl.max_pages', '9999999'), ('crawl.request_delay', '0.1'), ('chunker.preferred_tokens', '400'), ('chunker.overlap_tokens', '64'), ('chunker.min_tokens', '120'), ('extra', 'yes')) t(key, value)",
+    "pipeline_state": """SELECT state, event, CASE WHEN state IN ('IDLE', 'DONE', 'FAILED', 'CANCELLED') THEN CASE WHEN event = 'start' THEN 'CRAWLING' ELSE state END WHEN event = 'start' THEN state WHEN event = 'fail' THEN 'FAILED' WHEN event = 'cancel' THEN 'CANCELLED' ELSE map {'CRAWLING': 'CHUNKING', 'CHUNKING': 'EMBEDDING', 'EMBEDDING': 'DONE'}[state] END AS next
+FROM (VALUES ('IDLE'), ('CRAWLING'), ('CHUNKING'), ('EMBEDDING'), ('DONE'), ('FAILED'), ('CANCELLED')) s(state), (VALUES ('start'), ('ok'), ('fail'), ('cancel')) e(event)""",
+    "cron_next_runs": """WITH m AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01 00:01:00', TIMESTAMP '2024-03-01', INTERVAL 1 MINUTE)) AS t), h AS (SELECT 'weekly' AS id, t FROM m WHERE minute(t) = 0 AND hour(t) = 3 AND dayofweek(t) = 0 UNION ALL SELECT 'often', t FROM m WHERE minute(t) % 20 = 0 AND hour(t) IN (9, 10) AND day(t) IN (1, 15)),
+r AS (SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY t) AS INTEGER) AS run, strftime(t, '%Y-%m-%d %H:%M') AS run_at FROM h) SELECT * FROM r WHERE run <= 5""",
+    "log_tail": "SELECT event_id AS seq, event_type FROM events ORDER BY event_id DESC LIMIT 100",
+    "phrase_score": """WITH s AS (SELECT doc_id, CAST(contains(lower(text), 'the ') AS INTEGER) + CAST(contains(lower(text), 'search') AS INTEGER) + CAST(contains(text, '###') AS INTEGER) AS n_boilerplate, CAST(contains(lower(text), 'and') AS INTEGER) + CAST(contains(lower(text), ' of ') AS INTEGER) AS n_content, CAST(length(text) AS INTEGER) AS chars, CAST(length(text) - length(replace(text, chr(10), '')) AS INTEGER) AS newlines FROM documents)
+SELECT *, n_boilerplate = 0 AND n_content = 2 AS clean FROM s""",
+    "props_json": "SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS INTEGER)) AS BIGINT) AS k_sum, max(CAST(json_extract(props, '$.k') AS INTEGER)) AS k_max FROM events GROUP BY event_type",
+}
