@@ -78,11 +78,11 @@ def grown(current: list[int], load: dict[int, int], shards: int) -> list[int]:
         x.sort()
     goal = sum(held) / (shards + 1)
     while held[shards] < goal:
-        a = max(range(shards), key=lambda s: (held[s], -s))
-        fits = [x for x in own[a] if 0 < x[0] <= goal - held[shards]]
-        if not fits:
+        fullest = sorted(range(shards), key=lambda s: (-held[s], s))
+        found = next(((a, x) for a in fullest for x in reversed(own[a]) if 0 < x[0] <= goal - held[shards]), None)
+        if found is None:
             break
-        size, slot = fits[-1]
+        a, (size, slot) = found
         own[a].remove((size, slot))
         held[a], held[shards] = held[a] - size, held[shards] + size
         out[slot] = shards
