@@ -9,6 +9,11 @@ from ..config import CONTACT_DOMAIN, LIMITS, PAGE_TYPES, STALE_PATHS, STOP_WORDS
 from .ids import url_part
 
 
+def let(value: Column, use) -> Column:
+    """use(value), where value is made once although use reads it many times."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def strip(x: Column) -> Column:
     """Without white space, Unicode's too, at either end."""
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
@@ -89,18 +94,27 @@ def offices(body: Column) -> Column:
 
 def contact_block(body: Column) -> Column:
     """The contact lines of a page, null if it has neither an address nor a number."""
-    e, p = emails(body), phones(body)
-    lines = F.concat(F.transform(e, lambda x: F.concat(F.lit("- Email: "), x)), F.transform(p, lambda x: F.concat(F.lit("- Phone: "), x)), F.transform(offices(body), lambda x: F.concat(F.lit("- Office: "), x)))
-    return F.when((F.size(e) > 0) | (F.size(p) > 0), F.concat(F.lit("\n\n**Contact Information:**\n"), F.array_join(lines, "\n"), F.lit("\n")))
+    listed = lambda name, xs: F.transform(xs, lambda x: F.concat(F.lit(f"- {name}: "), x))
+    found = F.struct(emails(body).alias("e"), phones(body).alias("p"))
+
+    def lines(f: Column) -> Column:
+        text = F.array_join(F.concat(listed("Email", f["e"]), listed("Phone", f["p"]), listed("Office", offices(body))), "\n")
+        return F.when((F.size(f["e"]) > 0) | (F.size(f["p"]) > 0), F.concat(F.lit("\n\n**Contact Information:**\n"), text, F.lit("\n")))
+
+    return let(found, lines)
 
 
 def with_contact(body: Column) -> Column:
     """body with its contact block after the first heading's paragraph, or before all."""
-    block = contact_block(body)
-    heading = F.regexp_extract(body, r"(?m)^(#\s+.+\n(?:.*\S.*\n)*)", 1)
-    at = F.instr(body, heading) + F.length(heading) - 1
-    placed = F.concat(F.substring(body, F.lit(1), at), block, F.substring(body, at + 1, F.length(body)))
-    return F.when(block.isNull(), body).when(heading == "", F.concat(block, body)).otherwise(placed)
+
+    def placed(block: Column) -> Column:
+        def after(heading: Column) -> Column:
+            at = F.instr(body, heading) + F.length(heading) - 1
+            return F.when(heading == "", F.concat(block, body)).otherwise(F.concat(F.substring(body, F.lit(1), at), block, F.substring(body, at + 1, F.length(body))))
+
+        return F.when(block.isNull(), body).otherwise(let(F.regexp_extract(body, r"(?m)^(#\s+.+\n(?:.*\S.*\n)*)", 1), after))
+
+    return let(contact_block(body), placed)
 
 
 def front_matter(md: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CHROME_LINES, FOOTER_IMAGES, FOOTER_MARKER, SEARCH_HELP
-from ..functions.text import strip, with_contact
+from ..functions.text import let, strip, with_contact
 
 
 def is_chrome(line: Column, rules=CHROME_LINES) -> Column:
@@ -25,23 +25,30 @@ def outside_blocks(lines: Column) -> Column:
     other line; `Search` parts, up to a heading that isn't search help; footers, to the end."""
     start = F.struct(F.lit(False).alias("explore"), F.lit(False).alias("search"), F.lit(False).alias("footer"), F.array().cast("array<string>").alias("out"))
 
-    def step(s: Column, line: Column) -> Column:
-        x = strip(line)
-        listed = (x == "") | x.startswith("* [") | x.startswith("*  ") | x.startswith("* Current page:")
-        stays = s["explore"] & ~x.rlike(r"^#{1,2}\s+\S") & listed
-        explore = stays
-        helps = x.rlike(SEARCH_HELP)
-        searching = ~stays & s["search"] & (~x.startswith("#") | helps)
+    def traits(line: Column) -> Column:
+        def of(x: Column) -> Column:
+            return F.struct(
+                line.alias("line"),
+                ((x == "") | x.startswith("* [") | x.startswith("*  ") | x.startswith("* Current page:")).alias("listed"),
+                x.rlike(r"^#{1,2}\s+\S").alias("title"), x.startswith("#").alias("heading"), x.rlike(SEARCH_HELP).alias("helps"),
+                (x == "Explore").alias("explore"), (x == "Search").alias("search"), (x.startswith(FOOTER_MARKER) | line.rlike(FOOTER_IMAGES)).alias("footer"),
+            )
+
+        return let(strip(line), of)
+
+    def step(s: Column, x: Column) -> Column:
+        stays = s["explore"] & ~x["title"] & x["listed"]
+        searching = s["search"] & (~x["heading"] | x["helps"])
         hidden = stays | searching | s["footer"]
-        opens_explore = ~hidden & x.rlike(r"^Explore\s*$")
-        opens_search = ~hidden & ~opens_explore & ((x == "Search") | helps)
-        opens_footer = ~hidden & ~opens_explore & ~opens_search & (x.startswith(FOOTER_MARKER) | line.rlike(FOOTER_IMAGES))
-        keep = ~hidden & ~opens_explore & ~opens_search & ~opens_footer
+        opens_search = ~x["explore"] & (x["search"] | x["helps"])
+        opens_footer = ~x["explore"] & ~opens_search & x["footer"]
+        keep = ~hidden & ~x["explore"] & ~opens_search & ~opens_footer
         # while an Explore list goes on, an open Search part is not looked at
-        search = F.when(stays, s["search"]).otherwise(searching | opens_search)
-        return F.struct((explore | opens_explore).alias("explore"), search.alias("search"), (s["footer"] | opens_footer).alias("footer"), F.when(keep, F.concat(s["out"], F.array(line))).otherwise(s["out"]).alias("out"))
+        search = F.when(stays, s["search"]).otherwise(searching | (~hidden & opens_search))
+        out = F.when(keep, F.concat(s["out"], F.array(x["line"]))).otherwise(s["out"])
+        return F.struct((stays | (~hidden & x["explore"])).alias("explore"), search.alias("search"), (s["footer"] | (~hidden & opens_footer)).alias("footer"), out.alias("out"))
 
-    return F.aggregate(lines, start, step, lambda s: s["out"])
+    return F.aggregate(F.transform(lines, traits), start, step, lambda s: s["out"])
 
 
 def cleaned(pages: DataFrame, body: str = "body", rules=CHROME_LINES) -> DataFrame:
