@@ -189,7 +189,26 @@ st(doc_id, i, explore, search, footer, kept) AS (
 _CHROME_RE = r"""regexp_matches(line, '^\s*\*\s*\[Skip to (main content|search)\]') OR regexp_matches(line, '(Get Directions|See All Locations|Clear search box)') OR regexp_matches(line, '^\s*\*?\s*\[?\s*(Apply|Visit|Give|Shop|Future Students|Current Students|Jobs|Academic Calendar|Privacy Statement|Accessibility|Policies)\s*\]?$')
  OR regexp_matches(line, '^\s*(Menu|search)\s*$') OR regexp_matches(line, '^\s*!\[\]\(data:image/svg\+xml') OR regexp_matches(line, '^\s*© \d{4} Example')"""
 
+_NL = "chr(10) || chr(10)"
+_CHUNKS = rf"""{_SECTIONS},
+para AS (SELECT doc_id, n, list_filter(list_transform(string_split(text, {_NL}), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '') AS ps FROM sections WHERE tokens > 400),
+f(doc_id, n, i, win, size, done) AS (SELECT doc_id, n, CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CAST(0 AS BIGINT), CAST(NULL AS VARCHAR) FROM para UNION ALL
+  SELECT doc_id, n, i, CASE WHEN win IS NULL THEN p WHEN NOT fits THEN CASE WHEN regexp_replace(right(win, 256), '\s', '', 'g') <> '' THEN right(win, 256) || {_NL} || p ELSE p END ELSE win || {_NL} || p END,
+    CASE WHEN win IS NULL OR fits THEN size ELSE least(length(win), 256) END + length(p) + 2, CASE WHEN NOT fits THEN win END
+  FROM (SELECT f.doc_id, f.n, f.i + 1 AS i, f.win, f.size, para.ps[f.i + 1] AS p, f.win IS NULL OR f.size + length(para.ps[f.i + 1]) + 2 <= 1600 AS fits FROM f JOIN para USING (doc_id, n) WHERE f.i < len(para.ps))),
+win AS (SELECT doc_id, n, i, done AS text FROM f WHERE done IS NOT NULL UNION ALL SELECT f.doc_id, f.n, f.i + 1, f.win FROM f JOIN para USING (doc_id, n) WHERE f.i = len(ps)),
+c(doc_id, n, pend, ppath, ptok, flushed, fpath, own) AS (SELECT DISTINCT doc_id, CAST(-1 AS INTEGER), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), 0 FROM sections UNION ALL
+  SELECT doc_id, n, CASE WHEN waits THEN j END, CASE WHEN waits THEN first_path END, CASE WHEN waits THEN ptok + t ELSE 0 END, CASE WHEN t > 400 THEN pend WHEN t < 120 THEN CASE WHEN NOT waits THEN j END WHEN merges THEN j ELSE pend END, first_path, CASE WHEN t > 400 THEN 2 WHEN t < 120 OR merges THEN 0 ELSE 1 END
+  FROM (SELECT c.doc_id, s.n, c.pend, c.ptok, s.tokens AS t, coalesce(c.pend || {_NL}, '') || s.text AS j, CASE WHEN c.pend IS NULL THEN s.path ELSE c.ppath END AS first_path, s.tokens < 120 AND c.ptok + s.tokens < 120 AS waits, c.pend IS NOT NULL AND c.ptok + s.tokens <= 400 AS merges
+    FROM c JOIN sections s ON s.doc_id = c.doc_id AND s.n = c.n + 1)),
+parts AS (SELECT doc_id, n, 0 AS k, CAST(0 AS BIGINT) AS i, flushed AS text, fpath AS path FROM c WHERE flushed IS NOT NULL UNION ALL SELECT c.doc_id, c.n, 1, 0, s.text, s.path FROM c JOIN sections s USING (doc_id, n) WHERE own = 1
+  UNION ALL SELECT c.doc_id, c.n, 1, w.i, w.text, s.path FROM c JOIN sections s USING (doc_id, n) JOIN win w USING (doc_id, n) WHERE own = 2
+  UNION ALL SELECT doc_id, n, 2, 0, pend, ppath FROM c WHERE pend IS NOT NULL AND (doc_id, n) IN (SELECT doc_id, max(n) FROM sections GROUP BY doc_id)),
+chunks AS (SELECT doc_id, text, path, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n, k, i) - 1 AS INTEGER) AS chunk_index FROM parts)"""
+
 ORACLE_SQL = {
+    "build_chunks": f"""WITH RECURSIVE {_CHUNKS} SELECT printf('%016d_%04d', doc_id, chunk_index) AS chunk_id, printf('%016d', doc_id) AS document_id, chunk_index, (['faculty','course','research','news','about','general'])[CAST(doc_id % 6 AS INTEGER) + 1] AS page_type, path, substr(sha256(text), 1, 16) AS content_hash, CAST(length(text) // 4 AS INTEGER) AS token_count FROM chunks""",
+    "chunk_stats": f"""WITH RECURSIVE {_CHUNKS}, g AS (SELECT d.doc_id, nullif(count(c.doc_id), 0) AS n FROM documents d LEFT JOIN chunks c USING (doc_id) GROUP BY d.doc_id) SELECT count(n) AS processed, count(*) FILTER (n IS NULL) AS skipped, CAST(sum(n) AS BIGINT) AS total_chunks, max(n) AS most_chunks FROM g""",
     "url_identity": rf"""WITH p AS ({_PARTS}), c AS (SELECT *, 'https://' || netloc || CASE WHEN regexp_replace(path, '/+$', '') = '' THEN '/' ELSE regexp_replace(path, '/+$', '') END AS canonical, lower(netloc) || '/' || CASE WHEN trim(path, '/') = '' THEN 'index' ELSE trim(path, '/') END AS k FROM p)
 SELECT page_id, canonical, substr(sha256(canonical), 1, 16) AS doc_id, substr(sha256(url), 1, 16) AS raw_id, k || CASE WHEN k LIKE '%.md' THEN '' ELSE '.md' END AS object_key, regexp_replace(k || CASE WHEN k LIKE '%.md' THEN '' ELSE '.md' END, '\.md$', '.meta.json') AS sidecar_key FROM c""",
     "host_filter": f"""WITH p AS ({_PARTS}) SELECT page_id, netloc AS host, (netloc IN ('example.com', 'example.org') OR netloc LIKE '%.example.com' OR netloc LIKE '%.example.org') AND NOT (netloc IN ('spam-farm.example.org', 'login.example.com') OR netloc LIKE '%.spam-farm.example.org' OR netloc LIKE '%.login.example.com') AS allowed FROM p""",
