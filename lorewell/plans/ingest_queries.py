@@ -206,7 +206,20 @@ parts AS (SELECT doc_id, n, 0 AS k, CAST(0 AS BIGINT) AS i, flushed AS text, fpa
   UNION ALL SELECT doc_id, n, 2, 0, pend, ppath FROM c WHERE pend IS NOT NULL AND (doc_id, n) IN (SELECT doc_id, max(n) FROM sections GROUP BY doc_id)),
 chunks AS (SELECT doc_id, text, path, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n, k, i) - 1 AS INTEGER) AS chunk_index FROM parts)"""
 
+_RENDER = "html"
+for _pattern, _to in (
+    *[(rf"(?is)<{t}\b.*?</{t}>", "") for t in ("nav", "script", "style", "noscript", "iframe")],
+    *[(rf"(?is)<h{n}[^>]*>(.*?)</h{n}>", "NL" + "#" * n + r" \1NL") for n in (1, 2, 3)],
+    (r"(?is)<a\b[^>]*href=[\"'']([^\"'']*)[\"''][^>]*>(.*?)</a>", r"[\2](\1)"), (r"(?is)<li[^>]*>", "BR* "), (r"(?is)<br\s*/?>", "BR"),
+    (r"(?is)</?(p|div|article|footer|ul|ol|body|html|head)\b[^>]*>", "NL"), (r"(?s)<[^>]+>", ""),
+):
+    _new = "'" + _to.replace("NL", "' || chr(10) || chr(10) || '").replace("BR", "' || chr(10) || '") + "'"
+    _RENDER = f"regexp_replace({_RENDER}, '{_pattern}', {_new}, 'g')"
+for _a, _b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+    _RENDER = f"replace({_RENDER}, '{_a}', '{_b}')"
+
 ORACLE_SQL = {
+    "html_markdown": rf"SELECT page_id, md5(regexp_replace(regexp_replace({_RENDER}, '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS md_md5 FROM pages",
     "build_chunks": f"""WITH RECURSIVE {_CHUNKS} SELECT printf('%016d_%04d', doc_id, chunk_index) AS chunk_id, printf('%016d', doc_id) AS document_id, chunk_index, (['faculty','course','research','news','about','general'])[CAST(doc_id % 6 AS INTEGER) + 1] AS page_type, path, substr(sha256(text), 1, 16) AS content_hash, CAST(length(text) // 4 AS INTEGER) AS token_count FROM chunks""",
     "chunk_stats": f"""WITH RECURSIVE {_CHUNKS}, g AS (SELECT d.doc_id, nullif(count(c.doc_id), 0) AS n FROM documents d LEFT JOIN chunks c USING (doc_id) GROUP BY d.doc_id) SELECT count(n) AS processed, count(*) FILTER (n IS NULL) AS skipped, CAST(sum(n) AS BIGINT) AS total_chunks, max(n) AS most_chunks FROM g""",
     "url_identity": rf"""WITH p AS ({_PARTS}), c AS (SELECT *, 'https://' || netloc || CASE WHEN regexp_replace(path, '/+$', '') = '' THEN '/' ELSE regexp_replace(path, '/+$', '') END AS canonical, lower(netloc) || '/' || CASE WHEN trim(path, '/') = '' THEN 'index' ELSE trim(path, '/') END AS k FROM p)
