@@ -34,8 +34,11 @@ from .components import components
 from .support import blocks_for, text_bytes
 
 SPARE = 2
-#: Bytes of text whose signatures make one hash range, at every size of the input.
-RANGE_BYTES = 24 << 20
+#: Bytes of text whose signatures make one hash range, at every size of the input: small, so that the
+#: documents of a signature seldom meet in a range for another one too.
+RANGE_BYTES = 4 << 20
+#: Bytes of text that are hashed at once, and signatures that are held before they are sent.
+PIECE, HELD = 2 << 20, 500_000
 _PAIRS = ((0, 1), (0, 2), (1, 2))
 
 
@@ -56,6 +59,15 @@ def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(of, np.arange(len(words.count) + 1))
 
 
+def sets_of(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """shingle_sets() of a column of texts, piece by piece, so that memory follows the sets."""
+    rows = pa.table({"t": column})
+    parts = [shingle_sets(Words(*texts(rows.column("t").slice(a, b - a)), lower=True), k) for a, b in pieces(rows, "t", PIECE)]
+    if not parts:
+        return np.zeros(0, U), np.zeros(1, np.int64)
+    return np.concatenate([h for h, _ in parts]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(o) for _, o in parts]))])
+
+
 def bands(most: int, num: int, den: int) -> list[tuple[int, int]]:
     """Size bands [l, u] up to `most`, with u = l / threshold, for the threshold num / den."""
     out, low = [], 1
@@ -155,34 +167,42 @@ def candidate_links(docs: DataFrame, doc: str, text: str, k: int, num: int, den:
     shift = U(64 - max(1, (ranges - 1).bit_length()))
     rows = docs.filter(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("d"), F.col(text).alias("t"))
 
+    def speaking(batch, i, j):
+        """Signatures with their documents, and links between copies of a set: one speaks for them."""
+        h, offsets = shingle_sets(Words(*texts(batch.column("t").slice(i, j - i)), lower=True), k)
+        own = batch.column("d").slice(i, j - i).to_numpy()
+        sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(h), dtype=U)])
+        some = np.flatnonzero(np.diff(offsets) > 0)
+        whole = mix(sums[offsets[some + 1]] - sums[offsets[some]]) ^ np.diff(offsets)[some].astype(U)
+        _, _, x, y = _links(whole, own[some])
+        speaks = np.zeros(len(own), bool)
+        speaks[some] = True
+        speaks[some[_not_first(whole, own[some])]] = False
+        sig, of = signatures(*_some(h, offsets, np.flatnonzero(speaks)), num, den)
+        return sig, own[np.flatnonzero(speaks)][of], x, y
+
+    def packed(held):
+        keys, ids, a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+        key, least, x, y = _links(keys, ids)
+        x, y = _forest(np.concatenate([x, a]), np.concatenate([y, b]))
+        at = runs(key >> shift)
+        cut = [*at, len(key)]
+        r, p = (key[at] >> shift).astype(np.int32).tolist(), [pack(key[i:j], least[i:j]) for i, j in zip(cut, cut[1:], strict=False)]
+        if len(x):  # links go to any range, told apart by a negative number
+            r.append(-1 - int(x[0] % ranges))
+            p.append(pack(x.astype(np.int64), y.astype(np.int64)))
+        return pa.RecordBatch.from_pydict({"r": pa.array(r, pa.int32()), "p": pa.array(p, pa.binary())})
+
     def sent(batches):
+        held = []
         for batch in batches:
-            keys, ids, a, b = [], [], [], []
-            for i, j in pieces(batch, "t"):
-                h, offsets = shingle_sets(Words(*texts(batch.column("t").slice(i, j - i)), lower=True), k)
-                own = batch.column("d").slice(i, j - i).to_numpy()
-                sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(h), dtype=U)])
-                some = np.flatnonzero(np.diff(offsets) > 0)
-                whole = mix(sums[offsets[some + 1]] - sums[offsets[some]]) ^ np.diff(offsets)[some].astype(U)
-                _, first, x, y = _links(whole, own[some])  # copies of a set: one speaks for them
-                speaks = np.isin(own, first)
-                speaks[some[_not_first(whole, own[some])]] = False
-                sig, of = signatures(*_some(h, offsets, np.flatnonzero(speaks)), num, den)
-                keys.append(sig)
-                ids.append(own[np.flatnonzero(speaks)][of])
-                a.append(x)
-                b.append(y)
-            if not keys:
-                continue
-            key, least, x, y = _links(np.concatenate(keys), np.concatenate(ids))
-            x, y = _forest(np.concatenate([x, *a]), np.concatenate([y, *b]))
-            at = runs(key >> shift)
-            cut = [*at, len(key)]
-            r, p = (key[at] >> shift).astype(np.int32).tolist(), [pack(key[i:j], least[i:j]) for i, j in zip(cut, cut[1:], strict=False)]
-            if len(x):  # links go to any range, told apart by a negative number
-                r.append(-1 - int(x[0] % ranges))
-                p.append(pack(x.astype(np.int64), y.astype(np.int64)))
-            yield pa.RecordBatch.from_pydict({"r": pa.array(r, pa.int32()), "p": pa.array(p, pa.binary())})
+            for i, j in pieces(batch, "t", PIECE):
+                held.append(speaking(batch, i, j))
+                if sum(len(x[0]) for x in held) >= HELD:
+                    yield packed(held)
+                    held = []
+        if held:
+            yield packed(held)
 
     def linked(x: pa.Table) -> pa.Table:
         got = [unpack(p, 2) for p in x.column("p").to_pylist()]
@@ -255,7 +275,7 @@ def exact_links(ids: np.ndarray, h: np.ndarray, offsets: np.ndarray, num: int, d
     return _forest(a, b) if len(a) else (a, b)
 
 
-def jaccard_components(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100, cluster_bytes: int = 16 << 20) -> DataFrame:
+def jaccard_components(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100, cluster_bytes: int = 8 << 20) -> DataFrame:
     """(node, component) of the documents that have a link: two documents link when den times the
     size of their sets' intersection is num times the size of their union, or more."""
     clusters = components(candidate_links(docs, doc, text, k, num, den))
@@ -267,7 +287,7 @@ def jaccard_components(docs: DataFrame, doc: str = "doc_id", text: str = "text",
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "t")
 
     def compared(x: pa.Table) -> pa.Table:
-        h, offsets = shingle_sets(Words(*texts(x.column("t")), lower=True), k)
+        h, offsets = sets_of(x.column("t"), k)
         a, b = exact_links(x.column("node").to_numpy(), h, offsets, num, den)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -280,7 +300,7 @@ def shingle_counts(docs: DataFrame, doc: str, text: str, k: int) -> DataFrame:
 
     def counted(batches):
         for batch in batches:
-            n = [np.diff(shingle_sets(Words(*texts(batch.column("t").slice(i, j - i)), lower=True), k)[1]) for i, j in pieces(batch, "t")]
+            n = [np.diff(shingle_sets(Words(*texts(batch.column("t").slice(i, j - i)), lower=True), k)[1]) for i, j in pieces(batch, "t", PIECE)]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("d"), "n_shingles": pa.array(np.concatenate(n) if n else [], pa.int64())})
 
     from pyspark.sql import types as T
