@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorewell.llm import bpe, decontamination, jaccard_join, substring_dedup, toxicity
-from lorewell.llm.support import shared_folder, table
+from lorewell.llm.support import bounded, materialised, shared_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = jaccard_join.jaccard_components(docs, k=5, num=80, den=100)
-    later = found.filter("node <> component").select(F.col("node").alias("doc_id"))
-    return docs.join(later, "doc_id", "left_anti").select(docs.columns)
+    later = materialised(found.filter("node <> component").select(F.col("node").alias("doc_id")), "near-copies")
+    return docs.join(bounded(later), "doc_id", "left_anti").select(docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,8 +13,9 @@ are the set and the set without each one element; where it is 0, the set itself.
 Signatures join in hash ranges: a task sends each signature once, with its smallest document, and
 its other documents as links to that one; a range links the documents of each signature.  The
 components of those candidate links are clusters.  In a cluster, sets are compared exactly, except
-those that are already connected.  A cluster of more than `cluster_bytes` of text is dealt into
-blocks, and each pair of blocks is one group, so every group is bounded and no pair is left out.
+those that are already connected.  A cluster of more than `cluster_bytes` of text is dealt by size
+band, and a band of more than that into blocks, each pair of which is one group, so every group is
+bounded and no pair is left out.
 
 Defined cases: texts with fewer than k words have one shingle, the whole sequence; null, empty and
 wordless texts have an empty set and no links; documents without an id are linked with nothing and
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .columnar import U, WORD_BASE, Words, mix, pack, pieces, ranged, runs, running, texts, unpack
 from .components import components
-from .support import blocks_for, text_bytes
+from .support import blocks_for, bounded, materialised, text_bytes
 
 SPARE = 2
 #: Bytes of text whose signatures make one hash range, at every size of the input: small, so that the
@@ -165,6 +166,8 @@ def candidate_links(docs: DataFrame, doc: str, text: str, k: int, num: int, den:
     total = text_bytes(docs, text)
     ranges = blocks_for(total, RANGE_BYTES, RANGE_BYTES)
     shift = U(64 - max(1, (ranges - 1).bit_length()))
+    # signatures need 18 bits more than their number has; a false match only costs a comparison
+    spare_bits = U(64 - min(64, max(1, total // 2).bit_length() + 18))
     rows = docs.filter(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("d"), F.col(text).alias("t"))
 
     def speaking(batch, i, j):
@@ -179,6 +182,7 @@ def candidate_links(docs: DataFrame, doc: str, text: str, k: int, num: int, den:
         speaks[some] = True
         speaks[some[_not_first(whole, own[some])]] = False
         sig, of = signatures(*_some(h, offsets, np.flatnonzero(speaks)), num, den)
+        sig = sig >> spare_bits << spare_bits
         return sig, own[np.flatnonzero(speaks)][of], x, y
 
     def packed(held):
@@ -278,20 +282,42 @@ def exact_links(ids: np.ndarray, h: np.ndarray, offsets: np.ndarray, num: int, d
 def jaccard_components(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100, cluster_bytes: int = 8 << 20) -> DataFrame:
     """(node, component) of the documents that have a link: two documents link when den times the
     size of their sets' intersection is num times the size of their union, or more."""
-    clusters = components(candidate_links(docs, doc, text, k, num, den))
+    clusters = materialised(components(candidate_links(docs, doc, text, k, num, den)), "clusters")
     rows = docs.filter(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("node"), F.col(text).alias("t"))
-    members = rows.join(clusters.hint("merge"), "node")  # alike at every size, never a broadcast
-    blocks = members.groupBy("component").agg(F.ceil(F.sum(F.octet_length("t")) / F.lit(cluster_bytes)).cast("int").alias("n")).filter("n > 1")
-    # i and j number the blocks of a large cluster; a small one is the pair (0, 0)
-    dealt = members.join(blocks, "component", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "t")
+
+    def sized(batches):
+        for batch in batches:
+            for i, j in pieces(batch, "t", PIECE):
+                part = batch.slice(i, j - i)
+                n = np.diff(shingle_sets(Words(*texts(part.column("t")), lower=True), k)[1])
+                low = np.array([x for x, _ in bands(max(1, int(n.max(initial=1))), num, den)])
+                size = np.diff(texts(part.column("t"))[1])
+                yield pa.RecordBatch.from_pydict({"node": part.column("node"), "component": part.column("component"), "bytes": pa.array(size, pa.int64()), "band": pa.array(np.searchsorted(low, n, "right") - 1, pa.int32())})
+
+    members = materialised(rows.join(bounded(clusters), "node").mapInArrow(sized, "node long, component long, bytes long, band int"), "members")
+    dealt = bounded(materialised(_dealt(members, cluster_bytes), "groups"))
+    groups = rows.join(dealt, "node").groupBy("component", "band", "i", "j")
 
     def compared(x: pa.Table) -> pa.Table:
         h, offsets = sets_of(x.column("t"), k)
         a, b = exact_links(x.column("node").to_numpy(), h, offsets, num, den)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return components(dealt.groupBy("component", "i", "j").applyInArrow(compared, "a long, b long"))
+    return components(groups.applyInArrow(compared, "a long, b long"))
+
+
+def _dealt(members: DataFrame, most: int) -> DataFrame:
+    """(node, component, band, i, j): the groups that members are compared in.  A cluster of at most
+    `most` bytes is one group.  A larger one is dealt by size band, a member to its own band and the
+    one below, since linked sets are in the same or adjacent bands; and a band that is still larger
+    into blocks, each pair of which is a group."""
+    whole = members.groupBy("component").agg((F.sum("bytes") > most).alias("large"))
+    lots = members.join(whole, "component")
+    lots = lots.withColumn("band", F.explode(F.when(~F.col("large"), F.array(F.lit(-1))).when(F.col("band") == 0, F.array(F.lit(0))).otherwise(F.array(F.col("band"), F.col("band") - 1))))
+    sizes = lots.groupBy("component", "band").agg(F.greatest(F.lit(1), F.ceil(F.sum("bytes") / F.lit(most))).cast("int").alias("n"))
+    lots = lots.join(sizes, ["component", "band"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    lots = lots.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return lots.select("node", "component", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).distinct()
 
 
 def shingle_counts(docs: DataFrame, doc: str, text: str, k: int) -> DataFrame:

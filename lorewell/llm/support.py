@@ -52,3 +52,13 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     """docs under the names c0, c1, ...: no column that is added can clash with its own."""
     names = docs.columns
     return docs.toDF(*[f"c{k}" for k in range(len(names))]), names
+
+
+#: Rows of a few numbers that a broadcast may have: some tens of megabytes.
+BROADCAST_ROWS = 2_000_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, to be joined: broadcast if it is counted to have BROADCAST_ROWS at most, else by a merge
+    join.  df should be read from files and have narrow rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("merge")
