@@ -101,7 +101,7 @@ class Automaton:
         key = t << 24 | v
         ok = self.table.get(key)
         if ok is None:
-            if len(self.table) > 2_000_000:
+            if len(self.table) > 300_000:
                 self.table.clear()
             ok = self.table[key] = self._arc(t, v)
         return ok
@@ -157,7 +157,24 @@ def public_path(name: str = "byte_bpe_50k.json") -> str:
 @lru_cache(maxsize=4)
 def _encoder(name: str) -> WordIds:
     automaton = load(public_path(name))
-    return WordIds(lambda words: [automaton.encode(w) for w in words], tuple(t.decode() for t in automaton.specials))
+    return WordIds(lambda words: [automaton.encode(w) for w in words], tuple(t.decode() for t in automaton.specials), most=250_000)
+
+
+@lru_cache(maxsize=4)
+def labels(name: str) -> list[bytes]:
+    """The bytes of each id, which are all that decoding needs."""
+    letters = byte_letters()
+    with open(public_path(name), encoding="utf-8") as f:
+        spec = json.load(f)
+    special = {t["id"]: t["content"] for t in spec["added_tokens"]}
+    vocab = spec["model"]["vocab"]
+    out = [b""] * (max([*vocab.values(), *special], default=-1) + 1)
+    for t, i in vocab.items():
+        if i not in special:
+            out[i] = bytes(letters[ch] for ch in t)
+    for i, t in special.items():
+        out[i] = t.encode()
+    return out
 
 
 def _binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
@@ -176,7 +193,7 @@ def bpe_encode(docs: DataFrame, text: str = "text", vocabulary: str = "byte_bpe_
     def encoded(batches):
         ids_of = _encoder(vocabulary)
         for b in batches:
-            for i, j in pieces(b, t, 2 << 20):
+            for i, j in pieces(b, t):
                 part = b.slice(i, j - i)
                 ids, offsets = ids_of(*texts(part.column(t)))
                 yield pa.RecordBatch.from_arrays([*part.columns, _binary(ids.astype("<u4").view(np.uint8), 4 * offsets)], names=[*passed, "x"])
@@ -191,11 +208,11 @@ def bpe_decode(rows: DataFrame, ids: str = "ids", vocabulary: str = "byte_bpe_50
     schema = T.StructType([*plain.schema.fields, T.StructField("x", T.StringType())])
 
     def decoded(batches):
-        label = load(public_path(vocabulary)).label
+        label = labels(vocabulary)
         flat = np.frombuffer(b"".join(label), np.uint8)
         at = np.concatenate([[0], np.cumsum([len(x) for x in label])])
         for b in batches:
-            for i, j in pieces(b, t, 2 << 20):
+            for i, j in pieces(b, t):
                 part = b.slice(i, j - i)
                 buf, offsets = texts(part.column(t))
                 tokens = np.frombuffer(buf.tobytes(), "<u4").astype(np.int64)

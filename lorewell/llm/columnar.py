@@ -72,7 +72,11 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, offsets - offsets[0]
 
 
-def pieces(table: pa.Table | pa.RecordBatch, text: str, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+#: Bytes of text that are hashed at once: below 2**21, so that the tables of powers stay at 16 MB each.
+PIECE = 2_000_000
+
+
+def pieces(table: pa.Table | pa.RecordBatch, text: str, limit: int = PIECE) -> Iterator[tuple[int, int]]:
     """Row ranges of about limit bytes of text; one longer text is a range of its own."""
     if not table.num_rows:
         return

@@ -38,8 +38,8 @@ SPARE = 2
 #: Bytes of text whose signatures make one hash range, at every size of the input: small, so that the
 #: documents of a signature seldom meet in a range for another one too.
 RANGE_BYTES = 4 << 20
-#: Bytes of text that are hashed at once, and signatures that are held before they are sent.
-PIECE, HELD = 2 << 20, 500_000
+#: Signatures that are held before they are sent.
+HELD = 500_000
 _PAIRS = ((0, 1), (0, 2), (1, 2))
 
 
@@ -63,7 +63,7 @@ def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
 def sets_of(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     """shingle_sets() of a column of texts, piece by piece, so that memory follows the sets."""
     rows = pa.table({"t": column})
-    parts = [shingle_sets(Words(*texts(rows.column("t").slice(a, b - a)), lower=True), k) for a, b in pieces(rows, "t", PIECE)]
+    parts = [shingle_sets(Words(*texts(rows.column("t").slice(a, b - a)), lower=True), k) for a, b in pieces(rows, "t")]
     if not parts:
         return np.zeros(0, U), np.zeros(1, np.int64)
     return np.concatenate([h for h, _ in parts]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(o) for _, o in parts]))])
@@ -200,7 +200,7 @@ def candidate_links(docs: DataFrame, doc: str, text: str, k: int, num: int, den:
     def sent(batches):
         held = []
         for batch in batches:
-            for i, j in pieces(batch, "t", PIECE):
+            for i, j in pieces(batch, "t"):
                 held.append(speaking(batch, i, j))
                 if sum(len(x[0]) for x in held) >= HELD:
                     yield packed(held)
@@ -287,7 +287,7 @@ def jaccard_components(docs: DataFrame, doc: str = "doc_id", text: str = "text",
 
     def sized(batches):
         for batch in batches:
-            for i, j in pieces(batch, "t", PIECE):
+            for i, j in pieces(batch, "t"):
                 part = batch.slice(i, j - i)
                 n = np.diff(shingle_sets(Words(*texts(part.column("t")), lower=True), k)[1])
                 low = np.array([x for x, _ in bands(max(1, int(n.max(initial=1))), num, den)])
@@ -326,7 +326,7 @@ def shingle_counts(docs: DataFrame, doc: str, text: str, k: int) -> DataFrame:
 
     def counted(batches):
         for batch in batches:
-            n = [np.diff(shingle_sets(Words(*texts(batch.column("t").slice(i, j - i)), lower=True), k)[1]) for i, j in pieces(batch, "t", PIECE)]
+            n = [np.diff(shingle_sets(Words(*texts(batch.column("t").slice(i, j - i)), lower=True), k)[1]) for i, j in pieces(batch, "t")]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("d"), "n_shingles": pa.array(np.concatenate(n) if n else [], pa.int64())})
 
     from pyspark.sql import types as T

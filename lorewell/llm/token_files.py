@@ -168,7 +168,7 @@ def write_tokens(docs: DataFrame, folder: str, doc: str = "doc_id", text: str =
             done.append((f"{folder}/part-{part:06d}-{len(done):04d}.ids.zst", part, len(done), len(writer.index), sum(x[3] for x in writer.index)))
 
         for b in batches:
-            for i, j in pieces(b, "t", 2 << 20):
+            for i, j in pieces(b, "t"):
                 ids, offsets = ids_of(*texts(b.column("t").slice(i, j - i)))
                 for k, d in enumerate(b.column("d").slice(i, j - i).to_pylist()):
                     if writer is None:

@@ -50,7 +50,7 @@ class Automaton:
 
     A state is a set of (trie node, edits so far), of each node with the fewest edits."""
 
-    def __init__(self, words: list[str], stems: list[str], most_states: int = 50_000):
+    def __init__(self, words: list[str], stems: list[str], most_states: int = 20_000):
         self.child: list[dict[str, int]] = [{}]
         self.limit, self.stem, self.reach = [-1], [-1], [0]
         for entries, kind in ((words, self.limit), (stems, self.stem)):
@@ -144,7 +144,7 @@ class Model:
 class Scorer:
     """Hit counts of texts; one a Python worker, with a bounded memory of words seen."""
 
-    def __init__(self, model: Model, most_words: int = 400_000):
+    def __init__(self, model: Model, most_words: int = 200_000):
         self.automaton = Automaton(model.words, model.stems)
         self.exceptions = frozenset(model.exceptions)
         self.seen: dict[str, int] = {}
