@@ -41,8 +41,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ids = bpe.bpe_encode(docs.select("doc_id", "text")).select("doc_id", "ids")
-    done = bpe.bpe_decode(ids)
+    done = bpe.bpe_encode(docs.select("doc_id", "text"), decoded="decoded")
     return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -184,21 +184,41 @@ def _binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def bpe_encode(docs: DataFrame, text: str = "text", vocabulary: str = "byte_bpe_50k.json", out: str = "ids") -> DataFrame:
-    """docs with `out`, the ids of the text as little-endian unsigned 32-bit integers."""
-    plain, names = numbered(docs.drop(out))
+class Labels:
+    """Decoding: the labels of the arcs that ids name, one after another."""
+
+    def __init__(self, vocabulary: str):
+        label = labels(vocabulary)
+        self.flat = np.frombuffer(b"".join(label), np.uint8)
+        self.at = np.concatenate([[0], np.cumsum([len(x) for x in label])])
+
+    def texts(self, tokens: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """A text for each run of tokens."""
+        tokens = tokens.astype(np.int64)
+        size = self.at[tokens + 1] - self.at[tokens]
+        total = np.concatenate([[0], np.cumsum(size)])
+        raw = self.flat[np.arange(total[-1]) + np.repeat(self.at[tokens] - total[:-1], size)].tobytes()
+        cut = total[offsets].tolist()
+        return pa.array([raw[x:y].decode("utf-8", "replace") for x, y in zip(cut, cut[1:], strict=False)], pa.string())
+
+
+def bpe_encode(docs: DataFrame, text: str = "text", vocabulary: str = "byte_bpe_50k.json", out: str = "ids", decoded: str | None = None) -> DataFrame:
+    """docs with `out`, the ids of the text as little-endian unsigned 32-bit integers, and, if a name is
+    given, `decoded`, the text that those ids decode to."""
+    plain, names = numbered(docs.drop(out, *[decoded] * bool(decoded)))
     t, passed = f"c{names.index(text)}", plain.columns
-    schema = T.StructType([*plain.schema.fields, T.StructField("x", T.BinaryType())])
+    added = [T.StructField("x", T.BinaryType()), *[T.StructField("y", T.StringType())] * bool(decoded)]
 
     def encoded(batches):
-        ids_of = _encoder(vocabulary)
+        ids_of, emit = _encoder(vocabulary), Labels(vocabulary) if decoded else None
         for b in batches:
             for i, j in pieces(b, t):
                 part = b.slice(i, j - i)
                 ids, offsets = ids_of(*texts(part.column(t)))
-                yield pa.RecordBatch.from_arrays([*part.columns, _binary(ids.astype("<u4").view(np.uint8), 4 * offsets)], names=[*passed, "x"])
+                new = [_binary(ids.astype("<u4").view(np.uint8), 4 * offsets), *([emit.texts(ids, offsets)] if emit else [])]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*passed, *"xy"[: len(new)]])
 
-    return plain.mapInArrow(encoded, schema).toDF(*names, out)
+    return plain.mapInArrow(encoded, T.StructType([*plain.schema.fields, *added])).toDF(*names, out, *[decoded] * bool(decoded))
 
 
 def bpe_decode(rows: DataFrame, ids: str = "ids", vocabulary: str = "byte_bpe_50k.json", out: str = "decoded") -> DataFrame:
@@ -207,27 +227,19 @@ def bpe_decode(rows: DataFrame, ids: str = "ids", vocabulary: str = "byte_bpe_50
     t, passed = f"c{names.index(ids)}", plain.columns
     schema = T.StructType([*plain.schema.fields, T.StructField("x", T.StringType())])
 
-    def decoded(batches):
-        label = labels(vocabulary)
-        flat = np.frombuffer(b"".join(label), np.uint8)
-        at = np.concatenate([[0], np.cumsum([len(x) for x in label])])
+    def decode(batches):
+        emit = Labels(vocabulary)
         for b in batches:
             for i, j in pieces(b, t):
                 part = b.slice(i, j - i)
                 buf, offsets = texts(part.column(t))
-                tokens = np.frombuffer(buf.tobytes(), "<u4").astype(np.int64)
-                size = at[tokens + 1] - at[tokens]
-                total = np.concatenate([[0], np.cumsum(size)])
-                data = flat[np.arange(total[-1]) + np.repeat(at[tokens] - total[:-1], size)]
-                cut = total[offsets // 4].tolist()
-                raw = data.tobytes()
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([raw[x:y].decode("utf-8", "replace") for x, y in zip(cut, cut[1:], strict=False)], pa.string())], names=[*passed, "x"])
+                yield pa.RecordBatch.from_arrays([*part.columns, emit.texts(np.frombuffer(buf.tobytes(), "<u4"), offsets // 4)], names=[*passed, "x"])
 
-    return plain.mapInArrow(decoded, schema).toDF(*names, out)
+    return plain.mapInArrow(decode, schema).toDF(*names, out)
 
 
 def op7_query(spark, sf_dir):
     from .support import table
 
-    done = bpe_decode(bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids"))
+    done = bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded="decoded")
     return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

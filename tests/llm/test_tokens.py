@@ -65,6 +65,8 @@ def test_bpe_columns(spark, make, corpus, library):
         e = library.encode(r.text or "", add_special_tokens=False)
         assert np.frombuffer(r.ids, "<u4").tolist() == e.ids
         assert r.decoded == library.decode(e.ids, skip_special_tokens=False)
+    both = bpe.bpe_encode(docs, decoded="x")  # replaces a column of that name
+    assert {(r.doc_id, r.ids, r.x) for r in both.collect()} == {(r.doc_id, r.ids, r.decoded) for r in bpe.bpe_decode(encoded).collect()}
     assert bpe.bpe_encode(make([])).collect() == []
 
 
