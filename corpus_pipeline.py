@@ -17,30 +17,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorewell.llm import bpe, decontamination, jaccard_join, substring_dedup, toxicity
-from lorewell.llm.support import bounded, materialised, shared_folder, table
+from lorewell.llm.support import bounded, materialised, shared_folder, table, text_batches
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    text_batches(spark)
     scored = toxicity.toxicity(docs, toxicity.trained(spark, sf_dir), out="_toxicity")
     return scored.filter(F.col("_toxicity.score") < 0.7).drop("_toxicity")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    text_batches(spark)
     found = jaccard_join.jaccard_components(docs, k=5, num=80, den=100)
     later = materialised(found.filter("node <> component").select(F.col("node").alias("doc_id")), "near-copies")
     return docs.join(bounded(later), "doc_id", "left_anti").select(docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    text_batches(spark)
     done = substring_dedup.substring_dedup(docs, window=13, out="_dedup").drop("_dedup")
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    text_batches(spark)
     return decontamination.matched(docs, table(spark, sf_dir, "benchmark"), out="_matches").filter(F.size("_matches") == 0).drop("_matches")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    text_batches(spark)
     done = bpe.bpe_encode(docs.select("doc_id", "text"), decoded="decoded")
     return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -62,3 +62,9 @@ def bounded(df: DataFrame) -> DataFrame:
     """df, to be joined: broadcast if it is counted to have BROADCAST_ROWS at most, else by a merge
     join.  df should be read from files and have narrow rows."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("merge")
+
+
+def text_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Rows that go to a Python worker at once in this session, fewer than Spark's default: texts are
+    long, and a worker and its executor each hold a batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
