@@ -4,7 +4,8 @@ next.  Every stage but the last returns the columns of `documents`.
 1 toxicity            documents with a score of 0.7 or more go
 2 jaccard_join        of documents that are alike in 0.8 or more of their 5-word shingles, directly or
                       by others, the one with the smallest doc_id stays
-3 substring_dedup     words of 13-word windows that an earlier document has are removed
+3 substring_dedup     words of 13-word windows that an earlier document has are removed; all else in a
+                      text, line breaks too, stays as it is
 4 decontamination     documents with a passage within a benchmark item's error budget go
 5 bpe                 texts become token ids, and are decoded again as a check
 """
@@ -35,7 +36,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     text_batches(spark)
-    done = substring_dedup.substring_dedup(docs, window=13, out="_dedup").drop("_dedup")
+    done = substring_dedup.substring_dedup(docs, window=13, out="_dedup", joined=False).drop("_dedup")
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
 
 

@@ -10,15 +10,20 @@ A passage that a third of all documents share is one entry per block and hash, n
 document, so no key gathers more than the number of blocks.  Windows are compared by 64-bit hash:
 for n distinct windows a wrong removal is expected n*n/2**65 times.
 
-Defined cases: null or empty text has no words and is kept as empty text; texts shorter than the
-window are never touched; documents with equal ids are never "smaller" than each other; a null id
+With `joined` the kept words of every text, also of one that loses nothing, are joined by one space,
+which is op2's digest contract; null text becomes empty.  Without it a text that loses nothing stays
+as it is, byte for byte, and null stays null; from the others only the removed passages go.  Of the
+breaks around a passage those before it stay, at the end of a text those behind it.
+
+Defined cases: null or empty text has no words; texts shorter than the window lose no words;
+documents with equal ids are never "smaller" than each other; a null id
 counts as larger than any id; an empty table gives an empty result; other columns pass through,
 whatever their names, except that a column called like `out` is replaced.
 """
 
 from __future__ import annotations
 
-from itertools import compress
+from itertools import compress, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -55,8 +60,18 @@ def _windows(table: pa.Table, doc: str, text: str, k: int) -> tuple[np.ndarray,
     return _least(*(np.concatenate(x) for x in zip(*found, strict=True))) if found else (np.zeros(0, U), np.zeros(0, np.int64))
 
 
-def substring_dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text", window: int = 13, out: str = "dedup") -> DataFrame:
-    """docs with `text` rid of repeated windows, and a struct `out` of n_words, n_removed and the
+def _without(raw: bytes, edge: list[int], start: np.ndarray, end: np.ndarray) -> bytes:
+    """raw without the passages of words [edge[0], edge[1]), [edge[2], edge[3]), ...; words are at start, end."""
+    cut = [0]
+    for u, v in zip(edge[::2], edge[1::2], strict=True):
+        last = v == len(start)
+        cut += [int(end[u - 1] if last and u else start[u]), int(end[-1] if last else start[v])]
+    cut.append(len(raw))
+    return b"".join(raw[i:j] for i, j in list(pairwise(cut))[::2])
+
+
+def substring_dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text", window: int = 13, out: str = "dedup", joined: bool = True) -> DataFrame:
+    """docs with `text` rid of repeated windows (see above for `joined`), and a struct `out` of n_words, n_removed and the
     removed word ranges [start, end)."""
     docs = docs.drop(out)
     total = text_bytes(docs, text)
@@ -113,15 +128,21 @@ def substring_dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text", wi
             np.add.at(step, at, 1)
             np.add.at(step, at + window, -1)
             gone = np.cumsum(step[:-1]) > 0
-            rows = words.raw.tobytes()
+            rows, null = words.raw.tobytes(), x.column(t).slice(a, b - a).is_null().to_pylist()
             for i in range(b - a):
                 s, e = words.first[i], words.first[i + 1]
-                parts, g = rows[words.offsets[i] : words.offsets[i + 1]].split(), gone[s:e]
+                raw, g = rows[words.offsets[i] : words.offsets[i + 1]], gone[s:e]
                 m = int(g.sum())
-                kept.append(b" ".join(compress(parts, ~g) if m else parts).decode())
+                edge = np.flatnonzero(np.diff(g.astype(np.int8), prepend=0, append=0)).tolist() if m else []
+                if joined:
+                    parts = raw.split()
+                    kept.append(b" ".join(compress(parts, ~g) if m else parts).decode())
+                elif null[i]:
+                    kept.append(None)
+                else:
+                    kept.append(_without(raw, edge, words.start[s:e] - words.offsets[i], words.end[s:e] - words.offsets[i]).decode())
                 n_words.append(e - s)
                 n_removed.append(m)
-                edge = np.flatnonzero(np.diff(g.astype(np.int8), prepend=0, append=0)).tolist() if m else []
                 spans.append([{"start": u, "end": v} for u, v in zip(edge[::2], edge[1::2], strict=True)])
         cols = {n: x.column(n) for n in passed} | {t: pa.array(kept, x.schema.field(t).type)}
         dedup = pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, target[-1].type.field(2).type)], fields=list(target[-1].type))

@@ -68,6 +68,56 @@ def test_substring_dedup(spark, make, corpus, ids):
         assert all(a.end < b.start for a, b in zip(r.dedup.spans, r.dedup.spans[1:]))
 
 
+def brute_cut(text, gone):
+    """text without the runs of words in gone and the breaks behind them, at the end those before."""
+    if not gone:
+        return text
+    at = [m.span() for m in WORD.finditer(text)]
+    drop = set()
+    for i in gone:
+        drop |= set(range(*at[i]))
+        if i + 1 < len(at) and not set(range(i, len(at))) <= gone:
+            drop |= set(range(at[i][1], at[i + 1][0]))
+        elif i and set(range(i, len(at))) <= gone:
+            drop |= set(range(at[i - 1][1], at[i][0]))
+    return "".join(c for k, c in enumerate(text) if k not in drop)
+
+
+@pytest.mark.parametrize("ids", [None, "mixed"])
+def test_substring_dedup_cuts_only_passages(spark, make, corpus, ids):
+    few = [t for t in corpus if len(t or "") < 5000]
+    head = "# Title\n\n\tß  one\r\ntwo "
+    texts = [*few, head, head + " ".join(f"z{i}" for i in range(9)) + "\n\nend\n", "a\n" + "  ".join(f"z{i}" for i in range(9)) + " \n\n b\tc ", "z0 z1 z2 z3 z4\n", " y\n\nz0 z1 z2 z3 z4\n"]
+    ids = None if ids is None else [None if i % 9 == 0 else (i * 37) % 23 for i in range(len(texts))]
+    want, at = Counter(), list(range(len(texts))) if ids is None else ids
+    kept = brute_dedup(list(zip(at, texts)), 5)
+    rows = substring_dedup.substring_dedup(make(texts, ids), window=5, joined=False).collect()
+    assert Counter((r.doc_id, r.dedup.n_words, r.dedup.n_removed, " ".join(WORD.findall(r.text or ""))) for r in rows) == kept
+    least = {}
+    big = lambda d: 1 << 62 if d is None else d
+    for d, t in zip(at, texts):
+        w = WORD.findall(t or "")
+        for i in range(len(w) - 4):
+            least[tuple(w[i : i + 5])] = min(least.get(tuple(w[i : i + 5]), 1 << 62), big(d))
+    for d, t in zip(at, texts):
+        w = WORD.findall(t or "")
+        want[d, brute_cut(t, {i + j for i in range(len(w) - 4) if least[tuple(w[i : i + 5])] < big(d) for j in range(5)})] += 1
+    assert Counter((r.doc_id, r.text) for r in rows) == want
+    assert sum(r.dedup.n_removed > 0 for r in rows) > 10 and any(r.text is None for r in rows)
+
+
+def test_pipeline_stage_leaves_whole_texts_alone(spark):
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    was = {r.doc_id: r.text for r in docs.collect()}
+    spans = {r.doc_id: r.dedup.n_removed for r in substring_dedup.substring_dedup(docs).collect()}
+    now = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["substring_dedup"](spark, docs, d).collect()}
+    assert all(now[i] == t for i, t in was.items() if not spans[i]) and any(t != " ".join(WORD.findall(t)) for t in now.values())
+    assert all(len(WORD.findall(now[i])) == len(WORD.findall(t)) - spans[i] for i, t in was.items())
+
+
 def test_substring_dedup_empty(make):
     assert substring_dedup.substring_dedup(make([])).collect() == []
 
