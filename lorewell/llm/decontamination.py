@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .columnar import Words, pieces, texts
-from .support import numbered
+from .support import bounded, materialised, numbered
 
 #: Bytes that are not part of a word.
 BREAKS = np.ones(256, bool)
@@ -113,16 +113,23 @@ def matches(items: Items, column: pa.Array) -> list[tuple[int, int, int, int, in
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", error_share: float = 0.15, probe: int = 5, least_words: int = 8, most_items: int = 20_000) -> DataFrame:
     """(doc_id, item_id, distance, start_word, end_word) of every document and item that match."""
+    slices = _slices(benchmark, item, item_text, most_items)
+    return reduce(DataFrame.unionByName, [_against(docs, *_rows(part), doc, text, error_share, probe, least_words) for part in slices])
+
+
+def _slices(benchmark: DataFrame, item: str, item_text: str, most_items: int) -> list[DataFrame]:
+    """(i, x) of the benchmark in parts of most_items at most; of more items, each part has those of a
+    row number."""
     total = benchmark.count()
     slices = max(1, -(-total // most_items))
     number = F.row_number().over(Window.orderBy(item)) if slices > 1 else F.lit(1)
     table = benchmark.select(F.col(item).cast("long").alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("x"), number.alias("n"))
-    out = []
-    for k in range(slices):
-        part = table.filter(F.pmod("n", F.lit(slices)) == k) if slices > 1 else table
-        rows = part.select("i", "x").collect()  # most_items short texts at most
-        out.append(_against(docs, [r["i"] for r in rows], [r["x"] for r in rows], doc, text, error_share, probe, least_words))
-    return reduce(DataFrame.unionByName, out)
+    return [(table.filter(F.pmod("n", F.lit(slices)) == k) if slices > 1 else table).select("i", "x") for k in range(slices)]
+
+
+def _rows(part: DataFrame) -> tuple[list[int], list[str]]:
+    rows = part.collect()  # a slice of short texts
+    return [r["i"] for r in rows], [r["x"] for r in rows]
 
 
 def _against(docs: DataFrame, ids: list[int], item_texts: list[str], doc: str, text: str, error_share: float, probe: int, least_words: int) -> DataFrame:
@@ -146,19 +153,35 @@ def _against(docs: DataFrame, ids: list[int], item_texts: list[str], doc: str, t
 
 
 def matched(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", error_share: float = 0.15, probe: int = 5, least_words: int = 8, most_items: int = 20_000, out: str = "matches") -> DataFrame:
-    """docs with `out`, the ids of the items that a document matches: one pass, no shuffle."""
+    """docs with `out`, the ids of the items that a document matches.  Up to `most_items` items that is one
+    pass without a shuffle.  Of more, each slice is a pass that keeps the texts with matches, by their
+    SHA-256, and the lists are joined to the documents."""
+    docs = docs.drop(out)
+    slices = _slices(benchmark, item, item_text, most_items)
+    if len(slices) == 1:
+        return _listed(docs, *_rows(slices[0]), text, error_share, probe, least_words, out)
+    plain, names = numbered(docs)
+    t = f"c{names.index(text)}"
+    key = F.sha2(F.coalesce(F.col(t), F.lit("")), 256)  # what a document matches depends on its text only
+    found = []
+    for part in slices:
+        listed = _listed(plain.select(t), *_rows(part), t, error_share, probe, least_words, "x").filter(F.size("x") > 0)
+        found.append(listed.select(key.alias("k"), "x").dropDuplicates(["k"]))
+    lists = reduce(DataFrame.unionByName, found).groupBy("k").agg(F.sort_array(F.flatten(F.collect_list("x"))).alias("x"))
+    joined = plain.withColumn("k", key).join(bounded(materialised(lists, "benchmark-matches")), "k", "left")
+    return joined.select(*plain.columns, F.coalesce("x", F.array().cast("array<long>"))).toDF(*names, out)
+
+
+def _listed(docs: DataFrame, ids: list[int], item_texts: list[str], text: str, error_share: float, probe: int, least_words: int, out: str) -> DataFrame:
+    """docs with `out`, the ids of these items that a document matches: one pass, no shuffle."""
     from pyspark.sql import types as T
 
-    docs = docs.drop(out)
-    if benchmark.count() > most_items:
-        raise ValueError(f"more than {most_items} items: use contaminated(), which works in slices")
-    few = benchmark.select(F.col(item).cast("long").alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("x")).collect()
-    ids, item_texts = [r["i"] for r in few], [r["x"] for r in few]
+    sent = docs.sparkSession.sparkContext.broadcast((ids, item_texts))
     plain, names = numbered(docs)
     t, passed = f"c{names.index(text)}", plain.columns
 
     def found(batches):
-        items = Items(ids, pa.array(item_texts, pa.string()), error_share, probe, least_words)
+        items = Items(sent.value[0], pa.array(sent.value[1], pa.string()), error_share, probe, least_words)
         for batch in batches:
             got: list[list[int]] = [[] for _ in range(batch.num_rows)]
             for a, b in pieces(batch, t):

@@ -172,6 +172,21 @@ def test_decontamination(spark, make):
     assert decontamination.contaminated(make([]), bench).collect() == [] == decontamination.contaminated(docs, bench.limit(0)).collect()
 
 
+def test_matched_in_slices(spark, make):
+    """23 items in slices of 5 are the lists of one pass, also for repeated texts, items and null ids."""
+    rng = random.Random(3)
+    items = [" ".join(f"w{rng.randrange(300)}" for _ in range(12)) for _ in range(20)]
+    bench = spark.createDataFrame([(i, x) for i, x in enumerate(items)] + [(3, items[3]), (50, items[4]), (99, None)], "item_id long, text string")
+    texts = [None, "", "short", *(f"before {x} after" for x in items[:12]), " ".join(items[5:9]), f"before {items[0]} after", "none of these " * 9, *items[3:5]]
+    docs = make(texts, [None if i % 5 == 0 else i % 7 for i in range(len(texts))])
+    one = decontamination.matched(docs, bench)
+    some = decontamination.matched(docs, bench, most_items=5)
+    assert some.columns == one.columns and some.dtypes == one.dtypes
+    listed = lambda df: Counter((*r[:-1], tuple(sorted(r.matches))) for r in df.collect())
+    assert listed(some) == listed(one) and sum(bool(k[-1]) * n for k, n in listed(one).items()) == 16
+    assert decontamination.matched(make([]), bench, most_items=5).collect() == []
+
+
 def test_myers():
     rng = random.Random(4)
     for _ in range(300):
