@@ -133,6 +133,19 @@ def test_url_model():
         url_filter.fit(url_filter.LABELLED, most_labelled=3)
 
 
+def test_url_labelled_table(spark):
+    """A table whose paths differ by label blocks a bad path on a host that says nothing, and only that."""
+    hosts = [f"{a}{b}.example.net" for a in ("stone", "river", "cloud", "field") for b in ("bank", "side", "gate")]
+    rows = [(f"https://{h}/{p}/{k}", y) for h in hosts for k in (1, 2) for p, y in (("news", 0), ("about", 0), ("casino-bonus", 1), ("free-pills", 1))]
+    table = spark.createDataFrame([*rows, ("https://unlabelled.example.net/", None)], "url string, label int").repartition(3)
+    pages = spark.createDataFrame([("https://meadow.example.net/casino-bonus/9",), ("https://meadow.example.net/news/9",)], "url string")
+    got = {r.path: r.verdict for r in url_filter.url_filter(pages, rules=(), labelled=table).collect()}
+    assert got == {"/casino-bonus/9": "block", "/news/9": "allow"}
+    with pytest.raises(ValueError):
+        url_filter.fit(url_filter.labelled_rows(table, most_labelled=3), most_labelled=3)
+    assert url_filter.held_out(rows) == {"tp": 48, "fp": 0, "fn": 0, "tn": 48}
+
+
 def brute_match(item, text):
     """Least word edit distance of the item to any run of the text's words."""
     row = [0] * (len(text) + 1)
