@@ -45,10 +45,41 @@ def chunk_files(spark: SparkSession, path: str, most_bytes: int = LIMITS.chunk_f
     return rows.filter(F.col("_metadata.file_size") <= most_bytes).select(*CHUNK.names)
 
 
+def _bucket_folders(spark: SparkSession, path: str) -> tuple[dict[int, str], int]:
+    """The newest folder of each bucket of chunks, and the number of the next snapshot.  Snapshots that
+    weren't written to the end don't count; buckets outside a snapshot are older than all."""
+    glob = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = glob.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = lambda pattern: [str(s.getPath()) for s in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{pattern}")) or []]
+    number = lambda folder, name: int(re.search(rf"/{name}=(\d+)(?:/|$)", folder)[1])
+    done = {number(f, "snapshot") for f in found("snapshot=*/_SUCCESS")}
+    inside = [f for f in found("snapshot=*/bucket=*") if number(f, "snapshot") in done]
+    newest = {number(f, "bucket"): f for f in [*found("bucket=*"), *sorted(inside, key=lambda f: number(f, "snapshot"))]}
+    return newest, 1 + max((number(f, "snapshot") for f in found("snapshot=*")), default=-1)
+
+
+def _lines(spark: SparkSession, folders: list[str]) -> DataFrame:
+    return spark.read.text(folders) if folders else spark.createDataFrame([], "value string")
+
+
 def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Chunk records by document; a later write of a document replaces its earlier chunks only."""
-    bucket = F.pmod(F.xxhash64("document_id"), F.lit(64)).alias("bucket")
-    chunks.select("*", bucket).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").json(path)
+    """Chunk records by document, as JSON lines; a later write of a document replaces its earlier chunks
+    only.  The buckets that are touched are written anew, with their other documents, into a snapshot
+    folder; what was there is only read, and counts no more.  One writer at a time."""
+    spark, bucket = chunks.sparkSession, F.pmod(F.xxhash64("document_id"), F.lit(64)).cast("int").alias("bucket")
+    newest, snapshot = _bucket_folders(spark, path)
+    touched = [r["bucket"] for r in chunks.select(bucket).distinct().collect()]  # 64 at most
+    held = _lines(spark, [newest[b] for b in touched if b in newest]).withColumn("document_id", F.get_json_object("value", "$.document_id"))
+    written = chunks.select(F.col("document_id").alias("d")).distinct()
+    others = held.join(written, F.col("document_id").eqNullSafe(F.col("d")), "left_anti").select("value", bucket)
+    rows = chunks.select(F.to_json(F.struct("*")).alias("value"), bucket).unionByName(others)
+    rows.repartition("bucket").write.partitionBy("bucket").text(f"{path}/snapshot={snapshot:08d}")
+
+
+def written_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """Chunk records of all documents that write_chunks() has written to path, as last written."""
+    lines = _lines(spark, list(_bucket_folders(spark, path)[0].values()))
+    return lines.select(F.from_json("value", CHUNK).alias("c")).select("c.*")
 
 
 def chunk_array_json(chunks: DataFrame) -> DataFrame:

@@ -92,6 +92,26 @@ def test_sources(spark, tmp_path):
     assert [c["chunk_id"] for c in json.loads(both.json)] == ["d_0000", "d_0001"]
 
 
+def test_chunks_of_other_documents_stay(spark, tmp_path):
+    """Documents of one bucket, written one after the other, don't touch each other."""
+    path = str(tmp_path / "store")
+    record = lambda d, k, t: (f"{d}_{k:04d}", d, k, t, "u", None, "general", ["A"], "h", "s", 1)
+    frame = lambda rows: spark.createDataFrame([record(*r) for r in rows], objects.CHUNK)
+    ids = spark.range(200).select(F.format_string("d%03d", "id").alias("d")).withColumn("b", F.pmod(F.xxhash64("d"), F.lit(64)))
+    one, two = next(r.ds[:2] for r in ids.groupBy("b").agg(F.sort_array(F.collect_list("d")).alias("ds")).collect() if len(r.ds) > 1)
+    other = next(r.d for r in ids.collect() if r.b != ids.filter(F.col("d") == one).first().b)
+    now = lambda: sorted((r.document_id, r.chunk_index, r.text, tuple(r.headings_path)) for r in objects.written_chunks(spark, path).collect())
+    assert now() == []
+    objects.write_chunks(frame([(one, 0, "a"), (one, 1, "b"), (other, 0, "c")]), path)
+    objects.write_chunks(frame([(two, 0, "d\ne")]), path)
+    assert now() == sorted([(one, 0, "a", ("A",)), (one, 1, "b", ("A",)), (other, 0, "c", ("A",)), (two, 0, "d\ne", ("A",))])
+    (tmp_path / "store" / "snapshot=00000009" / "bucket=1").mkdir(parents=True)  # a write that broke off
+    objects.write_chunks(frame([(one, 0, "new")]), path)
+    assert now() == sorted([(one, 0, "new", ("A",)), (other, 0, "c", ("A",)), (two, 0, "d\ne", ("A",))])
+    objects.write_chunks(objects.written_chunks(spark, path).filter(F.col("document_id") == two).withColumn("text", F.lit("again")), path)
+    assert now() == sorted([(one, 0, "new", ("A",)), (other, 0, "c", ("A",)), (two, 0, "again", ("A",))])
+
+
 def test_document_text(spark):
     b = io.BytesIO()
     with zipfile.ZipFile(b, "w") as z:
