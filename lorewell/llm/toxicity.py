@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columnar import Words, texts
+from .columnar import WORD_BASE, Words, mix, ranged, running, texts
 from .support import materialised, numbered
 
 WORD = re.compile(r"[^\W_]+(?:[@$*!][^\W_]+)*")
@@ -203,7 +203,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, bias: float =
 
 
 def _near_copy_key(batch: pa.RecordBatch) -> list[int]:
-    """The least hash of a text's 5-word windows, the same for most near copies."""
+    """The least hash of a text's 5-word windows, the same for most near copies; of a shorter text the
+    hash of its words."""
     words = Words(*texts(batch.column("t")), lower=True)
     at, h = words.windows(5)
     out = np.zeros(batch.num_rows, np.uint64)
@@ -211,8 +212,9 @@ def _near_copy_key(batch: pa.RecordBatch) -> list[int]:
         of = words.text[at]
         first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
         out[of[first]] = np.minimum.reduceat(h, first)
-    short = out == 0
-    out[short] = np.arange(batch.num_rows, dtype=np.uint64)[short] + np.uint64(1)
+    whole = ranged(running(words.hash, WORD_BASE), words.first[:-1], words.first[1:], WORD_BASE) + words.count.astype(np.uint64)
+    short = words.count < 5
+    out[short] = mix(whole)[short]
     return out.view(np.int64).tolist()
 
 

@@ -105,6 +105,15 @@ def test_linear_is_features_times_weights():
     assert np.allclose(m.linear(*texts(column)), ordinal_quality.vectors(column) @ m.weights, atol=1e-3)
 
 
+def test_short_texts_have_keys_of_their_words():
+    key = lambda ts: toxicity._near_copy_key(pa.RecordBatch.from_pydict({"t": pa.array(ts, pa.string())}))
+    texts = ["one two", "two one", "one", "one one", "three words here", "four words are here", None, "a long text of more than five words"]
+    keys = key(texts)
+    assert len(set(keys)) == len(texts) and key(["pad"] * 3 + texts[::-1])[3:] == keys[::-1]  # wherever in a batch
+    assert key(["ONE\n two"]) == keys[:1] and key([" \t"]) == key([None])
+    assert not set(key(["other", "text"])) & set(keys)  # two batches
+
+
 URLS = [None, "", "no-scheme.com/en/", "http://EXAMPLE.com/en/712?x", "https://a.example.com/en/8", "https://xcom/en/8", "http://x.net/de/81", "http://b.example.net/de/81", "http://b.example.net/de/91#f", "https://shop.org/es/", "https://shop.org?es/", "x://y://z/en/", "http://İ.com/en/"]
 
 
