@@ -1,8 +1,10 @@
 """Vectorised word and window hashing over the byte buffers of Arrow string columns.
 
 A word is a maximal run of bytes other than space and 0x09-0x0D, which in UTF-8 is the pattern
-``[^\\x20\\x09-\\x0D]+``.  Hashes are polynomials modulo 2**64 taken from running sums, then
-mixed, so that a batch costs a few numpy passes and no Python loop over words.
+``[^\\x20\\x09-\\x0D]+``.  A word's hash is a chain of mixed 8-byte lanes (XXH3 beyond LANES of
+them), which has no algebraic structure that texts could exploit.  Windows of word hashes are
+Rabin-Karp polynomials modulo 2**64 from running sums, then mixed; such polynomials are sound for
+windows of far fewer than 1,024 words, as all here are.  A batch costs a few numpy passes.
 """
 
 from __future__ import annotations
@@ -17,8 +19,11 @@ SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
-#: Odd multipliers, so that each has an inverse modulo 2**64.
-BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+#: An odd multiplier, so that it has an inverse modulo 2**64.
+WORD_BASE = 0xC2B2AE3D27D4EB4F
+#: Byte ranges of up to this many 8-byte lanes are hashed together, longer ones each by itself.
+LANES = 32
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -45,6 +50,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def hashed(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each of the byte ranges [start, end), the same wherever in the buffer it stands."""
+    size = end - start
+    h = mix(size.astype(U) + U(0x9E3779B97F4A7C15))
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    lanes = np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
+    left = np.flatnonzero((size > 0) & (size <= 8 * LANES))
+    for k in range(LANES):
+        if not len(left):
+            break
+        lane = lanes[start[left] + 8 * k] & _LOW_BYTES[np.minimum(size[left] - 8 * k, 8)]
+        h[left] = mix((h[left] ^ lane) * U(0x9E3779B97F4A7C15) + U(k + 1))
+        left = left[size[left] > 8 * (k + 1)]
+    long = np.flatnonzero(size > 8 * LANES)
+    if len(long):
+        import xxhash
+
+        h[long] = [xxhash.xxh3_64_intdigest(buf[a:b].tobytes()) for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+    return h
+
+
 def running(values: np.ndarray, base: int) -> np.ndarray:
     """Running sums of values[i] * base**i, with a leading zero."""
     out = np.zeros(len(values) + 1, U)
@@ -111,8 +138,7 @@ class Words:
     @property
     def hash(self) -> np.ndarray:
         if self._hash is None:
-            sums = running(self.buf.astype(U) + U(1), BYTE_BASE)
-            self._hash = mix(ranged(sums, self.start, self.end, BYTE_BASE) + (self.end - self.start).astype(U) * U(0xD6E8FEB86659FD93))
+            self._hash = hashed(self.buf, self.start, self.end)
         return self._hash
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:

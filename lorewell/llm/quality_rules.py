@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columnar import BYTE_BASE, U, Words, mix, pieces, ranged, running, runs, texts
+from .columnar import U, Words, hashed, mix, pieces, runs, texts
 from .support import numbered
 
 _SYMBOL = np.zeros(256, bool)
@@ -74,7 +74,7 @@ class Counters:
         text = np.searchsorted(w.offsets, start, "right") - 1
         has = np.searchsorted(w.start, end) > np.searchsorted(w.start, start)
         start, end, text = start[has], end[has], text[has]
-        h = mix(ranged(running(w.raw.astype(U) + U(1), BYTE_BASE), start, end, BYTE_BASE) + (end - start).astype(U))
+        h = hashed(w.raw, start, end)
         self._have["n_lines"] = np.bincount(text, minlength=self.n).astype(np.int64)
         key = mix(h ^ mix(text.astype(U)))
         order = np.argsort(key, kind="stable")
