@@ -10,10 +10,12 @@ So a gadget's removals are the product of the tokens that end in x until a later
 that begin with y until then, and an arc is looked up in the two tokens' chains of ends and of
 starts (`spines`) and then kept in the transition table.
 
-Encoding a pre-split word walks the automaton with the bytes as input: from a position it follows
-the longest token whose arc is there, and returns where that leads nowhere; a position that failed
-isn't tried again, since only one token can end the tokenisation of what stands before it.  Decoding
-emits the arcs' labels, the tokens' bytes.
+Encoding a pre-split word is deterministic in its bytes: one token only can end the tokenisation of
+what has been read, so the automaton over bytes has as its state the trie places of the tokens that
+may be under way, each with the token before it, and the token that ends here.  Its transitions stand
+in a table that is filled as states are first reached and starts anew when it is full; encoding looks
+up one entry a byte and then follows the ending tokens back.  Decoding emits the arcs' labels, the
+tokens' bytes.
 
 Defined cases: null text counts as empty and has no ids; a special token's string gets its id;
 repeated rows are encoded alike; an empty table gives an empty result; other columns pass through,
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import json
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,8 @@ from .presplit import WordIds
 from .support import numbered
 
 _LAST = 1 << 40  # later than any merge
+#: States of the byte automaton that are kept in the table at once.
+MOST_STATES = 150_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -61,21 +66,32 @@ class Automaton:
         self.ends: dict[int, list[tuple[int, int]]] = {}
         self.starts: dict[int, list[tuple[int, int]]] = {}
         self.state: dict[bytes, int] = {}
-        self.table: dict[int, bool] = {}
         for i in plain.values():
             if len(self.label[i]) == 1:
                 self.state[self.label[i]] = i
                 self.ends[i] = self.starts[i] = [(i, _LAST)]
         for r, (a, b) in enumerate(merges):
             self._gadget(r, vocab[a], vocab[b], vocab[a + b])
-        self.table.clear()  # what was looked up before the last merge
-        self.lengths: dict[bytes, tuple[int, ...]] = {}
-        by_start: dict[bytes, set[int]] = {}
-        for t in self.state:
-            by_start.setdefault(t[:3], set()).add(len(t))
-        for key in by_start:  # lengths to try at a place that goes on with these bytes, longest first
-            found = {n for k in (1, 2, 3) for n in by_start.get(key[:k], ()) if k == 3 or n == k}
-            self.lengths[key] = tuple(sorted(found, reverse=True))
+        self.child: list[dict[int, int]] = [{}]  # the trie of the states' labels
+        self.token: list[int] = [-1]
+        for t, i in self.state.items():
+            node = 0
+            for byte in t:
+                after = self.child[node].get(byte)
+                if after is None:
+                    after = self.child[node][byte] = len(self.child)
+                    self.child.append({})
+                    self.token.append(-1)
+                node = after
+            self.token[node] = i
+        self.size = [len(x) for x in self.label]
+        self._reset()
+
+    def _reset(self) -> None:
+        self.places: list[tuple[tuple[int, int], ...]] = [((0, -1),)]
+        self.known: dict[tuple, int] = {self.places[0]: 0}
+        self.ending = [-1]
+        self.step: dict[int, int] = {}
 
     def _gadget(self, r: int, u: int, v: int, w: int) -> None:
         """Adds arc w for u v, with its chains; w is a state only if BPE can give it, that is if no
@@ -96,55 +112,65 @@ class Automaton:
                     return False
         return True
 
-    def arc(self, t: int, v: int) -> bool:
-        """Whether v may follow t."""
-        key = t << 24 | v
-        ok = self.table.get(key)
-        if ok is None:
-            if len(self.table) > 300_000:
-                self.table.clear()
-            ok = self.table[key] = self._arc(t, v)
-        return ok
-
-    def _choices(self, word: bytes, p: int) -> tuple[int, ...]:
-        for k in (3, 2, 1):
-            got = self.lengths.get(word[p : p + k])
-            if got is not None and len(word) - p >= k:
-                return got
-        return ()
+    def _next(self, state: int, byte: int) -> int:
+        """The state after byte, entered into the table."""
+        places, ends = [], -1
+        for node, before in self.places[state]:
+            after = self.child[node].get(byte)
+            if after is not None:
+                places.append((after, before))
+                t = self.token[after]
+                if t >= 0 and ends < 0 and (before < 0 or self._arc(before, t)):
+                    ends = t
+        if ends < 0:
+            raise ValueError(f"no tokens for byte {byte}")
+        places.append((0, ends))
+        key = tuple(places)
+        got = self.known.get(key)
+        if got is None:
+            got = self.known[key] = len(self.places)
+            self.places.append(key)
+            self.ending.append(ends)
+        self.step[state << 8 | byte] = got
+        return got
 
     def encode(self, word: bytes) -> list[int]:
         if word in self.specials:
             return [self.specials[word]]
-        n, path, places, failed = len(word), [], [0], set()
-        tries = [iter(self._choices(word, 0))]
-        while places[-1] < n:
-            p = places[-1]
-            for size in tries[-1]:
-                if p + size > n or p + size in failed:
-                    continue
-                t = self.state.get(word[p : p + size])
-                if t is not None and (not path or self.arc(path[-1], t)):
-                    path.append(t)
-                    places.append(p + size)
-                    tries.append(iter(self._choices(word, p + size)))
-                    break
-            else:
-                if not path:
-                    raise ValueError(f"no tokens for {word[:50]!r}")
-                failed.add(p)
-                for stack in (path, places, tries):
-                    stack.pop()
+        if len(self.places) > MOST_STATES:
+            self._reset()
+        step, ending, state, last = self.step, self.ending, 0, []
+        for byte in word:
+            after = step.get(state << 8 | byte)
+            state = self._next(state, byte) if after is None else after
+            last.append(ending[state])
+        path, p = [], len(last)
+        while p:
+            t = last[p - 1]
+            path.append(t)
+            p -= self.size[t]
+        path.reverse()
         return path
 
+    def encode_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words one after another, and their number for each word."""
+        ids = list(map(self.encode, words))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes
+
+
+def spec(path: str) -> tuple[dict[str, int], list[tuple[str, str]], dict[str, int]]:
+    """Vocabulary, merges and special tokens of a byte-level BPE tokenizer file."""
+    with open(path, encoding="utf-8") as f:
+        read = json.load(f)
+    merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in read["model"]["merges"]]
+    return read["model"]["vocab"], merges, {t["content"]: t["id"] for t in read["added_tokens"]}
+
 
 @lru_cache(maxsize=4)
 def load(path: str) -> Automaton:
     """The automaton of a byte-level BPE tokenizer file, once a process."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
-    return Automaton(spec["model"]["vocab"], merges, {t["content"]: t["id"] for t in spec["added_tokens"]})
+    return Automaton(*spec(path))
 
 
 def public_path(name: str = "byte_bpe_50k.json") -> str:
@@ -157,17 +183,15 @@ def public_path(name: str = "byte_bpe_50k.json") -> str:
 @lru_cache(maxsize=4)
 def _encoder(name: str) -> WordIds:
     automaton = load(public_path(name))
-    return WordIds(lambda words: [automaton.encode(w) for w in words], tuple(t.decode() for t in automaton.specials), most=250_000)
+    return WordIds(automaton.encode_all, tuple(t.decode() for t in automaton.specials), most=250_000)
 
 
 @lru_cache(maxsize=4)
 def labels(name: str) -> list[bytes]:
     """The bytes of each id, which are all that decoding needs."""
     letters = byte_letters()
-    with open(public_path(name), encoding="utf-8") as f:
-        spec = json.load(f)
-    special = {t["id"]: t["content"] for t in spec["added_tokens"]}
-    vocab = spec["model"]["vocab"]
+    vocab, _, specials = spec(public_path(name))
+    special = {i: t for t, i in specials.items()}
     out = [b""] * (max([*vocab.values(), *special], default=-1) + 1)
     for t, i in vocab.items():
         if i not in special:

@@ -11,8 +11,7 @@ import unicodedata
 from collections.abc import Callable
 
 import numpy as np
-
-from .columnar import BYTE_BASE, U, mix, ranged, running
+import pyarrow as pa
 
 _OTHER, _LETTER, _NUMBER, _SPACE, _SPECIAL = range(5)
 #: The white space of the pattern's \s: fixed values.
@@ -84,27 +83,31 @@ def split(buf: np.ndarray, offsets: np.ndarray, specials: tuple[str, ...] = ())
 class WordIds:
     """Ids of texts: each distinct word is encoded once while it is remembered.
 
-    encode gets a list of words as bytes and returns their ids, a list each.  Words are told apart by
-    a 64-bit hash; after `most` words the memory starts anew."""
+    encode gets a list of words as bytes and returns their ids one after another and the number of
+    ids of each.  Words are told apart by their bytes.  After `most` words the older half of the
+    memory goes."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], specials: tuple[str, ...] = (), most: int = 500_000):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], specials: tuple[str, ...] = (), most: int = 500_000):
         self.encode, self.specials, self.most = encode, specials, most
-        self._clear()
-
-    def _clear(self) -> None:
-        self.index: dict[int, int] = {}
+        self.index: dict[bytes, int] = {}
         self.start, self.flat, self.used = np.zeros(1, np.int64), np.zeros(1 << 16, np.uint32), 0
 
-    def _learn(self, buf: np.ndarray, keys: list[int], a: np.ndarray, b: np.ndarray) -> None:
-        raw = buf.tobytes()
-        ids = self.encode([raw[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)])
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        need = self.used + int(sizes.sum())
+    def _forget(self) -> None:
+        half = len(self.index) // 2
+        at = int(self.start[half])
+        self.index = {w: i - half for w, i in self.index.items() if i >= half}
+        self.start = self.start[half:] - at
+        self.flat = self.flat[at : self.used].copy()
+        self.used = len(self.flat)
+
+    def _learn(self, words: list[bytes]) -> None:
+        ids, sizes = self.encode(words)
+        need = self.used + len(ids)
         if need > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(need, len(self.flat)), np.uint32)])
-        self.flat[self.used : need] = np.fromiter((x for w in ids for x in w), np.uint32, int(sizes.sum()))
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(need, 1 << 16), np.uint32)])
+        self.flat[self.used : need] = ids
         base = len(self.start) - 1
-        self.index.update(zip(keys, range(base, base + len(keys)), strict=True))
+        self.index.update(zip(words, range(base, base + len(words)), strict=True))
         self.start = np.concatenate([self.start, self.used + np.cumsum(sizes)])
         self.used = need
 
@@ -113,17 +116,16 @@ class WordIds:
         at, first = split(buf, offsets, self.specials)
         if not len(at):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        end = np.append(at[1:], len(buf))
-        h = mix(ranged(running(buf.astype(U) + U(1), BYTE_BASE), at, end, BYTE_BASE) + (end - at).astype(U))
-        distinct, where, word = np.unique(h, return_index=True, return_inverse=True)
+        ends = np.append(at, len(buf))
+        wide = len(buf) >= 1 << 31
+        words = pa.Array.from_buffers(pa.large_binary() if wide else pa.binary(), len(at), [None, pa.py_buffer(ends if wide else ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(buf))]).dictionary_encode()
+        distinct = words.dictionary.to_pylist()
         if len(self.index) > self.most:
-            self._clear()
-        keys = distinct.tolist()
-        new = [i for i, key in enumerate(keys) if key not in self.index]
+            self._forget()
+        new = [w for w in distinct if w not in self.index]
         if new:
-            w = where[new]
-            self._learn(buf, [keys[i] for i in new], at[w], end[w])
-        entry = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))[word]
+            self._learn(new)
+        entry = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))[words.indices.to_numpy()]
         a = self.start[entry]
         size = self.start[entry + 1] - a
         total = np.concatenate([[0], np.cumsum(size)])

@@ -144,7 +144,17 @@ def _library(name: str) -> WordIds:
     t.no_truncation()
     t.no_padding()
     special = tuple(x.content for x in t.get_added_tokens_decoder().values())
-    return WordIds(lambda words: [e.ids for e in t.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in words], add_special_tokens=False)], special)
+
+    def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for i in range(0, len(words), 50_000):  # words of one sequence, which is cut again by word
+            some = [w.decode("utf-8", "surrogatepass") for w in words[i : i + 50_000]]
+            e = t.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(e.ids, np.uint32))
+            sizes.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(some)))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    return WordIds(encode, special, most=300_000)
 
 
 def write_tokens(docs: DataFrame, folder: str, doc: str = "doc_id", text: str = "text", vocabulary: str = "byte_bpe_50k.json", end_id: int | None = 0, file_bytes: int = 64 << 20, files: int | None = None) -> DataFrame:

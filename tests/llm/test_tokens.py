@@ -30,13 +30,36 @@ def odd_texts(n=3000):
     return ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 30))) for _ in range(n)] + ["", "a" * 5000, " " * 300, "ab" * 900, "é" * 500]
 
 
-def test_encoder_is_the_library(library):
-    data = odd_texts()
-    ids, offsets = bpe._encoder("byte_bpe_50k.json")(*texts(pa.array(data)))
+def opposites(n=1024):
+    """Two words that polynomials modulo 2**64 over bytes can't tell apart, whatever the base."""
+    one = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("encoder", [bpe._encoder, token_files._library])
+def test_encoder_is_the_library(library, encoder):
+    data = [*odd_texts(), *opposites()]
+    ids, offsets = encoder("byte_bpe_50k.json")(*texts(pa.array(data)))
     for i, e in enumerate(library.encode_batch(data, add_special_tokens=False)):
         assert ids[offsets[i] : offsets[i + 1]].tolist() == e.ids, data[i]
 
 
+def test_encoder_forgets(library):
+    """With a small memory of words and states, what was forgotten is encoded again."""
+    automaton = bpe.Automaton(*bpe.spec(bpe.public_path()))
+    small, data = presplit.WordIds(automaton.encode_all, tuple(t.decode() for t in automaton.specials), most=50), odd_texts(400)
+    whole = [library.encode(t, add_special_tokens=False).ids for t in data]
+    was, bpe.MOST_STATES = bpe.MOST_STATES, 100
+    try:
+        for _ in range(2):
+            for i in range(0, len(data), 20):
+                ids, at = small(*texts(pa.array(data[i : i + 20])))
+                assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == whole[i : i + 20]
+    finally:
+        bpe.MOST_STATES = was
+    assert len(small.index) < 1000
+
+
 def test_words_tile_texts():
     data = odd_texts(300)
     buf, offsets = texts(pa.array(data))
