@@ -10,17 +10,22 @@ one.  A subset without elements says nothing and is left out, which is safe for
 SPARE first-level parts that have such subsets; other sets send all.  Where K_j is 1, the signatures
 are the set and the set without each one element; where it is 0, the set itself.
 
-Signatures join in hash ranges: a task sends each signature once, with its smallest document, and
-its other documents as links to that one; a range links the documents of each signature.  The
-components of those candidate links are clusters.  In a cluster, sets are compared exactly, except
-those that are already connected.  A cluster of more than `cluster_bytes` of text is dealt by size
-band, and a band of more than that into blocks, each pair of which is one group, so every group is
+A set is a node, told by a 64-bit hash of it, so exact copies are one node from the start.
+Signatures join in hash ranges: a task sends each signature and set once, and a range gives the
+groups of sets that share a signature, each distinct group once.  Sets of a group are compared by
+sketches: the parities of their elements' counts in hashed cells.  An element that only one of two
+sets has changes one cell, so sketches differ in no more cells than the sets have elements apart, and
+a pair whose sketches differ in more than linked sets may isn't linked.  What is left of the pairs is
+nearly all true; its components are clusters, and each cluster's texts meet once to be compared
+exactly.  Groups of more than `group_rows` sets are dealt into blocks, each pair of which is compared,
+and clusters of more than `cluster_bytes` of text by size band and then likewise, so every task is
 bounded and no pair is left out.
 
 Defined cases: texts with fewer than k words have one shingle, the whole sequence; null, empty and
 wordless texts have an empty set and no links; documents without an id are linked with nothing and
 have no component; rows with equal ids are one node, whatever their texts; an empty table gives an
-empty result; other columns are not looked at.  Shingles are compared by 64-bit hash.
+empty result; other columns are not looked at.  Ids must be whole numbers.  Shingles and sets are
+told apart by 64-bit hash.
 """
 
 from __future__ import annotations
@@ -35,11 +40,14 @@ from .components import components
 from .support import blocks_for, bounded, materialised, text_bytes
 
 SPARE = 2
-#: Bytes of text whose signatures make one hash range, at every size of the input: small, so that the
-#: documents of a signature seldom meet in a range for another one too.
+#: Bytes of text whose signatures make one hash range; ranges grow with the root of the input, eightfold at most.
 RANGE_BYTES = 4 << 20
 #: Signatures that are held before they are sent.
 HELD = 500_000
+#: Cells of a sketch, at least and at most.
+CELLS = (64, 1 << 15)
+#: Rows of groups, and bytes of clusters' texts, that one task compares at once.
+LOT_ROWS, LOT_BYTES = 20_000, 4 << 20
 _PAIRS = ((0, 1), (0, 2), (1, 2))
 
 
@@ -150,82 +158,151 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[label[other]], nodes[other]
 
 
-def _links(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys with their smallest id, and links from it to the key's other ids."""
-    order = np.lexsort((ids, keys))
-    keys, ids = keys[order], ids[order]
-    at = runs(keys)
-    least = np.repeat(ids[at], np.diff(np.append(at, len(keys)))) if len(at) else ids
-    other = ids != least
-    a, b = _forest(least[other], ids[other]) if other.any() else (ids[:0], ids[:0])
-    return keys[at], ids[at], a, b
+def set_hashes(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A hash of each whole set."""
+    sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(h), dtype=U)])
+    return mix(sums[offsets[1:]] - sums[offsets[:-1]]) ^ np.diff(offsets).astype(U)
+
+
+def sketches(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity sketches of sets, as bytes and n + 1 offsets.  A set of n elements has the next power
+    of two of cells, CELLS[0] at least and CELLS[1] at most; halves of a sketch fold by exclusive or."""
+    size = np.diff(offsets)
+    cells = np.clip(1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64), *CELLS)
+    base = np.concatenate([[0], np.cumsum(cells)])
+    at = np.repeat(base[:-1], size) + (h & np.repeat(cells - 1, size).astype(U)).astype(np.int64)
+    odd = (np.bincount(at, minlength=base[-1]) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little"), base // 8
+
+
+def _folded(rows: list[bytes]) -> np.ndarray:
+    """Sketches of one length, that of the shortest, as rows of 64-bit numbers."""
+    short = min(map(len, rows))
+    out = np.empty((len(rows), short // 8), U)
+    for i, x in enumerate(rows):
+        part = np.frombuffer(x, U)
+        out[i] = part if len(x) == short else np.bitwise_xor.reduce(part.reshape(-1, short // 8))
+    return out
+
+
+def alike(size: np.ndarray, rows: list[bytes], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of sets that connect every two sets which their sizes and sketches allow to be
+    linked: every pair of a few sets, and of many those that aren't connected already."""
+    m, flat = len(rows), _folded(rows)
+    fits = lambda i, j, x: ((den + num) * np.bitwise_count(x).sum(-1, dtype=np.int64) <= (den - num) * (size[i] + size[j])) & (den * np.minimum(size[i], size[j]) >= num * np.maximum(size[i], size[j]))
+    if m * m * flat.shape[1] <= 1 << 20:
+        i, j = np.triu_indices(m, 1)
+        ok = fits(i, j, flat[i] ^ flat[j])
+        return i[ok], j[ok]
+    label, a, b = np.arange(m), [], []
+    for i in range(m - 1):
+        later = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        for c in range(0, len(later), 1000):
+            some = later[c : c + 1000]
+            some = some[fits(i, some, flat[some] ^ flat[i])]
+            a += [i] * len(some)
+            b += some.tolist()
+            label[np.isin(label, label[some])] = label[i]
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def shingle_table(docs: DataFrame, doc: str, text: str, k: int) -> DataFrame:
+    """(d, w, n, bytes, s) of every row: id, hash of the set, its size, the text's bytes and the sketch."""
+    rows = docs.select(F.col(doc).cast("long").alias("d"), F.col(text).alias("t"))
+
+    def made(batches):
+        for batch in batches:
+            for i, j in pieces(batch, "t"):
+                part = batch.slice(i, j - i)
+                buf, at = texts(part.column("t"))
+                h, offsets = shingle_sets(Words(buf, at, lower=True), k)
+                flat, cut = sketches(h, offsets)
+                s = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(flat)])
+                yield pa.RecordBatch.from_pydict({"d": part.column("d"), "w": pa.array(set_hashes(h, offsets).view(np.int64)), "n": pa.array(np.diff(offsets).astype(np.int64)), "bytes": pa.array(np.diff(at)), "s": s})
 
+    return rows.mapInArrow(made, "d long, w long, n long, bytes long, s binary")
 
-def candidate_links(docs: DataFrame, doc: str, text: str, k: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) that join every two documents that share a signature, directly or by others."""
+
+def shingle_counts(docs: DataFrame, doc: str, text: str, k: int) -> DataFrame:
+    """(doc_id, n_shingles) of every row."""
+    return shingle_table(docs, doc, text, k).select(F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"))
+
+
+def candidate_groups(docs: DataFrame, text: str, k: int, num: int, den: int) -> DataFrame:
+    """(g, w): the sets w that share a signature are a group g; each group of sets is there once."""
     total = text_bytes(docs, text)
-    ranges = blocks_for(total, RANGE_BYTES, RANGE_BYTES)
+    ranges = blocks_for(total, RANGE_BYTES, 8 * RANGE_BYTES)
     shift = U(64 - max(1, (ranges - 1).bit_length()))
     # signatures need 18 bits more than their number has; a false match only costs a comparison
     spare_bits = U(64 - min(64, max(1, total // 2).bit_length() + 18))
-    rows = docs.filter(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("d"), F.col(text).alias("t"))
-
-    def speaking(batch, i, j):
-        """Signatures with their documents, and links between copies of a set: one speaks for them."""
-        h, offsets = shingle_sets(Words(*texts(batch.column("t").slice(i, j - i)), lower=True), k)
-        own = batch.column("d").slice(i, j - i).to_numpy()
-        sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(h), dtype=U)])
-        some = np.flatnonzero(np.diff(offsets) > 0)
-        whole = mix(sums[offsets[some + 1]] - sums[offsets[some]]) ^ np.diff(offsets)[some].astype(U)
-        _, _, x, y = _links(whole, own[some])
-        speaks = np.zeros(len(own), bool)
-        speaks[some] = True
-        speaks[some[_not_first(whole, own[some])]] = False
-        sig, of = signatures(*_some(h, offsets, np.flatnonzero(speaks)), num, den)
-        sig = sig >> spare_bits << spare_bits
-        return sig, own[np.flatnonzero(speaks)][of], x, y
 
     def packed(held):
-        keys, ids, a, b = (np.concatenate(x) for x in zip(*held, strict=True))
-        key, least, x, y = _links(keys, ids)
-        x, y = _forest(np.concatenate([x, a]), np.concatenate([y, b]))
-        at = runs(key >> shift)
-        cut = [*at, len(key)]
-        r, p = (key[at] >> shift).astype(np.int32).tolist(), [pack(key[i:j], least[i:j]) for i, j in zip(cut, cut[1:], strict=False)]
-        if len(x):  # links go to any range, told apart by a negative number
-            r.append(-1 - int(x[0] % ranges))
-            p.append(pack(x.astype(np.int64), y.astype(np.int64)))
-        return pa.RecordBatch.from_pydict({"r": pa.array(r, pa.int32()), "p": pa.array(p, pa.binary())})
+        keys, sets = _pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        at = runs(keys >> shift)
+        cut = [*at, len(keys)]
+        p = [pack(keys[i:j], sets[i:j]) for i, j in zip(cut, cut[1:], strict=False)]
+        return pa.RecordBatch.from_pydict({"r": pa.array((keys[at] >> shift).astype(np.int32)), "p": pa.array(p, pa.binary())})
 
     def sent(batches):
         held = []
         for batch in batches:
             for i, j in pieces(batch, "t"):
-                held.append(speaking(batch, i, j))
+                h, offsets = shingle_sets(Words(*texts(batch.column("t").slice(i, j - i)), lower=True), k)
+                w = set_hashes(h, offsets)
+                some = np.flatnonzero(np.diff(offsets) > 0)
+                some = some[np.unique(w[some], return_index=True)[1]]
+                sig, of = signatures(*_some(h, offsets, some), num, den)
+                held.append((sig >> spare_bits << spare_bits, w[some][of]))
                 if sum(len(x[0]) for x in held) >= HELD:
                     yield packed(held)
                     held = []
         if held:
             yield packed(held)
 
-    def linked(x: pa.Table) -> pa.Table:
-        got = [unpack(p, 2) for p in x.column("p").to_pylist()]
-        first, ids = (np.concatenate([g[k] for g in got]) for k in (0, 1))
-        if x.column("r")[0].as_py() < 0:
-            a, b = _forest(first.view(np.int64), ids.view(np.int64))
-        else:
-            _, _, a, b = _links(first, ids.view(np.int64))
-        return pa.table({"a": a, "b": b})
-
-    return rows.mapInArrow(sent, "r int, p binary").groupBy("r").applyInArrow(linked, "a long, b long")
+    def grouped(x: pa.Table) -> pa.Table:
+        keys, sets = _pairs(*(np.concatenate(c) for c in zip(*(unpack(p, 2) for p in x.column("p").to_pylist()), strict=True)))
+        at = runs(keys)
+        size = np.diff(np.append(at, len(keys)))
+        name = mix(np.add.reduceat(mix(sets + U(1)), at)) if len(at) else keys
+        at, size, name = at[size > 1], size[size > 1], name[size > 1]
+        name, first = np.unique(name, return_index=True)
+        at, size = at[first], size[first]
+        skip = np.repeat(at - np.concatenate([[0], np.cumsum(size)[:-1]]), size) if len(at) else at
+        return pa.table({"g": pa.array(np.repeat(name, size).view(np.int64)), "w": pa.array(sets[np.arange(int(size.sum())) + skip].view(np.int64))})
+
+    return docs.select(F.col(text).alias("t")).mapInArrow(sent, "r int, p binary").groupBy("r").applyInArrow(grouped, "g long, w long").distinct()
+
+
+def _pairs(keys: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs, in order."""
+    order = np.lexsort((sets, keys))
+    keys, sets = keys[order], sets[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (sets[1:] != sets[:-1])
+    return keys[new], sets[new]
+
+
+def candidate_links(nodes: DataFrame, groups: DataFrame, num: int, den: int, group_rows: int) -> DataFrame:
+    """Links (a, b) that connect every two sets of a group that sizes and sketches allow to be linked.
+    nodes has (w, r, n, s), and links are between the sets' documents r."""
+    large = bounded(materialised(groups.groupBy("g").count().filter(F.col("count") > group_rows).select("g", F.ceil(2 * F.col("count") / group_rows).cast("int").alias("blocks")), "large-groups"))
+    dealt = groups.join(large, "g", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("w"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "w")
+    lots = max(1, -(-dealt.count() // LOT_ROWS))
+    rows = dealt.join(nodes, "w").select("g", "r", "n", "s", F.pmod("g", F.lit(lots)).cast("int").alias("lot"))
 
+    def compared(x: pa.Table) -> pa.Table:
+        g = x.column("g").to_numpy()
+        order = np.argsort(g, kind="stable")
+        r, n, s = x.column("r").to_numpy()[order], x.column("n").to_numpy()[order], x.column("s").take(pa.array(order)).to_pylist()
+        at = [*runs(g[order]).tolist(), len(g)]
+        found = [(r[i:j][a], r[i:j][b]) for i, j in zip(at, at[1:], strict=False) if j > i + 1 for a, b in [alike(n[i:j], s[i:j], num, den)]]
+        a, b = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (r[:0], r[:0])
+        a, b = _forest(a, b) if len(a) else (a, b)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-def _not_first(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Positions that aren't the first of their key, by id."""
-    order = np.lexsort((ids, keys))
-    later = np.ones(len(keys), bool)
-    later[runs(keys[order])] = False
-    return order[later]
+    return rows.groupBy("lot").applyInArrow(compared, "a long, b long")
 
 
 def _some(h: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -233,111 +310,117 @@ def _some(h: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndar
 
 
 def exact_links(ids: np.ndarray, h: np.ndarray, offsets: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect every two sets whose similarity reaches num / den, directly or by others:
-    a set is compared with the later ones that share a signature and aren't connected with it yet."""
-    sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(h), dtype=U)])
-    size = np.diff(offsets)
-    whole = mix(sums[offsets[1:]] - sums[offsets[:-1]]) ^ size.astype(U)
-    live = np.flatnonzero(size > 0)
-    _, first, a, b = _links(whole[live], ids[live])
-    rows = live[~np.isin(np.arange(len(live)), _not_first(whole[live], ids[live]))]
-    _, h = np.unique(_some(h, offsets, rows)[0], return_inverse=True)
-    size = size[rows]
+    """Links that connect every two sets whose similarity reaches num / den, directly or by others: a
+    set is compared with the later ones that aren't connected with it yet, of many sets with those
+    that share a signature."""
+    rows = np.flatnonzero(np.diff(offsets) > 0)
+    h = np.unique(_some(h, offsets, rows)[0], return_inverse=True)[1]
+    size = np.diff(offsets)[rows]
     offsets = np.concatenate([[0], np.cumsum(size)])
+    many = len(rows) > 64
+    if many:
+        sig, of = signatures(h.astype(U), offsets, num, den)
+        order = np.lexsort((of, sig))
+        start = runs(sig[order])
+        members, lot = of[order], np.repeat(np.arange(len(start)), np.diff(np.append(start, len(order))))
+        start = np.append(start, len(order))
+        own = np.argsort(members, kind="stable")
+        first = np.searchsorted(members[own], np.arange(len(rows) + 1))
     label, mark, found = np.arange(len(rows)), np.zeros(h.max(initial=-1) + 1, bool), []
-    sig, of = signatures(h.astype(U), offsets, num, den)
-    order = np.lexsort((of, sig))
-    start = runs(sig[order])
-    members, lot = of[order], np.repeat(np.arange(len(start)), np.diff(np.append(start, len(order)))) if len(order) else order
-    start = np.append(start, len(order))
-    own = np.argsort(members, kind="stable")
-    first = np.searchsorted(members[own], np.arange(len(rows) + 1))
+    with_label = {i: [i] for i in range(len(rows))}
     for i in range(len(rows) - 1):
-        lots = lot[own[first[i] : first[i + 1]]]
-        lots = lots[start[lots + 1] - start[lots] > 1]
-        if not len(lots):
-            continue
-        later = np.zeros(len(rows), bool)
-        later[members[_flat(start, lots)]] = True
-        later[: i + 1] = False
-        later = np.flatnonzero(later)
+        if many:
+            lots = lot[own[first[i] : first[i + 1]]]
+            lots = lots[start[lots + 1] - start[lots] > 1]
+            later = np.unique(members[_flat(start, lots)]) if len(lots) else lots
+            later = later[later > i]
+        else:
+            later = np.arange(i + 1, len(rows))
         later = later[(label[later] != label[i]) & (den * np.minimum(size[later], size[i]) >= num * np.maximum(size[later], size[i]))]
-        step = 2000
-        for c in range(0, len(later), step):
-            some = later[c : c + step]
+        for c in range(0, len(later), 2000):
+            some = later[c : c + 2000]
             mark[h[offsets[i] : offsets[i + 1]]] = True
             hit = mark[h[_flat(offsets, some)]]
             mark[h[offsets[i] : offsets[i + 1]]] = False
             both = np.add.reduceat(hit.astype(np.int64), np.concatenate([[0], np.cumsum(size[some])[:-1]]))
-            for j in some[den * both >= num * (size[some] + size[i] - both)]:
+            for j in some[den * both >= num * (size[some] + size[i] - both)].tolist():
+                if label[j] == label[i]:
+                    continue
                 found.append((i, j))
-                if label[j] != label[i]:
-                    label[label == label[j]] = label[i]
-    if found:
-        x, y = np.array(found).T
-        a, b = np.concatenate([a, ids[rows[x]]]), np.concatenate([b, ids[rows[y]]])
-    return _forest(a, b) if len(a) else (a, b)
-
-
-def jaccard_components(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100, cluster_bytes: int = 8 << 20) -> DataFrame:
-    """(node, component) of the documents that have a link: two documents link when den times the
-    size of their sets' intersection is num times the size of their union, or more."""
-    clusters = materialised(components(candidate_links(docs, doc, text, k, num, den)), "clusters")
-    rows = docs.filter(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("node"), F.col(text).alias("t"))
-
-    def sized(batches):
-        for batch in batches:
-            for i, j in pieces(batch, "t"):
-                part = batch.slice(i, j - i)
-                n = np.diff(shingle_sets(Words(*texts(part.column("t")), lower=True), k)[1])
-                low = np.array([x for x, _ in bands(max(1, int(n.max(initial=1))), num, den)])
-                size = np.diff(texts(part.column("t"))[1])
-                yield pa.RecordBatch.from_pydict({"node": part.column("node"), "component": part.column("component"), "bytes": pa.array(size, pa.int64()), "band": pa.array(np.searchsorted(low, n, "right") - 1, pa.int32())})
-
-    members = materialised(rows.join(bounded(clusters), "node").mapInArrow(sized, "node long, component long, bytes long, band int"), "members")
-    dealt = bounded(materialised(_dealt(members, cluster_bytes), "groups"))
-    groups = rows.join(dealt, "node").groupBy("component", "band", "i", "j")
+                few, more = sorted((int(label[i]), int(label[j])), key=lambda x: len(with_label[x]))
+                label[with_label[few]] = more
+                with_label[more] += with_label.pop(few)
+    x, y = np.array(found, np.int64).reshape(-1, 2).T
+    return _forest(ids[rows[x]], ids[rows[y]]) if found else (ids[:0], ids[:0])
+
+
+def linked_sets(docs: DataFrame, table: DataFrame, doc: str, text: str, k: int, num: int, den: int, cluster_bytes: int, group_rows: int) -> DataFrame:
+    """(w, component) of the sets of a shingle_table() that have a link or are in more than one document."""
+    own = table.filter(F.col("d").isNotNull() & (F.col("n") > 0))
+    nodes = own.groupBy("w").agg(F.min("d").alias("r"), F.max("d").alias("last"), F.first("n").alias("n"), F.first("bytes").alias("bytes"), F.first("s").alias("s"))
+    groups = materialised(candidate_groups(docs.filter(F.col(doc).isNotNull()), text, k, num, den), "signature-groups")
+    near = candidate_links(nodes.select("w", "r", "n", "s"), groups, num, den, group_rows)
+    clusters = materialised(components(near), "clusters")
+    band = F.floor(F.log("n") / F.log(F.lit(1.001 * den / num))).cast("int")  # linked sets are in one or in adjacent ones
+    members = materialised(nodes.select(F.col("r").alias("node"), "bytes", band.alias("band")).join(bounded(clusters), "node"), "members")
+    dealt = materialised(_dealt(members, cluster_bytes), "cluster-lots")
+    lots = max(1, -(-(dealt.agg(F.sum("bytes")).first()[0] or 0) // LOT_BYTES))
+    dealt = bounded(dealt.select("node", "lot", F.pmod("lot", F.lit(lots)).cast("int").alias("task")).distinct())
+    rows = docs.filter(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("node"), F.col(text).alias("t")).join(dealt, "node")
 
     def compared(x: pa.Table) -> pa.Table:
+        x = x.sort_by("lot")
         h, offsets = sets_of(x.column("t"), k)
-        a, b = exact_links(x.column("node").to_numpy(), h, offsets, num, den)
+        node, found = x.column("node").to_numpy(), []
+        at = [*runs(x.column("lot").to_numpy()).tolist(), x.num_rows]
+        for i, j in zip(at, at[1:], strict=False):
+            if j > i + 1:
+                found.append(exact_links(node[i:j], h[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], num, den))
+        a, b = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (node[:0], node[:0])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return components(groups.applyInArrow(compared, "a long, b long"))
+    links = rows.groupBy("task").applyInArrow(compared, "a long, b long")
+    twice = materialised(own.groupBy("d").agg(F.min("w").alias("x"), F.max("w").alias("y")).filter("x <> y").select("d"), "repeated-ids")
+    if twice.count():  # rows with equal ids and different sets
+        same = own.join(bounded(twice), "d").select("d", "w").distinct().join(nodes.select("w", "r"), "w")
+        links = links.unionByName(same.groupBy("d").agg(F.min("r").alias("a")).join(same.select("d", F.col("r").alias("b")), "d").select("a", "b"))
+    found = components(links)
+    last = nodes.select("w", "r", "last").join(bounded(materialised(found, "components")).withColumnRenamed("node", "r"), "r", "left")
+    return last.filter(F.col("component").isNotNull() | (F.col("r") < F.col("last"))).select("w", F.coalesce("component", "r").alias("component"))
 
 
 def _dealt(members: DataFrame, most: int) -> DataFrame:
-    """(node, component, band, i, j): the groups that members are compared in.  A cluster of at most
-    `most` bytes is one group.  A larger one is dealt by size band, a member to its own band and the
-    one below, since linked sets are in the same or adjacent bands; and a band that is still larger
-    into blocks, each pair of which is a group."""
+    """(node, bytes, lot): the lots that members are compared in.  A cluster of at most `most` bytes is
+    one lot.  A larger one is dealt by size band, a member to its own band and the one below, since
+    linked sets are in the same or adjacent bands; and a band that is still larger into blocks, each
+    pair of which is a lot."""
     whole = members.groupBy("component").agg((F.sum("bytes") > most).alias("large"))
     lots = members.join(whole, "component")
-    lots = lots.withColumn("band", F.explode(F.when(~F.col("large"), F.array(F.lit(-1))).when(F.col("band") == 0, F.array(F.lit(0))).otherwise(F.array(F.col("band"), F.col("band") - 1))))
+    lots = lots.withColumn("band", F.explode(F.when(F.col("large"), F.array(F.col("band"), F.col("band") - 1)).otherwise(F.array(F.lit(-9)))))
     sizes = lots.groupBy("component", "band").agg(F.greatest(F.lit(1), F.ceil(F.sum("bytes") / F.lit(most))).cast("int").alias("n"))
     lots = lots.join(sizes, ["component", "band"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
     lots = lots.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    return lots.select("node", "component", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).distinct()
+    return lots.select("node", "bytes", F.xxhash64("component", "band", F.least("own", "other"), F.greatest("own", "other")).alias("lot"))
 
 
-def shingle_counts(docs: DataFrame, doc: str, text: str, k: int) -> DataFrame:
-    """(doc_id, n_shingles) of every row."""
-    rows = docs.select(F.col(doc).alias("d"), F.col(text).alias("t"))
+def _table(docs: DataFrame, doc: str, text: str, k: int) -> DataFrame:
+    return materialised(shingle_table(docs, doc, text, k), "shingle-sets")
 
-    def counted(batches):
-        for batch in batches:
-            n = [np.diff(shingle_sets(Words(*texts(batch.column("t").slice(i, j - i)), lower=True), k)[1]) for i, j in pieces(batch, "t")]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("d"), "n_shingles": pa.array(np.concatenate(n) if n else [], pa.int64())})
-
-    from pyspark.sql import types as T
 
-    return rows.mapInArrow(counted, T.StructType([T.StructField("doc_id", rows.schema["d"].dataType), T.StructField("n_shingles", T.LongType())]))
+def jaccard_components(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100, cluster_bytes: int = 8 << 20, group_rows: int = 1000) -> DataFrame:
+    """(node, component) of the documents that have a link: two documents link when den times the
+    size of their sets' intersection is num times the size of their union, or more."""
+    table = _table(docs, doc, text, k)
+    found = bounded(materialised(linked_sets(docs, table, doc, text, k, num, den, cluster_bytes, group_rows), "linked-sets"))
+    return table.filter(F.col("d").isNotNull()).select("d", "w").join(found, "w").select(F.col("d").alias("node"), "component").distinct()
 
 
-def jaccard_join(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def jaccard_join(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100, cluster_bytes: int = 8 << 20, group_rows: int = 1000) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
-    found = jaccard_components(docs, doc, text, k, num, den).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
-    return shingle_counts(docs, doc, text, k).join(found, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", F.col("doc_id")))
+    table = _table(docs, doc, text, k)
+    found = bounded(materialised(linked_sets(docs, table, doc, text, k, num, den, cluster_bytes, group_rows), "linked-sets"))
+    own = F.when(F.col("d").isNotNull(), F.coalesce("component", "d"))
+    return table.select("d", "w", "n").join(found, "w", "left").select(F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def op6_query(spark, sf_dir):
