@@ -10,8 +10,9 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from lorewell.llm import columnar, jaccard_join, quality_rules, substring_dedup
+from lorewell.llm import columnar, components, jaccard_join, quality_rules, substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -26,18 +27,28 @@ def test_words_and_windows():
     assert at.tolist() == [0, 1, 3, 5, 6] and win[1] == win[2]
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(alphabet="ab é\n\t#", max_size=30) | st.none(), max_size=6))
+def brute_counters(t):
+    t = t or ""
+    w = WORD.findall(t)
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+
+    def repeats(k):
+        grams = Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+        return len({i + j for i in range(len(w) - k + 1) if grams[tuple(w[i : i + k])] > 1 for j in range(k)})
+
+    return {
+        "n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": len(re.findall(r"[#*$%&|<>]", t)), "n_lines": len(lines), "n_dup_lines": len(lines) - len(set(lines)),
+        "n_repeat_words": repeats(3), "n_bullets": sum(WORD.findall(x)[0][0] in "-*•" for x in lines), "n_ellipses": sum(WORD.findall(x)[-1].endswith(("...", "…")) for x in lines),
+        "top_word": max(Counter(w).values(), default=0), "n_passage_words": repeats(8),
+    }
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text(alphabet="ab é\n\t#-.…•", max_size=40) | st.none(), max_size=6))
 def test_counters(texts):
     c = quality_rules.Counters(*columnar.texts(pa.array(texts, pa.string())))
     for i, t in enumerate(texts):
-        t = t or ""
-        w = WORD.findall(t)
-        lines = [x for x in t.split("\n") if WORD.search(x)]
-        grams = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
-        hit = {k + j for k in range(len(w) - 2) if grams[tuple(w[k : k + 3])] > 1 for j in range(3)}
-        got = [int(c[n][i]) for n in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")]
-        assert got == [len(w), sum(map(len, w)), t.count("#"), len(lines), len(lines) - len(set(lines)), len(hit)]
+        assert {n: int(c[n][i]) for n in quality_rules.COUNTERS} == brute_counters(t)
 
 
 def brute_dedup(pairs, k):
@@ -122,24 +133,67 @@ def test_substring_dedup_empty(make):
     assert substring_dedup.substring_dedup(make([])).collect() == []
 
 
+def brute_verdict(c):
+    return not (
+        c["n_words"] < 50 or 100 * c["n_repeat_words"] > 50 * c["n_words"] or 10 * c["n_symbols"] > c["word_chars"] or 10 * c["n_dup_lines"] > 3 * c["n_lines"] or not 2 * c["n_words"] <= c["word_chars"] <= 20 * c["n_words"]
+        or (c["n_lines"] >= 4 and (10 * c["n_bullets"] > 9 * c["n_lines"] or 10 * c["n_ellipses"] > 3 * c["n_lines"])) or 100 * c["top_word"] > 30 * c["n_words"] or 100 * c["n_passage_words"] > 30 * c["n_words"]
+    )
+
+
 def test_quality_rules(spark, make, corpus):
-    junk = [" ".join(["ab"] * 80), " ".join(f"w{i}##$" for i in range(60)), "\n".join(["same line here"] * 30)]
-    docs = make([*corpus, *junk])
+    many = lambda n, start="", end="": "\n".join(f"{start}{' '.join(f'w{n}{i}{j}' for j in range(9))}{end}" for i in range(n))
+    junk = [" ".join(["ab"] * 80), " ".join(f"w{i}##$" for i in range(60)), "\n".join(["same line here"] * 30), many(9, "- "), many(9, "•"), many(9, "", "..."), many(9, "", "… \t"), many(9), " ".join(f"the v{i}" for i in range(60))]
+    junk.append(" ".join([*(f"u{i}" for i in range(40)), *(f"x{i}" for i in range(25)), *(f"x{i}" for i in range(25))]))
+    junk.append("\n".join("same line" if i % 2 else " ".join(f"q{i}{j}" for j in range(5)) for i in range(30)))
+    junk.append(" ".join(chr(0x4E00 + i) for i in range(60)))
+    docs = make([*corpus, *junk]).withColumn("a map", F.create_map(F.lit("k"), F.lit("v")))
+    reasons = set()
     for order in (None, [r.name for r in quality_rules.RULES], [r.name for r in reversed(quality_rules.RULES)]):
-        got = quality_rules.quality_rules(docs, order=order, counters=quality_rules.COUNTERS)
-        for r in got.collect():
-            w = WORD.findall(r.text or "")
+        for r in quality_rules.quality_rules(docs, order=order, counters=quality_rules.COUNTERS).collect():
             q = r.rules
-            assert q.n_words == len(w) and q.word_chars == sum(map(len, w))
-            bad = len(w) < 50 or 100 * q.n_repeat_words > 50 * len(w) or 10 * q.n_symbols > q.word_chars or 10 * q.n_dup_lines > 3 * q.n_lines or not 2 * len(w) <= q.word_chars <= 20 * len(w)
-            assert q.kept == (not bad) and (q.rejected_by is None) == q.kept
+            assert {n: q[n] for n in quality_rules.COUNTERS} == brute_counters(r.text)
+            assert q.kept == brute_verdict(brute_counters(r.text)) and (q.rejected_by is None) == q.kept
+            reasons.add(q.rejected_by)
+        for r in quality_rules.quality_rules(docs, order=order).collect():
+            assert r.rules.kept == brute_verdict(brute_counters(r.text))
+    assert reasons >= {r.name for r in quality_rules.RULES} - {"passages"} and len(reasons) > 8
     order = quality_rules.cascade_order(docs)
     assert {n for n, *_ in order} == {r.name for r in quality_rules.RULES}
-    gain = [-r / max(c, 1e-12) for _, c, r in order]
-    assert gain == sorted(gain)
     assert quality_rules.quality_rules(make([])).collect() == []
 
 
+def test_rules_by_rejection_per_cost():
+    """dear rejects most, but cheap comes first; twin rejects nothing of what dear leaves."""
+    names, rule = ("cheap", "dear", "twin", "never"), lambda n, reads: quality_rules.Rule(n, reads, None)
+    rules = tuple(rule(n, r) for n, r in zip(names, (("n_words",), ("top_word",), ("n_repeat_words",), ("n_symbols",))))
+    bad = {"cheap": [1, 1, 0, 0, 0, 0, 0, 0], "dear": [0, 1, 1, 1, 1, 1, 0, 0], "twin": [0, 0, 1, 1, 1, 1, 0, 0], "never": [0] * 8}
+    got = quality_rules.ordered({k: np.array(v, bool) for k, v in bad.items()}, {"words": 1e-5, "top": 1e-4, "repeats": 2e-4, "symbols": 1e-6}, rules)
+    assert [n for n, *_ in got] == ["cheap", "dear", "never", "twin"]
+    assert [round(s, 3) for *_, s in got] == [0.25, round(4 / 6, 3), 0, 0]
+
+
+def test_later_rules_see_fewer_texts(corpus):
+    """A group of counters is computed for the texts only that the rules before let pass."""
+    seen = {}
+
+    class Watched(quality_rules.Counters):
+        def __getitem__(self, name):
+            if name not in self._have:
+                seen.setdefault(name, []).append(self.n)
+            return super().__getitem__(name)
+
+        def of(self, rows):
+            c = super().of(rows)
+            c.__class__ = Watched
+            return c
+
+    by = {r.name: r for r in quality_rules.RULES}
+    ranked = [by[n] for n in ("too_short", "symbols", "top_word", "passages")]
+    why = quality_rules.judge(Watched(*columnar.texts(pa.array(corpus, pa.string()))), ranked)
+    left = [int(np.sum((why < 0) | (why >= k))) for k in range(4)]
+    assert seen == {"n_words": [left[0]], "n_symbols": [left[1]], "top_word": [left[2]], "n_passage_words": [left[3]]} and left[1] < left[0]
+
+
 def shingles(t, k):
     w = WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
     return {tuple(w)} if 0 < len(w) < k else {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
@@ -176,6 +230,68 @@ def test_jaccard_join(spark, make, corpus, k, num, blocks):
     assert {(r.doc_id, r.n_shingles) for r in rows} == {(d, len(shingles(t, k))) for d, t in pairs}
 
 
+def test_jaccard_large_groups_and_repeated_ids(make, corpus):
+    """Groups of more than three sets are dealt into pairs of blocks; ids that several texts have."""
+    pairs = [(i % 61, t) for i, t in enumerate(corpus)]
+    sets = {}
+    for d, t in pairs:
+        sets.setdefault(d, []).append(shingles(t, 3))
+    parent = {d: d for d in sets}
+    root = lambda x: x if parent[x] == x else root(parent[x])
+    for d, x in sets.items():
+        for e, y in sets.items():
+            if d < e and any(a and b and 10 * len(a & b) >= 6 * len(a | b) for a in x for b in y) and root(d) != root(e):
+                parent[max(root(d), root(e))] = min(root(d), root(e))
+    got = jaccard_join.jaccard_components(make(corpus, [d for d, _ in pairs]), k=3, num=60, cluster_bytes=400, group_rows=3).collect()
+    want = {d: root(d) for d in sets}
+    assert {r.node: r.component for r in got} == {d: c for d, c in want.items() if list(want.values()).count(c) > 1} and len(got) > 10
+
+
+def test_hashes_tell_opposites_apart(spark, make):
+    """Two words of 1,024 letters that polynomials modulo 2**64 over bytes can't tell apart."""
+    one = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{i}" for i in range(12))
+    docs = make([f"{one} {rest}", f"{two} {rest}", one, two, f"{one}\n{two}\n", f"{one * 40}\n{two * 40}"])
+    rows = {r.doc_id: r for r in substring_dedup.substring_dedup(docs).collect()}
+    assert [rows[i].dedup.n_removed for i in range(6)] == [0] * 6
+    found = {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(docs, k=3, num=90).collect()}
+    assert all(found[i] == i for i in range(6))
+    assert all(r.rules.n_dup_lines == 0 for r in quality_rules.quality_rules(docs, counters=("n_dup_lines",)).collect())
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(1, 900), st.integers(0, 10_000))
+def test_sketches_never_lie(n, seed):
+    """Folded sketches differ in no more cells than the sets in elements, and linked sets always pass."""
+    rng = np.random.default_rng(seed)
+    a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.int64).astype(np.uint64))
+    b = np.unique(np.concatenate([rng.permutation(a)[int(rng.integers(0, len(a) // 3 + 1)) :], rng.integers(0, 1 << 63, int(rng.integers(0, n // 4 + 1)), dtype=np.int64).astype(np.uint64)]))
+    size = np.array([len(a), len(b)])
+    flat, at = jaccard_join.sketches(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+    rows = [flat[i:j].tobytes() for i, j in zip(at, at[1:])]
+    x, y = jaccard_join._folded(rows)
+    both = len(np.intersect1d(a, b))
+    assert int(np.bitwise_count(x ^ y).sum()) <= size.sum() - 2 * both
+    if 10 * both >= 8 * (size.sum() - both):
+        assert [v.tolist() for v in jaccard_join.alike(size, rows, 80, 100)] == [[0], [1]]
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_components(spark, most):
+    """With most=0, nodes of more than two edges are hot and the rest is merged."""
+    rng = random.Random(9)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(500, 500 + i) for i in range(60)] + [(7, 7)]
+    parent = {x: x for e in edges for x in e}
+    root = lambda x: x if parent[x] == x else root(parent[x])
+    for a, b in edges:
+        if root(a) != root(b):
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+    found = components.components(spark.createDataFrame(edges, "a long, b long"), most=most, hot=2).collect()
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    assert {r.node: r.component for r in found} == {x: root(x) for x in linked} and len(found) == len(linked)
+
+
 def test_jaccard_null_and_equal_ids(make):
     t = " ".join(f"w{i}" for i in range(30))
     got = jaccard_join.jaccard_join(make([t, t, t, "other text", "third one"], [None, 5, 7, 7, 9]), k=3).collect()
