@@ -14,7 +14,8 @@ Encoding a pre-split word is deterministic in its bytes: one token only can end
 what has been read, so the automaton over bytes has as its state the trie places of the tokens that
 may be under way, each with the token before it, and the token that ends here.  Its transitions stand
 in a table that is filled as states are first reached and starts anew when it is full; encoding looks
-up one entry a byte and then follows the ending tokens back.  Decoding emits the arcs' labels, the
+up one entry a byte and then follows the ending tokens back; words are read in order, each from where
+it parts from the one before.  Decoding emits the arcs' labels, the
 tokens' bytes.
 
 Defined cases: null text counts as empty and has no ids; a special token's string gets its id;
@@ -39,8 +40,8 @@ from .presplit import WordIds
 from .support import numbered
 
 _LAST = 1 << 40  # later than any merge
-#: States of the byte automaton that are kept in the table at once.
-MOST_STATES = 150_000
+#: States of the byte automaton, and arcs between tokens, that are kept in their tables at once.
+MOST_STATES, MOST_ARCS = 100_000, 100_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -50,6 +51,11 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def _taken(chain: tuple[int, ...], r: int) -> tuple[int, ...]:
+    """A chain of which every token is taken in by merge r at the latest."""
+    return tuple(x if i % 2 == 0 else min(x, r) for i, x in enumerate(chain))
+
+
 class Automaton:
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], specials: dict[str, int]):
         letters = byte_letters()
@@ -61,70 +67,83 @@ class Automaton:
         for t, i in specials.items():
             self.label[i] = t.encode()
         self.specials = {t.encode(): i for t, i in specials.items()}
-        self.rank: dict[tuple[int, int], int] = {}
-        self.parts: dict[int, tuple[int, int, int]] = {}
-        self.ends: dict[int, list[tuple[int, int]]] = {}
-        self.starts: dict[int, list[tuple[int, int]]] = {}
+        self.rank: dict[int, int] = {}  # of a pair u << 24 | v
+        # by token: its chain as ends, and as starts, of pairs (token, merge that takes it in)
+        self.ends: dict[int, tuple[int, ...]] = {}
+        self.starts: dict[int, tuple[int, ...]] = {}
         self.state: dict[bytes, int] = {}
         for i in plain.values():
             if len(self.label[i]) == 1:
                 self.state[self.label[i]] = i
-                self.ends[i] = self.starts[i] = [(i, _LAST)]
+                self.ends[i] = self.starts[i] = (i, _LAST)
         for r, (a, b) in enumerate(merges):
             self._gadget(r, vocab[a], vocab[b], vocab[a + b])
-        self.child: list[dict[int, int]] = [{}]  # the trie of the states' labels
-        self.token: list[int] = [-1]
+        self.child: dict[int, int] = {}  # the trie of the states' labels: node << 8 | byte to node
+        self.token = [-1]
         for t, i in self.state.items():
             node = 0
             for byte in t:
-                after = self.child[node].get(byte)
+                after = self.child.get(node << 8 | byte)
                 if after is None:
-                    after = self.child[node][byte] = len(self.child)
-                    self.child.append({})
+                    after = self.child[node << 8 | byte] = len(self.token)
                     self.token.append(-1)
                 node = after
             self.token[node] = i
         self.size = [len(x) for x in self.label]
+        self.arcs: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self.places: list[tuple[tuple[int, int], ...]] = [((0, -1),)]
-        self.known: dict[tuple, int] = {self.places[0]: 0}
+        # a place is a trie node << 24 | the token before it + 1
+        self.places: list[tuple[int, ...]] = [(0,)]
+        self.known: dict[tuple[int, ...], int] = {self.places[0]: 0}
         self.ending = [-1]
         self.step: dict[int, int] = {}
 
     def _gadget(self, r: int, u: int, v: int, w: int) -> None:
         """Adds arc w for u v, with its chains; w is a state only if BPE can give it, that is if no
         earlier gadget has removed v after u."""
-        self.rank.setdefault((u, v), r)
-        if u not in self.ends or v not in self.starts or w in self.parts or not self._arc(u, v, r):
+        self.rank.setdefault(u << 24 | v, r)
+        if u not in self.ends or v not in self.starts or w in self.ends or not self._arc(u, v, r):
             return
-        self.parts[w] = (u, v, r)
-        self.ends[w] = [(w, _LAST), *((x, min(d, r)) for x, d in self.ends[v])]
-        self.starts[w] = [(w, _LAST), *((y, min(d, r)) for y, d in self.starts[u])]
+        self.ends[w] = (w, _LAST, *_taken(self.ends[v], r))
+        self.starts[w] = (w, _LAST, *_taken(self.starts[u], r))
         self.state[self.label[w]] = w
 
     def _arc(self, t: int, v: int, before: int = _LAST) -> bool:
-        for x, dx in self.ends[t]:
-            for y, dy in self.starts[v]:
-                m = self.rank.get((x, y))
-                if m is not None and m < before and m < dx and m <= dy:
+        starts = self.starts[v]
+        for i in range(0, len(ends := self.ends[t]), 2):
+            x, dx = ends[i] << 24, ends[i + 1]
+            for k in range(0, len(starts), 2):
+                m = self.rank.get(x | starts[k])
+                if m is not None and m < before and m < dx and m <= starts[k + 1]:
                     return False
         return True
 
+    def arc(self, t: int, v: int) -> bool:
+        """Whether v may follow t."""
+        key = t << 24 | v
+        ok = self.arcs.get(key)
+        if ok is None:
+            if len(self.arcs) >= MOST_ARCS:
+                self.arcs.clear()
+            ok = self.arcs[key] = self._arc(t, v)
+        return ok
+
     def _next(self, state: int, byte: int) -> int:
         """The state after byte, entered into the table."""
         places, ends = [], -1
-        for node, before in self.places[state]:
-            after = self.child[node].get(byte)
+        for place in self.places[state]:
+            after = self.child.get(place >> 24 << 8 | byte)
             if after is not None:
-                places.append((after, before))
+                before = (place & 0xFFFFFF) - 1
+                places.append(after << 24 | before + 1)
                 t = self.token[after]
-                if t >= 0 and ends < 0 and (before < 0 or self._arc(before, t)):
+                if t >= 0 and ends < 0 and (before < 0 or self.arc(before, t)):
                     ends = t
         if ends < 0:
             raise ValueError(f"no tokens for byte {byte}")
-        places.append((0, ends))
+        places.append(ends + 1)
         key = tuple(places)
         got = self.known.get(key)
         if got is None:
@@ -135,26 +154,43 @@ class Automaton:
         return got
 
     def encode(self, word: bytes) -> list[int]:
-        if word in self.specials:
-            return [self.specials[word]]
-        if len(self.places) > MOST_STATES:
-            self._reset()
-        step, ending, state, last = self.step, self.ending, 0, []
-        for byte in word:
-            after = step.get(state << 8 | byte)
-            state = self._next(state, byte) if after is None else after
-            last.append(ending[state])
-        path, p = [], len(last)
-        while p:
-            t = last[p - 1]
-            path.append(t)
-            p -= self.size[t]
-        path.reverse()
-        return path
+        return self._encode([word])[0]
+
+    def _encode(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of each word.  Words are read in order, each from where it parts from the one before."""
+        out: list[list[int]] = [[]] * len(words)
+        size, ending = self.size, self.ending
+        before, states, last = b"", [0], []
+        for i in sorted(range(len(words)), key=words.__getitem__):
+            word = words[i]
+            if word in self.specials:
+                out[i] = [self.specials[word]]
+                continue
+            if len(self.places) > MOST_STATES:
+                self._reset()
+                ending, before, states, last = self.ending, b"", [0], []
+            k, most = 0, min(len(word), len(before))
+            while k < most and word[k] == before[k]:
+                k += 1
+            del states[k + 1 :], last[k:]
+            state, step = states[k], self.step
+            for byte in word[k:]:
+                after = step.get(state << 8 | byte)
+                state = self._next(state, byte) if after is None else after
+                states.append(state)
+                last.append(ending[state])
+            path, p = [], len(last)
+            while p:
+                t = last[p - 1]
+                path.append(t)
+                p -= size[t]
+            path.reverse()
+            out[i], before = path, word
+        return out
 
     def encode_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words one after another, and their number for each word."""
-        ids = list(map(self.encode, words))
+        ids = self._encode(words)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes
 
@@ -183,7 +219,7 @@ def public_path(name: str = "byte_bpe_50k.json") -> str:
 @lru_cache(maxsize=4)
 def _encoder(name: str) -> WordIds:
     automaton = load(public_path(name))
-    return WordIds(automaton.encode_all, tuple(t.decode() for t in automaton.specials), most=250_000)
+    return WordIds(automaton.encode_all, tuple(t.decode() for t in automaton.specials), most=150_000)
 
 
 @lru_cache(maxsize=4)
