@@ -4,8 +4,10 @@ The lexicon (whole words, and stems whose words vary) is learned from labelled d
 are exceptions: words like an entry that clean documents have.  Its trie
 is intersected with Levenshtein automata into one deterministic automaton, determinised as words
 are read, that finds lexicon entries with up to one edit (two for entries of nine letters or more).
-Each hit is judged by the words around it: in quotation marks, or near a word of reporting, it
-counts as quotation, else as abuse.  A logistic model over the hit counts gives the score.
+Each hit gets a context score from the window around it, 1 for quotation and 0 for abuse: 1 between a
+pair of quotation marks of one line, and after a word of reporting the more the nearer that is.  The
+hit counts as quotation by that score and as abuse by the rest.  A logistic model over the sums gives
+the score.
 
 Learning uses a bounded sample (`most_toxic` and `most_clean` labelled documents, chosen by hash,
 one of each group of near copies): half of it proposes entries, the other half confirms them and
@@ -19,6 +21,7 @@ other columns pass through, except one named like `out`.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -32,12 +35,21 @@ from .columnar import WORD_BASE, Words, mix, ranged, running, texts
 from .support import materialised, numbered
 
 WORD = re.compile(r"[^\W_]+(?:[@$*!][^\W_]+)*")
-QUOTES = re.compile(r"[\"“”„«»]")
+#: Quotation marks that open, close, and do either.
+OPENING, CLOSING, EITHER = "\u201e\u00ab\u2039", "\u00bb\u203a", "\"\u201c\u201d"
+QUOTES = re.compile(f"[{OPENING}{CLOSING}{EITHER}\\n]")
 #: Log-odds that a hit of each kind is taken to add before the sample speaks.
 PRIOR = (10.0, 9.0, 10.0, 6.0, 1.0)
-#: Words of reporting or of talk about words.
-REPORTING = frozenset("said says wrote writes quoted quote called term word slur quoting reported".split())
+#: Words of reporting or of talk about words, in English, German, French and Spanish; a parameter of the scorer.
+REPORTING = frozenset(
+    "said says wrote writes quoted quote called term word slur quoting reported "
+    "sagte sagt schrieb schreibt zitierte zitiert zitat genannt wort begriff "
+    "dit disait écrit écrivait cité citation appelé mot terme "
+    "dijo dice escribió escribe citó cita llamado palabra término".split()
+)
 CONTEXT = 5
+#: Words that a pair of quotation marks may have between them.
+LONGEST_QUOTE = 60
 KINDS = ("exact", "fuzzy", "stem", "fuzzy_stem", "quoted")
 
 
@@ -144,7 +156,8 @@ class Model:
 class Scorer:
     """Hit counts of texts; one a Python worker, with a bounded memory of words seen."""
 
-    def __init__(self, model: Model, most_words: int = 200_000):
+    def __init__(self, model: Model, most_words: int = 200_000, reporting: frozenset[str] = REPORTING):
+        self.reporting = reporting
         self.automaton = Automaton(model.words, model.stems)
         self.exceptions = frozenset(model.exceptions)
         self.seen: dict[str, int] = {}
@@ -158,34 +171,55 @@ class Scorer:
             k = self.seen[word] = -1 if word in self.exceptions else self.automaton.match(word)
         return k
 
-    def counts(self, text: str | None) -> list[int]:
-        out = [0] * len(KINDS)
+    def counts(self, text: str | None) -> list[float]:
+        """Hits of each of KINDS, each shared between its kind and quotation by its context score."""
+        out = [0.0] * len(KINDS)
         low = (text or "").lower()
         hits = {w: k for w in set(WORD.findall(low)) if (k := self.kind(w)) >= 0}
         if not hits:
             return out
         tokens = list(WORD.finditer(low))
-        quotes = [m.start() for m in QUOTES.finditer(low)]
+        spans = quotations(low)
         for i, m in enumerate(tokens):
             k = hits.get(m[0])
             if k is not None:
-                out[4 if self._quoted(low, tokens, quotes, i) else k] += 1
+                quoted = self.context(tokens, spans, i)
+                out[k] += 1 - quoted
+                out[4] += quoted
         return out
 
-    @staticmethod
-    def _quoted(low: str, tokens: list[re.Match], quotes: list[int], i: int) -> bool:
-        """Whether a context window marks the hit as quotation: a quotation mark on either side
-        within CONTEXT words, or a word of reporting before it."""
-        a, b = tokens[max(0, i - CONTEXT)].start(), tokens[min(len(tokens) - 1, i + CONTEXT)].end()
-        left = any(a <= q < tokens[i].start() for q in quotes)
-        right = any(tokens[i].end() <= q < b + 1 for q in quotes)
-        return (left and right) or any(t[0] in REPORTING for t in tokens[max(0, i - CONTEXT) : i])
+    def context(self, tokens: list[re.Match], spans: list[tuple[int, int]], i: int) -> float:
+        """The context score of the i-th word: 1 within a quotation of LONGEST_QUOTE words at most; else by
+        the nearest word of reporting before it, from 1 next to it down to 1 / CONTEXT."""
+        at = bisect_right(spans, (tokens[i].start(), 1 << 60)) - 1
+        if at >= 0 and tokens[i].end() <= spans[at][1]:
+            first, last = max(0, i - LONGEST_QUOTE), min(len(tokens) - 1, i + LONGEST_QUOTE)
+            if tokens[first].start() <= spans[at][0] or first == 0:
+                if spans[at][1] <= tokens[last].end() + 1 or last == len(tokens) - 1:
+                    return 1.0
+        near = next((d for d in range(1, min(CONTEXT, i) + 1) if tokens[i - d][0] in self.reporting), None)
+        return 0.0 if near is None else 1 - (near - 1) / CONTEXT
+
+
+def quotations(text: str) -> list[tuple[int, int]]:
+    """The places between paired quotation marks, in order; a pair stands in one line."""
+    out: list[tuple[int, int]] = []
+    start = -1
+    for m in QUOTES.finditer(text):
+        if m[0] == "\n":
+            start = -1
+        elif m[0] in OPENING or (m[0] in EITHER and start < 0):
+            start = m.end()
+        elif start >= 0:
+            out.append((start, m.start()))
+            start = -1
+    return out
 
 
 def _features(counts: np.ndarray) -> np.ndarray:
     """0 without hits, 1 for one hit, slowly more for more."""
     counts = np.asarray(counts, float)
-    return np.where(counts > 0, 1 + 0.25 * np.log(np.maximum(counts, 1)), 0)
+    return np.minimum(counts, 1) + 0.25 * np.log(np.maximum(counts, 1))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, bias: float = -5.0, ridge: float = 0.5, rounds: int = 200) -> tuple[np.ndarray, float]:
@@ -220,7 +254,7 @@ def _near_copy_key(batch: pa.RecordBatch) -> list[int]:
 
 def training_sample(docs: DataFrame, labels: DataFrame, doc: str, text: str, label: str, most_toxic: int, most_clean: int) -> DataFrame:
     """(y, k, t) of at most that many labelled documents, one of each group of near copies."""
-    usable = labels.filter(F.col(label).isNotNull() & F.col(doc).isNotNull()).select(F.col(doc).alias("d"), (F.col(label) > 0).cast("int").alias("y")).dropDuplicates(["d"])
+    usable = labels.filter(F.col(label).isNotNull() & F.col(doc).isNotNull()).select(F.col(doc).alias("d"), (F.col(label) > 0).cast("int").alias("y")).groupBy("d").agg(F.max("y").alias("y"))
     pick = lambda y, n: usable.filter(F.col("y") == y).orderBy(F.xxhash64("d"), "d").limit(n)
     ids = pick(1, most_toxic).unionByName(pick(0, most_clean))  # bounded, so it may be broadcast
     rows = docs.select(F.col(doc).alias("d"), F.col(text).alias("t")).join(F.broadcast(ids), "d")
@@ -229,7 +263,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, doc: str, text: str, lab
         for b in batches:
             yield pa.RecordBatch.from_pydict({"y": b.column("y"), "k": pa.array(_near_copy_key(b), pa.int64()), "t": b.column("t")})
 
-    return materialised(rows.mapInArrow(keyed, "y int, k long, t string").dropDuplicates(["k"]), "toxicity-sample")
+    # of near copies the first text stays, with the label that most of them have: no run differs from another
+    one = rows.mapInArrow(keyed, "y int, k long, t string").groupBy("k").agg(F.round(F.avg("y")).cast("int").alias("y"), F.min("t").alias("t"))
+    return materialised(one.select("y", "k", "t"), "toxicity-sample")
 
 
 def learn(sample: DataFrame, most_entries: int = 4000) -> Model:
@@ -285,9 +321,9 @@ def learn(sample: DataFrame, most_entries: int = 4000) -> Model:
     def hits(batches):
         scorer = Scorer(model)
         for b in batches:
-            yield pa.RecordBatch.from_pydict({"y": b.column("y"), "x": pa.array([scorer.counts(t) for t in b.column("t").to_pylist()], pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"y": b.column("y"), "x": pa.array([scorer.counts(t) for t in b.column("t").to_pylist()], pa.list_(pa.float64()))})
 
-    rows = other.select("y", "t").mapInArrow(hits, "y int, x array<long>").groupBy("y", "x").count().collect()  # few distinct counts of a bounded sample
+    rows = other.select("y", "t").mapInArrow(hits, "y int, x array<double>").groupBy("y", "x").count().collect()  # few distinct counts of a bounded sample
     if rows and model.words + model.stems:
         n = np.array([r["count"] for r in rows])
         x, y = _features([r["x"] for r in rows]), np.array([r["y"] for r in rows], float)
@@ -297,16 +333,16 @@ def learn(sample: DataFrame, most_entries: int = 4000) -> Model:
 
 
 def toxicity(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicity") -> DataFrame:
-    """docs with a struct `out` of score (0 to 1) and the number of hits of each of KINDS."""
+    """docs with a struct `out` of score (0 to 1) and the hits of each of KINDS, weighed by their context."""
     plain, names = numbered(docs.drop(out))
     t, passed = f"c{names.index(text)}", plain.columns
-    schema = T.StructType([*plain.schema.fields, T.StructField("x", T.StructType([T.StructField("score", T.DoubleType()), *[T.StructField(k, T.LongType()) for k in KINDS]]))])
+    schema = T.StructType([*plain.schema.fields, T.StructField("x", T.StructType([T.StructField("score", T.DoubleType()), *[T.StructField(k, T.DoubleType()) for k in KINDS]]))])
     w, bias = np.array(model.weights), model.bias
 
     def scored(batches):
         scorer = Scorer(model)
         for b in batches:
-            counts = np.array([scorer.counts(x) for x in b.column(t).to_pylist()], np.int64).reshape(-1, len(KINDS))
+            counts = np.array([scorer.counts(x) for x in b.column(t).to_pylist()], float).reshape(-1, len(KINDS))
             score = 1 / (1 + np.exp(-np.clip(_features(counts) @ w + bias, -30, 30)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.StructArray.from_arrays([pa.array(score), *[pa.array(c) for c in counts.T.copy()]], names=["score", *KINDS])], names=[*passed, "x"])
 
