@@ -7,8 +7,9 @@ has at least one piece unchanged.  The first `probe` words of every piece (all o
 are looked up at every position of every text by Rabin-Karp hash; a hit places the item, and Myers'
 bit-parallel algorithm, on words, gives the least edit distance of the item to any passage around.
 
-The items must be few: their hashes go to every executor.  `most_items` bounds them, and a larger
-table is worked off in slices of that size, each against all documents.
+The items must be few: their hashes go to every executor.  A table of more than `most_items` items, or
+`most_bytes` of their texts, is worked off in slices by a hash of the item, each against all documents.
+Item ids must be whole numbers.
 
 Defined cases: null or empty texts and items match nothing, as do items of fewer than `least_words`
 words; repeated items and documents each give their own rows; empty tables give an empty result;
@@ -21,7 +22,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columnar import Words, pieces, texts
@@ -111,20 +112,18 @@ def matches(items: Items, column: pa.Array) -> list[tuple[int, int, int, int, in
     return [(row, i, *v) for (row, i), v in sorted(best.items())]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", error_share: float = 0.15, probe: int = 5, least_words: int = 8, most_items: int = 20_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", error_share: float = 0.15, probe: int = 5, least_words: int = 8, most_items: int = 20_000, most_bytes: int = 32 << 20) -> DataFrame:
     """(doc_id, item_id, distance, start_word, end_word) of every document and item that match."""
-    slices = _slices(benchmark, item, item_text, most_items)
+    slices = _slices(benchmark, item, item_text, most_items, most_bytes)
     return reduce(DataFrame.unionByName, [_against(docs, *_rows(part), doc, text, error_share, probe, least_words) for part in slices])
 
 
-def _slices(benchmark: DataFrame, item: str, item_text: str, most_items: int) -> list[DataFrame]:
-    """(i, x) of the benchmark in parts of most_items at most; of more items, each part has those of a
-    row number."""
-    total = benchmark.count()
-    slices = max(1, -(-total // most_items))
-    number = F.row_number().over(Window.orderBy(item)) if slices > 1 else F.lit(1)
-    table = benchmark.select(F.col(item).cast("long").alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("x"), number.alias("n"))
-    return [(table.filter(F.pmod("n", F.lit(slices)) == k) if slices > 1 else table).select("i", "x") for k in range(slices)]
+def _slices(benchmark: DataFrame, item: str, item_text: str, most_items: int, most_bytes: int) -> list[DataFrame]:
+    """(i, x) of the benchmark in parts of about most_items items and most_bytes of text at most."""
+    items = benchmark.select(F.col(item).cast("long").alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("x"))
+    total = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("x")).alias("b")).first()
+    slices = max(1, -(-total["n"] // most_items), -(-(total["b"] or 0) // most_bytes))
+    return [items.filter(F.pmod(F.xxhash64("i", "x"), F.lit(slices)) == k) for k in range(slices)] if slices > 1 else [items]
 
 
 def _rows(part: DataFrame) -> tuple[list[int], list[str]]:
@@ -152,12 +151,12 @@ def _against(docs: DataFrame, ids: list[int], item_texts: list[str], doc: str, t
     return rows.mapInArrow(found, T.StructType([T.StructField("doc_id", rows.schema["d"].dataType), *map(long, ("item_id", "distance", "start_word", "end_word"))]))
 
 
-def matched(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", error_share: float = 0.15, probe: int = 5, least_words: int = 8, most_items: int = 20_000, out: str = "matches") -> DataFrame:
+def matched(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", error_share: float = 0.15, probe: int = 5, least_words: int = 8, most_items: int = 20_000, most_bytes: int = 32 << 20, out: str = "matches") -> DataFrame:
     """docs with `out`, the ids of the items that a document matches.  Up to `most_items` items that is one
     pass without a shuffle.  Of more, each slice is a pass that keeps the texts with matches, by their
     SHA-256, and the lists are joined to the documents."""
     docs = docs.drop(out)
-    slices = _slices(benchmark, item, item_text, most_items)
+    slices = _slices(benchmark, item, item_text, most_items, most_bytes)
     if len(slices) == 1:
         return _listed(docs, *_rows(slices[0]), text, error_share, probe, least_words, out)
     plain, names = numbered(docs)

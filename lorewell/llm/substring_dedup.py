@@ -15,9 +15,11 @@ which is op2's digest contract; null text becomes empty.  Without it a text that
 as it is, byte for byte, and null stays null; from the others only the removed passages go.  Of the
 breaks around a passage those before it stay, at the end of a text those behind it.
 
+Ids must be whole numbers.
+
 Defined cases: null or empty text has no words; texts shorter than the window lose no words;
 documents with equal ids are never "smaller" than each other; a null id
-counts as larger than any id; an empty table gives an empty result; other columns pass through,
+counts as 2**63 - 1, larger than any other id; an empty table gives an empty result; other columns pass through,
 whatever their names, except that a column called like `out` is replaced.
 """
 

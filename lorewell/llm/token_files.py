@@ -9,6 +9,8 @@ frame.  A reader opens the end of the file and decompresses only the frames it i
 Files are written in ascending document id by one task a range of ids, in the shared folder, under
 a name of the task's own and then moved, so a task that runs again replaces what it wrote.
 
+Ids must be whole numbers.  A folder without a scheme is one of Spark's default store.
+
 Defined cases: a null text counts as empty (its only id is the end id); documents without an id come
 first; rows with equal ids stand in the order of their texts' hashes; an empty table writes no
 documents; other columns are not looked at.
@@ -16,6 +18,7 @@ documents; other columns are not looked at.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -31,7 +34,7 @@ from pyspark.sql import types as T
 from .bpe import public_path
 from .columnar import pieces, texts
 from .presplit import WordIds
-from .support import materialised, shared_folder
+from .support import materialised, shared_folder, text_bytes
 
 #: Fixed values of the seekable format.
 _SKIPPABLE_INDEX, _SKIPPABLE_TABLE, _FOOTER = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -124,11 +127,18 @@ class Reader:
             yield d, self.ids(i)
 
 
+def _qualified(spark, folder: str) -> str:
+    """folder with the scheme and host of the store that Spark would write it to."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+
+
 def _open(uri: str, how: str):
     """A file of any store that the URI names; (stream, file system, path)."""
     from pyarrow import fs
 
-    store, path = fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}" if not uri.startswith("file:") else uri.replace("file:", "file://", 1))
+    uri = re.sub("^file:/+", "file:///", re.sub("^s3[an]:", "s3:", uri))
+    store, path = fs.FileSystem.from_uri(uri)
     if how == "w":
         store.create_dir(path.rsplit("/", 1)[0], recursive=True)
         return store.open_output_stream(path, compression=None), store, path
@@ -161,8 +171,10 @@ def write_tokens(docs: DataFrame, folder: str, doc: str = "doc_id", text: str =
     """Encodes docs and writes them, in ascending order of id, as files of about file_bytes of ids
     under `folder`.  Returns the manifest: path, part, file (their order), n_docs, n_tokens."""
     rows = docs.select(F.col(doc).cast("long").alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    n = files or max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = rows.repartitionByRange(n, F.col("d").asc_nulls_first()).sortWithinPartitions(F.col("d").asc_nulls_first(), F.xxhash64("t"))
+    n = files or max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes(docs, text) // file_bytes))
+    order = (F.col("d").asc_nulls_first(), F.xxhash64("t").asc())  # rows with equal or no ids are dealt by their texts
+    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    folder = _qualified(docs.sparkSession, folder)
 
     def written(batches):
         from pyspark import TaskContext

@@ -52,6 +52,66 @@ def test_quotation_is_not_abuse():
     assert s.counts(None) == s.counts("") == [0] * 5
 
 
+def test_context_scores():
+    """Words between two quotations aren't quoted; a word of reporting counts less the farther it is."""
+    s = toxicity.Scorer(toxicity.Model(["idiot"], []))
+    score = lambda t: s.counts(t)[4]
+    assert score('"fine" you idiot "fine"') == 0 and score('"fine, you idiot" they cried') == 1
+    assert score("\u201eDu idiot\u201c sagte er") == 1 and score("\u00abidiot\u00bb") == 1 and score("el dijo idiot") == 1
+    assert score('open " and\nyou idiot " closed') == 0  # a pair stands in one line
+    assert score('"' + "long " * 80 + 'idiot" end') == 0 and score('"' + "long " * 30 + 'idiot" end') == 1
+    assert [round(score(f"said {'x ' * k}idiot"), 2) for k in range(6)] == [1, 0.8, 0.6, 0.4, 0.2, 0]
+    assert s.counts("said x idiot")[0] == pytest.approx(0.2)
+
+
+def brute_score(model, text):
+    """The score by edit distances and a plain walk over the words."""
+    low = (text or "").lower()
+    sums, tokens = [0.0] * 5, list(toxicity.WORD.finditer(low))
+    for i, m in enumerate(tokens):
+        w = m[0]
+        if w in model.exceptions:
+            continue
+        near = [distance(w, x) for x in model.words]
+        stem = [min(distance(w[:n], x) for n in range(len(w) + 1)) for x in model.stems]
+        if w in model.words:
+            k = 0
+        elif any(d <= toxicity.edits_for(len(x)) for d, x in zip(near, model.words)):
+            k = 1
+        elif 0 in stem:
+            k = 2
+        elif any(d <= toxicity.edits_for(len(x) - 1) for d, x in zip(stem, model.stems)):
+            k = 3
+        else:
+            continue
+        line = low[low.rfind("\n", 0, m.start()) + 1 : m.start()]
+        marks = line.count('"')
+        rest = low[m.end() :].split("\n")[0]
+        cue = next((d for d in range(1, 6) if i >= d and tokens[i - d][0] in toxicity.REPORTING), None)
+        q = 1.0 if marks % 2 and '"' in rest else 0.0 if cue is None else 1 - (cue - 1) / 5
+        sums[k] += 1 - q
+        sums[4] += q
+    z = model.bias + sum(w * (min(c, 1) + 0.25 * np.log(max(c, 1))) for w, c in zip(model.weights, sums))
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def test_score_is_brute_force(make):
+    model = toxicity.Model(["idiot", "worthless"], ["lowei"], ["idiom"], [3.0, 2.5, 2.0, 1.5, 0.5], -4.0)
+    rng = random.Random(8)
+    parts = ["you", "idiot", "idoit", "idiom", "worthles", "wrthlss", "loweiung", "lowies", "fine", '"', "said", "sagte", "\n", "word", "plain", "text", ","]
+    data = [None, "", *(" ".join(rng.choice(parts) for _ in range(rng.randrange(1, 25))) for _ in range(200))]
+    for r in toxicity.toxicity(make(data), model).collect():
+        assert r.toxicity.score == pytest.approx(brute_score(model, r.text), abs=1e-9), r.text
+
+
+def test_labels_of_near_copies(spark, make):
+    """The sample is the same however rows are dealt, also where copies have different labels."""
+    texts = [f"short {i % 7}" for i in range(60)] + [f"{i % 9} is the number of a longer text" for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)] + [(5, 1)], "doc_id long, toxic int")
+    got = [sorted(map(tuple, toxicity.training_sample(make(texts).repartition(n), labels.repartition(n), "doc_id", "text", "toxic", 50, 90).collect())) for n in (1, 8)]
+    assert got[0] == got[1] and 8 <= len(got[0]) <= 16
+
+
 def test_toxicity_held_out(spark, make):
     scored = catalogue.QUERIES["op1_toxicity"](spark, SF)
     rows = scored.join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").filter("held_out").collect()
@@ -92,10 +152,19 @@ def test_quality_held_out(spark, make, corpus):
     got = ordinal_quality.ordinal_quality(make(corpus), model).collect()
     assert len(got) == len(corpus) and all(0 <= r.quality.tail_probability <= 1 for r in got)
     assert ordinal_quality.ordinal_quality(make([]), model).collect() == []
+    one = ordinal_quality.trained(docs, labels.filter("quality = 1"))
+    for m in (one, ordinal_quality.trained(make([]), labels)):
+        assert {(r.quality.expected_grade, r.quality.tail_probability) for r in ordinal_quality.ordinal_quality(make(["a", None]), m).collect()} == {(0.0, 1.0)}
+    assert all(r.quality.tail_probability == 1 for r in ordinal_quality.ordinal_quality(make(["a"]), model, select_grade=0).collect())
     empty = ordinal_quality.trained(make([]), labels)
     assert all(r.quality.kept for r in ordinal_quality.ordinal_quality(make(["a", None]), empty).collect())
 
 
+def test_quality_query_held_out(spark):
+    rows = catalogue.QUERIES["op3_ordinal_quality"](spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").filter("held_out").collect()
+    assert np.mean([r.kept == bool(r.quality) for r in rows]) > 0.9 and len(rows) > 50
+
+
 def test_linear_is_features_times_weights():
     rng = np.random.default_rng(1)
     m = ordinal_quality.Model(rng.normal(size=ordinal_quality.DIMS), np.array([0.0]))
@@ -124,8 +193,11 @@ def test_url_rules(spark):
         best = max(fits, key=lambda r: len(r[0] + r[1]), default=None)
         return host, path, best and best[0] + best[1], best and best[2]
 
-    pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(URLS)], "page_id long, url string, verdict string")
-    for r in url_filter.url_filter(pages).collect():
+    pages = spark.createDataFrame([(i, u, "clash", "own") for i, u in enumerate(URLS)], "page_id long, url string, verdict string, _ruled string")
+    judged = url_filter.url_filter(pages)
+    assert judged.columns == ["page_id", "url", "verdict", "_ruled", "host", "path", "rule", "score"]
+    for r in judged.collect():
+        assert r._ruled == "own" and (r.url or r.verdict == "allow")
         host, path, rule, verdict = brute(r.url)
         assert (r.host, r.path, r.rule) == (host, path, rule)
         assert r.verdict == (verdict or ("block" if r.score >= 0.5 else "allow"))
@@ -133,13 +205,28 @@ def test_url_rules(spark):
 
 
 def test_url_model():
+    """Hosts and paths that the model hasn't seen; what says nothing is allowed."""
     held = [("https://best-casino-bonus.example.net/en/1", 1), ("http://www.cheap-pills-now.example.com/de/2", 1), ("https://blog.thernd.example.net/de/9", 0), ("https://www.museum-library.example.org/fr/1", 0)]
+    held += [("http://news.example.net/cheap-pills/casino-win/free-bets", 1), ("https://github.com/apache/spark", 0), ("https://en.wikipedia.org/wiki/Spark", 0), ("http://a.b/c", 0), (None, 0), ("", 0)]
     w, b = url_filter.fit()
     for url, y in held:
         g = url_filter.grams(*url_filter.split(url), 14)
-        assert (w[g].sum() / np.sqrt(len(g)) + b > 0) == bool(y), url
+        assert (w[g].sum() / np.sqrt(max(len(g), 1)) + b > 0) == bool(y), url
     with pytest.raises(ValueError):
-        url_filter.fit(url_filter.LABELLED, most_labelled=3)
+        url_filter.fit(url_filter.example_labels(), most_labelled=3)
+    assert url_filter.fit([("http://a.b/c", 1)])[1] < 0 and not url_filter.fit([])[0].any()
+
+
+def test_url_model_on_pages(spark):
+    """No name of the judged pages is in the labelled table; its hosts and paths differ by label."""
+    table = url_filter.example_labels()
+    named = lambda urls: {url_filter.name_of(url_filter.split(u)[0]) for u in urls}
+    pages = [r.url for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("url").collect()]
+    assert not named(pages) & named(u for u, _ in table)
+    paths = [{url_filter.split(u)[1] for u, y in table if y == label} for label in (0, 1)]
+    assert len(paths[1] - paths[0]) > 20
+    by_host, by_path = url_filter.held_out(), url_filter.held_out(by=lambda host, path: path)
+    assert by_host["fp"] == 0 and by_host["tp"] > 90 and by_path["tp"] > 180 and by_path["fp"] <= 20
 
 
 def test_url_labelled_table(spark):
@@ -187,6 +274,8 @@ def test_decontamination(spark, make):
     assert {k: r.distance for k, r in got.items()} == want and len(want) > 12
     for (d, i), r in got.items():
         assert distance(items[i], lower[d][r.start_word : r.end_word]) == r.distance
+    narrow = decontamination.contaminated(docs, bench, most_bytes=300)
+    assert {(r.doc_id, r.item_id) for r in narrow.collect()} == set(want)
     sliced = decontamination.contaminated(docs, bench, most_items=5)
     assert {(r.doc_id, r.item_id) for r in sliced.collect()} == set(want)
     listed = {(r.doc_id, i) for r in decontamination.matched(docs, bench).collect() for i in r.matches}
@@ -237,6 +326,11 @@ def test_sharding(spark, make, corpus, tmp_path):
     sharding.store_map(spark, path, 2, more)
     read = lambda v: [r.shard for r in sharding.load_map(spark, path, v).orderBy("slot").collect()]
     assert read(1) == first and read(2) == more == read(None)
+    uneven = {s: 100 + 7 * (s % 5) for s in range(64)}
+    edited = sharding.rebalanced(sharding.dealt(4, 64), uneven, 4)
+    sums = [sum(uneven[s] for s in range(64) if edited[s] == k) for k in range(4)]
+    moved = sum(a != b for a, b in zip(edited, sharding.dealt(4, 64)))
+    assert max(sums) - min(sums) < 28 and moved <= 8  # 28 is the least that a move of one slot for another changes
     skewed = [0] * 64
     level = sharding.rebalanced(skewed, {s: 10 for s in range(64)}, 4)
     assert max(Counter(level).values()) - min(Counter(level).values()) <= 1
@@ -261,13 +355,18 @@ def test_pipeline(spark):
     weigh = lambda t: 1 / (1 + np.exp(-(toxicity._features(np.array([scorer.counts(t)]))[0] @ np.array(model.weights) + model.bias)))
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in docs.collect() if weigh(r.text) < 0.7}
     near = stage["jaccard_join"](spark, docs, d)
-    from .test_text_operators import brute_components, brute_dedup
+    from .test_text_operators import WORD, brute_components, brute_cut
 
     pairs = [(r.doc_id, r.text) for r in docs.collect()]
     assert {r.doc_id for r in near.collect()} == {i for i, c in brute_components(pairs, 5, 80, 100).items() if i == c} and near.columns == docs.columns
     cut = stage["substring_dedup"](spark, docs, d)
     assert cut.columns == docs.columns and cut.dtypes == docs.dtypes
-    assert Counter((r.doc_id, r.text) for r in cut.collect()) == Counter((i, t) for (i, _, _, t), n in brute_dedup(pairs, 13).items() for _ in range(n))
+    at, least = {i: WORD.findall(t or "") for i, t in pairs}, {}
+    for i, w in at.items():
+        for k in range(len(w) - 12):
+            least[tuple(w[k : k + 13])] = min(least.get(tuple(w[k : k + 13]), i), i)
+    gone = {i: {k + j for k in range(len(w) - 12) if least[tuple(w[k : k + 13])] < i for j in range(13)} for i, w in at.items()}
+    assert {r.doc_id: r.text for r in cut.collect()} == {i: brute_cut(t, gone[i]) for i, t in pairs}
     items = [decontamination.words_of(pa.array([r.text])).hash.tolist() for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
     clean = {r.doc_id for r in stage["decontamination"](spark, docs, d).collect()}
     for i, t in pairs:

@@ -115,6 +115,15 @@ def test_null_and_equal_ids_in_files(make, tmp_path):
     assert [r.doc_id for r in rows] == [None, 2, 4, 4] and [r.start for r in rows] == [0, 2, 4, 6]
 
 
+def test_folder_without_scheme(spark, make, tmp_path):
+    """A plain path is one of Spark's default store; copies of one id are dealt over files."""
+    assert token_files._qualified(spark, str(tmp_path)) == f"file:{tmp_path}" and token_files._qualified(spark, f"file://{tmp_path}/") == f"file:{tmp_path}"
+    manifest = token_files.write_tokens(make([f"text number {i}" for i in range(300)], [None if i % 2 else 7 for i in range(300)]), f"{tmp_path}/plain", files=4)
+    assert manifest.filter("n_docs > 0").count() == 4
+    rows = token_files.read_tokens(manifest).collect()
+    assert sorted(r.start for r in rows) == [r.start for r in sorted(rows, key=lambda r: (r.doc_id is not None, r.start))] and len(rows) == 300
+
+
 def test_file_format():
     out = io.BytesIO()
     w = token_files.Writer(out, frame_bytes=64)
