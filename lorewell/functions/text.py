@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import CONTACT_DOMAIN, LIMITS, PAGE_TYPES, STALE_PATHS, STOP_WORDS
+from ..config import CONTACT_DOMAIN, LIMITS, OFFICE_PLACES, PAGE_TYPES, STALE_PATHS, STOP_WORDS
 from .ids import url_part
 
 
@@ -85,9 +85,10 @@ def phones(body: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(body, F.lit(r"\(?\d{3}\)?[\s.-]\d{3}[\s.-]\d{4}"), F.lit(0)))
 
 
-def offices(body: Column) -> Column:
+def offices(body: Column, places=OFFICE_PLACES) -> Column:
+    """At most two office places: what follows a word for an office, then numbered buildings."""
     named = F.regexp_extract_all(body, F.lit(r"(?i)(?:Office|Room|Rm\.?)\s*:?\s*([^\n,]+)"), F.lit(1))
-    placed = F.regexp_extract_all(body, F.lit(r"(\d+\s+[\w\s]+(?:Hall|Drive|Building|Center|Ave|Blvd)(?:\s+\w+)?)"), F.lit(1))
+    placed = F.regexp_extract_all(body, F.lit(rf"(\d+\s+[\w\s]+(?:{'|'.join(places)})(?:\s+\w+)?)"), F.lit(1))
     found = F.filter(F.transform(F.concat(named, placed), strip), lambda x: x != "")
     return F.array_distinct(F.slice(found, 1, 2))
 

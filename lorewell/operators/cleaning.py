@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import CHROME_LINES, FOOTER_IMAGES, FOOTER_MARKER, SEARCH_HELP
+from ..config import CHROME, Chrome
 from ..functions.text import let, strip, with_contact
 
 
-def is_chrome(line: Column, rules=CHROME_LINES) -> Column:
+def is_chrome(line: Column, rules: Chrome = CHROME) -> Column:
     out = F.lit(False)
-    for r in rules:
+    for r in rules.lines:
         out = out | line.rlike(r)
     return out
 
@@ -20,39 +22,39 @@ def collapse_blank(x: Column) -> Column:
     return F.regexp_replace(x, r"\n{4,}", "\n\n\n")
 
 
-def outside_blocks(lines: Column) -> Column:
-    """The lines outside blocks of page chrome: `Explore` lists, up to a heading of level 1 or 2 or any
-    other line; `Search` parts, up to a heading that isn't search help; footers, to the end."""
-    start = F.struct(F.lit(False).alias("explore"), F.lit(False).alias("search"), F.lit(False).alias("footer"), F.array().cast("array<string>").alias("out"))
+def outside_blocks(lines: Column, rules: Chrome = CHROME) -> Column:
+    """The lines outside blocks of page chrome: menus, up to a heading of level 1 or 2 or any line that
+    isn't an item; search panels, up to a heading that isn't search help; footers, to the end."""
+    start = F.struct(F.lit(False).alias("menu"), F.lit(False).alias("search"), F.lit(False).alias("footer"), F.array().cast("array<string>").alias("out"))
 
     def traits(line: Column) -> Column:
         def of(x: Column) -> Column:
             return F.struct(
                 line.alias("line"),
-                ((x == "") | x.startswith("* [") | x.startswith("*  ") | x.startswith("* Current page:")).alias("listed"),
-                x.rlike(r"^#{1,2}\s+\S").alias("title"), x.startswith("#").alias("heading"), x.rlike(SEARCH_HELP).alias("helps"),
-                (x == "Explore").alias("explore"), (x == "Search").alias("search"), (x.startswith(FOOTER_MARKER) | line.rlike(FOOTER_IMAGES)).alias("footer"),
+                reduce(lambda a, b: a | b, [x.startswith(i) for i in rules.menu_items], x == "").alias("listed"),
+                x.rlike(r"^#{1,2}\s+\S").alias("title"), x.startswith("#").alias("heading"), x.rlike(rules.search_help).alias("helps"),
+                (x == rules.menu).alias("menu"), (x == rules.search).alias("search"), (x.startswith(rules.footer) | line.rlike(rules.footer_pattern)).alias("footer"),
             )
 
         return let(strip(line), of)
 
     def step(s: Column, x: Column) -> Column:
-        stays = s["explore"] & ~x["title"] & x["listed"]
+        stays = s["menu"] & ~x["title"] & x["listed"]
         searching = s["search"] & (~x["heading"] | x["helps"])
         hidden = stays | searching | s["footer"]
-        opens_search = ~x["explore"] & (x["search"] | x["helps"])
-        opens_footer = ~x["explore"] & ~opens_search & x["footer"]
-        keep = ~hidden & ~x["explore"] & ~opens_search & ~opens_footer
-        # while an Explore list goes on, an open Search part is not looked at
+        opens_search = ~x["menu"] & (x["search"] | x["helps"])
+        opens_footer = ~x["menu"] & ~opens_search & x["footer"]
+        keep = ~hidden & ~x["menu"] & ~opens_search & ~opens_footer
+        # while a menu goes on, an open search panel is not looked at
         search = F.when(stays, s["search"]).otherwise(searching | (~hidden & opens_search))
         out = F.when(keep, F.concat(s["out"], F.array(x["line"]))).otherwise(s["out"])
-        return F.struct((stays | (~hidden & x["explore"])).alias("explore"), search.alias("search"), (s["footer"] | (~hidden & opens_footer)).alias("footer"), out.alias("out"))
+        return F.struct((stays | (~hidden & x["menu"])).alias("menu"), search.alias("search"), (s["footer"] | (~hidden & opens_footer)).alias("footer"), out.alias("out"))
 
     return F.aggregate(F.transform(lines, traits), start, step, lambda s: s["out"])
 
 
-def cleaned(pages: DataFrame, body: str = "body", rules=CHROME_LINES) -> DataFrame:
+def cleaned(pages: DataFrame, body: str = "body", rules: Chrome = CHROME) -> DataFrame:
     """pages with `body` without chrome and with its contact block.  The folded text is a column of its
     own before the contact block reads it many times, so that it is made once."""
-    kept = F.filter(outside_blocks(F.split(body, "\n")), lambda x: ~is_chrome(x, rules))
+    kept = F.filter(outside_blocks(F.split(body, "\n"), rules), lambda x: ~is_chrome(x, rules))
     return pages.withColumn(body, collapse_blank(F.array_join(kept, "\n"))).withColumn(body, with_contact(F.col(body)))

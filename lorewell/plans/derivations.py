@@ -70,10 +70,10 @@ cls AS (SELECT *, regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) AS host, sha256
 logged AS (SELECT crawl_seq, url, depth, host, coalesce(early, CASE WHEN row_number() OVER (PARTITION BY early IS NULL, content_hash ORDER BY crawl_seq) > 1 THEN 'DUPLICATE' ELSE 'SAVED' END) AS status FROM cls)"""
 
 
-_BEFORE = ("Explore", "* [Home](https://www.example.org/)", "* Current page: here", "* [Skip to main content](#main)")
-_TIPS = ("## Search Tips", "use short words", "# Found")
-_AFTER = ("Menu", "Get Directions", "  * Apply", "![](data:image/svg+xml;base64,AA)", "© 2024 Example", "", "", "", "", "the end")
-_FOOTER = ("### Follow us", "beyond the footer")
+_BEFORE = ("Site menu", "* [Home](https://www.example.org/)", "- [Here](#here)", "[Skip to content](#main)")
+_TIPS = ("## How to search", "use short words", "# Found")
+_AFTER = ("Back to top", "Print this page", "  Share this page", "![](data:image/svg+xml;base64,AA)", "Copyright 2024 Example", "", "", "", "", "the end")
+_FOOTER = ("### Site footer and more", "beyond the footer")
 
 
 def chrome_pages(spark: SparkSession, d: str) -> DataFrame:

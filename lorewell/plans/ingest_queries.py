@@ -178,16 +178,16 @@ pth AS (SELECT l.doc_id, l.s, l.text, concat_ws(' > ', a.title, b.title, c.title
   LEFT JOIN body b ON b.doc_id = l.doc_id AND b.s = l.s2 AND l.s2 > coalesce(l.s1, -1) LEFT JOIN body c ON c.doc_id = l.doc_id AND c.s = l.s3 AND l.s3 > greatest(coalesce(l.s1, -1), coalesce(l.s2, -1)) WHERE l.text <> ''),
 sections AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS INTEGER) AS n, path, text, CAST(length(text) // 4 AS INTEGER) AS tokens FROM pth)"""
 _BLOCK_STEP = r"""ex AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM pages_in),
-li AS (SELECT *, trim(line) AS x, regexp_matches(trim(line), '^##\s*(Search Tips|Search Help|More search options|People Results|News Results)') AS helps FROM ex),
-st(doc_id, i, explore, search, footer, kept) AS (
+li AS (SELECT *, trim(line) AS x, regexp_matches(trim(line), '^##\s*(Search filters|How to search)') AS helps FROM ex),
+st(doc_id, i, menu, search, footer, kept) AS (
   SELECT doc_id, CAST(0 AS BIGINT), false, false, false, false FROM pages_in UNION ALL
-  SELECT q.doc_id, q.i, q.stays OR (NOT q.hidden AND q.x = 'Explore'), CASE WHEN q.stays THEN q.search ELSE q.searching OR (NOT q.hidden AND q.x <> 'Explore' AND (q.x = 'Search' OR q.helps)) END,
-    q.footer OR (NOT q.hidden AND q.x LIKE '### Follow us%'), NOT q.hidden AND q.x <> 'Explore' AND q.x <> 'Search' AND NOT q.helps AND q.x NOT LIKE '### Follow us%'
+  SELECT q.doc_id, q.i, q.stays OR (NOT q.hidden AND q.x = 'Site menu'), CASE WHEN q.stays THEN q.search ELSE q.searching OR (NOT q.hidden AND q.x <> 'Site menu' AND (q.x = 'Search this site' OR q.helps)) END,
+    q.footer OR (NOT q.hidden AND q.x LIKE '### Site footer%'), NOT q.hidden AND q.x <> 'Site menu' AND q.x <> 'Search this site' AND NOT q.helps AND q.x NOT LIKE '### Site footer%'
   FROM (SELECT *, stays OR searching OR footer AS hidden FROM (SELECT *, NOT stays AND search AND (x NOT LIKE '#%' OR helps) AS searching FROM (
-    SELECT li.doc_id, CAST(li.i AS BIGINT) AS i, li.x, li.helps, st.search, st.footer, st.explore AND NOT regexp_matches(li.x, '^#{1,2}\s+\S') AND (li.x = '' OR li.x LIKE '* [%' OR li.x LIKE '*  %' OR li.x LIKE '* Current page:%') AS stays
+    SELECT li.doc_id, CAST(li.i AS BIGINT) AS i, li.x, li.helps, st.search, st.footer, st.menu AND NOT regexp_matches(li.x, '^#{1,2}\s+\S') AND (li.x = '' OR li.x LIKE '* [%' OR li.x LIKE '- [%' OR li.x LIKE '*  %') AS stays
     FROM st JOIN li ON li.doc_id = st.doc_id AND li.i = st.i + 1))) q)"""
-_CHROME_RE = r"""regexp_matches(line, '^\s*\*\s*\[Skip to (main content|search)\]') OR regexp_matches(line, '(Get Directions|See All Locations|Clear search box)') OR regexp_matches(line, '^\s*\*?\s*\[?\s*(Apply|Visit|Give|Shop|Future Students|Current Students|Jobs|Academic Calendar|Privacy Statement|Accessibility|Policies)\s*\]?$')
- OR regexp_matches(line, '^\s*(Menu|search)\s*$') OR regexp_matches(line, '^\s*!\[\]\(data:image/svg\+xml') OR regexp_matches(line, '^\s*© \d{4} Example')"""
+_CHROME_RE = r"""regexp_matches(line, '^\s*\[?Skip to content') OR regexp_matches(line, '^\s*(Print|Share) this page\s*$') OR regexp_matches(line, '^\s*Back to top\s*$') OR regexp_matches(line, '^\s*Copyright \d{4}\b')
+ OR regexp_matches(line, '!\[[^\]]*\]\(data:image/')"""
 
 _NL = "chr(10) || chr(10)"
 _CHUNKS = rf"""{_SECTIONS},

@@ -72,7 +72,7 @@ def test_links_out(of):
 
 def test_cleaner(spark):
     clean = "# Title\n\nText here.\n\n* [item](x)\n"
-    chrome = "Explore\n* [a](b)\n\n# Title\n\nText here.\nSearch\nx\n## Search Help\ny\n## Real\nMenu\nz\n### Follow us\nfoot"
+    chrome = "Site menu\n* [a](b)\n\n# Title\n\nText here.\nSearch this site\nx\n## Search filters\ny\n## Real\nBack to top\nz\n### Site footer\nfoot"
     df = spark.createDataFrame([(0, clean), (1, chrome)], "i int, body string")
     got = [r.body for r in cleaning.cleaned(df).orderBy("i").collect()]
     assert got == [clean, "# Title\n\nText here.\n## Real\nz"]
