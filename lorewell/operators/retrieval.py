@@ -5,8 +5,6 @@ qtext and qvec.  Similarities are ranked after rounding to six decimals, then by
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -16,10 +14,12 @@ from ..config import RETRIEVAL
 from ..functions.text import index_tokens, query_tokens, without_images
 
 _BLOCK = 2048  # questions in one block
+_BROADCAST_TOKENS = 500_000  # tokens of questions that are sent to all executors at most
+_SLICE_BYTES = 16 << 20  # of the vectors in one slice of the points
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     m = flat.reshape(len(column), -1)
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
@@ -27,43 +27,38 @@ def _vectors(column: pa.Array) -> np.ndarray:
 def vector_topk(questions: DataFrame, points: DataFrame, k: int = RETRIEVAL.top_k) -> DataFrame:
     """(qid, chunk_id, score, v_rank): the k most similar points of each question.
 
-    Questions go to the executors in blocks of a fixed number, so what is sent doesn't grow with
-    their number; each batch of points answers with its best k, and a window keeps the best of those."""
-    ids = questions.select("qid").where(F.col("qvec").isNotNull()).distinct()
-    count = ids.count()
-    blocks = max(1, -(-count // _BLOCK))
-    numbered = questions.select("qid", "qvec").withColumn("_b", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
-    found = None
-    for b in range(blocks):
-        rows = numbered.filter(F.col("_b") == b).collect()  # about _BLOCK rows
-        if not rows:
-            continue
-        part = points.select("chunk_id", "embedding").mapInArrow(_best(rows, k), "qid long, chunk_id string, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = points.sparkSession.createDataFrame([], "qid long, chunk_id string, score double")
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")
-    return found.withColumn("v_rank", F.row_number().over(order)).filter(F.col("v_rank") <= k)
-
-
-def _best(rows: list, k: int):
-    qid = np.array([r["qid"] for r in rows], np.int64)
-    q = np.array([r["qvec"] for r in rows], np.float64)
-    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = batch.filter(batch.column("embedding").is_valid())
-            if not batch.num_rows:
-                continue
-            score = np.round(q @ _vectors(batch.column("embedding")).T, 6)
-            names = np.array(batch.column("chunk_id").to_pylist(), object)
-            order = np.argsort(names, kind="stable")
-            score, names = score[:, order], names[order]
+    Questions are dealt into blocks and points into slices of bounded size, and each pair of them is one
+    group, which answers with the k best of its slice: one plan for any number of questions, none of
+    which goes to the driver.  A window keeps the best of all slices.  Questions and points without a
+    vector have no part in it."""
+    asked = questions.where(F.col("qvec").isNotNull()).select("qid", "qvec")
+    stored = points.where(F.col("embedding").isNotNull()).select("chunk_id", "embedding")
+    size = stored.agg(F.sum(8 * F.size("embedding")).alias("b")).first()["b"] or 0
+    slices = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // _SLICE_BYTES))
+    blocks = max(1, -(-asked.count() // _BLOCK))
+    slice_of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    x = stored.select("chunk_id", "embedding", slice_of("chunk_id", slices).alias("s"), every(blocks).alias("b"))
+    y = asked.select("qid", "qvec", slice_of("qid", blocks).alias("b"), every(slices).alias("s"))
+
+    def best(x: pa.Table, y: pa.Table) -> pa.Table:
+        names = np.array(x.column("chunk_id").to_pylist(), object)
+        if not len(names) or not y.num_rows:
+            return pa.table({"qid": y.column("qid").slice(0, 0), "chunk_id": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
+        order = np.argsort(names, kind="stable")
+        names, vectors = names[order], _vectors(x.column("embedding"))[order]
+        questions, found = _vectors(y.column("qvec")), []
+        for i in range(0, len(questions), 128):
+            score = np.round(questions[i : i + 128] @ vectors.T, 6)
             top = np.argsort(-score, axis=1, kind="stable")[:, :k]
-            yield pa.RecordBatch.from_pydict({"qid": np.repeat(qid, top.shape[1]), "chunk_id": pa.array(names[top.ravel()], pa.string()), "score": np.take_along_axis(score, top, 1).ravel()})
+            found.append((top, np.take_along_axis(score, top, 1)))
+        top, score = (np.concatenate(c) for c in zip(*found, strict=True))
+        asked = y.column("qid").take(pa.array(np.repeat(np.arange(y.num_rows), top.shape[1])))
+        return pa.table({"qid": asked, "chunk_id": pa.array(names[top.ravel()], pa.string()), "score": score.ravel()})
 
-    return best
+    found = x.groupBy("s", "b").cogroup(y.groupBy("s", "b")).applyInArrow(best, f"qid {asked.schema['qid'].dataType.simpleString()}, chunk_id string, score double")
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")
+    return found.withColumn("v_rank", F.row_number().over(order)).filter(F.col("v_rank") <= k)
 
 
 def postings(points: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -78,7 +73,9 @@ def keyword_search(questions: DataFrame, points: DataFrame, limit: int | None =
     tokens = questions.select("qid", F.posexplode(query_tokens(F.col("qtext"))).alias("n", "t"))
     parts = tokens.select("qid", "n", F.explode(index_tokens(F.col("t"))).alias("token"), F.size(index_tokens(F.col("t"))).alias("parts"))
     index = postings(points) if index is None else index
-    hits = parts.join(index, "token").groupBy("qid", "n", "parts", "chunk_id").agg(F.count(F.lit(1)).alias("have")).filter("have = parts").select("qid", "chunk_id").distinct()
+    if parts.count() <= _BROADCAST_TOKENS:  # then a frequent token is no key that all its postings meet under
+        parts = F.broadcast(parts)
+    hits = index.join(parts, "token").groupBy("qid", "n", "parts", "chunk_id").agg(F.count(F.lit(1)).alias("have")).filter("have = parts").select("qid", "chunk_id").distinct()
     if limit is not None:
         hits = hits.withColumn("_r", F.row_number().over(Window.partitionBy("qid").orderBy("chunk_id"))).filter(F.col("_r") <= limit).drop("_r")
     asked = questions.select("qid", F.transform(query_tokens(F.col("qtext")), F.lower).alias("low"))
@@ -107,15 +104,22 @@ def adjacent_chunks(hits: DataFrame, points: DataFrame, window: int = RETRIEVAL.
     return found.join(hits.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_anti")
 
 
-def hybrid_search(questions: DataFrame, points: DataFrame, top_k: int = RETRIEVAL.top_k, min_score: float = RETRIEVAL.min_score) -> DataFrame:
+def hybrid_search(questions: DataFrame, points: DataFrame, top_k: int = RETRIEVAL.top_k, min_score: float = RETRIEVAL.min_score, rrf_k: int = RETRIEVAL.rrf_k, min_rrf_score: float = RETRIEVAL.min_rrf_score) -> DataFrame:
     """(qid, position, chunk_id, score, from_vector, adjacent).
 
     With keyword hits the two lists are fused and min_score isn't applied; without, the vector list is
-    cut at min_score.  Neighbours follow with score 0."""
-    vector, keyword = vector_topk(questions, points, top_k), keyword_search(questions, points)
-    fused = rrf_fuse(vector, keyword, top_k=top_k)
-    only = vector.join(keyword.select("qid").distinct(), "qid", "left_anti").filter(F.col("score") >= min_score)
-    hits = fused.unionByName(only.select("qid", "chunk_id", "score", F.col("v_rank").alias("rank"), F.lit(True).alias("from_vector")))
+    cut at min_score.  Neighbours follow with score 0.  Both lists are read once: they are put one under
+    the other and grouped."""
+    none = lambda kind: F.lit(None).cast(kind)
+    vector = vector_topk(questions, points, top_k).select("qid", "chunk_id", "score", "v_rank", none("int").alias("k_rank"))
+    keyword = keyword_search(questions, points).select("qid", "chunk_id", none("double").alias("score"), none("int").alias("v_rank"), "k_rank")
+    both = vector.unionByName(keyword).groupBy("qid", "chunk_id").agg(F.max("score").alias("s"), F.max("v_rank").alias("v_rank"), F.max("k_rank").alias("k_rank"))
+    part = lambda c: F.coalesce(F.lit(1.0) / (F.lit(float(rrf_k)) + F.col(c)), F.lit(0.0))
+    fused = F.max(F.col("k_rank").isNotNull()).over(Window.partitionBy("qid"))
+    rows = both.withColumn("fused", fused).withColumn("score", F.when(F.col("fused"), part("v_rank") + part("k_rank")).otherwise(F.col("s")))
+    order = Window.partitionBy("qid").orderBy(F.when(F.col("fused"), -F.col("score")).otherwise(F.col("v_rank")), F.col("v_rank").isNull(), F.coalesce("v_rank", "k_rank"))
+    ranked = rows.withColumn("rank", F.row_number().over(order)).filter((F.col("rank") <= top_k) & (F.col("score") >= F.when(F.col("fused"), min_rrf_score).otherwise(min_score)))
+    hits = ranked.select("qid", "chunk_id", "score", "rank", F.col("v_rank").isNotNull().alias("from_vector"))
     near = adjacent_chunks(hits, points).withColumn("rank", F.lit(top_k) + F.row_number().over(Window.partitionBy("qid").orderBy("chunk_id")))
     return hits.withColumn("adjacent", F.lit(False)).unionByName(near.select("qid", "chunk_id", F.lit(0.0).alias("score"), "rank", F.lit(True).alias("from_vector"), F.lit(True).alias("adjacent"))).withColumnRenamed("rank", "position")
 

@@ -47,7 +47,7 @@ def answer(requests: DataFrame, points: DataFrame, embed, rewrite=None, generate
     rows = requests.withColumn("reason", F.coalesce(chat.request_check(F.col("question"), F.col("history")), chat.guard(F.col("question"))))
     asked = rows.filter("reason IS NULL").select("qid", rewritten(F.col("question"), F.col("history"), rewrite).alias("qtext"))
     asked = asked.withColumn("qvec", embed(chat.query_text(F.col("qtext"))))
-    found = retrieval.hybrid_search(asked, points).persist()  # read for the context and for the sources
+    found = retrieval.hybrid_search(asked, points)
     context = retrieval.context_block(found, points).select("qid", "context")
     source = F.struct("source_rank", "title", "url", "score")
     sources = retrieval.dedup_sources(found, points).groupBy("qid").agg(F.sort_array(F.collect_list(source)).alias("sources"))  # a few a question
