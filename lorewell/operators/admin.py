@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,23 +98,29 @@ def cron_fields(cron: str) -> list[set[int]]:
 
 def cron_next_runs(schedules: DataFrame, start: str, n: int = 5, days: int = 366 * 5) -> DataFrame:
     """(id, run, run_at): the next n times after start of the enabled schedules (id, cron, enabled) whose
-    expression is valid.  Days are listed and filtered first, then their minutes."""
-    spark, out = schedules.sparkSession, None
-    for s in schedules.filter("enabled").select("id", "cron").collect():  # a few hand-made rows
-        try:
-            minute, hour, day, month, weekday = cron_fields(s["cron"])
-        except ValueError:
-            continue
-        free_day, free_weekday = s["cron"].split()[2] == "*", s["cron"].split()[4] == "*"
-        on_day, on_weekday = F.dayofmonth("d").isin(*day), (F.dayofweek("d") - 1).isin(*weekday)
-        both = on_day | on_weekday if not free_day and not free_weekday else on_day & on_weekday
-        found = spark.range(days + 1).select(F.date_add(F.to_date(F.lit(start)), F.col("id").cast("int")).alias("d")).filter(F.month("d").isin(*month) & both)
-        times = F.flatten(F.transform(F.array(*[F.lit(h) for h in sorted(hour)]), lambda h: F.transform(F.array(*[F.lit(m) for m in sorted(minute)]), lambda m: h * 60 + m)))
-        at = found.orderBy("d").limit(n + 1).select(F.explode(times).alias("m"), "d").select((F.col("d").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("m"))).alias("run_at"))
-        at = at.filter(F.col("run_at") > F.lit(start).cast("timestamp_ntz")).orderBy("run_at").limit(n)
-        one = at.select(F.lit(s["id"]).alias("id"), F.row_number().over(Window.orderBy("run_at")).alias("run"), "run_at")
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else spark.createDataFrame([], "id string, run int, run_at timestamp_ntz")
+    expression is valid.  Of each schedule the days that fit are listed and only the first of them, which
+    are enough, are dealt into minutes."""
+
+    @F.pandas_udf("array<array<int>>")
+    def fields(cron: pd.Series) -> pd.Series:
+        out = []
+        for c in cron:
+            try:
+                out.append([sorted(f) for f in cron_fields(c or "")])
+            except ValueError:
+                out.append(None)
+        return pd.Series(out, dtype=object)
+
+    free = lambda k: F.split(F.trim("cron"), r"\s+")[k] == "*"
+    rows = schedules.filter("enabled").withColumn("f", fields("cron")).filter("f IS NOT NULL")
+    listed = rows.select("id", "f", free(2).alias("any_day"), free(4).alias("any_weekday"), F.explode(F.sequence(F.lit(0), F.lit(days))).alias("k")).withColumn("d", F.date_add(F.to_date(F.lit(start)), F.col("k")))
+    on_day, on_weekday = F.array_contains(F.col("f")[2], F.dayofmonth("d")), F.array_contains(F.col("f")[4], F.dayofweek("d") - 1)
+    fits = F.when(~F.col("any_day") & ~F.col("any_weekday"), on_day | on_weekday).otherwise(on_day & on_weekday)
+    found = listed.filter(F.array_contains(F.col("f")[3], F.month("d")) & fits)
+    first = found.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("d"))).filter(F.col("_r") <= n + 1)
+    minutes = F.flatten(F.transform(F.col("f")[1], lambda h: F.transform(F.col("f")[0], lambda m: h * 60 + m)))
+    at = first.select("id", "d", F.explode(minutes).alias("m")).select("id", (F.col("d").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("m"))).alias("run_at")).filter(F.col("run_at") > F.lit(start).cast("timestamp_ntz"))
+    return at.withColumn("run", F.row_number().over(Window.partitionBy("id").orderBy("run_at"))).filter(F.col("run") <= n).select("id", "run", "run_at")
 
 
 def phrase_scores(docs: DataFrame, boilerplate: list[str], content: list[str]) -> DataFrame:

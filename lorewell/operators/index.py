@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,27 +32,52 @@ def with_defaults(chunks: DataFrame) -> DataFrame:
     return chunks.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in PAYLOAD_DEFAULTS.items() if c in chunks.columns})
 
 
-def hash_embedder(dims: int = 64):
-    """A stand-in for an embedding model: tokens hashed with signs into `dims`, then normalised."""
+def embedder(load, dims: int, batch_size: int = 32):
+    """A column function that embeds texts with a model.  load() gives a function from a list of texts to
+    their vectors; it is called once a Python worker, and the model gets at most `batch_size` texts at a
+    time.  A model that gives vectors of another size, or another number of them, is an error.  A null
+    text counts as empty."""
 
     @F.pandas_udf("array<float>")
-    def embed(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            v = np.zeros(dims, np.float32)
-            for w in (t or "").lower().split():
-                h = zlib.crc32(w.encode())
-                v[h % dims] += 1 if h & 0x10000 else -1
-            n = float(np.linalg.norm(v))
-            out.append((v / n if n else v).tolist())
-        return pd.Series(out)
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for texts in batches:
+            rows, out = texts.fillna("").tolist(), []
+            for i in range(0, len(rows), batch_size):
+                got = np.asarray(model(rows[i : i + batch_size]), np.float32)
+                if got.shape != (len(rows[i : i + batch_size]), dims):
+                    raise ValueError(f"the model gave {got.shape} for {len(rows[i : i + batch_size])} texts of {dims} dimensions")
+                out += list(got)
+            yield pd.Series(out, dtype=object)
 
     return embed
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str = "point_id") -> DataFrame:
-    """new rows, and the old ones whose key new doesn't have; of new rows with equal keys one stays."""
-    new = new.dropDuplicates([key])
+def _hash_model(dims: int):
+    """Tokens hashed with signs into `dims`, then normalised."""
+
+    def model(texts: list[str]) -> np.ndarray:
+        words = [t.lower().split() for t in texts]
+        h = np.fromiter((zlib.crc32(w.encode()) for ws in words for w in ws), np.int64)
+        row = np.repeat(np.arange(len(texts)), [len(ws) for ws in words])
+        v = np.bincount(row * dims + h % dims, np.where(h & 0x10000, 1.0, -1.0), len(texts) * dims).reshape(-1, dims)
+        n = np.linalg.norm(v, axis=1, keepdims=True)
+        return v / np.where(n > 0, n, 1)
+
+    return model
+
+
+def hash_embedder(dims: int = 64, batch_size: int = 128):
+    """A stand-in for an embedding model."""
+    return embedder(lambda: _hash_model(dims), dims, batch_size)
+
+
+def upsert(old: DataFrame, new: DataFrame, key: str = "point_id", order: str | None = None) -> DataFrame:
+    """new rows, and the old ones whose key new doesn't have.  Of new rows with equal keys the last by
+    `order` stays; without an order, the largest row."""
+    rest = [c for c in new.columns if c != key]
+    last = F.max_by(F.struct(*rest), F.struct(*([order] if order else []), *rest))
+    new = new.groupBy(key).agg(last.alias("_n")).select(key, *[F.col(f"_n.{c}").alias(c) for c in rest]).select(new.columns)
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import json
 import re
 import zipfile
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -25,12 +27,17 @@ def listing(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
+def oversized(spark: SparkSession, path: str, glob: str, most_bytes: int) -> DataFrame:
+    """(path, size, error) of the files over a limit, from the listing."""
+    return listing(spark, path, glob).filter(F.col("size") > most_bytes).select("path", "size", F.lit("too large").alias("error"))
+
+
 def documents(spark: SparkSession, path: str, most_bytes: int = LIMITS.document_bytes) -> DataFrame:
-    """(path, content, error) of all Markdown files; a file over the limit has an error instead of text."""
+    """(path, content, error) of all Markdown files; a file over the limit has an error instead of text,
+    and is not read: the listing tells its size."""
     rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path, wholetext=True)
-    rows = rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), "value")
-    over = F.col("size") > most_bytes
-    return rows.select("path", F.when(~over, F.col("value")).alias("content"), F.when(over, "too large").alias("error"))
+    fine = rows.filter(F.col("_metadata.file_size") <= most_bytes).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"), F.lit(None).cast("string").alias("error"))
+    return fine.unionByName(oversized(spark, path, "*.md", most_bytes).select("path", F.lit(None).cast("string").alias("content"), "error"))
 
 
 def sidecars(spark: SparkSession, path: str) -> DataFrame:
@@ -40,7 +47,8 @@ def sidecars(spark: SparkSession, path: str) -> DataFrame:
 
 
 def chunk_files(spark: SparkSession, path: str, most_bytes: int = LIMITS.chunk_file_bytes) -> DataFrame:
-    """Chunk records of all chunk files, each a JSON array; files over the limit are left out."""
+    """Chunk records of all chunk files, each a JSON array; files over the limit, which
+    oversized() has, are not read."""
     rows = spark.read.schema(CHUNK).option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(path)
     return rows.filter(F.col("_metadata.file_size") <= most_bytes).select(*CHUNK.names)
 
@@ -94,11 +102,68 @@ def hash_index(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("content_hash").agg(F.max_by("url", "path").alias("url"))
 
 
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """folder with the scheme and host of the store that Spark would write it to."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+
+
+def write_objects(rows: DataFrame, folder: str, key: str = "object_key", body: str = "body") -> DataFrame:
+    """Writes each row's text as an object of its own under its key, and gives (object_key, size).  A task
+    writes an object under a name of its own and moves it, so one that runs again replaces what it wrote.
+    Of rows with equal keys one stays.  Rows without a key or with one that leaves the folder are errors."""
+    root = re.sub("^file:/+", "file:///", re.sub("^s3[an]:", "s3:", _qualified(rows.sparkSession, folder)))
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import uuid
+
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root)
+        for b in batches:
+            sizes = []
+            for name, text in zip(b["k"], b["t"], strict=True):
+                if not name or ".." in name.split("/"):
+                    raise ValueError(f"no object can have the key {name!r}")
+                data = (text or "").encode()
+                parent, _, last = f"{base}/{name.lstrip('/')}".rpartition("/")
+                store.create_dir(parent, recursive=True)
+                own = f"{parent}/.{last}-{uuid.uuid4().hex}"
+                with store.open_output_stream(own, compression=None) as out:
+                    out.write(data)
+                store.move(own, f"{parent}/{last}")
+                sizes.append(len(data))
+            yield pd.DataFrame({"object_key": b["k"], "size": sizes})
+
+    one = rows.select(F.col(key).alias("k"), F.col(body).alias("t")).groupBy("k").agg(F.max("t").alias("t"))
+    return one.mapInPandas(write, "object_key string, size long")
+
+
+def sidecar_json(pages: DataFrame, key: str = "object_key") -> DataFrame:
+    """(object_key, body): the metadata of each page as JSON that is indented by two, under the sidecar's key."""
+    fields = [f for f in PAGE.names if f in pages.columns]
+    stamp = lambda f: F.date_format(f, "yyyy-MM-dd'T'HH:mm:ssxxx").alias(f) if isinstance(PAGE[f].dataType, T.TimestampType) else F.col(f)
+
+    @F.pandas_udf("string")
+    def indented(x: pd.Series) -> pd.Series:
+        return x.map(lambda t: json.dumps(json.loads(t), indent=2, ensure_ascii=False))
+
+    record = F.to_json(F.struct(*[stamp(f) for f in fields]), {"ignoreNullFields": "false"})
+    return pages.select(F.regexp_replace(key, r"\.md$", ".meta.json").alias("object_key"), indented(record).alias("body"))
+
+
 def visit_log_lines(log: DataFrame) -> DataFrame:
     """One text line a visit, in crawl order."""
     return log.orderBy("crawl_seq").select(F.format_string("%-9s depth=%d %s %s", "status", "depth", "url", F.coalesce("reason", F.lit(""))).alias("value"))
 
 
+def write_visit_log(log: DataFrame, folder: str, stamp: str) -> str:
+    """Writes the log's lines as text files in order, in a folder that is named by the run's time stamp."""
+    path = f"{folder.rstrip('/')}/{stamp}"
+    visit_log_lines(log).write.text(path)
+    return path
+
+
 def _docx_text(data: bytes) -> str:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         xml = z.read("word/document.xml").decode("utf-8", "replace")
@@ -107,9 +172,23 @@ def _docx_text(data: bytes) -> str:
     return "\n\n".join(p.strip() for p in plain if p.strip())
 
 
-def document_text(files: DataFrame, most_bytes: int = LIMITS.download_bytes, most_chars: int = LIMITS.document_chars) -> DataFrame:
-    """(path, text, error) of binary document files (path, content): word-processor files are read; a
-    PDF needs a reader library, and without one is an error, as are other kinds and too large files."""
+def _pdf_text(data: bytes, most_pages: int, most_chars: int) -> str:
+    """Text of a PDF's first pages, by a reader library where one is installed."""
+    import pypdf
+
+    parts, size = [], 0
+    for page in pypdf.PdfReader(io.BytesIO(data)).pages[:most_pages]:
+        parts.append((page.extract_text() or "").strip())
+        size += len(parts[-1])
+        if size >= most_chars:
+            break
+    return "\n\n".join(p for p in parts if p)
+
+
+def document_text(files: DataFrame, most_bytes: int = LIMITS.download_bytes, most_chars: int = LIMITS.document_chars, most_pages: int = LIMITS.document_pages, pdf=_pdf_text) -> DataFrame:
+    """(path, text, error) of binary document files (path, content): word-processor files, and PDFs by
+    `pdf`, a function of the bytes and the two bounds; other kinds and too large files are errors, and so
+    is a PDF where no reader is installed."""
 
     @F.pandas_udf("text string, error string")
     def extract(paths: pd.Series, contents: pd.Series) -> pd.DataFrame:
@@ -122,10 +201,12 @@ def document_text(files: DataFrame, most_bytes: int = LIMITS.download_bytes, mos
                 elif kind == "docx":
                     out.append((_docx_text(data)[:most_chars], None))
                 elif kind == PDF:
-                    out.append((None, "no PDF reader"))
+                    out.append((pdf(bytes(data), most_pages, most_chars)[:most_chars], None))
                 else:
                     out.append((None, f"unsupported: {kind}"))
-            except (zipfile.BadZipFile, KeyError) as e:
+            except ImportError:
+                out.append((None, "no PDF reader"))
+            except (zipfile.BadZipFile, KeyError, ValueError) as e:
                 out.append((None, f"unreadable: {type(e).__name__}"))
         return pd.DataFrame(out, columns=["text", "error"])
 
