@@ -39,13 +39,15 @@ def ingest(pages: DataFrame, table_path: str, checkpoint: str):
     return hashed.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def limited(events: DataFrame, most: int = LIMITS.requests, window_seconds: int = LIMITS.window_seconds) -> DataFrame:
+def limited(events: DataFrame, most: int = LIMITS.requests, window_seconds: int = LIMITS.window_seconds, expires: bool = True) -> DataFrame:
     """(session_id, event_id, allowed) of a stream of (session_id, event_id, ts): the state of a session is
-    its last `most` allowed times, and goes when the session was silent for a whole window.  Within a
-    micro-batch, requests are taken in order of time; what a trigger reads bounds a micro-batch."""
+    its last `most` allowed times, and with `expires` it goes when the session was silent for a whole
+    window by the clock.  A query that expires state by the clock has no end, so one that is to end
+    (availableNow) is made without.  Within a micro-batch, requests are taken in order of time; what a
+    trigger reads bounds a micro-batch."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        if expires and state.hasTimedOut:
             state.remove()
             return
         times = list(state.get[0]) if state.exists else []
@@ -58,7 +60,8 @@ def limited(events: DataFrame, most: int = LIMITS.requests, window_seconds: int
             if allowed[-1]:
                 times.append(int(t))
         state.update((times,))
-        state.setTimeoutDuration(1000 * window_seconds)
+        if expires:
+            state.setTimeoutDuration(1000 * window_seconds)
         yield pd.DataFrame({"session_id": key[0], "event_id": rows["event_id"], "allowed": allowed})
 
-    return events.select("session_id", "event_id", "ts").groupBy("session_id").applyInPandasWithState(step, "session_id long, event_id long, allowed boolean", "times array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.select("session_id", "event_id", "ts").groupBy("session_id").applyInPandasWithState(step, "session_id long, event_id long, allowed boolean", "times array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout if expires else GroupStateTimeout.NoTimeout)

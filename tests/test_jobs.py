@@ -3,6 +3,7 @@
 import io
 import json
 import random
+import time
 import zipfile
 from collections import deque
 from datetime import datetime, timedelta
@@ -53,7 +54,7 @@ def test_stream_limit_is_batch_limit(spark, tmp_path):
     for k in range(3):
         spark.createDataFrame(rows[40 * k : 40 * k + 40], schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
     stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    q = jobs.limited(stream, 5, 60).writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q = jobs.limited(stream, 5, 60, expires=False).writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {r.event_id: r.allowed for r in spark.table("limited").collect()} == plain_limit(rows, 5, 60)
 
@@ -121,6 +122,20 @@ def test_document_text(spark):
     assert got["a.docx"] == ("One & two\n\nthree", None) and got["b.docx"][1].startswith("unreadable") and got["c.pdf"][1] == "no PDF reader" and got["d.doc"][1] == "unsupported: doc"
 
 
+def test_stream_state_expires(spark, tmp_path):
+    spark.createDataFrame(requests(20), "session_id long, event_id long, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("session_id long, event_id long, ts timestamp").parquet(str(tmp_path / "in"))
+    q = jobs.limited(stream, 5, 1).writeStream.format("memory").queryName("expiring").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="500 milliseconds").start()
+    try:
+        deadline = time.time() + 90
+        held = lambda: [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+        while time.time() < deadline and not (max(held(), default=0) > 0 and held()[-1] == 0):
+            time.sleep(0.5)
+        assert max(held()) > 0 and held()[-1] == 0 and spark.table("expiring").count() == 20
+    finally:
+        q.stop()
+
+
 def test_upsert_and_embedding(spark):
     old = spark.createDataFrame([("a", 1), ("b", 1)], "point_id string, v int")
     new = spark.createDataFrame([("b", 2), ("c", 2)], "point_id string, v int")
