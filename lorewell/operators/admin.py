@@ -57,12 +57,13 @@ def url_differences(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def url_report(urls: DataFrame, examples: int = 5) -> DataFrame:
-    """(prefix, n, urls): URLs by the first segment of their path, with a few of them."""
+    """(prefix, n, urls): URLs by the first segment of their path, with a few of them; the
+    largest groups come first."""
     path = F.regexp_replace(url_part(F.col("url"), "path"), r"^/+", "")
     rows = urls.select("url", F.split(path, "/")[0].alias("prefix"))
     first = rows.withColumn("_r", F.row_number().over(Window.partitionBy("prefix").orderBy("url"))).filter(F.col("_r") <= examples)
     few = first.groupBy("prefix").agg(F.sort_array(F.collect_list("url")).alias("urls"))
-    return rows.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).join(few, "prefix")
+    return rows.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).join(few, "prefix").orderBy(F.desc("n"), "prefix")
 
 
 def log_tail(lines: DataFrame, n: int, most: int = 5000, order: str = "seq") -> DataFrame:
