@@ -65,6 +65,7 @@ def bounded(df: DataFrame) -> DataFrame:
 
 
 def text_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Rows that go to a Python worker at once in this session, fewer than Spark's default: texts are
-    long, and a worker and its executor each hold a batch."""
+    """Rows and bytes that go to a Python worker at once in this session, fewer than Spark's default: texts
+    are long, and a worker and its executor each hold a batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columnar import WORD_BASE, Words, mix, ranged, running, texts
+from .columnar import WORD_BASE, Words, mix, pieces, ranged, running, texts
 from .support import materialised, numbered
 
 WORD = re.compile(r"[^\W_]+(?:[@$*!][^\W_]+)*")
@@ -236,6 +236,13 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, bias: float =
     return w[:-1], float(w[-1])
 
 
+def _pieces(batches, text: str):
+    """Batches of a few texts each, so that what Python holds at once is bounded by bytes."""
+    for b in batches:
+        for i, j in pieces(b, text):
+            yield b.slice(i, j - i)
+
+
 def _near_copy_key(batch: pa.RecordBatch) -> list[int]:
     """The least hash of a text's 5-word windows, the same for most near copies; of a shorter text the
     hash of its words."""
@@ -260,7 +267,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, doc: str, text: str, lab
     rows = docs.select(F.col(doc).alias("d"), F.col(text).alias("t")).join(F.broadcast(ids), "d")
 
     def keyed(batches):
-        for b in batches:
+        for b in _pieces(batches, "t"):
             yield pa.RecordBatch.from_pydict({"y": b.column("y"), "k": pa.array(_near_copy_key(b), pa.int64()), "t": b.column("t")})
 
     # of near copies the first text stays, with the label that most of them have: no run differs from another
@@ -273,7 +280,7 @@ def learn(sample: DataFrame, most_entries: int = 4000) -> Model:
     half = F.pmod(F.xxhash64("k"), F.lit(2))
 
     def words_of(batches):
-        for b in batches:
+        for b in _pieces(batches, "t"):
             toxic, clean = Counter(), Counter()
             for y, t in zip(b.column("y").to_pylist(), b.column("t").to_pylist(), strict=True):
                 (toxic if y else clean).update({w for w in WORD.findall((t or "").lower()) if w.isalpha() and len(w) < 40})
@@ -296,7 +303,7 @@ def learn(sample: DataFrame, most_entries: int = 4000) -> Model:
 
     def entries_in(batches):  # which entries the other half has, in how many documents of each class
         known, starts = set(whole), {n: {s for s in stems if len(s) == n} for n in (4, 5, 6, 7)}
-        for b in batches:
+        for b in _pieces(batches, "t"):
             toxic, clean = Counter(), Counter()
             for y, t in zip(b.column("y").to_pylist(), b.column("t").to_pylist(), strict=True):
                 ws = set(WORD.findall((t or "").lower()))
@@ -320,7 +327,7 @@ def learn(sample: DataFrame, most_entries: int = 4000) -> Model:
 
     def hits(batches):
         scorer = Scorer(model)
-        for b in batches:
+        for b in _pieces(batches, "t"):
             yield pa.RecordBatch.from_pydict({"y": b.column("y"), "x": pa.array([scorer.counts(t) for t in b.column("t").to_pylist()], pa.list_(pa.float64()))})
 
     rows = other.select("y", "t").mapInArrow(hits, "y int, x array<double>").groupBy("y", "x").count().collect()  # few distinct counts of a bounded sample
@@ -341,7 +348,7 @@ def toxicity(docs: DataFrame, model: Model, text: str = "text", out: str = "toxi
 
     def scored(batches):
         scorer = Scorer(model)
-        for b in batches:
+        for b in _pieces(batches, t):
             counts = np.array([scorer.counts(x) for x in b.column(t).to_pylist()], float).reshape(-1, len(KINDS))
             score = 1 / (1 + np.exp(-np.clip(_features(counts) @ w + bias, -30, 30)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.StructArray.from_arrays([pa.array(score), *[pa.array(c) for c in counts.T.copy()]], names=["score", *KINDS])], names=[*passed, "x"])
@@ -362,8 +369,9 @@ def trained(spark, sf_dir, most_toxic: int = 4000, most_clean: int = 6000) -> Mo
 
 
 def op1_query(spark, sf_dir):
-    from .support import table
+    from .support import table, text_batches
 
+    text_batches(spark)
     done = toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), trained(spark, sf_dir))
     score = F.col("toxicity.score")
     return done.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), score.alias("score"), (score >= 0.7).cast("int").alias("predicted"))

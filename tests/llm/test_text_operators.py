@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lorewell.llm import columnar, components, jaccard_join, quality_rules, substring_dedup
+from lorewell.llm import columnar, components, jaccard_join, quality_rules, substring_dedup, support
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -230,6 +230,13 @@ def test_jaccard_join(spark, make, corpus, k, num, blocks):
     assert {(r.doc_id, r.n_shingles) for r in rows} == {(d, len(shingles(t, k))) for d, t in pairs}
 
 
+def test_jaccard_without_broadcasts(make, corpus, monkeypatch):
+    """Beyond the bound of broadcasts tables meet by merge joins, with the same result."""
+    monkeypatch.setattr(support, "BROADCAST_ROWS", -1)
+    want = brute_components(list(enumerate(corpus)), 3, 90, 100)
+    assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(make(corpus), k=3, num=90).collect()} == want
+
+
 def test_jaccard_large_groups_and_repeated_ids(make, corpus):
     """Groups of more than three sets are dealt into pairs of blocks; ids that several texts have."""
     pairs = [(i % 61, t) for i, t in enumerate(corpus)]
