@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, jaccard_join, ordinal_quality, quality_rules, sharding, substring_dedup, token_files, toxicity, url_filter
+from . import bpe, decontamination, jaccard_join, ordinal_quality, pii, quality_rules, sharding, substring_dedup, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_query,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_sharding": sharding.op8_query,
     "op9_url_filter": url_filter.op9_query,
     "op10_token_files": token_files.op10_query,
+    "op12_pii": pii.op12_query,
 }
 ORACLE_SQL = {
     "op2_substring_dedup": substring_dedup.OP2_SQL,
     "op5_quality_rules": quality_rules.OP5_SQL,
     "op6_jaccard_join": jaccard_join.OP6_SQL,
+    "op12_pii": pii.OP12_SQL,
 }
