@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, collocations, decontamination, jaccard_join, ordinal_quality, pii, quality_rules, sharding, substring_dedup, token_files, toxicity, url_filter
+from . import bpe, collocations, decontamination, jaccard_join, lexical_search, ordinal_quality, pii, quality_rules, sharding, substring_dedup, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_sharding": sharding.op8_query,
     "op9_url_filter": url_filter.op9_query,
     "op10_token_files": token_files.op10_query,
+    "op11_lexical_search": lexical_search.op11_query,
     "op12_pii": pii.op12_query,
     "op13_collocations": collocations.op13_query,
 }
@@ -22,6 +23,7 @@ ORACLE_SQL = {
     "op2_substring_dedup": substring_dedup.OP2_SQL,
     "op5_quality_rules": quality_rules.OP5_SQL,
     "op6_jaccard_join": jaccard_join.OP6_SQL,
+    "op11_lexical_search": lexical_search.OP11_SQL,
     "op12_pii": pii.OP12_SQL,
     "op13_collocations": collocations.OP13_SQL,
 }
