@@ -16,6 +16,12 @@ import pyarrow as pa
 _OTHER, _LETTER, _NUMBER, _SPACE, _SPECIAL = range(5)
 #: The white space of the pattern's \s: fixed values.
 _WHITE = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+#: Letters and numbers of Unicode 16, which Python's tables may not have yet: fixed values.
+_LETTERS_16 = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E),
+    (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+_NUMBERS_16 = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
 _kinds: np.ndarray | None = None
 
 
@@ -24,6 +30,9 @@ def kinds() -> np.ndarray:
     global _kinds
     if _kinds is None:
         first = np.fromiter((b"LN".find(unicodedata.category(chr(c))[0].encode()) + 1 for c in range(0x110000)), np.uint8, 0x110000)
+        for ranges, kind in ((_LETTERS_16, _LETTER), (_NUMBERS_16, _NUMBER)):
+            for a, b in ranges:
+                first[a : b + 1] = kind
         first[_WHITE] = _SPACE
         _kinds = first
     return _kinds
