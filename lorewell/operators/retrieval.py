@@ -5,6 +5,8 @@ qtext and qvec.  Similarities are ranked after rounding to six decimals, then by
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -12,27 +14,29 @@ from pyspark.sql import functions as F
 
 from ..config import RETRIEVAL
 from ..functions.text import index_tokens, query_tokens, without_images
+from ..shared import materialised
+from .keyword_index import KeywordIndex
+from .vector_index import BLOCK as _BLOCK
+from .vector_index import VectorIndex, best_rows
+from .vector_index import unit as _vectors
 
-_BLOCK = 2048  # questions in one block
 _BROADCAST_TOKENS = 500_000  # tokens of questions that are sent to all executors at most
 _SLICE_BYTES = 16 << 20  # of the vectors in one slice of the points
 
 
-def _vectors(column: pa.Array) -> np.ndarray:
-    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    m = flat.reshape(len(column), -1)
-    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-
-
 def vector_topk(questions: DataFrame, points: DataFrame, k: int = RETRIEVAL.top_k) -> DataFrame:
     """(qid, chunk_id, score, v_rank): the k most similar points of each question.
 
-    Questions are dealt into blocks and points into slices of bounded size, and each pair of them is one
-    group, which answers with the k best of its slice: one plan for any number of questions, none of
-    which goes to the driver.  A window keeps the best of all slices.  Questions and points without a
-    vector have no part in it."""
+    One block of questions, counted before, goes to all tasks, and the points stay where they are read.
+    More are dealt into blocks and points into slices of bounded size, and each pair of them is one group,
+    which answers with the k best of its slice: one plan for any number of questions, none of which goes
+    to the driver.  A window keeps the best of all.  Questions and points without a vector have no part
+    in it."""
     asked = questions.where(F.col("qvec").isNotNull()).select("qid", "qvec")
     stored = points.where(F.col("embedding").isNotNull()).select("chunk_id", "embedding")
+    few = asked.limit(_BLOCK + 1).toArrow()
+    if few.num_rows <= _BLOCK:
+        return _best_ranked(_beside(few, asked, stored, k), k)
     size = stored.agg(F.sum(8 * F.size("embedding")).alias("b")).first()["b"] or 0
     slices = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // _SLICE_BYTES))
     blocks = max(1, -(-asked.count() // _BLOCK))
@@ -56,20 +60,44 @@ def vector_topk(questions: DataFrame, points: DataFrame, k: int = RETRIEVAL.top_
         asked = y.column("qid").take(pa.array(np.repeat(np.arange(y.num_rows), top.shape[1])))
         return pa.table({"qid": asked, "chunk_id": pa.array(names[top.ravel()], pa.string()), "score": score.ravel()})
 
-    found = x.groupBy("s", "b").cogroup(y.groupBy("s", "b")).applyInArrow(best, f"qid {asked.schema['qid'].dataType.simpleString()}, chunk_id string, score double")
+    return _best_ranked(x.groupBy("s", "b").cogroup(y.groupBy("s", "b")).applyInArrow(best, f"qid {asked.schema['qid'].dataType.simpleString()}, chunk_id string, score double"), k)
+
+
+def _best_ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")
     return found.withColumn("v_rank", F.row_number().over(order)).filter(F.col("v_rank") <= k)
 
 
+def _beside(block: pa.Table, asked: DataFrame, stored: DataFrame, k: int) -> DataFrame:
+    """(qid, chunk_id, score): the k best points of each batch for each question of a block."""
+    ids, vectors = block.column("qid").combine_chunks(), _vectors(block.column("qvec"))
+
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.take(pa.compute.sort_indices(b.column("chunk_id")))
+            if not b.num_rows or not len(vectors):
+                continue
+            rows = _vectors(b.column("embedding"))
+            for i in range(0, len(vectors), 128):
+                top, score = best_rows(np.round(vectors[i : i + 128] @ rows.T, 6), rows, k)
+                who = np.repeat(np.arange(i, i + len(top)), top.shape[1])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(who)), b.column("chunk_id").take(pa.array(top.ravel())), pa.array(score.ravel())], names=["qid", "chunk_id", "score"])
+
+    return stored.mapInArrow(ranked, f"qid {asked.schema['qid'].dataType.simpleString()}, chunk_id string, score double")
+
+
 def postings(points: DataFrame, key: str = "chunk_id") -> DataFrame:
     """(token, key): the inverted index of the points' texts, one row a distinct token."""
     return points.select(F.col(key), F.explode(index_tokens(F.col("text"))).alias("token")).select("token", key)
 
 
-def keyword_search(questions: DataFrame, points: DataFrame, limit: int | None = RETRIEVAL.keyword_limit, index: DataFrame | None = None) -> DataFrame:
+def keyword_search(questions: DataFrame, points: DataFrame, limit: int | None = RETRIEVAL.keyword_limit, index: DataFrame | KeywordIndex | None = None) -> DataFrame:
     """(qid, chunk_id, matches, k_rank).  A point is a candidate if it has all index tokens of one of
     the question's tokens; the first `limit` candidates by chunk_id are scored by the number of
-    question tokens that their text contains, and ranked by that."""
+    question tokens that their text contains, and ranked by that.  index: a stored index, or postings;
+    without one all points are tokenised."""
+    if isinstance(index, KeywordIndex):
+        return _by_matches(index.candidates(questions, limit), questions, points)
     tokens = questions.select("qid", F.posexplode(query_tokens(F.col("qtext"))).alias("n", "t"))
     parts = tokens.select("qid", "n", F.explode(index_tokens(F.col("t"))).alias("token"), F.size(index_tokens(F.col("t"))).alias("parts"))
     index = postings(points) if index is None else index
@@ -78,6 +106,10 @@ def keyword_search(questions: DataFrame, points: DataFrame, limit: int | None =
     hits = index.join(parts, "token").groupBy("qid", "n", "parts", "chunk_id").agg(F.count(F.lit(1)).alias("have")).filter("have = parts").select("qid", "chunk_id").distinct()
     if limit is not None:
         hits = hits.withColumn("_r", F.row_number().over(Window.partitionBy("qid").orderBy("chunk_id"))).filter(F.col("_r") <= limit).drop("_r")
+    return _by_matches(hits, questions, points)
+
+
+def _by_matches(hits: DataFrame, questions: DataFrame, points: DataFrame) -> DataFrame:
     asked = questions.select("qid", F.transform(query_tokens(F.col("qtext")), F.lower).alias("low"))
     scored = hits.join(points.select("chunk_id", F.lower("text").alias("text")), "chunk_id").join(asked, "qid")
     scored = scored.select("qid", "chunk_id", F.size(F.filter("low", lambda t: F.contains(F.col("text"), t))).alias("matches"))
@@ -104,22 +136,24 @@ def adjacent_chunks(hits: DataFrame, points: DataFrame, window: int = RETRIEVAL.
     return found.join(hits.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_anti")
 
 
-def hybrid_search(questions: DataFrame, points: DataFrame, top_k: int = RETRIEVAL.top_k, min_score: float = RETRIEVAL.min_score, rrf_k: int = RETRIEVAL.rrf_k, min_rrf_score: float = RETRIEVAL.min_rrf_score) -> DataFrame:
+def hybrid_search(questions: DataFrame, points: DataFrame, top_k: int = RETRIEVAL.top_k, min_score: float = RETRIEVAL.min_score, rrf_k: int = RETRIEVAL.rrf_k, min_rrf_score: float = RETRIEVAL.min_rrf_score, keyword_index: KeywordIndex | None = None, vector_index: VectorIndex | None = None) -> DataFrame:
     """(qid, position, chunk_id, score, from_vector, adjacent).
 
     With keyword hits the two lists are fused and min_score isn't applied; without, the vector list is
-    cut at min_score.  Neighbours follow with score 0.  Both lists are read once: they are put one under
-    the other and grouped."""
+    cut at min_score.  Neighbours follow with score 0.  The two lists are put one under the other and
+    grouped; the hits, a few a question, are written once, as they are read for the neighbours too.
+    With stored indexes neither all vectors nor all texts are read."""
     none = lambda kind: F.lit(None).cast(kind)
-    vector = vector_topk(questions, points, top_k).select("qid", "chunk_id", "score", "v_rank", none("int").alias("k_rank"))
-    keyword = keyword_search(questions, points).select("qid", "chunk_id", none("double").alias("score"), none("int").alias("v_rank"), "k_rank")
+    nearest = vector_topk(questions, points, top_k) if vector_index is None else vector_index.search(questions, top_k)
+    vector = nearest.select("qid", "chunk_id", "score", "v_rank", none("int").alias("k_rank"))
+    keyword = keyword_search(questions, points, index=keyword_index).select("qid", "chunk_id", none("double").alias("score"), none("int").alias("v_rank"), "k_rank")
     both = vector.unionByName(keyword).groupBy("qid", "chunk_id").agg(F.max("score").alias("s"), F.max("v_rank").alias("v_rank"), F.max("k_rank").alias("k_rank"))
     part = lambda c: F.coalesce(F.lit(1.0) / (F.lit(float(rrf_k)) + F.col(c)), F.lit(0.0))
     fused = F.max(F.col("k_rank").isNotNull()).over(Window.partitionBy("qid"))
     rows = both.withColumn("fused", fused).withColumn("score", F.when(F.col("fused"), part("v_rank") + part("k_rank")).otherwise(F.col("s")))
     order = Window.partitionBy("qid").orderBy(F.when(F.col("fused"), -F.col("score")).otherwise(F.col("v_rank")), F.col("v_rank").isNull(), F.coalesce("v_rank", "k_rank"))
     ranked = rows.withColumn("rank", F.row_number().over(order)).filter((F.col("rank") <= top_k) & (F.col("score") >= F.when(F.col("fused"), min_rrf_score).otherwise(min_score)))
-    hits = ranked.select("qid", "chunk_id", "score", "rank", F.col("v_rank").isNotNull().alias("from_vector"))
+    hits = materialised(ranked.select("qid", "chunk_id", "score", "rank", F.col("v_rank").isNotNull().alias("from_vector")), "hits")
     near = adjacent_chunks(hits, points).withColumn("rank", F.lit(top_k) + F.row_number().over(Window.partitionBy("qid").orderBy("chunk_id")))
     return hits.withColumn("adjacent", F.lit(False)).unionByName(near.select("qid", "chunk_id", F.lit(0.0).alias("score"), "rank", F.lit(True).alias("from_vector"), F.lit(True).alias("adjacent"))).withColumnRenamed("rank", "position")
 

@@ -8,6 +8,10 @@ from ..config import STOP_WORDS
 from ..functions.ids import point_id
 from ..functions.text import query_tokens
 from ..operators import index, retrieval
+from ..operators.keyword_index import KeywordIndex
+from ..operators.point_store import PointStore
+from ..operators.vector_index import VectorIndex, recall
+from ..shared import own_folder
 from .derivations import POINTS, QUESTIONS, points, questions, table
 
 
@@ -98,6 +102,49 @@ def stale_points(spark, d):
     return index.stale_points(old, new).select("point_id", "vec_id")
 
 
+def _vector_index(spark, d):
+    """An index of all embeddings, and as questions every row whose number is divisible by 20."""
+    rows = table(spark, d, "embeddings").select(F.format_string("%016d", "vec_id").alias("chunk_id"), "embedding")
+    asked = table(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    return VectorIndex.build(rows, own_folder(spark, "vectors")), asked, rows
+
+
+def ann_topk(spark, d):
+    index, asked, _ = _vector_index(spark, d)
+    return index.search(asked).select("qid", F.col("chunk_id").cast("long").alias("vec_id"), "score", "v_rank")
+
+
+def ann_recall(spark, d):
+    """The index's rows held against the exact search over all rows."""
+    index, asked, rows = _vector_index(spark, d)
+    return recall(index.search(asked), retrieval.vector_topk(asked, rows)).select("questions", "wanted", (F.col("recall") >= 0.9).alias("reached"))
+
+
+def indexed_search(spark, d):
+    """hybrid_search by a stored keyword index that was written in two parts, the second of which replaces some of the
+    first, and after deletes."""
+    q, p = questions(spark, d), points(spark, d)
+    stored = KeywordIndex(spark, own_folder(spark, "keywords"))
+    stored.upsert(p.withColumn("text", F.when(F.col("vec_id") % 3 == 0, F.concat(F.lit("old words "), "text")).otherwise(F.col("text"))))
+    stored.upsert(p.filter("vec_id % 3 = 0"))
+    stored.delete(p.filter("vec_id % 7 = 3"))
+    live = p.filter("vec_id % 7 <> 3")
+    found = retrieval.hybrid_search(q, live, keyword_index=stored)
+    return found.withColumn("score", F.round("score", 9)).select("qid", "position", "chunk_id", "score", "from_vector", "adjacent")
+
+
+def point_store(spark, d):
+    """All points, then pages with an even number anew in fewer chunks, the stale ones gone, and the store compacted."""
+    p = points(spark, d).select(point_id(F.col("chunk_id")).alias("point_id"), "document_id", "chunk_index", "vec_id", F.lit(1).alias("version"))
+    store = PointStore(spark, own_folder(spark, "points"))
+    store.upsert(p)
+    now = p.filter((F.floor(F.col("vec_id") / 5) % 2 == 0) & (F.col("chunk_index") < 3)).withColumn("version", F.lit(2))
+    store.upsert(now)
+    store.remove_stale(now)
+    store.compact()
+    return store.read().select("point_id", "vec_id", "version")
+
+
 def hash_embed(spark, d):
     embed = index.hash_embedder()
     v = table(spark, d, "documents").select("doc_id", embed("text").alias("v"))
@@ -107,7 +154,7 @@ def hash_embed(spark, d):
 QUERIES = {
     "vector_topk": vector_topk, "vector_min_score": vector_min_score, "query_tokens": query_token_rows, "postings": posting_counts, "keyword_search": keyword_rows, "rrf_fuse": rrf_rows, "adjacent_chunks": adjacent_rows,
     "hybrid_search": hybrid_search, "dedup_sources": source_rows, "context_block": context_rows, "point_uuid": point_uuid, "embed_context": embed_context, "chunk_validation": chunk_validation,
-    "upsert_points": upsert_points, "stale_points": stale_points, "hash_embed": hash_embed,
+    "upsert_points": upsert_points, "stale_points": stale_points, "hash_embed": hash_embed, "ann_topk": ann_topk, "ann_recall": ann_recall, "indexed_search": indexed_search, "point_store": point_store,
 }
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
@@ -147,6 +194,9 @@ SELECT qid, CAST(count(*) AS INTEGER) AS n_chunks, md5(string_agg('[Source ' ||
     "point_uuid": f"WITH {POINTS}, {_IDS} SELECT chunk_id, point_id FROM ids",
     "embed_context": f"""WITH {POINTS} SELECT chunk_id, md5('Title: ' || title || chr(10) || CASE WHEN chunk_index = 0 THEN '' ELSE 'Section: Part ' || chunk_index || chr(10) || 'Path: Top > Part ' || chunk_index || chr(10) END || chr(10) || text) AS context_md5 FROM pts""",
     "chunk_validation": f"""WITH {POINTS} SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN 'missing chunk_id' WHEN vec_id % 11 = 0 THEN 'missing document_id' WHEN vec_id % 13 = 0 OR regexp_replace(text, '\\s', '', 'g') = '' THEN 'empty text' WHEN vec_id % 17 = 0 THEN 'missing url' END AS reason, CASE WHEN vec_id % 3 = 0 THEN 'Untitled' ELSE title END AS title FROM pts""",
+    "ann_recall": "SELECT count(*) AS questions, 5 * count(*) AS wanted, true AS reached FROM embeddings WHERE vec_id % 20 = 0",
+    "indexed_search": f"WITH {POINTS.replace('pts AS', 'allpts AS', 1)}, {QUESTIONS.replace('FROM pts', 'FROM allpts')}, pts AS (SELECT * FROM allpts WHERE vec_id % 7 <> 3), {_TOKENS}, {_VECTOR}, {_KEYWORD}, {_FUSED}, {_FOUND} SELECT qid, position, chunk_id, round(score, 9) AS score, from_vector, adjacent FROM found",
+    "point_store": f"WITH {POINTS}, {_IDS} SELECT point_id, vec_id, CASE WHEN (vec_id // 5) % 2 = 0 THEN 2 ELSE 1 END AS version FROM ids WHERE (vec_id // 5) % 2 = 1 OR chunk_index < 3",
     "upsert_points": f"WITH {POINTS}, {_IDS} SELECT point_id, vec_id, CASE WHEN vec_id % 2 = 0 THEN 2 ELSE 1 END AS version FROM ids WHERE vec_id % 2 = 0 OR vec_id % 3 <> 0",
     "stale_points": f"WITH {POINTS}, {_IDS} SELECT point_id, vec_id FROM ids o WHERE vec_id % 3 <> 0 AND vec_id % 2 <> 0 AND EXISTS (SELECT 1 FROM ids n WHERE n.document_id = o.document_id AND n.vec_id % 2 = 0)",
 }
