@@ -74,7 +74,7 @@ class KeywordIndex:
                 (dead if known is None else dead.unionByName(known).distinct()).write.parquet(f"{self.path}/{fresh}")
                 n = self.spark.read.parquet(f"{self.path}/{fresh}").count()
                 segments.append({**s, "dead": n, "dead_keys": fresh} if n else s)
-            return {"segments": [*segments, *([{"name": name, "dead": 0, "dead_keys": None}] if name else [])]}
+            return {"segments": [*segments, *([{"name": name, "dead": 0, "dead_keys": None, "kind": keys.schema["k"].dataType.simpleString()}] if name else [])]}
 
         return self.commits.commit(change)
 
@@ -82,7 +82,8 @@ class KeywordIndex:
         return self.spark.read.parquet(f"{self.path}/{segment['dead_keys']}") if segment["dead_keys"] else None
 
     def _tables(self) -> list[tuple[dict, DataFrame]]:
-        return [(s, self.spark.read.parquet(f"{self.path}/data/{s['name']}/blocks")) for s in self.commits.latest()[1]["segments"]]
+        schema = "token string, first {0}, last {0}, n int, before long, keys array<{0}>, bucket int"
+        return [(s, self.spark.read.schema(schema.format(s["kind"])).parquet(f"{self.path}/data/{s['name']}/blocks")) for s in self.commits.latest()[1]["segments"]]
 
     def frequencies(self) -> DataFrame:
         """(token, df): in how many points a token is.  Dead keys are counted until compact()."""

@@ -61,7 +61,7 @@ class VectorIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         meta = spark.read.parquet(f"{self.path}/meta").first()
-        self.key, self.probes, self.k = meta["key"], meta["probes"], meta["k"]
+        self.key, self.probes, self.k, self.kinds = meta["key"], meta["probes"], meta["k"], meta["kinds"]
         rows = spark.read.parquet(f"{self.path}/centroids").orderBy("list").collect()  # MOST_LISTS at most
         self.centroids = np.array([r["centroid"] for r in rows])
 
@@ -78,7 +78,7 @@ class VectorIndex:
         seen = unit(chosen.column("v"))
         centres = centroids_of(seen, n) if len(seen) else np.zeros((1, 1))
         probes = cls._enough(seen, centres, k, recall)
-        meta = spark.range(1).select(F.lit(key).alias("key"), F.lit(probes).alias("probes"), F.lit(k).alias("k"), F.lit(total).cast("long").alias("points"))
+        meta = spark.range(1).select(F.lit(key).alias("key"), F.lit(probes).alias("probes"), F.lit(k).alias("k"), F.lit(", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)).alias("kinds"), F.lit(total).cast("long").alias("points"))
         meta.write.parquet(f"{root}/meta")
         spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "list int, centroid array<double>").write.parquet(f"{root}/centroids")
         cls._dealt(rows, centres).write.partitionBy("list").parquet(f"{root}/lists")
@@ -133,7 +133,7 @@ class VectorIndex:
         ids, vectors = block.column("qid").combine_chunks(), unit(block.column("qvec"))
         near = np.argsort(-(vectors @ self.centroids.T), axis=1)[:, :probes] if len(vectors) else np.zeros((0, probes), int)
         of_list = {int(c): np.flatnonzero((near == c).any(1)) for c in np.unique(near)}
-        stored = self.spark.read.parquet(f"{self.path}/lists").filter(F.col("list").isin(*of_list) if of_list else F.lit(False))
+        stored = self.spark.read.schema(f"{self.kinds}, list int").parquet(f"{self.path}/lists").filter(F.col("list").isin(*of_list) if of_list else F.lit(False))
         if gone is not None:
             stored = stored.join(gone.select(F.col(self.key).alias("key")).distinct(), "key", "left_anti")
 
