@@ -24,6 +24,10 @@ TRANSITIONS = {"IDLE": "CRAWLING", "CRAWLING": "CHUNKING", "CHUNKING": "EMBEDDIN
 TERMINAL = ("IDLE", "DONE", "FAILED", "CANCELLED")
 
 
+#: The state after an event in a state, where it changes.
+AFTER = {(a, "ok"): b for a, b in TRANSITIONS.items() if a not in TERMINAL} | {(s, "start"): "CRAWLING" for s in TERMINAL} | {(a, e): to for a in TRANSITIONS if a not in TERMINAL for e, to in (("fail", "FAILED"), ("cancel", "CANCELLED"))}
+
+
 def next_state(state: Column, event: Column) -> Column:
     """The state after an event: start (from a state of rest only), ok, fail, cancel."""
     onward = F.lit(None).cast("string")

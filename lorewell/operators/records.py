@@ -35,7 +35,7 @@ def resized(sidecars: DataFrame, bodies: DataFrame, key: str = "object_key", bod
 
 def with_static(docs: DataFrame, static: DataFrame, key: str = "object_key") -> DataFrame:
     """docs with the static documents; where both have a key, the static one counts."""
-    return docs.join(F.broadcast(static.select(key)), key, "left_anti").unionByName(static, allowMissingColumns=True)
+    return docs.join(static.select(key), key, "left_anti").unionByName(static, allowMissingColumns=True)
 
 
 def document_counters(log: DataFrame) -> DataFrame:
@@ -157,32 +157,68 @@ def job_registry(events: DataFrame) -> DataFrame:
     )
 
 
+def _folded(rows: DataFrame, key: str, order: list[str], out: str, start, step, done=None) -> DataFrame:
+    """Rows of `out`, made by reading each key's rows in order: step(state, row) gives the next state and the rows to
+    give, start(key) the first state, done(key, state) the rows at a key's end.  A partition is read once and holds
+    one state, so a key with any number of rows is never gathered."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state, some = None, None, False
+        for b in batches:
+            given = []
+            for row in b.itertuples(index=False):
+                k = getattr(row, key)
+                if not some or k != now:
+                    given += done(now, state) if some and done else []
+                    now, state, some = k, start(k), True
+                state, more = step(state, row)
+                given += more
+            yield pd.DataFrame(given, columns=names)
+        if some and done:
+            yield pd.DataFrame(done(now, state), columns=names)
+
+    names = [c.split()[0] for c in out.split(", ")]
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(fold, out)
+
+
 def without_overlaps(triggers: DataFrame) -> DataFrame:
     """Triggers (schedule, id, start, seconds) with `skipped`: a trigger while an earlier run of its schedule,
-    which wasn't skipped itself, is still at work doesn't start.  A schedule's triggers are few: they are
-    folded within one row."""
-    ordered = triggers.groupBy("schedule").agg(F.sort_array(F.collect_list(F.struct("start", "id", "seconds"))).alias("t"))
-    first = F.struct(F.lit(None).cast("timestamp").alias("until"), F.array().cast("array<struct<id:bigint,start:timestamp,skipped:boolean>>").alias("out"))
+    which wasn't skipped itself, is still at work doesn't start."""
+    rows = triggers.select("schedule", "id", F.unix_micros("start").alias("t"), (F.col("seconds") * 1_000_000).cast("long").alias("u"))
+
+    def step(until, r):
+        busy = r.t < until
+        return (until if busy else r.t + r.u), [(r.schedule, r.id, r.t, busy)]
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    found = _folded(rows, "schedule", ["t", "id", "u"], f"schedule {kinds['schedule']}, id {kinds['id']}, t long, skipped boolean", lambda k: -(1 << 62), step)
+    return found.select("schedule", "id", F.timestamp_micros("t").alias("start"), "skipped")
+
+
+def state_changes(events: DataFrame, after: dict[tuple[str, str], str], first: str = "IDLE") -> DataFrame:
+    """(run_id, step, seq, state): each change of a run's state, in order, by its events (run_id, seq, event); `after` gives
+    the state after an event in a state, which stays as it is where nothing is given."""
+    kind = events.schema["run_id"].dataType.simpleString()
 
-    def step(s: Column, x: Column) -> Column:
-        busy = F.coalesce(x["start"] < s["until"], F.lit(False))
-        until = F.when(busy, s["until"]).otherwise(F.timestamp_micros(F.unix_micros(x["start"]) + (x["seconds"] * 1_000_000).cast("long")))
-        return F.struct(until.alias("until"), F.concat(s["out"], F.array(F.struct(x["id"].alias("id"), x["start"].alias("start"), busy.alias("skipped")))).alias("out"))
+    def step(state, r):
+        at, n = state
+        new = after.get((at, r.event), at)
+        return ((at, n), []) if new == at else ((new, n + 1), [(r.run_id, n + 1, r.seq, new)])
 
-    rows = ordered.select("schedule", F.explode(F.aggregate("t", first, step, lambda s: s["out"])).alias("o"))
-    return rows.select("schedule", "o.id", "o.start", "o.skipped")
+    return _folded(events.select("run_id", "seq", "event"), "run_id", ["seq", "event"], f"run_id {kind}, step long, seq long, state string", lambda k: (first, 0), step)
 
 
-def run_states(events: DataFrame, next_state) -> DataFrame:
-    """(run_id, state, path) after all events (run_id, seq, event) of a run in order; a run has few."""
-    ordered = events.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("seq", "event"))).alias("e"))
-    first = F.struct(F.lit("IDLE").alias("state"), F.array(F.lit("IDLE")).alias("path"))
+def run_states(events: DataFrame, after: dict[tuple[str, str], str], first: str = "IDLE") -> DataFrame:
+    """(run_id, state, path) after all events (run_id, seq, event) of a run in order; a path is as long as its changes."""
+    kind = events.schema["run_id"].dataType.simpleString()
 
-    def step(s: Column, x: Column) -> Column:
-        after = next_state(s["state"], x["event"])
-        return F.struct(after.alias("state"), F.when(after == s["state"], s["path"]).otherwise(F.concat(s["path"], F.array(after))).alias("path"))
+    def step(path, r):
+        new = after.get((path[-1], r.event), path[-1])
+        if new != path[-1]:
+            path.append(new)
+        return path, []
 
-    return ordered.select("run_id", F.aggregate("e", first, step).alias("s")).select("run_id", "s.state", F.array_join("s.path", ">").alias("path"))
+    return _folded(events.select("run_id", "seq", "event"), "run_id", ["seq", "event"], f"run_id {kind}, state string, path string", lambda k: [first], step, lambda k, path: [(k, path[-1], ">".join(path))])
 
 
 def job_pods(pods: DataFrame, jobs: DataFrame, events: DataFrame) -> DataFrame:

@@ -133,19 +133,26 @@ def schedules_by_age(spark, d):
 
 def job_registry(spark, d):
     kind = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise("progress")
-    rows = table(spark, d, "events").filter("event_id % 3 <> 1").select((F.col("user_id") * 40 + F.floor(F.col("event_id") / 500)).alias("job_id"), F.col("event_id").alias("seq"), "ts", kind.alias("kind"), F.col("props").alias("message"))
+    rows = table(spark, d, "events").select((F.col("user_id") * 40 + F.floor(F.col("event_id") / 500)).alias("job_id"), F.col("event_id").alias("seq"), "ts", kind.alias("kind"), F.col("props").alias("message"))
     return records.job_registry(rows)
 
 
 def overlap_skips(spark, d):
-    rows = table(spark, d, "events").select((F.col("user_id") % 50).alias("schedule"), F.col("event_id").alias("id"), F.date_trunc("second", "ts").alias("start"), (F.floor("value") * 37 + 600).alias("seconds"))
+    rows = table(spark, d, "events").select(F.col("user_id").alias("schedule"), F.col("event_id").alias("id"), F.date_trunc("second", "ts").alias("start"), (F.floor("value") * 370 + 6000).alias("seconds"))
     return records.without_overlaps(rows)
 
 
-def run_state_paths(spark, d):
+def _run_events(spark, d):
     event = F.element_at(F.array(*[F.lit(e) for e in ("start", "ok", "ok", "ok", "fail", "cancel")]), (F.col("event_id") % 6 + 1).cast("int"))
-    rows = table(spark, d, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), event.alias("event")).filter("seq < 2000")
-    return records.run_states(rows, admin.next_state)
+    return table(spark, d, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), event.alias("event"))
+
+
+def run_state_paths(spark, d):
+    return records.run_states(_run_events(spark, d), admin.AFTER)
+
+
+def run_state_changes(spark, d):
+    return records.state_changes(_run_events(spark, d), admin.AFTER)
 
 
 def job_pods(spark, d):
@@ -182,16 +189,15 @@ def chat_context(spark, d):
 
 def storage_browse_by_date(spark, d):
     """The newest ten objects of a folder."""
-    at = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id") * 997 % 86_400), "yyyy-MM-dd HH:mm:ss")
+    at = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id") * 7919), "yyyy-MM-dd HH:mm:ss")
     rows = table(spark, d, "pages").select(F.concat(F.lit("site/"), F.col("page_id").cast("string"), F.lit(".md")).alias("name"), F.octet_length("html").cast("long").alias("size"), at.alias("last_modified"))
-    found = admin.browse(rows.unionByName(rows.limit(0)), "site/", "date", descending=True)
-    return found.orderBy(F.desc("last_modified"), F.desc("path")).limit(10).select("name", "path", "size", "last_modified")
+    return admin.browse(rows, "site/", "date", descending=True).limit(10).select("name", "path", "size", "last_modified")
 
 
 def _contacts(spark, d):
     i = F.col("doc_id")
     extra = F.when(i % 4 == 0, F.concat(F.lit("# Title\nFirst line of "), i.cast("string"), F.lit("\n\nRoom: 12 B\nOffice: East 3, call (512) 555-0100\nat 7 Long Hall\n"))).when(i % 4 == 1, "Write to a.b@cs.example.com or x@example.com, rm. 5\n").otherwise("")
-    return table(spark, d, "documents").select("doc_id", F.concat(extra, F.left("text", F.lit(400))).alias("body"))
+    return table(spark, d, "documents").select("doc_id", F.concat(extra, "text").alias("body"))
 
 
 def office_extract(spark, d):
@@ -206,7 +212,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         unstored_urls, known_urls, markdown_sidecars, resized_sidecars, static_documents, document_counters, clean_counters, chunk_counters, embed_counters, point_scroll, collection_stats, content_types, display_fields, text_lines,
-        settings_env, run_changes, schedules_by_age, job_registry, overlap_skips, run_state_paths, job_pods, leaky_bucket, bfs_pages, rrf_min_score, chat_context, storage_browse_by_date, office_extract, contact_blocks,
+        settings_env, run_changes, schedules_by_age, job_registry, overlap_skips, run_state_paths, run_state_changes, job_pods, leaky_bucket, bfs_pages, rrf_min_score, chat_context, storage_browse_by_date, office_extract, contact_blocks,
     )
 }
 
@@ -215,7 +221,7 @@ _FUSE_MIN = """f0 AS (SELECT qid, chunk_id, coalesce(1.0::DOUBLE / (60 + v_rank)
 f AS (SELECT qid, chunk_id, score, rank, v_rank IS NOT NULL AS from_vector FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, v_rank IS NULL, coalesce(v_rank, k_rank)) AS INTEGER) AS rank FROM f0) WHERE rank <= 5 AND score >= 0.0155)"""
 _STEP = """CASE WHEN s.state IN ('IDLE', 'DONE', 'FAILED', 'CANCELLED') THEN CASE WHEN e.event = 'start' THEN 'CRAWLING' ELSE s.state END WHEN e.event = 'start' THEN s.state WHEN e.event = 'fail' THEN 'FAILED' WHEN e.event = 'cancel' THEN 'CANCELLED' ELSE map {'CRAWLING': 'CHUNKING', 'CHUNKING': 'EMBEDDING', 'EMBEDDING': 'DONE'}[s.state] END"""
 _CONTACTS = r"""ct AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '# Title' || chr(10) || 'First line of ' || doc_id || chr(10) || chr(10) || 'Room: 12 B' || chr(10) || 'Office: East 3, call (512) 555-0100' || chr(10) || 'at 7 Long Hall' || chr(10)
-  WHEN 1 THEN 'Write to a.b@cs.example.com or x@example.com, rm. 5' || chr(10) ELSE '' END || left(text, 400) AS body FROM documents),
+  WHEN 1 THEN 'Write to a.b@cs.example.com or x@example.com, rm. 5' || chr(10) ELSE '' END || text AS body FROM documents),
 o1 AS (SELECT doc_id, body, list_filter(list_transform(list_concat(regexp_extract_all(body, '(?i)(?:Office|Room|Rm\.?)\s*:?\s*([^\n,]+)', 1), regexp_extract_all(body, '(\d+\s+[\w\s]+(?:Hall|Drive|Building|Center|Ave|Blvd)(?:\s+\w+)?)', 1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS o,
   regexp_extract_all(body, '\[([^\]]*@[^\]]+)\]\(mailto:[^)]+\)', 1) AS linked, regexp_extract_all(body, '[A-Za-z0-9_.+-]+@(?:[a-z]+\.)?example\.com') AS bare, regexp_extract_all(body, '\(?\d{3}\)?[\s.-]\d{3}[\s.-]\d{4}') AS ph FROM ct),
 o2 AS (SELECT doc_id, body, CASE WHEN len(linked) > 0 THEN linked ELSE bare END AS em0, ph, o[1:2] AS o FROM o1),
@@ -223,6 +229,10 @@ o3 AS (SELECT doc_id, body, list_filter(em0, lambda x, i: list_position(em0, x)
 o4 AS (SELECT *, CASE WHEN len(em) + len(ph) > 0 THEN chr(10) || chr(10) || '**Contact Information:**' || chr(10) || array_to_string(list_concat(list_transform(em, lambda x: '- Email: ' || x), list_concat(list_transform(ph, lambda x: '- Phone: ' || x), list_transform(offices, lambda x: '- Office: ' || x))), chr(10)) || chr(10) END AS block,
   regexp_extract(body, '(?m)^(#[^\S\n]+[^\n]+\n(?:[^\n]*\S[^\n]*\n)*)', 1) AS heading FROM o3)"""
 
+_STATES = f"""WITH RECURSIVE e0 AS (SELECT user_id AS run_id, event_id AS seq, (['start', 'ok', 'ok', 'ok', 'fail', 'cancel'])[CAST(event_id % 6 AS INTEGER) + 1] AS event FROM events), e AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS n FROM e0),
+s(run_id, n, state, path) AS (SELECT DISTINCT run_id, CAST(0 AS BIGINT), 'IDLE', 'IDLE' FROM e UNION ALL SELECT run_id, n, state, CASE WHEN state = was THEN path ELSE path || '>' || state END FROM (SELECT e.run_id, e.n, s.state AS was, s.path, {_STEP} AS state FROM s JOIN e ON e.run_id = s.run_id AND e.n = s.n + 1))
+"""
+
 ORACLE_SQL = {
     "unstored_urls": f"WITH {_CANON} SELECT page_id, url FROM cn n WHERE page_id % 4 <> 1 AND NOT EXISTS (SELECT 1 FROM cn s WHERE s.page_id % 2 = 1 AND s.url = n.url)",
     "known_urls": f"""WITH {_CANON}, l AS (SELECT unnest(regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1)) AS url FROM pages) SELECT url FROM cn UNION SELECT url FROM l WHERE url LIKE 'http%'""",
@@ -250,16 +260,15 @@ kept AS (SELECT o_orderkey AS id, o_orderstatus AS status, o_orderpriority AS ow
 u AS (SELECT c.id, arg_max(c.status, c.n) FILTER (c.status IS NOT NULL) AS status FROM c LEFT JOIN b USING (id) WHERE action = 'update' AND (b.n IS NULL OR c.n > b.n) GROUP BY c.id)
 SELECT kept.id, coalesce(u.status, kept.status) AS status, owner FROM kept LEFT JOIN u USING (id)""",
     "schedules_by_age": "SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS created FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 30",
-    "job_registry": """WITH e AS (SELECT user_id * 40 + event_id // 500 AS job_id, event_id AS seq, ts, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'progress' END AS kind, props AS message FROM events WHERE event_id % 3 <> 1),
+    "job_registry": """WITH e AS (SELECT user_id * 40 + event_id // 500 AS job_id, event_id AS seq, ts, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'progress' END AS kind, props AS message FROM events),
 x AS (SELECT job_id, min(seq) AS seq FROM e WHERE kind <> 'progress' GROUP BY job_id), s AS (SELECT job_id, min(ts) AS started_at FROM e GROUP BY job_id)
 SELECT s.job_id, coalesce(e.kind, 'running') AS status, s.started_at, e.ts AS finished_at, CASE WHEN e.kind = 'failed' THEN e.message END AS error FROM s LEFT JOIN x USING (job_id) LEFT JOIN e ON e.job_id = x.job_id AND e.seq = x.seq""",
-    "overlap_skips": """WITH RECURSIVE e AS (SELECT user_id % 50 AS schedule, event_id AS id, date_trunc('second', ts) AS start, floor(value) * 37 + 600 AS seconds FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY schedule ORDER BY start, id) AS n FROM e),
+    "overlap_skips": """WITH RECURSIVE e AS (SELECT user_id AS schedule, event_id AS id, date_trunc('second', ts) AS start, floor(value) * 370 + 6000 AS seconds FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY schedule ORDER BY start, id) AS n FROM e),
 f AS (SELECT schedule, id, start, n, start + to_seconds(CAST(seconds AS BIGINT)) AS until, false AS skipped FROM r WHERE n = 1 UNION ALL
   SELECT r.schedule, r.id, r.start, r.n, CASE WHEN r.start < f.until THEN f.until ELSE r.start + to_seconds(CAST(r.seconds AS BIGINT)) END, r.start < f.until FROM f JOIN r ON r.schedule = f.schedule AND r.n = f.n + 1)
 SELECT schedule, id, start, skipped FROM f""",
-    "run_state_paths": f"""WITH RECURSIVE e0 AS (SELECT user_id AS run_id, event_id AS seq, (['start', 'ok', 'ok', 'ok', 'fail', 'cancel'])[CAST(event_id % 6 AS INTEGER) + 1] AS event FROM events WHERE event_id < 2000), e AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS n FROM e0),
-s(run_id, n, state, path) AS (SELECT DISTINCT run_id, CAST(0 AS BIGINT), 'IDLE', 'IDLE' FROM e UNION ALL SELECT run_id, n, state, CASE WHEN state = was THEN path ELSE path || '>' || state END FROM (SELECT e.run_id, e.n, s.state AS was, s.path, {_STEP} AS state FROM s JOIN e ON e.run_id = s.run_id AND e.n = s.n + 1))
-SELECT run_id, arg_max(state, n) AS state, arg_max(path, n) AS path FROM s GROUP BY run_id""",
+    "run_state_paths": f"{_STATES} SELECT run_id, arg_max(state, n) AS state, arg_max(path, n) AS path FROM s GROUP BY run_id",
+    "run_state_changes": f"""{_STATES}, c AS (SELECT s.run_id, s.n, s.state, e.seq, lag(s.state) OVER (PARTITION BY s.run_id ORDER BY s.n) AS was FROM s LEFT JOIN e ON e.run_id = s.run_id AND e.n = s.n) SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY n) AS step, seq, state FROM c WHERE n > 0 AND state <> was""",
     "job_pods": """WITH l AS (SELECT l_orderkey, l_linenumber, min(l_linestatus) AS phase, min(l_returnflag) AS flag, min(l_partkey) AS part FROM lineitem GROUP BY 1, 2), j AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 2)
 SELECT 'job-' || o_orderkey AS job, CASE WHEN l_orderkey IS NOT NULL THEN 'pod-' || l_orderkey || '-' || l_linenumber END AS pod, phase, CAST(CASE WHEN part % 2 = 0 THEN l_linenumber % 3 + 1 ELSE 0 END AS BIGINT) AS n_events, CASE WHEN part % 2 = 0 THEN flag || (l_linenumber % 3 + 1) END AS last_reason FROM j LEFT JOIN l ON l_orderkey = o_orderkey""",
     "leaky_bucket": """WITH RECURSIVE e AS (SELECT user_id % 10 AS ip, event_id AS request_id, (epoch_us(ts) // 600000000) * 600000 AS ms FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY ms, request_id) AS n FROM e),
@@ -270,7 +279,7 @@ SELECT ip, request_id, allowed FROM f""",
 b(node, depth) AS (SELECT 'r1', 0 UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.node WHERE b.depth < 4) SELECT node, min(depth) AS depth FROM b GROUP BY node ORDER BY depth, node LIMIT 60""",
     "rrf_min_score": f"WITH {POINTS}, {QUESTIONS}, {_TOKENS}, {_VECTOR}, {_KEYWORD}, {_FUSE_MIN} SELECT qid, chunk_id, round(score, 9) AS score, rank, from_vector FROM f",
     "chat_context": f"""WITH {_CHATS} SELECT conv_id, CAST(least(count(*) - 1, 2) + 2 AS INTEGER) AS n_messages, md5('system:' || '{(chat.SYSTEM_PROMPT + chat.CONTEXT_INTRO).replace("'", "''")}' || '[Source 1] Page' || conv_id || chr(10) || coalesce(string_agg(role || ':' || text, chr(10) ORDER BY turn) FILTER (back BETWEEN 1 AND 2) || chr(10), '') || 'user:' || max(text) FILTER (back = 0)) AS messages_md5 FROM b GROUP BY conv_id""",
-    "storage_browse_by_date": """SELECT page_id || '.md' AS name, 'site/' || page_id || '.md' AS path, octet_length(encode(html)) AS size, strftime(make_timestamp((1700000000 + page_id * 997 % 86400) * 1000000), '%Y-%m-%d %H:%M:%S') AS last_modified FROM pages ORDER BY last_modified DESC, path DESC LIMIT 10""",
+    "storage_browse_by_date": """SELECT page_id || '.md' AS name, 'site/' || page_id || '.md' AS path, octet_length(encode(html)) AS size, strftime(make_timestamp((1700000000 + page_id * 7919) * 1000000), '%Y-%m-%d %H:%M:%S') AS last_modified FROM pages ORDER BY last_modified DESC, path DESC LIMIT 10""",
     "office_extract": f"WITH {_CONTACTS} SELECT doc_id, array_to_string(offices, '|') AS offices FROM o4",
     "contact_blocks": f"WITH {_CONTACTS} SELECT doc_id, block, md5(CASE WHEN block IS NULL THEN body WHEN heading = '' THEN block || body ELSE left(body, instr(body, heading) + length(heading) - 1) || block || substr(body, instr(body, heading) + length(heading)) END) AS body_md5 FROM o4",
 }
