@@ -3,9 +3,13 @@
 Texts and test items are compared as word sequences: A-Z lower-cased, words are runs of ASCII
 letters, digits and bytes from 0x80.  An item of m words may be matched with up to
 e = floor(m * error_share) word edits.  It is split into e + 1 pieces, so a passage within e edits
-has at least one piece unchanged.  The first `probe` words of every piece (all of it, if shorter)
-are looked up at every position of every text by Rabin-Karp hash; a hit places the item, and Myers'
-bit-parallel algorithm, on words, gives the least edit distance of the item to any passage around.
+has at least one piece unchanged.  A piece's probe is a run of `probe` words of it (all of it, if
+shorter); pieces are laid so that their probes are rare among the items' runs of words, and where no
+way of laying them avoids a run that more than `COMMON` items have, probes may be shorter.  Probes are
+looked up at every position of every text by Rabin-Karp hash; a hit places the item.  Places that
+overlap are one region, in which the item's words are counted first: fewer of them than the budget
+leaves can't be a match.  Myers' bit-parallel algorithm, on words, then gives the least edit distance
+of the item to any passage of the region, once.
 
 The items must be few: their hashes go to every executor.  A table of more than `most_items` items, or
 `most_bytes` of their texts, is worked off in slices by a hash of the item, each against all documents.
@@ -58,12 +62,46 @@ def myers(item: list[int], passage: list[int]) -> tuple[int, int]:
     return best, end
 
 
+#: Items that may share a probe before others are tried, and the words that a probe has then at least.
+COMMON, LEAST_PROBE = 8, 3
+
+
+def laid(cost: np.ndarray, pieces: int, probe: int) -> tuple[float, list[int]]:
+    """The starts of `pieces` runs of `probe` words that don't overlap and cost least together; cost[i] is that of the
+    run at word i.  Of equal ones the earliest."""
+    n = len(cost)
+    best = np.full((pieces + 1, n + probe + 1), np.inf)
+    best[0] = 0
+    for k in range(1, pieces + 1):
+        for i in range(n - 1, -1, -1):
+            best[k, i] = min(best[k, i + 1], cost[i] + best[k - 1, i + probe])
+    starts, i = [], 0
+    for k in range(pieces, 0, -1):
+        while best[k, i] < cost[i] + best[k - 1, i + probe]:
+            i += 1
+        starts.append(i)
+        i += probe
+    return float(best[pieces, 0]), starts
+
+
 class Items:
     """Test items with their pieces' probes, by probe length."""
 
     def __init__(self, ids: list[int], column: pa.Array, error_share: float, probe: int, least_words: int):
         w = words_of(column)
         self.ids, self.words, self.budget = ids, [w.hash[a:b].tolist() for a, b in zip(w.first, w.first[1:], strict=False)], []
+        self.sets = [set(x) for x in self.words]
+        runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+        def shared(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Runs of n words of all items: first words, hashes, and by how many items each is had."""
+            if n not in runs:
+                at, h = w.windows(n)
+                _, run = np.unique(h, return_inverse=True)
+                pairs = np.unique(run * max(1, len(ids)) + w.text[at])
+                runs[n] = (at, h, np.bincount(pairs // max(1, len(ids)), minlength=run.max(initial=-1) + 1)[run])
+            return runs[n]
+
         found: dict[int, list[tuple[int, int, int]]] = {}
         for i, words in enumerate(self.words):
             m = len(words)
@@ -71,9 +109,21 @@ class Items:
             self.budget.append(e)
             if m < max(1, least_words):
                 continue
-            cut = [m * k // (e + 1) for k in range(e + 2)]
-            for a, b in zip(cut, cut[1:], strict=False):
-                found.setdefault(min(probe, b - a), []).append((w.first[i] + a, i, a))
+            most, choice = min(probe, m // (e + 1)), None
+            for n in range(most, min(most, LEAST_PROBE) - 1, -1):
+                at, _, items_with = shared(n)
+                first = np.searchsorted(at, w.first[i])
+                held = items_with[first : first + m - n + 1].astype(float)
+                starts = [m * k // (e + 1) for k in range(e + 1)]  # pieces of equal length, if their first words will do
+                if held[starts].max() > COMMON:
+                    _, starts = laid(held * held, e + 1, n)
+                worst = held[starts].max()
+                if choice is None or worst < choice[0]:
+                    choice = (worst, n, starts)
+                if worst <= COMMON:
+                    break
+            for a in choice[2]:
+                found.setdefault(choice[1], []).append((w.first[i] + a, i, a))
         self.probes = []
         for n, rows in sorted(found.items()):
             at, h = w.windows(n)
@@ -83,31 +133,40 @@ class Items:
             self.probes.append((n, key[order], np.array([rows[k][1] for k in order]), np.array([rows[k][2] for k in order])))
 
 
+def _regions(hits: np.ndarray, items: Items, first: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(row, item, first word, end word) of the words around hits (row, item, start); those that overlap are one."""
+    if not len(hits):
+        return []
+    row, i, start = np.unique(hits, axis=0).T
+    size, e = np.array([len(x) for x in items.words]), np.array(items.budget)
+    a, b = np.maximum(first[row], start - e[i]), np.minimum(first[row + 1], start + size[i] + e[i])
+    new = np.ones(len(a), bool)
+    new[1:] = (row[1:] != row[:-1]) | (i[1:] != i[:-1]) | (a[1:] >= b[:-1])  # of one item all are as long, so ends ascend
+    at = np.flatnonzero(new)
+    return list(zip(row[at].tolist(), i[at].tolist(), a[at].tolist(), np.maximum.reduceat(b, at).tolist(), strict=True))
+
+
 def matches(items: Items, column: pa.Array) -> list[tuple[int, int, int, int, int]]:
     """(row, item, distance, first word, end word) of each text and item that match: the best match."""
     w = words_of(column)
-    hits: set[tuple[int, int, int]] = set()
+    hits = [np.zeros((0, 3), np.int64)]
     for n, keys, item, offset in items.probes:
         at, h = w.windows(n)
-        low = np.searchsorted(keys, h)
-        found = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == h) if len(keys) else []
-        high = np.searchsorted(keys, h[found], "right") if len(found) else []
-        for p, a, b in zip(at[found].tolist() if len(found) else [], low[found].tolist() if len(found) else [], high, strict=True):
-            for k in range(a, b):
-                hits.add((int(w.text[p]), int(item[k]), p - int(offset[k])))
+        low, high = np.searchsorted(keys, h), np.searchsorted(keys, h, "right")
+        some = np.flatnonzero(high > low)
+        size = high[some] - low[some]
+        k = np.arange(size.sum()) + np.repeat(low[some] - (np.cumsum(size) - size), size)
+        p = np.repeat(at[some], size)
+        hits.append(np.column_stack([w.text[p], item[k], p - offset[k]]))
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    tried: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for row, i, start in sorted(hits):
-        m, e = len(items.words[i]), items.budget[i]
-        a, b = max(w.first[row], start - e), min(w.first[row + 1], start + m + e)
-        if any(x <= a and b <= y for x, y in tried.get((row, i), ())):
+    for row, i, a, b in _regions(np.concatenate(hits), items, w.first):
+        e, passage = items.budget[i], w.hash[a:b].tolist()
+        if sum(map(items.sets[i].__contains__, passage)) < len(items.words[i]) - e:
             continue
-        tried.setdefault((row, i), []).append((a, b))
-        passage = w.hash[a:b].tolist()
         distance, end = myers(items.words[i], passage)
         if distance <= e and distance < best.get((row, i), (e + 1,))[0]:
             back, size = myers(items.words[i][::-1], passage[:end][::-1])
-            size = size if back == distance else m
+            size = size if back == distance else len(items.words[i])
             best[row, i] = (distance, int(a + end - size - w.first[row]), int(a + end - w.first[row]))
     return [(row, i, *v) for (row, i), v in sorted(best.items())]
 
@@ -132,11 +191,11 @@ def _rows(part: DataFrame) -> tuple[list[int], list[str]]:
 
 
 def _against(docs: DataFrame, ids: list[int], item_texts: list[str], doc: str, text: str, error_share: float, probe: int, least_words: int) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast((ids, item_texts))
+    sent = docs.sparkSession.sparkContext.broadcast(Items(ids, pa.array(item_texts, pa.string()), error_share, probe, least_words))
     rows = docs.select(F.col(doc).alias("d"), F.col(text).alias("t"))
 
     def found(batches):
-        items = Items(sent.value[0], pa.array(sent.value[1], pa.string()), error_share, probe, least_words)
+        items = sent.value
         for batch in batches:
             hit = [(a + r, *m) for a, b in pieces(batch, "t") for r, *m in matches(items, batch.column("t").slice(a, b - a))]
             r, i, distance, start, end = zip(*hit, strict=True) if hit else ((),) * 5
@@ -175,12 +234,12 @@ def _listed(docs: DataFrame, ids: list[int], item_texts: list[str], text: str, e
     """docs with `out`, the ids of these items that a document matches: one pass, no shuffle."""
     from pyspark.sql import types as T
 
-    sent = docs.sparkSession.sparkContext.broadcast((ids, item_texts))
+    sent = docs.sparkSession.sparkContext.broadcast(Items(ids, pa.array(item_texts, pa.string()), error_share, probe, least_words))
     plain, names = numbered(docs)
     t, passed = f"c{names.index(text)}", plain.columns
 
     def found(batches):
-        items = Items(sent.value[0], pa.array(sent.value[1], pa.string()), error_share, probe, least_words)
+        items = sent.value
         for batch in batches:
             got: list[list[int]] = [[] for _ in range(batch.num_rows)]
             for a, b in pieces(batch, t):
