@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import ALLOWED_DOMAINS, BLOCKED_DOMAINS, BLOCKED_PATHS
 from ..functions.ids import url_part
+from ..shared import materialised, own_folder
 
 
 def _any(parts: list[Column]) -> Column:
@@ -93,20 +93,62 @@ def links(pages: DataFrame, html: str = "html", base: str = "url") -> DataFrame:
     return found.select("page_id", "href", ((url_part(F.col("href"), "netloc") == "") | (url_part(F.col("href"), "host") == own)).alias("internal"))
 
 
-def bfs_depth(edges: DataFrame, seeds: DataFrame, max_depth: int = 4, shared: str | None = None) -> DataFrame:
+def _levels(spark, seeds: DataFrame):
+    """A folder of visited levels: write(depth, rows) and read(depths)."""
+    path = own_folder(spark, "crawl")
+    schema = f"{seeds.schema['node'].simpleString().replace(':', ' ')}, depth int"
+    write = lambda depth, rows: rows.select("node", F.lit(depth).alias("depth")).write.parquet(f"{path}/level={depth}")
+    read = lambda depths: spark.read.schema(schema).parquet(*[f"{path}/level={k}" for k in depths])
+    return write, read
+
+
+def bfs_depth(edges: DataFrame, seeds: DataFrame, max_depth: int = 4) -> DataFrame:
     """(node, depth): the least number of edges (src, dst) from a seed, up to max_depth.  A frontier
     is joined with the edges and rid of what was visited; each round is cut from its lineage by files."""
+    return crawled(edges, seeds, max_depth)
+
+
+def crawled(edges: DataFrame, seeds: DataFrame, max_depth: int = 4, max_pages: int | None = None, host: Column | None = None, expands: Column | None = None) -> DataFrame:
+    """(node, depth) of a breadth-first crawl that ends with the page that fills max_pages: a level is cut to
+    what is left of the bound before anything of it is followed, and no level comes after that.
+
+    Within a level hosts take turns, each with its nodes in order, so that none is asked many times in a row; without
+    `host`, an expression on node, nodes come in order.  Nodes for which `expands` isn't true, such as documents that
+    aren't pages, are visited but not followed."""
     spark = edges.sparkSession
-    folder = shared or spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
-    path = f"{folder.rstrip('/')}/bfs-{uuid.uuid4().hex}"
-    seeds.select("node").distinct().withColumn("depth", F.lit(0)).write.parquet(f"{path}/level=0")
-    schema = f"{seeds.schema['node'].simpleString().replace(':', ' ')}, depth int"
-    level = lambda n: spark.read.schema(schema).parquet(*[f"{path}/level={k}" for k in n])
-    done = 0
-    for depth in range(1, max_depth + 1):
-        step = level([depth - 1]).join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        step.join(level(range(depth)).select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)).write.parquet(f"{path}/level={depth}")
-        done = depth
-        if level([depth]).isEmpty():
+    write, read = _levels(spark, seeds)
+    left, depth = max_pages, 0
+    frontier = seeds.select("node").filter(F.col("node").isNotNull()).distinct()
+    while True:
+        cut = frontier if left is None else _first_turns(frontier, left, host)
+        write(depth, cut)
+        found = 0 if read([depth]).isEmpty() else read([depth]).count()
+        left = None if left is None else left - found
+        if not found or depth == max_depth or left == 0:
+            return read(range(depth + 1))
+        now = read([depth])
+        followed = now if expands is None else now.filter(expands)
+        step = followed.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).filter(F.col("node").isNotNull()).distinct()
+        frontier = step.join(read(range(depth + 1)).select("node"), "node", "left_anti")
+        depth += 1
+
+
+def _first_turns(frontier: DataFrame, most: int, host: Column | None) -> DataFrame:
+    """The first `most` nodes of a level, hosts taking turns.  How many turns fit is told by counts by turn, so that only
+    the last turn, with a node of each host at most, is ordered as a whole."""
+    if most <= 0:
+        return frontier.limit(0)
+    if host is None:
+        return frontier.orderBy("node").limit(most)
+    turns = materialised(frontier.withColumn("turn", F.row_number().over(Window.partitionBy(host).orderBy("node"))), "turns")
+    counts = turns.groupBy("turn").agg(F.count(F.lit(1)).alias("n")).orderBy("turn")
+    whole, last = 0, None
+    for r in counts.limit(most).toLocalIterator():  # a turn has a node at least
+        if whole + r["n"] > most:
+            last = r["turn"]
             break
-    return level(range(done + 1))
+        whole += r["n"]
+    if last is None:
+        return turns.select("node")
+    rest = turns.filter(F.col("turn") == last).orderBy("node").limit(most - whole)
+    return turns.filter(F.col("turn") < last).select("node").unionByName(rest.select("node"))

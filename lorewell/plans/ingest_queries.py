@@ -72,12 +72,16 @@ def link_extract(spark, d):
     return crawl.links(table(spark, d, "pages")).groupBy("page_id").agg(F.count(F.lit(1)).alias("links"), F.count_if("internal").alias("internal"), F.countDistinct("href").alias("targets"))
 
 
-def bfs_depth(spark, d):
-    """The graph of orders' customers and the nation and region above them."""
+def graph(spark, d):
+    """The graph of customers and the nation and region above them."""
     up = table(spark, d, "customer").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("src"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("dst"))
     top = table(spark, d, "nation").select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("src"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("dst"))
     back = up.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return crawl.bfs_depth(up.unionByName(top).unionByName(back), spark.range(1).select(F.lit("r1").alias("node")), 4)
+    return up.unionByName(top).unionByName(back)
+
+
+def bfs_depth(spark, d):
+    return crawl.bfs_depth(graph(spark, d), spark.range(1).select(F.lit("r1").alias("node")), 4)
 
 
 def frontmatter_roundtrip(spark, d):

@@ -176,6 +176,25 @@ def bfs_pages(spark, d):
     return records.first_pages(bfs_depth(spark, d), 60)
 
 
+def bounded_pages(spark, d):
+    """The pages of bfs_pages, by a traversal that stops at its bound."""
+    from .ingest_queries import graph
+
+    return crawl.crawled(graph(spark, d), spark.range(1).select(F.lit("r1").alias("node")), 4, 60)
+
+
+def site_crawl(spark, d):
+    """A crawl of the pages' links from their hosts, at most 1,500 nodes: a host leads to its pages, a page to its link
+    targets; documents are visited but not followed.  Hosts take turns."""
+    pages = table(spark, d, "pages")
+    own = pages.select("page_id", ids.url_part(F.col("url"), "host").alias("host"), ids.canonical_url(F.col("url")).alias("page"))
+    target = F.concat(F.lit("https://"), "host", "href")
+    links = crawl.links(pages).filter("href LIKE '/%'").join(own, "page_id").select(F.col("page").alias("src"), ids.canonical_url(target).alias("dst"))
+    edges = own.select(F.col("host").alias("src"), F.col("page").alias("dst")).unionByName(links).filter("src <> '' AND dst <> ''")
+    host = F.coalesce(F.nullif(ids.url_part(F.col("node"), "host"), F.lit("")), F.col("node"))
+    return crawl.crawled(edges, own.select(F.col("host").alias("node")).filter("node <> ''"), 3, 1500, host, ~crawl.is_document_url(F.col("node")))
+
+
 def rrf_min_score(spark, d):
     q, p = questions(spark, d), points(spark, d)
     return retrieval.rrf_fuse(retrieval.vector_topk(q, p), retrieval.keyword_search(q, p), min_score=0.0155).withColumn("score", F.round("score", 9))
@@ -212,7 +231,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         unstored_urls, known_urls, markdown_sidecars, resized_sidecars, static_documents, document_counters, clean_counters, chunk_counters, embed_counters, point_scroll, collection_stats, content_types, display_fields, text_lines,
-        settings_env, run_changes, schedules_by_age, job_registry, overlap_skips, run_state_paths, run_state_changes, job_pods, leaky_bucket, bfs_pages, rrf_min_score, chat_context, storage_browse_by_date, office_extract, contact_blocks,
+        settings_env, run_changes, schedules_by_age, job_registry, overlap_skips, run_state_paths, run_state_changes, job_pods, leaky_bucket, bfs_pages, bounded_pages, site_crawl, rrf_min_score, chat_context, storage_browse_by_date, office_extract, contact_blocks,
     )
 }
 
@@ -229,6 +248,19 @@ o3 AS (SELECT doc_id, body, list_filter(em0, lambda x, i: list_position(em0, x)
 o4 AS (SELECT *, CASE WHEN len(em) + len(ph) > 0 THEN chr(10) || chr(10) || '**Contact Information:**' || chr(10) || array_to_string(list_concat(list_transform(em, lambda x: '- Email: ' || x), list_concat(list_transform(ph, lambda x: '- Phone: ' || x), list_transform(offices, lambda x: '- Office: ' || x))), chr(10)) || chr(10) END AS block,
   regexp_extract(body, '(?m)^(#[^\S\n]+[^\n]+\n(?:[^\n]*\S[^\n]*\n)*)', 1) AS heading FROM o3)"""
 
+_BFS = """WITH RECURSIVE e AS (SELECT 'n' || c_nationkey AS src, 'c' || c_custkey AS dst FROM customer UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer),
+b(node, depth) AS (SELECT 'r1', 0 UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.node WHERE b.depth < 4) SELECT node, min(depth) AS depth FROM b GROUP BY node ORDER BY depth, node LIMIT 60"""
+_SITE = r"""WITH o AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host, 'https://' || regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) || CASE WHEN regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') = '' THEN '/' ELSE regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') END AS page FROM pages),
+h AS (SELECT page_id, unnest(regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1)) AS href FROM pages),
+l AS (SELECT DISTINCT page AS src, 'https://' || host || CASE WHEN regexp_replace(regexp_extract(href, '^([^?#]*)', 1), '/+$', '') = '' THEN '/' ELSE regexp_replace(regexp_extract(href, '^([^?#]*)', 1), '/+$', '') END AS dst FROM h JOIN o USING (page_id) WHERE href LIKE '/%'),
+l0 AS (SELECT DISTINCT host AS node, host FROM o WHERE host <> ''), c0 AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY node) AS turn FROM l0), v0 AS (SELECT node, host, 0 AS depth FROM c0 ORDER BY turn, node LIMIT 1500),
+f1 AS (SELECT DISTINCT o.page AS node, lower(regexp_extract(o.page, '^https://([^/?#:]*)', 1)) AS host FROM v0 JOIN o ON o.host = v0.node WHERE o.page NOT IN (SELECT node FROM v0)), c1 AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY node) AS turn FROM f1),
+v1 AS (SELECT node, host, 1 AS depth FROM c1 ORDER BY turn, node LIMIT (SELECT 1500 - count(*) FROM v0)),
+f2 AS (SELECT DISTINCT l.dst AS node, lower(regexp_extract(l.dst, '^https://([^/?#:]*)', 1)) AS host FROM v1 JOIN l ON l.src = v1.node WHERE NOT regexp_matches(lower(v1.node), '\.(pdf|docx?)$') AND l.dst NOT IN (SELECT node FROM v0 UNION ALL SELECT node FROM v1)), c2 AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY node) AS turn FROM f2),
+v2 AS (SELECT node, host, 2 AS depth FROM c2 ORDER BY turn, node LIMIT (SELECT 1500 - (SELECT count(*) FROM v0) - count(*) FROM v1)),
+f3 AS (SELECT DISTINCT l.dst AS node, lower(regexp_extract(l.dst, '^https://([^/?#:]*)', 1)) AS host FROM v2 JOIN l ON l.src = v2.node WHERE NOT regexp_matches(lower(v2.node), '\.(pdf|docx?)$') AND l.dst NOT IN (SELECT node FROM v0 UNION ALL SELECT node FROM v1 UNION ALL SELECT node FROM v2)), c3 AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY node) AS turn FROM f3),
+v3 AS (SELECT node, host, 3 AS depth FROM c3 ORDER BY turn, node LIMIT (SELECT 1500 - (SELECT count(*) FROM v0) - (SELECT count(*) FROM v1) - count(*) FROM v2))
+SELECT node, depth FROM v0 UNION ALL SELECT node, depth FROM v1 UNION ALL SELECT node, depth FROM v2 UNION ALL SELECT node, depth FROM v3"""
 _STATES = f"""WITH RECURSIVE e0 AS (SELECT user_id AS run_id, event_id AS seq, (['start', 'ok', 'ok', 'ok', 'fail', 'cancel'])[CAST(event_id % 6 AS INTEGER) + 1] AS event FROM events), e AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS n FROM e0),
 s(run_id, n, state, path) AS (SELECT DISTINCT run_id, CAST(0 AS BIGINT), 'IDLE', 'IDLE' FROM e UNION ALL SELECT run_id, n, state, CASE WHEN state = was THEN path ELSE path || '>' || state END FROM (SELECT e.run_id, e.n, s.state AS was, s.path, {_STEP} AS state FROM s JOIN e ON e.run_id = s.run_id AND e.n = s.n + 1))
 """
@@ -275,8 +307,9 @@ SELECT 'job-' || o_orderkey AS job, CASE WHEN l_orderkey IS NOT NULL THEN 'pod-'
 f AS (SELECT ip, request_id, n, ms AS last, CAST(0 AS BIGINT) AS level, true AS allowed FROM r WHERE n = 1 UNION ALL
   SELECT ip, request_id, n, CASE WHEN ok THEN ms ELSE last END, CASE WHEN ok THEN after ELSE level END, ok FROM (SELECT *, after <= 4000 AS ok FROM (SELECT r.ip, r.request_id, r.n, r.ms, f.last, f.level, greatest(0, f.level - (r.ms - f.last)) + 1000 AS after FROM f JOIN r ON r.ip = f.ip AND r.n = f.n + 1)))
 SELECT ip, request_id, allowed FROM f""",
-    "bfs_pages": """WITH RECURSIVE e AS (SELECT 'n' || c_nationkey AS src, 'c' || c_custkey AS dst FROM customer UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer),
-b(node, depth) AS (SELECT 'r1', 0 UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.node WHERE b.depth < 4) SELECT node, min(depth) AS depth FROM b GROUP BY node ORDER BY depth, node LIMIT 60""",
+    "bfs_pages": _BFS,
+    "bounded_pages": _BFS,
+    "site_crawl": _SITE,
     "rrf_min_score": f"WITH {POINTS}, {QUESTIONS}, {_TOKENS}, {_VECTOR}, {_KEYWORD}, {_FUSE_MIN} SELECT qid, chunk_id, round(score, 9) AS score, rank, from_vector FROM f",
     "chat_context": f"""WITH {_CHATS} SELECT conv_id, CAST(least(count(*) - 1, 2) + 2 AS INTEGER) AS n_messages, md5('system:' || '{(chat.SYSTEM_PROMPT + chat.CONTEXT_INTRO).replace("'", "''")}' || '[Source 1] Page' || conv_id || chr(10) || coalesce(string_agg(role || ':' || text, chr(10) ORDER BY turn) FILTER (back BETWEEN 1 AND 2) || chr(10), '') || 'user:' || max(text) FILTER (back = 0)) AS messages_md5 FROM b GROUP BY conv_id""",
     "storage_browse_by_date": """SELECT page_id || '.md' AS name, 'site/' || page_id || '.md' AS path, octet_length(encode(html)) AS size, strftime(make_timestamp((1700000000 + page_id * 7919) * 1000000), '%Y-%m-%d %H:%M:%S') AS last_modified FROM pages ORDER BY last_modified DESC, path DESC LIMIT 10""",
