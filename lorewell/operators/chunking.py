@@ -80,9 +80,21 @@ def built(parts: Column, preferred: int = CHUNKING.preferred_tokens, overlap: in
     return F.aggregate(parts, start, step, end)
 
 
+def chunked(docs: DataFrame) -> DataFrame:
+    """docs with `chunks`, the headings' path and text of each chunk of `body`; null where `error`, if there is such a
+    column, isn't."""
+    fine = F.col("error").isNull() if "error" in docs.columns else F.lit(True)
+    return docs.withColumn("chunks", F.when(fine, built(sections(F.col("body")))))
+
+
 def chunk_records(docs: DataFrame) -> DataFrame:
     """Chunk records of documents (document_id, url, title, body, crawl_timestamp)."""
-    rows = docs.select("document_id", "url", "title", "crawl_timestamp", F.posexplode(built(sections(F.col("body")))).alias("chunk_index", "c"))
+    return records_of(chunked(docs))
+
+
+def records_of(docs: DataFrame) -> DataFrame:
+    """Chunk records of documents that have their `chunks`."""
+    rows = docs.select("document_id", "url", "title", "crawl_timestamp", F.posexplode("chunks").alias("chunk_index", "c"))
     text = F.col("c.text")
     return rows.select(
         chunk_id(F.col("document_id"), F.col("chunk_index")).alias("chunk_id"), "document_id", "chunk_index", text.alias("text"), "url", "title",

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,11 +14,68 @@ from ..config import CHROME, Chrome
 from ..functions.text import let, strip, with_contact
 
 
+def _echo(mark: str) -> str:
+    """The pattern of a link that only repeats its target."""
+    return rf"^\s*{re.escape(mark)}\[([^\]]+)\]\(\1\)\s*$"
+
+
 def is_chrome(line: Column, rules: Chrome = CHROME) -> Column:
-    out = F.lit(False)
-    for r in rules.lines:
-        out = out | line.rlike(r)
-    return out
+    """Whether a line goes by one of the rules, whatever their kind."""
+    some = lambda tests: reduce(lambda a, b: a | b, tests, F.lit(False))
+    return (
+        some(line.rlike(r) for r in rules.lines) | (strip(line).isin(*rules.exact) if rules.exact else F.lit(False)) | some(F.contains(line, F.lit(c)) for c in rules.contains)
+        | some(F.contains(line, F.lit(a)) & F.contains(line, F.lit(b)) for a, b in rules.pairs) | some(line.rlike(_echo(m)) for m in rules.echoes)
+    )
+
+
+class Cleaner:
+    """The rules compiled once: a page's lines are read in one pass, with the blocks' states on the way, in time
+    proportional to the page."""
+
+    def __init__(self, rules: Chrome):
+        self.rules = rules
+        self.patterns = re.compile("|".join(f"(?:{r})" for r in rules.lines), re.ASCII) if rules.lines else None
+        self.parts = re.compile("|".join(map(re.escape, rules.contains))) if rules.contains else None
+        self.echoes = [re.compile(_echo(m), re.ASCII) for m in rules.echoes]
+        self.exact = frozenset(rules.exact)
+        self.title, self.helps, self.footer = re.compile(r"^#{1,2}\s+\S", re.ASCII), re.compile(rules.search_help, re.ASCII), re.compile(rules.footer_pattern, re.ASCII)
+
+    def drops(self, line: str, plain: str) -> bool:
+        return bool(
+            (self.patterns and self.patterns.search(line)) or plain in self.exact or (self.parts and self.parts.search(line)) or any(a in line and b in line for a, b in self.rules.pairs) or any(e.search(line) for e in self.echoes)
+        )
+
+    def __call__(self, body: str) -> str:
+        menu = search = footer = False
+        out = []
+        for line in body.split("\n"):
+            x = line.strip()
+            helps = bool(self.helps.search(x))
+            stays = menu and not self.title.search(x) and (x == "" or x.startswith(self.rules.menu_items))
+            searching = search and (not x.startswith("#") or helps)
+            hidden = stays or searching or footer
+            opens_menu = x == self.rules.menu
+            opens_search = not opens_menu and (x == self.rules.search or helps)
+            opens_footer = not opens_menu and not opens_search and (x.startswith(self.rules.footer) or bool(self.footer.search(line)))
+            if not (hidden or opens_menu or opens_search or opens_footer or self.drops(line, x)):
+                out.append(line)
+            if not stays:
+                search = searching or (not hidden and opens_search)
+            menu = stays or (not hidden and opens_menu)
+            footer = footer or (not hidden and opens_footer)
+        return "\n".join(out)
+
+
+def without_chrome(body: Column, rules: Chrome = CHROME) -> Column:
+    """body without the blocks and lines that the rules name."""
+
+    @F.pandas_udf("string")
+    def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        cleaner = Cleaner(rules)
+        for t in texts:
+            yield t.map(cleaner, na_action="ignore")
+
+    return clean(body)
 
 
 def collapse_blank(x: Column) -> Column:
@@ -54,7 +114,6 @@ def outside_blocks(lines: Column, rules: Chrome = CHROME) -> Column:
 
 
 def cleaned(pages: DataFrame, body: str = "body", rules: Chrome = CHROME) -> DataFrame:
-    """pages with `body` without chrome and with its contact block.  The folded text is a column of its
+    """pages with `body` without chrome and with its contact block.  The text without chrome is a column of its
     own before the contact block reads it many times, so that it is made once."""
-    kept = F.filter(outside_blocks(F.split(body, "\n"), rules), lambda x: ~is_chrome(x, rules))
-    return pages.withColumn(body, collapse_blank(F.array_join(kept, "\n"))).withColumn(body, with_contact(F.col(body)))
+    return pages.withColumn(body, without_chrome(F.col(body), rules)).withColumn(body, collapse_blank(F.col(body))).withColumn(body, with_contact(F.col(body)))

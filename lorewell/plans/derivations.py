@@ -72,7 +72,7 @@ logged AS (SELECT crawl_seq, url, depth, host, coalesce(early, CASE WHEN row_num
 
 _BEFORE = ("Site menu", "* [Home](https://www.example.org/)", "- [Here](#here)", "[Skip to content](#main)")
 _TIPS = ("## How to search", "use short words", "# Found")
-_AFTER = ("Back to top", "Print this page", "  Share this page", "![](data:image/svg+xml;base64,AA)", "Copyright 2024 Example", "", "", "", "", "the end")
+_AFTER = ("Back to top", "Print this page", "  Share this page", "![](data:image/svg+xml;base64,AA)", "Copyright 2024 Example", " Close ", "Close to here", "go [Toggle navigation] now", "[Log in] for staff only", "[Log in] please", "* [www.example.org](www.example.org)", "[a](b)", "", "", "", "", "the end")
 _FOOTER = ("### Site footer and more", "beyond the footer")
 
 

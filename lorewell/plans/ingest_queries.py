@@ -142,8 +142,9 @@ def contact_extract(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(tx.emails(t), ",").alias("emails"), F.array_join(tx.phones(t), ",").alias("phones"))
 
 
-def _dated(spark, d):
-    m = markdown_docs(spark, d)
+def dated(spark, d, m=None):
+    """Pages of which some are error pages and some of past events; m has their doc_id and body."""
+    m = markdown_docs(spark, d) if m is None else m
     i = F.col("doc_id")
     day = F.date_add(F.to_date(F.lit("2023-01-01")), (i % 700).cast("int"))
     head = F.when(i % 4 == 0, F.concat(F.date_format(day, "EEEE, MMMM d, yyyy"), F.lit("\n"))).when(i % 4 == 1, F.lit("# Resource at '/x' not found\n")).when(i % 4 == 2, F.lit("Monday, Smarch 41, 2023\n")).otherwise("")
@@ -152,11 +153,11 @@ def _dated(spark, d):
 
 
 def error_pages(spark, d):
-    return _dated(spark, d).select("doc_id", tx.is_error_page(F.col("body")).alias("error"))
+    return dated(spark, d).select("doc_id", tx.is_error_page(F.col("body")).alias("error"))
 
 
 def stale_pages(spark, d):
-    return _dated(spark, d).select("doc_id", tx.is_stale(F.col("url"), F.col("body"), F.to_date(F.lit("2024-06-01"))).alias("stale"))
+    return dated(spark, d).select("doc_id", tx.is_stale(F.col("url"), F.col("body"), F.to_date(F.lit("2024-06-01"))).alias("stale"))
 
 
 def html_markdown(spark, d):
@@ -191,7 +192,8 @@ st(doc_id, i, menu, search, footer, kept) AS (
     SELECT li.doc_id, CAST(li.i AS BIGINT) AS i, li.x, li.helps, st.search, st.footer, st.menu AND NOT regexp_matches(li.x, '^#{1,2}\s+\S') AND (li.x = '' OR li.x LIKE '* [%' OR li.x LIKE '- [%' OR li.x LIKE '*  %') AS stays
     FROM st JOIN li ON li.doc_id = st.doc_id AND li.i = st.i + 1))) q)"""
 _CHROME_RE = r"""regexp_matches(line, '^\s*\[?Skip to content') OR regexp_matches(line, '^\s*(Print|Share) this page\s*$') OR regexp_matches(line, '^\s*Back to top\s*$') OR regexp_matches(line, '^\s*Copyright \d{4}\b')
- OR regexp_matches(line, '!\[[^\]]*\]\(data:image/')"""
+ OR regexp_matches(line, '!\[[^\]]*\]\(data:image/') OR trim(line) IN ('Menu', 'Close', 'Accept cookies') OR contains(line, '[Toggle navigation]') OR contains(line, '(#top)') OR (contains(line, '[Log in]') AND contains(line, 'staff only'))
+ OR (regexp_matches(line, '^\s*(\* )?\[([^\]]+)\]\([^)]*\)\s*$') AND regexp_extract(line, '\[([^\]]+)\]\(([^)]*)\)', 1) = regexp_extract(line, '\[([^\]]+)\]\(([^)]*)\)', 2))"""
 
 _NL = "chr(10) || chr(10)"
 _CHUNKS = rf"""{_SECTIONS},
@@ -229,7 +231,7 @@ ORACLE_SQL = {
     "url_identity": rf"""WITH p AS ({_PARTS}), c AS (SELECT *, 'https://' || netloc || CASE WHEN regexp_replace(path, '/+$', '') = '' THEN '/' ELSE regexp_replace(path, '/+$', '') END AS canonical, lower(netloc) || '/' || CASE WHEN trim(path, '/') = '' THEN 'index' ELSE trim(path, '/') END AS k FROM p)
 SELECT page_id, canonical, substr(sha256(canonical), 1, 16) AS doc_id, substr(sha256(url), 1, 16) AS raw_id, k || CASE WHEN k LIKE '%.md' THEN '' ELSE '.md' END AS object_key, regexp_replace(k || CASE WHEN k LIKE '%.md' THEN '' ELSE '.md' END, '\.md$', '.meta.json') AS sidecar_key FROM c""",
     "host_filter": f"""WITH p AS ({_PARTS}) SELECT page_id, netloc AS host, (netloc IN ('example.com', 'example.org') OR netloc LIKE '%.example.com' OR netloc LIKE '%.example.org') AND NOT (netloc IN ('spam-farm.example.org', 'login.example.com') OR netloc LIKE '%.spam-farm.example.org' OR netloc LIKE '%.login.example.com') AS allowed FROM p""",
-    "blocked_path": f"""WITH p AS ({_PARTS}) SELECT page_id, path LIKE '/es/%' OR path LIKE '/content/%' OR path LIKE '/editor.html%' AS blocked FROM p""",
+    "blocked_path": f"""WITH p AS ({_PARTS}) SELECT page_id, path LIKE '/es/%' OR path LIKE '/drafts/%' OR path LIKE '/preview.html%' AS blocked FROM p""",
     "document_url": """SELECT CAST(n AS INTEGER) AS n, is_document, safe, link, title FROM (VALUES (0, true, true, 'https://a.example.com/x/Paper.PDF?x=1', 'Paper'), (1, true, false, '#', 'Report'), (2, true, false, '#', 'Old'), (3, false, false, '#', 'X'), (4, false, true, 'https://a.example.com/x.pdf/', 'X'),
 (5, false, false, 'mailto:x@example.com', 'X@example'), (6, true, false, 'https:///x.pdf', 'X'), (7, true, true, 'http://b.example.org/data-set_one.docx', 'Data Set One')) t(n, is_document, safe, link, title)""",
     "page_type": f"""WITH {MARKDOWN} SELECT doc_id, CASE WHEN lower(url) LIKE '%/people/%' OR lower(url) LIKE '%faculty%' THEN 'faculty' WHEN lower(url) LIKE '%/course%' OR lower(url) LIKE '%/classes/%' THEN 'course' WHEN lower(url) LIKE '%/research/%' OR lower(url) LIKE '%/labs/%' THEN 'research'

@@ -8,8 +8,12 @@ from ..functions import ids
 from ..functions import text as tx
 from ..functions.ids import point_id
 from ..operators import admin, chat, cleaning, crawl, index, records, retrieval
+from ..shared import own_folder
+from ..streaming.runs import RunLog
+from . import service
 from .chat_queries import _CHATS
-from .derivations import CRAWL, MARKDOWN, POINTS, QUESTIONS, chrome_pages, crawl_results, markdown_docs, points, questions, table
+from .derivations import CHROME, CRAWL, MARKDOWN, POINTS, QUESTIONS, chrome_pages, crawl_results, markdown_docs, points, questions, table
+from .ingest_queries import _BLOCK_STEP, _CHROME_RE, _CHUNKS, dated
 from .ops_queries import _CANON
 from .retrieval_queries import _KEYWORD, _TOKENS, _VECTOR
 
@@ -59,16 +63,17 @@ def document_counters(spark, d):
 
 
 def clean_counters(spark, d):
-    pages = chrome_pages(spark, d).select("doc_id", F.array_join("lines", "\n").alias("before"), F.array_join(F.filter("lines", lambda x: ~cleaning.is_chrome(x)), "\n").alias("kept"))
-    i = F.col("doc_id")
-    return records.clean_counters(pages, i % 4 == 1, i % 6 == 1, F.col("before"), F.col("kept"))
+    """A cleaning run over pages with chrome, of which the cleaner tells error pages and past events."""
+    pages = dated(spark, d, chrome_pages(spark, d).select("doc_id", F.array_join("lines", "\n").alias("body"))).withColumn("after", cleaning.without_chrome(F.col("body")))
+    return records.clean_counters(pages, tx.is_error_page(F.col("body")), tx.is_stale(F.col("url"), F.col("body"), F.to_date(F.lit("2024-06-01"))), F.col("body"), F.col("after"))
 
 
 def chunk_counters(spark, d):
-    i = F.col("doc_id")
-    docs = markdown_docs(spark, d).select("doc_id", "document_id", F.when(i % 10 == 3, "too large").alias("error"))
-    chunks = docs.select("document_id", F.explode(F.sequence(F.lit(1), (i % 4).cast("int") + 1)).alias("n")).filter("n > 1")
-    return records.chunk_counters(docs, chunks)
+    """A chunking run: documents over 20,000 bytes are errors; what is chunked is written, and counted while it is."""
+    size = F.octet_length("body")
+    docs = markdown_docs(spark, d).withColumn("error", F.when(size > 20_000, "too large"))
+    stats = service.chunk_run(docs, own_folder(spark, "chunks"), RunLog(spark, own_folder(spark, "runs")))
+    return spark.createDataFrame([tuple(stats[c] for c in ("processed", "skipped", "failed", "total_chunks"))], "processed long, skipped long, failed long, total_chunks long")
 
 
 def _checked(spark, d):
@@ -240,14 +245,15 @@ _FUSE_MIN = """f0 AS (SELECT qid, chunk_id, coalesce(1.0::DOUBLE / (60 + v_rank)
 f AS (SELECT qid, chunk_id, score, rank, v_rank IS NOT NULL AS from_vector FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, v_rank IS NULL, coalesce(v_rank, k_rank)) AS INTEGER) AS rank FROM f0) WHERE rank <= 5 AND score >= 0.0155)"""
 _STEP = """CASE WHEN s.state IN ('IDLE', 'DONE', 'FAILED', 'CANCELLED') THEN CASE WHEN e.event = 'start' THEN 'CRAWLING' ELSE s.state END WHEN e.event = 'start' THEN s.state WHEN e.event = 'fail' THEN 'FAILED' WHEN e.event = 'cancel' THEN 'CANCELLED' ELSE map {'CRAWLING': 'CHUNKING', 'CHUNKING': 'EMBEDDING', 'EMBEDDING': 'DONE'}[s.state] END"""
 _CONTACTS = r"""ct AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '# Title' || chr(10) || 'First line of ' || doc_id || chr(10) || chr(10) || 'Room: 12 B' || chr(10) || 'Office: East 3, call (512) 555-0100' || chr(10) || 'at 7 Long Hall' || chr(10)
-  WHEN 1 THEN 'Write to a.b@cs.example.com or x@example.com, rm. 5' || chr(10) ELSE '' END || text AS body FROM documents),
-o1 AS (SELECT doc_id, body, list_filter(list_transform(list_concat(regexp_extract_all(body, '(?i)(?:Office|Room|Rm\.?)\s*:?\s*([^\n,]+)', 1), regexp_extract_all(body, '(\d+\s+[\w\s]+(?:Hall|Drive|Building|Center|Ave|Blvd)(?:\s+\w+)?)', 1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS o,
+  WHEN 1 THEN 'Write to a.b@cs.example.com or x@example.com, rm. 5' || chr(10) ELSE '' END || text AS body FROM documents)"""
+_CONTACT_PARTS = r"""o1 AS (SELECT doc_id, body, list_filter(list_transform(list_concat(regexp_extract_all(body, '(?i)(?:Office|Room|Rm\.?)\s*:?\s*([^\n,]+)', 1), regexp_extract_all(body, '(\d+\s+[\w\s]+(?:Hall|House|Building|Tower|Street|Square)(?:\s+\w+)?)', 1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS o,
   regexp_extract_all(body, '\[([^\]]*@[^\]]+)\]\(mailto:[^)]+\)', 1) AS linked, regexp_extract_all(body, '[A-Za-z0-9_.+-]+@(?:[a-z]+\.)?example\.com') AS bare, regexp_extract_all(body, '\(?\d{3}\)?[\s.-]\d{3}[\s.-]\d{4}') AS ph FROM ct),
 o2 AS (SELECT doc_id, body, CASE WHEN len(linked) > 0 THEN linked ELSE bare END AS em0, ph, o[1:2] AS o FROM o1),
 o3 AS (SELECT doc_id, body, list_filter(em0, lambda x, i: list_position(em0, x) = i) AS em, list_filter(ph, lambda x, i: list_position(ph, x) = i) AS ph, list_filter(o, lambda x, i: list_position(o, x) = i) AS offices FROM o2),
 o4 AS (SELECT *, CASE WHEN len(em) + len(ph) > 0 THEN chr(10) || chr(10) || '**Contact Information:**' || chr(10) || array_to_string(list_concat(list_transform(em, lambda x: '- Email: ' || x), list_concat(list_transform(ph, lambda x: '- Phone: ' || x), list_transform(offices, lambda x: '- Office: ' || x))), chr(10)) || chr(10) END AS block,
   regexp_extract(body, '(?m)^(#[^\S\n]+[^\n]+\n(?:[^\n]*\S[^\n]*\n)*)', 1) AS heading FROM o3)"""
 
+_PLACED = "CASE WHEN block IS NULL THEN body WHEN heading = '' THEN block || body ELSE left(body, instr(body, heading) + length(heading) - 1) || block || substr(body, instr(body, heading) + length(heading)) END"
 _BFS = """WITH RECURSIVE e AS (SELECT 'n' || c_nationkey AS src, 'c' || c_custkey AS dst FROM customer UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer),
 b(node, depth) AS (SELECT 'r1', 0 UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.node WHERE b.depth < 4) SELECT node, min(depth) AS depth FROM b GROUP BY node ORDER BY depth, node LIMIT 60"""
 _SITE = r"""WITH o AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host, 'https://' || regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) || CASE WHEN regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') = '' THEN '/' ELSE regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') END AS page FROM pages),
@@ -273,8 +279,12 @@ ORACLE_SQL = {
     "static_documents": f"WITH {_DOCS}, st AS (SELECT * FROM (VALUES ('0000000000000007', '# Contact' || chr(10) || chr(10) || 'write to us'), ('about.md', '# About' || chr(10) || chr(10) || 'all of it')) t(object_key, body)) SELECT object_key, md5(body) AS body_md5 FROM docs WHERE object_key NOT IN (SELECT object_key FROM st) UNION ALL SELECT object_key, md5(body) FROM st",
     "document_counters": f"""WITH {CRAWL}, g AS (SELECT status, crawl_seq % 6 = 0 AS doc, status IN ('FAILED', 'SKIPPED', 'BLOCKED', 'EMPTY') AS bad FROM logged) SELECT count(*) FILTER (NOT doc AND status = 'SAVED') AS pages_crawled, count(*) FILTER (NOT doc AND bad) AS pages_failed, count(*) FILTER (status = 'DUPLICATE') AS pages_skipped_duplicate,
 count(*) FILTER (doc AND status = 'SAVED') AS documents_saved, count(*) FILTER (doc AND bad) AS documents_failed FROM g""",
-    "clean_counters": """SELECT count(*) AS pages, count(*) FILTER (doc_id % 4 = 1) AS error_pages, count(*) FILTER (doc_id % 4 <> 1 AND doc_id % 6 = 1) AS stale_pages, count(*) FILTER (doc_id % 4 <> 1 AND doc_id % 6 <> 1) AS cleaned, count(*) FILTER (doc_id % 4 <> 1 AND doc_id % 6 <> 1) AS changed FROM documents""",
-    "chunk_counters": """SELECT count(*) FILTER (doc_id % 10 <> 3 AND doc_id % 4 > 0) AS processed, count(*) FILTER (doc_id % 10 <> 3 AND doc_id % 4 = 0) AS skipped, count(*) FILTER (doc_id % 10 = 3) AS failed, CAST(coalesce(sum(doc_id % 4) FILTER (doc_id % 10 <> 3), 0) AS BIGINT) AS total_chunks FROM documents""",
+    "clean_counters": """WITH p AS (SELECT doc_id % 4 = 1 AS bad, doc_id % 4 = 0 AND doc_id % 3 < 2 AND date '2024-06-01' - (date '2023-01-01' + CAST(doc_id % 700 AS INTEGER)) > 180 AS old FROM documents)
+SELECT count(*) AS pages, count(*) FILTER (bad) AS error_pages, count(*) FILTER (NOT bad AND old) AS stale_pages, count(*) FILTER (NOT bad AND NOT old) AS cleaned, count(*) FILTER (NOT bad AND NOT old) AS changed FROM p""",
+    "chunk_counters": f"""WITH RECURSIVE {_CHUNKS}, g AS (SELECT m.doc_id, octet_length(encode(m.body)) > 20000 AS bad, count(c.doc_id) AS n FROM mdd m LEFT JOIN chunks c USING (doc_id) GROUP BY ALL)
+SELECT count(*) FILTER (NOT bad AND n > 0) AS processed, count(*) FILTER (NOT bad AND n = 0) AS skipped, count(*) FILTER (bad) AS failed, CAST(coalesce(sum(n) FILTER (NOT bad), 0) AS BIGINT) AS total_chunks FROM g""",
+    "clean_pages": rf"""WITH RECURSIVE {CHROME}, {_BLOCK_STEP}, kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS t FROM st JOIN li USING (doc_id, i) WHERE kept AND NOT ({_CHROME_RE}) GROUP BY doc_id),
+ct AS (SELECT doc_id, regexp_replace(coalesce(t, ''), '\n{{4,}}', chr(10) || chr(10) || chr(10), 'g') AS body FROM documents LEFT JOIN kept USING (doc_id)), {_CONTACT_PARTS} SELECT doc_id, md5({_PLACED}) AS text_md5 FROM o4""",
     "embed_counters": rf"""WITH {POINTS}, c AS (SELECT *, NOT (regexp_replace(text, '\s', '', 'g') = '' OR vec_id % 5 < (vec_id // 5) % 7) AS good FROM pts), g AS (SELECT document_id, count(*) FILTER (good) AS good, count(*) AS n FROM c GROUP BY document_id),
 now AS (SELECT * FROM c WHERE good AND vec_id % 2 = 0), s AS (SELECT count(*) AS stale FROM c WHERE vec_id % 3 <> 0 AND document_id IN (SELECT document_id FROM now) AND vec_id NOT IN (SELECT vec_id FROM now))
 SELECT count(*) FILTER (good > 0) AS documents, count(*) FILTER (good = 0) AS failed, CAST(sum(good) AS BIGINT) AS chunks, CAST(sum(n - good) AS BIGINT) AS skipped, max(stale) AS stale FROM g, s""",
@@ -313,6 +323,6 @@ SELECT ip, request_id, allowed FROM f""",
     "rrf_min_score": f"WITH {POINTS}, {QUESTIONS}, {_TOKENS}, {_VECTOR}, {_KEYWORD}, {_FUSE_MIN} SELECT qid, chunk_id, round(score, 9) AS score, rank, from_vector FROM f",
     "chat_context": f"""WITH {_CHATS} SELECT conv_id, CAST(least(count(*) - 1, 2) + 2 AS INTEGER) AS n_messages, md5('system:' || '{(chat.SYSTEM_PROMPT + chat.CONTEXT_INTRO).replace("'", "''")}' || '[Source 1] Page' || conv_id || chr(10) || coalesce(string_agg(role || ':' || text, chr(10) ORDER BY turn) FILTER (back BETWEEN 1 AND 2) || chr(10), '') || 'user:' || max(text) FILTER (back = 0)) AS messages_md5 FROM b GROUP BY conv_id""",
     "storage_browse_by_date": """SELECT page_id || '.md' AS name, 'site/' || page_id || '.md' AS path, octet_length(encode(html)) AS size, strftime(make_timestamp((1700000000 + page_id * 7919) * 1000000), '%Y-%m-%d %H:%M:%S') AS last_modified FROM pages ORDER BY last_modified DESC, path DESC LIMIT 10""",
-    "office_extract": f"WITH {_CONTACTS} SELECT doc_id, array_to_string(offices, '|') AS offices FROM o4",
-    "contact_blocks": f"WITH {_CONTACTS} SELECT doc_id, block, md5(CASE WHEN block IS NULL THEN body WHEN heading = '' THEN block || body ELSE left(body, instr(body, heading) + length(heading) - 1) || block || substr(body, instr(body, heading) + length(heading)) END) AS body_md5 FROM o4",
+    "office_extract": f"WITH {_CONTACTS}, {_CONTACT_PARTS} SELECT doc_id, array_to_string(offices, '|') AS offices FROM o4",
+    "contact_blocks": f"WITH {_CONTACTS}, {_CONTACT_PARTS} SELECT doc_id, block, md5({_PLACED}) AS body_md5 FROM o4",
 }

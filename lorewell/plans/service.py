@@ -9,6 +9,7 @@ from ..config import LIMITS
 from ..functions import ids
 from ..functions import text as tx
 from ..operators import chat, chunking, cleaning, index, retrieval
+from ..streaming.runs import RunLog, observed_write
 
 
 def chunk_pages(pages: DataFrame, as_of: Column | None = None) -> DataFrame:
@@ -20,6 +21,15 @@ def chunk_pages(pages: DataFrame, as_of: Column | None = None) -> DataFrame:
     return chunking.chunk_records(kept.withColumn("document_id", ids.doc_id(F.col("url"))))
 
 
+def chunk_run(docs: DataFrame, path: str, log: RunLog) -> dict:
+    """Writes the chunk records of documents (document_id, url, title, body, crawl_timestamp, error) to path, and gives
+    the run's counters: documents processed, skipped (without chunks) and failed, and all chunks.  They are
+    observed in the plan that writes, and logged."""
+    n, fine = F.size("chunks"), F.col("error").isNull()
+    counters = {"processed": F.count_if(fine & (n > 0)), "skipped": F.count_if(fine & (n <= 0)), "failed": F.count_if(~fine), "total_chunks": F.coalesce(F.sum(F.when(fine, n)), F.lit(0))}
+    return observed_write(chunking.chunked(docs), path, log, "chunk", chunking.records_of, **counters)
+
+
 def index_chunks(chunks: DataFrame, embed) -> tuple[DataFrame, DataFrame]:
     """(points, rejects) of chunk records: points have point_id and embedding, rejects a reason."""
     checked = index.validated(index.with_defaults(chunks))

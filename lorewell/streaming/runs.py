@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -64,13 +65,13 @@ class QueryListener(StreamingQueryListener):
         self.log.add(str(event.runId), "failed" if failed else "completed", message=event.exception.strip().split("\n")[0][:500] if failed else None)
 
 
-def observed_write(rows: DataFrame, path: str, log: RunLog, stage: str, **counters: Column) -> dict:
-    """Writes a stage's rows to path, with its counters observed on the way and logged as a run; gives the counters.
+def observed_write(rows: DataFrame, path: str, log: RunLog, stage: str, then: Callable[[DataFrame], DataFrame] = lambda rows: rows, **counters: Column) -> dict:
+    """Writes then(rows) to path, with counters of rows observed on the way and logged as a run; gives the counters.
     A stage that fails is logged as such."""
     job, seen = f"{stage}-{uuid.uuid4().hex}", Observation(f"{stage}-{uuid.uuid4().hex}")
     log.add(job, "started", stage)
     try:
-        rows.observe(seen, *[c.alias(n) for n, c in counters.items()]).write.parquet(path)
+        then(rows.observe(seen, *[c.alias(n) for n, c in counters.items()])).write.parquet(path)
         stats = {n: int(v or 0) for n, v in seen.get.items()}
     except Exception as e:
         log.add(job, "failed", stage, str(e).strip().split("\n")[0][:500])
