@@ -6,7 +6,6 @@ import io
 import json
 import re
 import zipfile
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import LIMITS
+from ..shared import materialised
+from .object_source import ObjectSource
 
 _S, _L = T.StringType(), T.ArrayType(T.StringType())
 CHUNK = T.StructType([T.StructField(n, t) for n, t in (("chunk_id", _S), ("document_id", _S), ("chunk_index", T.IntegerType()), ("text", _S), ("url", _S), ("title", _S), ("page_type", _S), ("headings_path", _L), ("content_hash", _S), ("crawl_timestamp", _S), ("token_count", T.IntegerType()))])
@@ -109,34 +110,14 @@ def _qualified(spark: SparkSession, folder: str) -> str:
 
 
 def write_objects(rows: DataFrame, folder: str, key: str = "object_key", body: str = "body") -> DataFrame:
-    """Writes each row's text as an object of its own under its key, and gives (object_key, size).  A task
-    writes an object under a name of its own and moves it, so one that runs again replaces what it wrote.
-    Of rows with equal keys one stays.  Rows without a key or with one that leaves the folder are errors."""
-    root = re.sub("^file:/+", "file:///", re.sub("^s3[an]:", "s3:", _qualified(rows.sparkSession, folder)))
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import uuid
-
-        from pyarrow import fs
-
-        store, base = fs.FileSystem.from_uri(root)
-        for b in batches:
-            sizes = []
-            for name, text in zip(b["k"], b["t"], strict=True):
-                if not name or ".." in name.split("/"):
-                    raise ValueError(f"no object can have the key {name!r}")
-                data = (text or "").encode()
-                parent, _, last = f"{base}/{name.lstrip('/')}".rpartition("/")
-                store.create_dir(parent, recursive=True)
-                own = f"{parent}/.{last}-{uuid.uuid4().hex}"
-                with store.open_output_stream(own, compression=None) as out:
-                    out.write(data)
-                store.move(own, f"{parent}/{last}")
-                sizes.append(len(data))
-            yield pd.DataFrame({"object_key": b["k"], "size": sizes})
-
-    one = rows.select(F.col(key).alias("k"), F.col(body).alias("t")).groupBy("k").agg(F.max("t").alias("t"))
-    return one.mapInPandas(write, "object_key string, size long")
+    """Writes each row's text as an object of its own under its key, now, and gives (object_key, size) of what was
+    written.  Of rows with equal keys one stays.  Rows without a key or with one that leaves the folder are
+    errors, and then nothing is written."""
+    spark = rows.sparkSession
+    spark.dataSource.register(ObjectSource)
+    one = materialised(rows.select(F.col(key).alias("object_key"), F.coalesce(F.col(body), F.lit("")).alias("body")).groupBy("object_key").agg(F.max("body").alias("body")), "objects")
+    one.write.format("objects").mode("append").option("path", _qualified(spark, folder)).save()
+    return one.select("object_key", F.octet_length("body").cast("long").alias("size"))
 
 
 def sidecar_json(pages: DataFrame, key: str = "object_key") -> DataFrame:
