@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import ALLOWED_DOMAINS, BLOCKED_DOMAINS, BLOCKED_PATHS
 from ..functions.ids import url_part
-from ..shared import materialised, own_folder
+from ..shared import materialised, own_folder, with_rank
 
 
 def _any(parts: list[Column]) -> Column:
@@ -76,7 +76,7 @@ def host_counts(log: DataFrame) -> DataFrame:
     """Visits by host, most first, ties in order of first visit."""
     host = F.coalesce(F.nullif("host", F.lit("")), F.lit("unknown")).alias("host")
     counts = log.groupBy(host).agg(F.count(F.lit(1)).alias("n"), F.min("crawl_seq").alias("first_seq"))
-    return counts.withColumn("position", F.row_number().over(Window.orderBy(F.desc("n"), "first_seq")))  # one row a host
+    return with_rank(counts, F.desc("n"), F.col("first_seq"))
 
 
 def crawl_counters(log: DataFrame) -> DataFrame:

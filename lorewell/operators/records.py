@@ -143,6 +143,32 @@ def applied(rows: DataFrame, changes: DataFrame, allowed: tuple[str, ...], key:
     return kept.join(last, key, "left").select(key, *[F.coalesce(f"_{c}", c).alias(c) if c in allowed else F.col(c) for c in columns]).select(rows.columns)
 
 
+def stat(doc: Column, path: str, kind: str) -> Column:
+    """A value of a JSON document (VARIANT) by its path, as a type; null where it isn't there or isn't of that type."""
+    return F.try_variant_get(doc, path, kind)
+
+
+def variant(text: Column) -> Column:
+    """Text as a JSON document; null where it isn't one."""
+    return F.try_parse_json(text)
+
+
+def patched(doc: Column, changes: dict[str, Column | None]) -> Column:
+    """A JSON object with the top-level fields that `changes` names set to their values, or taken out where that is None.
+    The rest stays as it is, nested values too.  What isn't an object counts as an empty one."""
+    fields = F.coalesce(F.try_variant_get(doc, "$", "map<string,variant>"), F.expr("cast(map() as map<string,variant>)"))
+    rest = F.map_filter(fields, lambda k, v: ~k.isin(*changes))
+    within = lambda text: F.nullif(F.substring(text, F.lit(2), F.length(text) - 2), F.lit(""))  # noqa: E731  an object's text without its braces
+    set_to = [within(F.to_json(F.create_map(F.lit(k), v))) for k, v in changes.items() if v is not None]
+    return F.parse_json(F.concat(F.lit("{"), F.concat_ws(",", within(F.to_json(rest)), *set_to), F.lit("}")))
+
+
+def stat_fields(rows: DataFrame, doc: str) -> DataFrame:
+    """(field, kind, n): which top-level fields the documents have, of which types, and how often."""
+    each = rows.select(F.explode(F.try_variant_get(F.col(doc), "$", "map<string,variant>")).alias("field", "v"))
+    return each.groupBy("field", F.schema_of_variant("v").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def by_created(schedules: DataFrame) -> DataFrame:
     return schedules.orderBy("created_at", "id")
 

@@ -131,6 +131,20 @@ def run_changes(spark, d):
     return records.applied(runs, changes, ("status",))
 
 
+def run_stats(spark, d):
+    """Statistics of events as JSON documents: typed values, documents with fields set and taken out, and those read again."""
+    e = table(spark, d, "events")
+    nested = F.concat(F.lit('{"stage": "'), "event_type", F.lit('", "stats": {"value": '), F.col("value").cast("string"), F.lit(', "props": '), "props", F.lit("}, "), F.when(F.col("event_id") % 5 == 0, '"error": "slow"').otherwise('"error": null'), F.lit("}"))
+    doc = e.select("event_id", records.variant(nested).alias("doc"))
+    doc = doc.withColumn("doc", records.patched(F.col("doc"), {"error": None, "checked": F.col("event_id") % 2 == 0, "stage": F.concat(F.lit("x-"), records.stat(F.col("doc"), "$.stage", "string"))}))
+    get = lambda path, kind: records.stat(F.col("doc"), path, kind)
+    return doc.select("event_id", get("$.stats.props.k", "int").alias("k"), F.round(get("$.stats.value", "double"), 2).alias("value"), get("$.stage", "string").alias("stage"), get("$.checked", "boolean").alias("checked"), get("$.error", "string").alias("error"), get("$.stage", "int").alias("wrong_type"))
+
+
+def prop_fields(spark, d):
+    return records.stat_fields(table(spark, d, "events").select(records.variant(F.col("props")).alias("p")), "p")
+
+
 def schedules_by_age(spark, d):
     rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"))
     return records.by_created(rows).limit(30).select("id", F.date_format("created_at", "yyyy-MM-dd").alias("created"))
@@ -236,7 +250,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         unstored_urls, known_urls, markdown_sidecars, resized_sidecars, static_documents, document_counters, clean_counters, chunk_counters, embed_counters, point_scroll, collection_stats, content_types, display_fields, text_lines,
-        settings_env, run_changes, schedules_by_age, job_registry, overlap_skips, run_state_paths, run_state_changes, job_pods, leaky_bucket, bfs_pages, bounded_pages, site_crawl, rrf_min_score, chat_context, storage_browse_by_date, office_extract, contact_blocks,
+        settings_env, run_changes, run_stats, prop_fields, schedules_by_age, job_registry, overlap_skips, run_state_paths, run_state_changes, job_pods, leaky_bucket, bfs_pages, bounded_pages, site_crawl, rrf_min_score, chat_context, storage_browse_by_date, office_extract, contact_blocks,
     )
 }
 
@@ -301,6 +315,8 @@ b AS (SELECT id, max(n) AS n FROM c WHERE action <> 'update' GROUP BY id), base
 kept AS (SELECT o_orderkey AS id, o_orderstatus AS status, o_orderpriority AS owner FROM orders WHERE o_orderkey NOT IN (SELECT id FROM base) UNION ALL SELECT id, status, 'someone' FROM base WHERE action = 'insert'),
 u AS (SELECT c.id, arg_max(c.status, c.n) FILTER (c.status IS NOT NULL) AS status FROM c LEFT JOIN b USING (id) WHERE action = 'update' AND (b.n IS NULL OR c.n > b.n) GROUP BY c.id)
 SELECT kept.id, coalesce(u.status, kept.status) AS status, owner FROM kept LEFT JOIN u USING (id)""",
+    "run_stats": "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k, round(value, 2) AS value, 'x-' || event_type AS stage, event_id % 2 = 0 AS checked, CAST(NULL AS VARCHAR) AS error, CAST(NULL AS INTEGER) AS wrong_type FROM events",
+    "prop_fields": "SELECT 'k' AS field, 'BIGINT' AS kind, count(*) AS n FROM events WHERE json_extract(props, '$.k') IS NOT NULL",
     "schedules_by_age": "SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS created FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 30",
     "job_registry": """WITH e AS (SELECT user_id * 40 + event_id // 500 AS job_id, event_id AS seq, ts, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'progress' END AS kind, props AS message FROM events),
 x AS (SELECT job_id, min(seq) AS seq FROM e WHERE kind <> 'progress' GROUP BY job_id), s AS (SELECT job_id, min(ts) AS started_at FROM e GROUP BY job_id)

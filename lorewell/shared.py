@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,6 +34,17 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_rank(df: DataFrame, *order, name: str = "position") -> DataFrame:
+    """df with each row's place from 1 in a total order, without one task that sees all rows: rows are dealt into ranges
+    of the order, and a range's places start behind the rows of the ranges before it."""
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialised(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # a row a range
+    before = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.withColumn(name, own).join(F.broadcast(before), "_range").withColumn(name, (F.col(name) + F.col("_before")).cast("int")).select(*df.columns, name)
+
+
 class Files:
     """The few file operations that tables of our own need, in whatever store Spark knows for a path."""
 
@@ -75,7 +88,11 @@ class Files:
 class Commits:
     """Numbered manifests below a folder.  What isn't in the latest manifest doesn't count, so a writer that is
     lost midway leaves nothing but files that nobody reads.  Two writers can't take the same number: the later
-    one looks at the manifest of the first and tries again."""
+    one looks at the manifest of the first and tries again.  A manifest that isn't finished is waited for, and after
+    `grace_seconds` taken for that of a lost writer; a writer that was only slow finds its commit passed over
+    and commits anew."""
+
+    grace_seconds = 30.0
 
     def __init__(self, spark: SparkSession, root: str):
         self.root, self.files = root.rstrip("/"), Files(spark, root)
@@ -98,13 +115,25 @@ class Commits:
                 return n, found
         return 0, {"segments": []}
 
+    def _settled(self) -> tuple[int, dict]:
+        """latest(), once no other writer is at its manifest."""
+        until = time.time() + self.grace_seconds
+        while True:
+            number, manifest = self.latest()
+            if number == max([number, *self.numbers()]) or time.time() >= until:
+                return number, manifest
+            time.sleep(0.1)
+
     def commit(self, change, tries: int = 20) -> int:
         """Adds change(latest manifest); change is asked again if another writer was faster."""
         for _ in range(tries):
-            number, manifest = self.latest()
-            taken = max([number, *self.numbers()])
-            if self.files.create(f"{self.root}/commits/{taken + 1:012d}.json", json.dumps(change(json.loads(json.dumps(manifest))))):
-                return taken + 1
+            number, manifest = self._settled()
+            own = max([number, *self.numbers()]) + 1
+            text = json.dumps({**change(json.loads(json.dumps(manifest))), "after": number})
+            if self.files.create(f"{self.root}/commits/{own:012d}.json", text):
+                later = [m for m in (self.manifest(n) for n in self.numbers() if n > own) if m]
+                if all(m["after"] >= own for m in later):
+                    return own
         raise RuntimeError(f"{self.root}: other writers were faster {tries} times")
 
     def vacuum(self, folders: list[str], kept: set[str], now: int, least_age_ms: int) -> list[str]:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import LIMITS
+from ..operators.records import content_type
 from ..shared import materialised
 from .object_source import ObjectSource
 
@@ -120,6 +121,14 @@ def write_objects(rows: DataFrame, folder: str, key: str = "object_key", body: s
     return one.select("object_key", F.octet_length("body").cast("long").alias("size"))
 
 
+def fetch(spark: SparkSession, folder: str, *keys: str, most_bytes: int = LIMITS.document_bytes) -> DataFrame:
+    """(object_key, size, content_type, body, error) of the objects with these keys; others aren't opened."""
+    spark.dataSource.register(ObjectSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    rows = spark.read.format("objects").option("path", _qualified(spark, folder)).option("mostBytes", most_bytes).load().filter(F.col("object_key").isin(*keys))
+    return rows.select("object_key", "size", content_type(F.col("object_key")).alias("content_type"), "body", "error")
+
+
 def sidecar_json(pages: DataFrame, key: str = "object_key") -> DataFrame:
     """(object_key, body): the metadata of each page as JSON that is indented by two, under the sidecar's key."""
     fields = [f for f in PAGE.names if f in pages.columns]

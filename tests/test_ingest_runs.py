@@ -1,5 +1,6 @@
 """The bounded crawl, the one-pass cleaner, folds over sorted rows, and a chunking run with its counters."""
 
+import json
 import random
 from datetime import datetime, timedelta
 
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from lorewell.config import CHROME, Chrome
 from lorewell.operators import admin, chunking, cleaning, crawl, records
 from lorewell.plans import service
+from lorewell.shared import with_rank
+from lorewell.sources import objects
 from lorewell.streaming.runs import RunLog
 
 
@@ -129,3 +132,29 @@ def test_chunk_run(spark, tmp_path):
     assert stats == {"processed": 1, "skipped": 1, "failed": 1, "total_chunks": written.count()} and written.count() > 1
     assert sorted(written.columns) == sorted(chunking.chunk_records(docs).columns)
     assert [(r.name, r.status) for r in log.registry().collect()] == [("chunk", "completed")]
+
+
+def test_documents_of_statistics(spark):
+    texts = ['{"a": {"b": [1, 2]}, "n": 3, "s": "é\\"x", "z": null}', "[1]", "nope", None, "{}"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("d", records.variant(F.col("t")))
+    new = df.withColumn("d", records.patched(F.col("d"), {"n": F.col("i") + 10, "s": None, "new": F.lit("q\"\n")})).select("i", F.to_json("d").alias("j"), records.stat(F.col("d"), "$.a.b[1]", "int").alias("b"), records.stat(F.col("d"), "$.n", "boolean").alias("wrong"))
+    got = {r.i: r for r in new.collect()}
+    assert {i: json.loads(r.j) for i, r in got.items()} == {0: {"a": {"b": [1, 2]}, "n": 10, "z": None, "new": 'q"\n'}} | {i: {"n": 10 + i, "new": 'q"\n'} for i in range(1, 5)}
+    assert got[0].b == 2 and got[1].b is None
+    kinds = {(r.field, r.kind): r.n for r in records.stat_fields(df, "d").collect()}
+    assert kinds == {("a", "OBJECT<b: ARRAY<BIGINT>>"): 1, ("n", "BIGINT"): 1, ("s", "STRING"): 1, ("z", "VOID"): 1}
+
+
+def test_rank_over_ranges(spark):
+    r = random.Random(5)
+    rows = [(r.randrange(20), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "a int, b int")
+    ranked = sorted(rows, key=lambda x: (-x[0], x[1]))
+    assert {(x.a, x.b): x.position for x in with_rank(df, F.desc("a"), F.col("b")).collect()} == {x: i for i, x in enumerate(ranked, 1)}
+    assert with_rank(df.limit(0), F.col("a")).count() == 0
+
+
+def test_fetch_by_key(spark, tmp_path):
+    objects.write_objects(spark.createDataFrame([("a/b.md", "x"), ("c.json", "{}"), ("d.md", "y" * 50)], "object_key string, body string"), str(tmp_path))
+    got = {r.object_key: (r.content_type, r.body, r.error) for r in objects.fetch(spark, str(tmp_path), "a/b.md", "d.md", "none", most_bytes=20).collect()}
+    assert got == {"a/b.md": ("text/markdown", "x", None), "d.md": ("text/markdown", None, "too large")}

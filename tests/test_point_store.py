@@ -75,10 +75,29 @@ def test_an_unfinished_manifest_does_not_count(spark, store):
     store.upsert(rows(spark, [(1, 1)]))
     store.commits.files.create(f"{store.path}/commits/{2:012d}.json", '{"segm')
     assert got(store.read()) == {"p1": 1}
+    store.commits.grace_seconds = 0.2
     assert store.upsert(rows(spark, [(2, 2)])) == 3
     assert got(store.read()) == {"p1": 1, "p2": 2}
 
 
+def test_a_slow_writer_commits_anew(spark, store):
+    """Its manifest was taken for that of a lost writer, and another one passed it over."""
+    store.upsert(rows(spark, [(1, 1)]))
+    other, create = PointStore(spark, store.path), store.commits.files.create
+    other.commits.grace_seconds = 0.1
+
+    def slow(path, text):
+        if path.endswith(f"{2:012d}.json") and not list(store.commits.files.names(f"{store.path}/commits"))[1:]:
+            create(path, '{"segm')
+            other.upsert(rows(spark, [(2, 2)]))  # version 3, after version 1
+            store.commits.files.remove(path)
+        return create(path, text)
+
+    store.commits.files.create = slow
+    store.upsert(rows(spark, [(3, 3)]))
+    assert got(PointStore(spark, store.path).read()) == {"p1": 1, "p2": 2, "p3": 3}
+
+
 def test_two_writers_at_once(spark, store):
     store.upsert(rows(spark, [(1, 1)]))
     other = PointStore(spark, store.path)
