@@ -24,13 +24,19 @@ def blocked_path(spark, d):
     return table(spark, d, "pages").select("page_id", crawl.path_blocked(F.col("url")).alias("blocked"))
 
 
-_URLS = ("https://a.example.com/x/Paper.PDF?x=1", "report.docx", "/files/old.doc#p", "ftp://a.example.com/x.pdf", "https://a.example.com/x.pdf/", "mailto:x@example.com", "https:///x.pdf", "http://b.example.org/data-set_one.docx")
+#: What is put behind a page's URL, by the page's number, to make links of all kinds.
+_ENDS = ("/Paper.PDF", "/report_of-2024.docx?x=1", "/old.doc#p", ".pdf/", "/x.pdfx", "/data-set_one.DOCX")
 
 
 def document_url(spark, d):
-    urls = spark.range(1).select(F.posexplode(F.array(*[F.lit(u) for u in _URLS])).alias("n", "url"))
-    u = F.col("url")
-    return urls.select("n", crawl.is_document_url(u).alias("is_document"), crawl.is_safe_document_url(u).alias("safe"), tx.safe_url(u).alias("link"), tx.title_from_url(u).alias("title"))
+    """Links made of the pages' URLs: documents and others, of several schemes, without a host or a scheme."""
+    n = F.col("page_id")
+    plain = F.regexp_extract("url", r"^[a-z]+://([^?#]*)", 1)
+    end = F.element_at(F.array(*[F.lit(e) for e in _ENDS]), (n % len(_ENDS) + 1).cast("int"))
+    head = F.when(n % 7 == 0, "ftp://").when(n % 7 == 1, "").when(n % 7 == 2, "https:///").when(n % 7 == 3, "mailto:").when(n % 7 == 4, "HTTP://").otherwise("https://")
+    u = F.col("link_in")
+    urls = table(spark, d, "pages").select("page_id", F.concat(head, F.regexp_replace(plain, "/+$", ""), end).alias("link_in"))
+    return urls.select("page_id", crawl.is_document_url(u).alias("is_document"), crawl.is_safe_document_url(u).alias("safe"), tx.safe_url(u).alias("link"), tx.title_from_url(u).alias("title"))
 
 
 def page_types(spark, d):
@@ -232,8 +238,10 @@ ORACLE_SQL = {
 SELECT page_id, canonical, substr(sha256(canonical), 1, 16) AS doc_id, substr(sha256(url), 1, 16) AS raw_id, k || CASE WHEN k LIKE '%.md' THEN '' ELSE '.md' END AS object_key, regexp_replace(k || CASE WHEN k LIKE '%.md' THEN '' ELSE '.md' END, '\.md$', '.meta.json') AS sidecar_key FROM c""",
     "host_filter": f"""WITH p AS ({_PARTS}) SELECT page_id, netloc AS host, (netloc IN ('example.com', 'example.org') OR netloc LIKE '%.example.com' OR netloc LIKE '%.example.org') AND NOT (netloc IN ('spam-farm.example.org', 'login.example.com') OR netloc LIKE '%.spam-farm.example.org' OR netloc LIKE '%.login.example.com') AS allowed FROM p""",
     "blocked_path": f"""WITH p AS ({_PARTS}) SELECT page_id, path LIKE '/es/%' OR path LIKE '/drafts/%' OR path LIKE '/preview.html%' AS blocked FROM p""",
-    "document_url": """SELECT CAST(n AS INTEGER) AS n, is_document, safe, link, title FROM (VALUES (0, true, true, 'https://a.example.com/x/Paper.PDF?x=1', 'Paper'), (1, true, false, '#', 'Report'), (2, true, false, '#', 'Old'), (3, false, false, '#', 'X'), (4, false, true, 'https://a.example.com/x.pdf/', 'X'),
-(5, false, false, 'mailto:x@example.com', 'X@example'), (6, true, false, 'https:///x.pdf', 'X'), (7, true, true, 'http://b.example.org/data-set_one.docx', 'Data Set One')) t(n, is_document, safe, link, title)""",
+    "document_url": rf"""WITH l AS (SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'ftp://' WHEN 1 THEN '' WHEN 2 THEN 'https:///' WHEN 3 THEN 'mailto:' WHEN 4 THEN 'HTTP://' ELSE 'https://' END || regexp_replace(regexp_extract(url, '^[a-z]+://([^?#]*)', 1), '/+$', '') || ({list(_ENDS)})[CAST(page_id % {len(_ENDS)} AS INTEGER) + 1] AS u FROM pages),
+p AS (SELECT page_id, u, page_id % 7 AS k, regexp_extract(u, '^([^?#]*)', 1) AS t FROM l)
+SELECT page_id, k NOT IN (0, 3) AND regexp_matches(lower(t), '\.(pdf|docx?)$') AS is_document, k IN (4, 5, 6) AS safe, CASE WHEN k IN (2, 3, 4, 5, 6) THEN u ELSE '#' END AS link,
+  array_to_string(list_transform(string_split(regexp_replace(regexp_replace(string_split(regexp_replace(t, '/+$', ''), '/')[-1], '\.[A-Za-z0-9]+$', ''), '[-_]+', ' ', 'g'), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS title FROM p""",
     "page_type": f"""WITH {MARKDOWN} SELECT doc_id, CASE WHEN lower(url) LIKE '%/people/%' OR lower(url) LIKE '%faculty%' THEN 'faculty' WHEN lower(url) LIKE '%/course%' OR lower(url) LIKE '%/classes/%' THEN 'course' WHEN lower(url) LIKE '%/research/%' OR lower(url) LIKE '%/labs/%' THEN 'research'
 WHEN lower(url) LIKE '%/news/%' OR lower(url) LIKE '%/events/%' THEN 'news' WHEN lower(url) LIKE '%/about%' OR lower(url) LIKE '%/info%' THEN 'about' ELSE 'general' END AS page_type FROM mdd""",
     "crawl_classify": f"WITH {CRAWL} SELECT crawl_seq, host, status FROM logged",

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import SETTINGS_DEFAULTS
 from ..functions import ids
 from ..operators import admin
 from .derivations import table
@@ -47,23 +46,31 @@ def run_history(spark, d):
 
 
 def settings_overlay(spark, d):
-    base = spark.range(1).select(F.explode(F.create_map(*[F.lit(x) for kv in SETTINGS_DEFAULTS.items() for x in kv])).alias("key", "value"))
-    over = spark.range(1).select(F.explode(F.create_map(F.lit("crawl.max_depth"), F.lit("2"), F.lit("extra"), F.lit("yes"))).alias("key", "value"))
-    return admin.overlay(base, over)
+    """The status of every order, with that of its lines in its place where it has an odd number of them; and keys that only
+    the overlay has."""
+    base = table(spark, d, "orders").select(F.concat(F.lit("order."), F.col("o_orderkey").cast("string")).alias("key"), F.col("o_orderstatus").alias("value"))
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_linestatus").alias("value"), F.count(F.lit(1)).alias("n")).filter("n % 2 = 1")
+    return admin.overlay(base, lines.select(F.concat(F.when(F.col("n") == 7, "lines.").otherwise("order."), F.col("l_orderkey").cast("string")).alias("key"), F.when(F.col("n") != 5, F.col("value")).alias("value")))
 
 
 _EVENTS = ("start", "ok", "fail", "cancel")
 
 
 def pipeline_state(spark, d):
-    states = spark.range(1).select(F.explode(F.array(*[F.lit(s) for s in (*admin.TRANSITIONS, "DONE", "FAILED", "CANCELLED")])).alias("state"))
-    rows = states.select("state", F.explode(F.array(*[F.lit(e) for e in _EVENTS])).alias("event"))
-    return rows.select("state", "event", admin.next_state(F.col("state"), F.col("event")).alias("next"))
+    """How often each event meets each state in the events, and what state follows."""
+    states = (*admin.TRANSITIONS, "DONE", "FAILED", "CANCELLED")
+    pick = lambda xs, n: F.element_at(F.array(*[F.lit(x) for x in xs]), (n % len(xs) + 1).cast("int"))
+    rows = table(spark, d, "events").select(pick(states, F.col("event_id")).alias("state"), pick(_EVENTS, F.floor(F.col("event_id") / 7) + F.col("user_id")).alias("event"))
+    return rows.groupBy("state", "event").agg(F.count(F.lit(1)).alias("n")).select("state", "event", "n", admin.next_state(F.col("state"), F.col("event")).alias("next"))
 
 
 def cron_next_runs(spark, d):
-    rows = "SELECT * FROM VALUES ('weekly', '0 3 * * 0', true), ('often', '*/20 9-10 1,15 * *', true), ('off', '0 0 * * *', false), ('bad', '99 * * * *', true) AS t(id, cron, enabled)"
-    return admin.cron_next_runs(spark.sql(rows), "2024-01-01 00:00:00").withColumn("run_at", F.date_format("run_at", "yyyy-MM-dd HH:mm"))
+    """The next five runs of a schedule of each customer: weekly, twice a month, every few hours, off, or of no valid form."""
+    c = F.col("c_custkey")
+    text = lambda x: x.cast("string")
+    cron = F.when(c % 4 == 0, F.concat(text(c % 60), F.lit(" "), text(c % 24), F.lit(" * * "), text(c % 7))).when(c % 4 == 1, F.concat(text(c % 30), F.lit(",59 3 "), text(c % 27 + 1), F.lit(",28 * *"))).when(c % 4 == 2, F.concat(F.lit("*/20 "), text(c % 12), F.lit("-"), text(c % 12 + 2), F.lit(" * * *"))).otherwise("99 * * * *")
+    rows = table(spark, d, "customer").select(c.alias("id"), cron.alias("cron"), (c % 9 != 0).alias("enabled"))
+    return admin.cron_next_runs(rows, "2024-01-01 00:00:00", days=110).withColumn("run_at", F.date_format("run_at", "yyyy-MM-dd HH:mm"))
 
 
 def log_tail(spark, d):
@@ -93,11 +100,15 @@ ORACLE_SQL = {
     "url_set_ops": f"""WITH {_CANON}, a AS (SELECT DISTINCT url FROM cn WHERE page_id % 3 <> 0), b AS (SELECT DISTINCT url FROM cn WHERE page_id % 2 = 0) SELECT url, 'both' AS "where" FROM a WHERE url IN (SELECT url FROM b) UNION ALL SELECT url, 'a' FROM a WHERE url NOT IN (SELECT url FROM b) UNION ALL SELECT url, 'b' FROM b WHERE url NOT IN (SELECT url FROM a)""",
     "url_prefix_report": rf"""WITH {_CANON}, u AS (SELECT DISTINCT url, split_part(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '^/+', ''), '/', 1) AS prefix FROM cn) SELECT prefix, count(*) AS n, array_to_string(list_sort(list(url))[1:5], ' ') AS urls FROM u GROUP BY prefix""",
     "run_history": "SELECT event_id AS id, event_type AS stage FROM events ORDER BY ts DESC, event_id LIMIT 50",
-    "settings_overlay": "SELECT * FROM (VALUES ('crawl.max_depth', '2'), ('crawl.max_pages', '9999999'), ('crawl.request_delay', '0.1'), ('chunker.preferred_tokens', '400'), ('chunker.overlap_tokens', '64'), ('chunker.min_tokens', '120'), ('extra', 'yes')) t(key, value)",
-    "pipeline_state": """SELECT state, event, CASE WHEN state IN ('IDLE', 'DONE', 'FAILED', 'CANCELLED') THEN CASE WHEN event = 'start' THEN 'CRAWLING' ELSE state END WHEN event = 'start' THEN state WHEN event = 'fail' THEN 'FAILED' WHEN event = 'cancel' THEN 'CANCELLED' ELSE map {'CRAWLING': 'CHUNKING', 'CHUNKING': 'EMBEDDING', 'EMBEDDING': 'DONE'}[state] END AS next
-FROM (VALUES ('IDLE'), ('CRAWLING'), ('CHUNKING'), ('EMBEDDING'), ('DONE'), ('FAILED'), ('CANCELLED')) s(state), (VALUES ('start'), ('ok'), ('fail'), ('cancel')) e(event)""",
-    "cron_next_runs": """WITH m AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01 00:01:00', TIMESTAMP '2024-03-01', INTERVAL 1 MINUTE)) AS t), h AS (SELECT 'weekly' AS id, t FROM m WHERE minute(t) = 0 AND hour(t) = 3 AND dayofweek(t) = 0 UNION ALL SELECT 'often', t FROM m WHERE minute(t) % 20 = 0 AND hour(t) IN (9, 10) AND day(t) IN (1, 15)),
-r AS (SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY t) AS INTEGER) AS run, strftime(t, '%Y-%m-%d %H:%M') AS run_at FROM h) SELECT * FROM r WHERE run <= 5""",
+    "settings_overlay": """WITH b AS (SELECT 'order.' || o_orderkey AS key, o_orderstatus AS value FROM orders), l AS (SELECT l_orderkey, max(l_linestatus) AS value, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) % 2 = 1),
+o AS (SELECT CASE WHEN n = 7 THEN 'lines.' ELSE 'order.' END || l_orderkey AS key, CASE WHEN n <> 5 THEN value END AS value, true AS has FROM l) SELECT key, CASE WHEN o.has THEN o.value ELSE b.value END AS value FROM b FULL JOIN o USING (key)""",
+    "pipeline_state": """WITH e AS (SELECT (['IDLE', 'CRAWLING', 'CHUNKING', 'EMBEDDING', 'DONE', 'FAILED', 'CANCELLED'])[CAST(event_id % 7 AS INTEGER) + 1] AS state, (['start', 'ok', 'fail', 'cancel'])[CAST((event_id // 7 + user_id) % 4 AS INTEGER) + 1] AS event FROM events), g AS (SELECT state, event, count(*) AS n FROM e GROUP BY ALL)
+SELECT state, event, n, CASE WHEN state IN ('IDLE', 'DONE', 'FAILED', 'CANCELLED') THEN CASE WHEN event = 'start' THEN 'CRAWLING' ELSE state END WHEN event = 'start' THEN state WHEN event = 'fail' THEN 'FAILED' WHEN event = 'cancel' THEN 'CANCELLED' ELSE map {'CRAWLING': 'CHUNKING', 'CHUNKING': 'EMBEDDING', 'EMBEDDING': 'DONE'}[state] END AS next FROM g""",
+    "cron_next_runs": """WITH c AS (SELECT c_custkey AS id FROM customer WHERE c_custkey % 4 < 3 AND c_custkey % 9 <> 0), y AS (SELECT CAST(unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-04-20', INTERVAL 1 DAY)) AS TIMESTAMP) AS day),
+w AS (SELECT id, day + to_hours(id % 24) + to_minutes(id % 60) AS t FROM c, y WHERE id % 4 = 0 AND dayofweek(day) = id % 7),
+m AS (SELECT DISTINCT id, day + to_hours(3) + to_minutes(x) AS t FROM (SELECT id, day, unnest([id % 30, 59]) AS x FROM c, y WHERE id % 4 = 1 AND day(day) IN (id % 27 + 1, 28))),
+h AS (SELECT id, day + to_hours(hh) + to_minutes(mm) AS t FROM (SELECT id, day, unnest([id % 12, id % 12 + 1, id % 12 + 2]) AS hh FROM c, y WHERE id % 4 = 2 AND day < TIMESTAMP '2024-01-05'), (SELECT unnest([0, 20, 40]) AS mm)),
+a AS (SELECT * FROM w UNION ALL SELECT * FROM m UNION ALL SELECT * FROM h), r AS (SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY t) AS INTEGER) AS run, strftime(t, '%Y-%m-%d %H:%M') AS run_at FROM a WHERE t > TIMESTAMP '2024-01-01') SELECT * FROM r WHERE run <= 5""",
     "log_tail": "SELECT event_id AS seq, event_type FROM events ORDER BY event_id DESC LIMIT 100",
     "phrase_score": """WITH s AS (SELECT doc_id, CAST(contains(lower(text), 'the ') AS INTEGER) + CAST(contains(lower(text), 'search') AS INTEGER) + CAST(contains(text, '###') AS INTEGER) AS n_boilerplate, CAST(contains(lower(text), 'and') AS INTEGER) + CAST(contains(lower(text), ' of ') AS INTEGER) AS n_content, CAST(length(text) AS INTEGER) AS chars, CAST(length(text) - length(replace(text, chr(10), '')) AS INTEGER) AS newlines FROM documents)
 SELECT *, n_boilerplate = 0 AND n_content = 2 AS clean FROM s""",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..config import SETTINGS_DEFAULTS
 from ..functions import ids
 from ..functions import text as tx
 from ..functions.ids import point_id
@@ -98,12 +99,15 @@ def collection_stats(spark, d):
     return records.collection_stats(points(spark, d).withColumn("embedding", F.when(F.col("vec_id") % 50 != 49, F.col("embedding"))))
 
 
-_NAMES = ("a/b.md", "a/b.meta.json", "x.PDF", "y.docx", "page.html", "no-extension", "", "log.txt", "archive.tar.gz", "dir.md/")
+#: Endings of object keys, by the page's number.
+_ENDINGS = (".md", ".meta.json", ".PDF", ".docx", ".html", "", ".txt", ".tar.gz", ".md/", ".")
 
 
 def content_types(spark, d):
-    rows = spark.range(1).select(F.posexplode(F.array(*[F.lit(n) for n in _NAMES])).alias("n", "name"))
-    return rows.select("n", "name", records.content_type(F.col("name")).alias("content_type"), records.etag(F.concat(F.lit('"'), F.md5("name"), F.lit('"'))).alias("etag"))
+    """Types and tags of objects that are named after the pages."""
+    name = F.concat(ids.object_key(F.col("url")), F.element_at(F.array(*[F.lit(e) for e in _ENDINGS]), (F.col("page_id") % len(_ENDINGS) + 1).cast("int")))
+    rows = table(spark, d, "pages").select("page_id", name.alias("name"), F.concat(F.when(F.col("page_id") % 2 == 0, '"').otherwise('""'), F.md5("html"), F.lit('"')).alias("tag"))
+    return rows.select("page_id", "name", records.content_type(F.col("name")).alias("content_type"), records.etag(F.col("tag")).alias("etag"))
 
 
 def display_fields(spark, d):
@@ -117,8 +121,15 @@ def text_lines(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(lines).alias("n"), F.md5(F.array_join(lines, "|")).alias("lines_md5"))
 
 
+def _settings(spark, d):
+    """Settings as the last of many changes of each: every event is one, some of them blank."""
+    keys = F.array(*[F.lit(k) for k in (*SETTINGS_DEFAULTS, "other.key")])
+    e = table(spark, d, "events").select("event_id", F.element_at(keys, (F.floor(F.col("event_id") / 3) % (len(SETTINGS_DEFAULTS) + 1) + 1).cast("int")).alias("key"), F.when(F.col("event_id") % 4 == 1, "  ").otherwise(F.floor("value").cast("string")).alias("value"))
+    return index.last_wins(e, "key", "value", "event_id")
+
+
 def settings_env(spark, d):
-    over = spark.createDataFrame([("crawl.max_depth", "2"), ("crawl.max_pages", "  "), ("chunker.min_tokens", "9"), ("other", "x")], "key string, value string")
+    over = _settings(spark, d)
     return records.environment(over, "crawl").unionByName(records.environment(over, "chunker"))
 
 
@@ -281,6 +292,7 @@ v2 AS (SELECT node, host, 2 AS depth FROM c2 ORDER BY turn, node LIMIT (SELECT 1
 f3 AS (SELECT DISTINCT l.dst AS node, lower(regexp_extract(l.dst, '^https://([^/?#:]*)', 1)) AS host FROM v2 JOIN l ON l.src = v2.node WHERE NOT regexp_matches(lower(v2.node), '\.(pdf|docx?)$') AND l.dst NOT IN (SELECT node FROM v0 UNION ALL SELECT node FROM v1 UNION ALL SELECT node FROM v2)), c3 AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY node) AS turn FROM f3),
 v3 AS (SELECT node, host, 3 AS depth FROM c3 ORDER BY turn, node LIMIT (SELECT 1500 - (SELECT count(*) FROM v0) - (SELECT count(*) FROM v1) - count(*) FROM v2))
 SELECT node, depth FROM v0 UNION ALL SELECT node, depth FROM v1 UNION ALL SELECT node, depth FROM v2 UNION ALL SELECT node, depth FROM v3"""
+_OBJECT_KEYS = r"""op AS (SELECT page_id, html, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) || '/' || CASE WHEN trim(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/') = '' THEN 'index' ELSE trim(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/') END AS k FROM pages), ok AS (SELECT page_id, html, k || CASE WHEN k LIKE '%.md' THEN '' ELSE '.md' END AS object_key FROM op)"""
 _STATES = f"""WITH RECURSIVE e0 AS (SELECT user_id AS run_id, event_id AS seq, (['start', 'ok', 'ok', 'ok', 'fail', 'cancel'])[CAST(event_id % 6 AS INTEGER) + 1] AS event FROM events), e AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS n FROM e0),
 s(run_id, n, state, path) AS (SELECT DISTINCT run_id, CAST(0 AS BIGINT), 'IDLE', 'IDLE' FROM e UNION ALL SELECT run_id, n, state, CASE WHEN state = was THEN path ELSE path || '>' || state END FROM (SELECT e.run_id, e.n, s.state AS was, s.path, {_STEP} AS state FROM s JOIN e ON e.run_id = s.run_id AND e.n = s.n + 1))
 """
@@ -304,12 +316,13 @@ now AS (SELECT * FROM c WHERE good AND vec_id % 2 = 0), s AS (SELECT count(*) AS
 SELECT count(*) FILTER (good > 0) AS documents, count(*) FILTER (good = 0) AS failed, CAST(sum(good) AS BIGINT) AS chunks, CAST(sum(n - good) AS BIGINT) AS skipped, max(stale) AS stale FROM g, s""",
     "point_scroll": f"""WITH {POINTS} SELECT chunk_id, 'k' || (vec_id % 7) AS kind, title FROM pts WHERE vec_id % 7 IN (1, 2, 3) AND (chunk_index IN (0, 4) OR title = 'Page 3') AND document_id <> '0000000000000001' AND chunk_id > '0000000000000002' ORDER BY chunk_id LIMIT 40""",
     "collection_stats": f"WITH {POINTS} SELECT count(*) AS points, count(*) FILTER (vec_id % 50 <> 49) AS indexed, count(DISTINCT document_id) AS documents, CASE WHEN count(*) = 0 THEN 'empty' WHEN count(*) FILTER (vec_id % 50 = 49) = 0 THEN 'green' ELSE 'yellow' END AS status FROM pts",
-    "content_types": """SELECT CAST(n AS INTEGER) AS n, name, content_type, md5(name) AS etag FROM (VALUES (0, 'a/b.md', 'text/markdown'), (1, 'a/b.meta.json', 'application/json'), (2, 'x.PDF', 'application/pdf'), (3, 'y.docx', 'application/vnd.openxmlformats-officedocument.wordprocessingml.document'), (4, 'page.html', 'text/html'),
-(5, 'no-extension', 'application/octet-stream'), (6, '', 'application/octet-stream'), (7, 'log.txt', 'text/plain'), (8, 'archive.tar.gz', 'application/octet-stream'), (9, 'dir.md/', 'application/octet-stream')) t(n, name, content_type)""",
+    "content_types": rf"""WITH {_OBJECT_KEYS}, n AS (SELECT page_id, object_key || ({list(_ENDINGS)})[CAST(page_id % {len(_ENDINGS)} AS INTEGER) + 1] AS name, html FROM ok), x AS (SELECT *, lower(regexp_extract(name, '\.([A-Za-z0-9]+)$', 1)) AS e FROM n)
+SELECT page_id, name, CASE e WHEN 'md' THEN 'text/markdown' WHEN 'json' THEN 'application/json' WHEN 'txt' THEN 'text/plain' WHEN 'html' THEN 'text/html' WHEN 'pdf' THEN 'application/pdf' WHEN 'docx' THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' ELSE 'application/octet-stream' END AS content_type, md5(html) AS etag FROM x""",
     "display_fields": "SELECT doc_id, replace(left(text, 60), chr(10), ' ') AS short, md5(replace(left(text, 200), chr(10), ' ')) AS long_md5 FROM documents",
     "text_lines": r"""WITH m AS (SELECT doc_id, replace(text, '. ', chr(8232)) || CASE WHEN doc_id % 2 = 0 THEN chr(13) || chr(10) || 'last' || chr(13) ELSE chr(12) END AS t FROM documents), l AS (SELECT doc_id, regexp_split_to_array(t, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]') AS x FROM m), k AS (SELECT doc_id, CASE WHEN x[-1] = '' THEN x[1:len(x) - 1] ELSE x END AS x FROM l)
 SELECT doc_id, CAST(len(x) AS INTEGER) AS n, md5(array_to_string(x, '|')) AS lines_md5 FROM k""",
-    "settings_env": "SELECT * FROM (VALUES ('CRAWL_MAX_DEPTH', '2'), ('CRAWL_MAX_PAGES', '9999999'), ('CRAWL_REQUEST_DELAY', '0.1'), ('CHUNKER_PREFERRED_TOKENS', '400'), ('CHUNKER_OVERLAP_TOKENS', '64'), ('CHUNKER_MIN_TOKENS', '9')) t(name, value)",
+    "settings_env": f"""WITH d AS (SELECT * FROM (VALUES {', '.join(f"('{k}', '{v}')" for k, v in SETTINGS_DEFAULTS.items())}) t(key, value)), e AS (SELECT event_id, ({[*SETTINGS_DEFAULTS, 'other.key']})[CAST((event_id // 3) % {len(SETTINGS_DEFAULTS) + 1} AS INTEGER) + 1] AS key, CASE WHEN event_id % 4 = 1 THEN '  ' ELSE CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) END AS value FROM events),
+l AS (SELECT key, arg_max(value, event_id) AS value FROM e GROUP BY key) SELECT upper(replace(d.key, '.', '_')) AS name, coalesce(nullif(trim(l.value), ''), d.value) AS value FROM d LEFT JOIN l USING (key)""",
     "run_changes": """WITH l AS (SELECT l_orderkey AS id, l_linenumber AS n, max(l_returnflag) AS flag FROM lineitem GROUP BY 1, 2), c AS (SELECT id, n, nullif(flag, 'R') AS status, CASE WHEN n % 4 = 0 THEN 'delete' WHEN n % 5 = 1 THEN 'insert' ELSE 'update' END AS action FROM l),
 b AS (SELECT id, max(n) AS n FROM c WHERE action <> 'update' GROUP BY id), base AS (SELECT c.* FROM c JOIN b USING (id, n)),
 kept AS (SELECT o_orderkey AS id, o_orderstatus AS status, o_orderpriority AS owner FROM orders WHERE o_orderkey NOT IN (SELECT id FROM base) UNION ALL SELECT id, status, 'someone' FROM base WHERE action = 'insert'),
