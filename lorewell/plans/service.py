@@ -9,6 +9,7 @@ from ..config import LIMITS
 from ..functions import ids
 from ..functions import text as tx
 from ..operators import chat, chunking, cleaning, index, retrieval
+from ..operators.point_store import PointStore
 from ..streaming.runs import RunLog, observed_write
 
 
@@ -38,6 +39,28 @@ def index_chunks(chunks: DataFrame, embed) -> tuple[DataFrame, DataFrame]:
     return good.withColumns({"point_id": ids.point_id(F.col("chunk_id")), "embedding": embed(context)}), checked.filter("reason IS NOT NULL")
 
 
+def index_run(chunks: DataFrame, store: PointStore, embed, path: str, log: RunLog) -> dict:
+    """Indexes chunk records: valid ones are embedded, written to path and put into the store, and points of their documents
+    that are no longer there go.  Gives the run's counters, which are logged: documents with a valid chunk, documents
+    with none (failed), chunks embedded and skipped, and stale points.  Chunks are counted in the plan that writes."""
+    checked = index.validated(index.with_defaults(chunks))
+    context = retrieval.embed_context(F.col("title"), F.coalesce("headings_path", F.array().cast("array<string>")) if "headings_path" in chunks.columns else F.array().cast("array<string>"), F.col("text"))
+    good = F.col("reason").isNull()
+    rows = checked.withColumns({"point_id": ids.point_id(F.col("chunk_id")), "embedding": F.when(good, embed(context))})
+    stats = observed_write(rows, path, log, "embed", chunks=F.count_if(good), skipped=F.count_if(~good))
+    written = chunks.sparkSession.read.parquet(path)
+    points = written.filter("reason IS NULL").drop("reason")
+    store.upsert(points)
+    stale = index.stale_points(store.read().select("document_id", "point_id"), points)
+    stats["stale"] = stale.count()
+    if stats["stale"]:
+        store.delete(stale)
+    by_doc = written.groupBy("document_id").agg(F.count_if(good).alias("n"))
+    documents, failed = by_doc.agg(F.count_if(F.col("n") > 0), F.count_if(F.col("n") == 0)).first()
+    log.add(f"counters-{path.rsplit('/', 1)[-1]}", "completed", "embed-counters", stats=stats | {"documents": documents, "failed": failed})
+    return stats | {"documents": documents, "failed": failed}
+
+
 def rewritten(question: Column, history: Column, rewrite=None) -> Column:
     """The search text of a question: rewritten if it refers back and a rewriter is given."""
     if rewrite is None:

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..config import LIMITS
 from ..operators.records import content_type
-from ..shared import materialised
+from ..shared import Files, materialised
 from .object_source import ObjectSource
 
 _S, _L = T.StringType(), T.ArrayType(T.StringType())
@@ -72,13 +72,17 @@ def _lines(spark: SparkSession, folders: list[str]) -> DataFrame:
     return spark.read.text(folders) if folders else spark.createDataFrame([], "value string")
 
 
-def write_chunks(chunks: DataFrame, path: str) -> None:
+def write_chunks(chunks: DataFrame, path: str, buckets: int = 64) -> None:
     """Chunk records by document, as JSON lines; a later write of a document replaces its earlier chunks
     only.  The buckets that are touched are written anew, with their other documents, into a snapshot
-    folder; what was there is only read, and counts no more.  One writer at a time."""
-    spark, bucket = chunks.sparkSession, F.pmod(F.xxhash64("document_id"), F.lit(64)).cast("int").alias("bucket")
+    folder; what was there is only read, and counts no more.  One writer at a time.  `buckets` is that of a
+    new folder, some hundreds of megabytes each at most; later writes take the number that was stored."""
+    spark, files = chunks.sparkSession, Files(chunks.sparkSession, path)
+    if "buckets.json" not in files.names(path):
+        files.create(f"{path}/buckets.json", json.dumps(64 if files.names(path) else buckets))
+    bucket = F.pmod(F.xxhash64("document_id"), F.lit(json.loads(files.read(f"{path}/buckets.json")))).cast("int").alias("bucket")
     newest, snapshot = _bucket_folders(spark, path)
-    touched = [r["bucket"] for r in chunks.select(bucket).distinct().collect()]  # 64 at most
+    touched = [r["bucket"] for r in chunks.select(bucket).distinct().collect()]  # no more than there are buckets
     held = _lines(spark, [newest[b] for b in touched if b in newest]).withColumn("document_id", F.get_json_object("value", "$.document_id"))
     written = chunks.select(F.col("document_id").alias("d")).distinct()
     others = held.join(written, F.col("document_id").eqNullSafe(F.col("d")), "left_anti").select("value", bucket)
