@@ -11,11 +11,14 @@ the score.
 
 Learning uses a bounded sample (`most_toxic` and `most_clean` labelled documents, chosen by hash,
 one of each group of near copies): half of it proposes entries, the other half confirms them and
-fits the model.  Scoring covers every whole text.
+fits the model.  An entry is in a hundredth of the half's toxic documents at least, so the sample bounds
+the lexicon, and its words bound the exceptions.  Scoring covers every whole text.
 
 Defined cases: null, empty and wordless texts score like any text without hits; repeated rows score
 alike; a label of null is not used; without usable labels the lexicon is empty and all score alike;
-other columns pass through, except one named like `out`.
+other columns pass through, except one named like `out`.  A pair of quotation marks with more than
+LONGEST_QUOTE words between them doesn't make a quotation; entries under five letters are found as they
+are written only.
 """
 
 from __future__ import annotations
@@ -275,7 +278,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, doc: str, text: str, lab
     return materialised(one.select("y", "k", "t"), "toxicity-sample")
 
 
-def learn(sample: DataFrame, most_entries: int = 4000) -> Model:
+def learn(sample: DataFrame) -> Model:
     """A lexicon and its weights from a training_sample()."""
     half = F.pmod(F.xxhash64("k"), F.lit(2))
 
@@ -293,11 +296,11 @@ def learn(sample: DataFrame, most_entries: int = 4000) -> Model:
     n_toxic = sample.filter((half == 0) & (F.col("y") == 1)).count()
     least, confirm = max(3, n_toxic // 100), max(2, n_toxic // 200)
     pure = F.col("a") >= 19 * F.col("b")
-    top = lambda df: df.orderBy(F.desc("a"), "w").limit(most_entries)
-    whole = [r["w"] for r in top(words.filter((F.col("a") >= least) & pure & (F.length("w") >= 4))).collect()]
+    listed = lambda df: [r["w"] for r in df.select("a", "w").orderBy(F.desc("a"), "w").collect()]  # noqa: E731  words of the bounded sample
+    whole = listed(words.filter((F.col("a") >= least) & pure & (F.length("w") >= 4)))
     prefixes = words.select("w", "a", "b", F.explode(F.expr("transform(sequence(4, greatest(4, least(7, length(w) - 1))), n -> left(w, n))")).alias("p")).filter(F.length("w") > 4)
     family = prefixes.groupBy("p").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count(F.lit(1)).alias("n"))
-    stems = [r["w"] for r in top(family.withColumnRenamed("p", "w").filter((F.col("a") >= 2 * least) & (F.col("n") >= 5) & pure)).collect()]
+    stems = listed(family.withColumnRenamed("p", "w").filter((F.col("a") >= 2 * least) & (F.col("n") >= 5) & pure))
     stems = [s for s in stems if not any(s != p and s.startswith(p) for p in stems)]
     whole = [w for w in whole if not any(w.startswith(p) for p in stems)]
 
@@ -312,7 +315,7 @@ def learn(sample: DataFrame, most_entries: int = 4000) -> Model:
             yield pa.RecordBatch.from_pydict({"w": keys, "a": [toxic[k] for k in keys], "b": [clean[k] for k in keys]}, schema=pa.schema([("w", pa.string()), ("a", pa.int64()), ("b", pa.int64())]))
 
     other = sample.filter(half == 1)
-    found = other.select("y", "t").mapInArrow(entries_in, "w string, a long, b long").groupBy("w").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).filter((F.col("a") >= confirm) & (F.col("a") >= 9 * F.col("b"))).collect()  # at most 2 * most_entries
+    found = other.select("y", "t").mapInArrow(entries_in, "w string, a long, b long").groupBy("w").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).filter((F.col("a") >= confirm) & (F.col("a") >= 9 * F.col("b"))).collect()  # entries
     confirmed = {r["w"] for r in found}
     model = Model([w for w in whole if w in confirmed], [s for s in stems if f"{s}*" in confirmed])
 
@@ -323,7 +326,7 @@ def learn(sample: DataFrame, most_entries: int = 4000) -> Model:
 
     # words like an entry that clean documents of the first half have: ordinary words
     ordinary = words.filter((F.col("b") > 0) & (F.col("b") >= F.col("a"))).orderBy(F.desc("b"), "w").select("w")
-    model.exceptions = [r["w"] for r in ordinary.mapInArrow(near, "w string").limit(most_entries).collect()]
+    model.exceptions = [r["w"] for r in ordinary.mapInArrow(near, "w string").collect()]
 
     def hits(batches):
         scorer = Scorer(model)
