@@ -47,10 +47,12 @@ def page_type(url: Column) -> Column:
     return out
 
 
+# The heading of an error page.
 def is_error_page(body: Column) -> Column:
     return F.substring(body, 1, LIMITS.error_probe_chars).rlike(r"(?m)^#\s+Resource at '.*?' not found")
 
 
+# How a dated page writes its date.
 def event_date(body: Column) -> Column:
     """The first date with a weekday near the top, null if it isn't one."""
     pattern = r"(?:Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday),\s+([A-Z][a-z]+)\s+(\d{1,2}),\s+(\d{4})"
@@ -73,6 +75,7 @@ def without_images(x: Column) -> Column:
     return strip(F.regexp_replace(x, r"data:[a-zA-Z0-9+/;=,\s]{20,}", ""))
 
 
+# How addresses, numbers and offices are written.
 def emails(body: Column, domain: str = CONTACT_DOMAIN) -> Column:
     """Labels of mail links, else bare addresses of the domain."""
     linked = F.regexp_extract_all(body, F.lit(r"\[([^\]]*@[^\]]+)\]\(mailto:[^)]+\)"), F.lit(1))

@@ -16,6 +16,7 @@ SYSTEM_PROMPT = "You answer questions from the retrieved context only and name y
 CONTEXT_INTRO = "\n\n---\n\nRetrieved context:\n\n"
 NO_CONTEXT = "\n\n---\n\nNo relevant information was found for this question. Say that you don't have enough context to answer."
 REWRITE_PROMPT = "Rewrite the question so that it stands alone; return it unchanged if it already does."
+# Words by which a question refers back.
 FOLLOW_UP = r"\b(he|she|they|them|it|his|her|their|its|who|that|this|those|these|tell me more|what about|elaborate|the same|mentioned above)\b"
 
 
