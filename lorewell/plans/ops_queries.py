@@ -25,7 +25,7 @@ def storage_browse(spark, d):
 def _sides(spark, d):
     p = table(spark, d, "pages").select("page_id", F.col("url"))
     canonical = p.select("page_id", ids.canonical_url(F.col("url")).alias("url"))
-    return canonical.filter("page_id % 3 <> 0"), canonical.filter("page_id % 2 = 0")
+    return canonical.filter("page_id % 3 <> 0"), canonical.filter("page_id % 2 = 0 OR page_id % 3 = 0")
 
 
 def url_set_ops(spark, d):
@@ -97,7 +97,7 @@ _CANON = r"""cn AS (SELECT page_id, 'https://' || regexp_extract(url, '^[a-z]+:/
 ORACLE_SQL = {
     "bucket_stats": f"WITH {_OBJECTS} SELECT bucket, count(*) AS objects, CAST(sum(size) AS BIGINT) AS bytes, round(sum(size) / 1048576.0::DOUBLE, 2) AS mb FROM obj GROUP BY bucket",
     "storage_browse": f"""WITH {_OBJECTS} SELECT DISTINCT CASE WHEN contains(name, '/') THEN split_part(name, '/', 1) ELSE name END AS name, 'site/' || CASE WHEN contains(name, '/') THEN split_part(name, '/', 1) || '/' ELSE name END AS path, CASE WHEN contains(name, '/') THEN 'folder' ELSE 'file' END AS type FROM obj""",
-    "url_set_ops": f"""WITH {_CANON}, a AS (SELECT DISTINCT url FROM cn WHERE page_id % 3 <> 0), b AS (SELECT DISTINCT url FROM cn WHERE page_id % 2 = 0) SELECT url, 'both' AS "where" FROM a WHERE url IN (SELECT url FROM b) UNION ALL SELECT url, 'a' FROM a WHERE url NOT IN (SELECT url FROM b) UNION ALL SELECT url, 'b' FROM b WHERE url NOT IN (SELECT url FROM a)""",
+    "url_set_ops": f"""WITH {_CANON}, a AS (SELECT DISTINCT url FROM cn WHERE page_id % 3 <> 0), b AS (SELECT DISTINCT url FROM cn WHERE page_id % 2 = 0 OR page_id % 3 = 0) SELECT url, 'both' AS "where" FROM a WHERE url IN (SELECT url FROM b) UNION ALL SELECT url, 'a' FROM a WHERE url NOT IN (SELECT url FROM b) UNION ALL SELECT url, 'b' FROM b WHERE url NOT IN (SELECT url FROM a)""",
     "url_prefix_report": rf"""WITH {_CANON}, u AS (SELECT DISTINCT url, split_part(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '^/+', ''), '/', 1) AS prefix FROM cn) SELECT prefix, count(*) AS n, array_to_string(list_sort(list(url))[1:5], ' ') AS urls FROM u GROUP BY prefix""",
     "run_history": "SELECT event_id AS id, event_type AS stage FROM events ORDER BY ts DESC, event_id LIMIT 50",
     "settings_overlay": """WITH b AS (SELECT 'order.' || o_orderkey AS key, o_orderstatus AS value FROM orders), l AS (SELECT l_orderkey, max(l_linestatus) AS value, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) % 2 = 1),

@@ -85,13 +85,13 @@ def _checked(spark, d):
 
 
 def embed_counters(spark, d):
-    """An indexing run: the store has two thirds of the points, some of bad chunks, and the pages' even chunks come anew."""
+    """An indexing run: the store has two thirds of the points, some of bad chunks, and the pages' even and third chunks come anew."""
     p = _checked(spark, d).drop("reason")
     store = PointStore(spark, own_folder(spark, "points"))
     embed = index.hash_embedder(16)
     keep = ("point_id", "chunk_id", "document_id", "chunk_index", "text", "url", "title", "vec_id", "embedding")
     store.upsert(p.filter("vec_id % 3 <> 0").select(*keep[:-1], F.array().cast("array<float>").alias("embedding")))
-    stats = service.index_run(p.filter("vec_id % 2 = 0").select(*keep[1:-1]), store, embed, own_folder(spark, "embedded"), RunLog(spark, own_folder(spark, "runs")))
+    stats = service.index_run(p.filter("vec_id % 2 = 0 OR vec_id % 3 = 0").select(*keep[1:-1]), store, embed, own_folder(spark, "embedded"), RunLog(spark, own_folder(spark, "runs")))
     return spark.createDataFrame([tuple(stats[c] for c in ("documents", "failed", "chunks", "skipped", "stale"))], "documents long, failed long, chunks long, skipped long, stale long")
 
 
@@ -317,8 +317,8 @@ SELECT count(*) AS pages, count(*) FILTER (bad) AS error_pages, count(*) FILTER
 SELECT count(*) FILTER (NOT bad AND n > 0) AS processed, count(*) FILTER (NOT bad AND n = 0) AS skipped, count(*) FILTER (bad) AS failed, CAST(coalesce(sum(n) FILTER (NOT bad), 0) AS BIGINT) AS total_chunks FROM g""",
     "clean_pages": rf"""WITH RECURSIVE {CHROME}, {_BLOCK_STEP}, kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS t FROM st JOIN li USING (doc_id, i) WHERE kept AND NOT ({_CHROME_RE}) GROUP BY doc_id),
 ct AS (SELECT doc_id, regexp_replace(coalesce(t, ''), '\n{{4,}}', chr(10) || chr(10) || chr(10), 'g') AS body FROM documents LEFT JOIN kept USING (doc_id)), {_CONTACT_PARTS} SELECT doc_id, md5({_PLACED}) AS text_md5 FROM o4""",
-    "embed_counters": rf"""WITH {POINTS}, c AS (SELECT *, NOT (regexp_replace(text, '\s', '', 'g') = '' OR vec_id % 5 < (vec_id // 5) % 7) AS good FROM pts), g AS (SELECT document_id, count(*) FILTER (good) AS good, count(*) AS n FROM c WHERE vec_id % 2 = 0 GROUP BY document_id),
-now AS (SELECT * FROM c WHERE good AND vec_id % 2 = 0), s AS (SELECT count(*) AS stale FROM c WHERE vec_id % 3 <> 0 AND document_id IN (SELECT document_id FROM now) AND vec_id NOT IN (SELECT vec_id FROM now))
+    "embed_counters": rf"""WITH {POINTS}, c AS (SELECT *, NOT (regexp_replace(text, '\s', '', 'g') = '' OR vec_id % 5 < (vec_id // 5) % 7) AS good FROM pts), g AS (SELECT document_id, count(*) FILTER (good) AS good, count(*) AS n FROM c WHERE vec_id % 2 = 0 OR vec_id % 3 = 0 GROUP BY document_id),
+now AS (SELECT * FROM c WHERE good AND (vec_id % 2 = 0 OR vec_id % 3 = 0)), s AS (SELECT count(*) AS stale FROM c WHERE vec_id % 3 <> 0 AND document_id IN (SELECT document_id FROM now) AND vec_id NOT IN (SELECT vec_id FROM now))
 SELECT count(*) FILTER (good > 0) AS documents, count(*) FILTER (good = 0) AS failed, CAST(sum(good) AS BIGINT) AS chunks, CAST(sum(n - good) AS BIGINT) AS skipped, max(stale) AS stale FROM g, s""",
     "point_scroll": f"""WITH {POINTS} SELECT chunk_id, 'k' || (vec_id % 7) AS kind, title FROM pts WHERE vec_id % 7 IN (1, 2, 3) AND (chunk_index IN (0, 4) OR title = 'Page 3') AND document_id <> '0000000000000001' AND chunk_id > '0000000000000002' ORDER BY chunk_id LIMIT 40""",
     "collection_stats": f"WITH {POINTS} SELECT count(*) AS points, count(*) FILTER (vec_id % 50 <> 49) AS indexed, count(DISTINCT document_id) AS documents, CASE WHEN count(*) = 0 THEN 'empty' WHEN count(*) FILTER (vec_id % 50 = 49) = 0 THEN 'green' ELSE 'yellow' END AS status FROM pts",

@@ -88,7 +88,7 @@ def chunk_validation(spark, d):
 
 def _old_new(spark, d):
     p = points(spark, d).select("document_id", point_id(F.col("chunk_id")).alias("point_id"), "vec_id", F.octet_length("text").alias("size"))
-    old, new = p.filter("vec_id % 3 <> 0").withColumn("version", F.lit(1)), p.filter("vec_id % 2 = 0").withColumn("version", F.lit(2))
+    old, new = p.filter("vec_id % 3 <> 0").withColumn("version", F.lit(1)), p.filter("vec_id % 2 = 0 OR vec_id % 3 = 0").withColumn("version", F.lit(2))
     return old, new
 
 
@@ -197,6 +197,6 @@ SELECT qid, CAST(count(*) AS INTEGER) AS n_chunks, md5(string_agg('[Source ' ||
     "ann_recall": "SELECT count(*) AS questions, 5 * count(*) AS wanted, true AS reached FROM embeddings WHERE vec_id % 20 = 0",
     "indexed_search": f"WITH {POINTS.replace('pts AS', 'allpts AS', 1)}, {QUESTIONS.replace('FROM pts', 'FROM allpts')}, pts AS (SELECT * FROM allpts WHERE vec_id % 7 <> 3), {_TOKENS}, {_VECTOR}, {_KEYWORD}, {_FUSED}, {_FOUND} SELECT qid, position, chunk_id, round(score, 9) AS score, from_vector, adjacent FROM found",
     "point_store": f"WITH {POINTS}, {_IDS} SELECT point_id, vec_id, CASE WHEN (vec_id // 5) % 2 = 0 THEN 2 ELSE 1 END AS version FROM ids WHERE (vec_id // 5) % 2 = 1 OR chunk_index < 3",
-    "upsert_points": f"WITH {POINTS}, {_IDS} SELECT point_id, vec_id, CASE WHEN vec_id % 2 = 0 THEN 2 ELSE 1 END AS version FROM ids WHERE vec_id % 2 = 0 OR vec_id % 3 <> 0",
-    "stale_points": f"WITH {POINTS}, {_IDS} SELECT point_id, vec_id FROM ids o WHERE vec_id % 3 <> 0 AND vec_id % 2 <> 0 AND EXISTS (SELECT 1 FROM ids n WHERE n.document_id = o.document_id AND n.vec_id % 2 = 0)",
+    "upsert_points": f"WITH {POINTS}, {_IDS} SELECT point_id, vec_id, CASE WHEN vec_id % 2 = 0 OR vec_id % 3 = 0 THEN 2 ELSE 1 END AS version FROM ids",
+    "stale_points": f"WITH {POINTS}, {_IDS} SELECT point_id, vec_id FROM ids o WHERE vec_id % 3 <> 0 AND vec_id % 2 <> 0 AND EXISTS (SELECT 1 FROM ids n WHERE n.document_id = o.document_id AND (n.vec_id % 2 = 0 OR n.vec_id % 3 = 0))",
 }

@@ -12,7 +12,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -126,9 +126,9 @@ def known_batch(rows: DataFrame, ttl_seconds: int = 86_400, key: str = "session_
     return rows.select(key, order, F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")) <= last + ttl_seconds * 1_000_000, F.lit(False)).alias("known"))
 
 
-def minted_sessions(spark: SparkSession, rows: DataFrame, order: str = "event_id") -> DataFrame:
-    """rows with `session_id`, a new random one each."""
-    return rows.withColumn("session_id", F.expr("uuid()"))
+def minted_sessions(rows: DataFrame) -> DataFrame:
+    """rows with `session_id`, a new random one each, and `minted`."""
+    return rows.withColumns({"session_id": F.expr("uuid()"), "minted": F.lit(True)})
 
 
 def drained(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
