@@ -12,7 +12,10 @@ are the set and the set without each one element; where it is 0, the set itself.
 
 A set is a node, told by a 64-bit hash of it, so exact copies are one node from the start.
 Signatures join in hash ranges: a task sends each signature and set once, and a range gives the
-groups of sets that share a signature, each distinct group once.  Sets of a group are compared by
+groups of sets that share a signature, each distinct group once.  A group of more than `split_rows` sets
+may share no more than a passage, so its sets meet anew, by their rare elements.  Elements have an order,
+the rare ones of those sets first; linked sets differ in so few elements that the first ones of each, one
+more than may be missing, have one in common.  Sets of a group are compared by
 sketches: the parities of their elements' counts in hashed cells.  An element that only one of two
 sets has changes one cell, so sketches differ in no more cells than the sets have elements apart, and
 a pair whose sketches differ in more than linked sets may isn't linked.  What is left of the pairs is
@@ -48,6 +51,8 @@ HELD = 500_000
 CELLS = (64, 1 << 15)
 #: Rows of groups, and bytes of clusters' texts, that one task compares at once.
 LOT_ROWS, LOT_BYTES = 20_000, 4 << 20
+#: Cells of the table that tells how common an element is, by its low bits: a byte each.
+COMMON_CELLS = 1 << 20
 _PAIRS = ((0, 1), (0, 2), (1, 2))
 
 
@@ -282,6 +287,66 @@ def _pairs(keys: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[new], sets[new]
 
 
+def first_elements(h: np.ndarray, offsets: np.ndarray, common: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first elements of sets and the set that each belongs to.  Elements are in the order of (their cell
+    of `common`, hash), whatever `common` is: of n elements num * n / den are shared with a linked set at least,
+    so that n - num * n / den + 1 of them reach one that is shared, and the first shared one is the same for both."""
+    size = np.diff(offsets)
+    of = np.repeat(np.arange(len(size)), size)
+    order = np.lexsort((h, common[(h & U(len(common) - 1)).astype(np.int64)], of))
+    place = np.arange(len(h)) - np.repeat(offsets[:-1], size)
+    some = place <= np.repeat(size - -(-num * size // den), size)
+    return h[order][some], of[some]
+
+
+def split_groups(docs: DataFrame, nodes: DataFrame, groups: DataFrame, doc: str, text: str, k: int, num: int, den: int, split_rows: int) -> DataFrame:
+    """groups with those of more than split_rows sets replaced: their sets are grouped by their first elements.
+    Of groups of the same sets one is left.  Only a table of COMMON_CELLS cells goes to the driver."""
+    large = materialised(groups.groupBy("g").count().filter(F.col("count") > split_rows).select("g"), "large-groups")
+    if not large.count():
+        return groups
+    large = bounded(large)
+    again = materialised(groups.join(large, "g", "left_semi").select("w").distinct().join(nodes.select("w", "r"), "w").select(F.col("r").alias("node")).distinct(), "sets-of-large-groups")
+    texts_again = docs.filter(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("node"), F.col(text).alias("t")).join(bounded(again), "node", "left_semi").select("t")
+
+    def elements(batches):
+        for batch in batches:
+            for i, j in pieces(batch, "t"):
+                h, offsets = shingle_sets(Words(*texts(batch.column("t").slice(i, j - i)), lower=True), k)
+                e = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(8 * offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(h))])
+                yield pa.RecordBatch.from_pydict({"w": pa.array(set_hashes(h, offsets).view(np.int64)), "e": e.cast(pa.binary())})
+
+    sets = materialised(texts_again.mapInArrow(elements, "w long, e binary"), "elements")
+
+    def flat(batch):
+        for i, j in pieces(batch, "e"):
+            rows = batch.column("e").slice(i, j - i).to_pylist()
+            yield i, j, np.frombuffer(b"".join(rows), U), np.concatenate([[0], np.cumsum([len(x) // 8 for x in rows])])
+
+    def counted(batches):
+        for batch in batches:
+            for _, _, h, _ in flat(batch):
+                e, n = np.unique(h, return_counts=True)
+                yield pa.RecordBatch.from_pydict({"e": pa.array(e.view(np.int64)), "n": pa.array(n.astype(np.int64))})
+
+    often = sets.mapInArrow(counted, "e long, n long").groupBy("e").agg(F.sum("n").alias("n")).filter(F.col("n") > split_rows)
+    cells = often.groupBy(F.col("e").bitwiseAND(COMMON_CELLS - 1).cast("int").alias("cell")).agg(F.max(F.floor(F.log2("n"))).cast("int").alias("level")).toArrow()
+    common = np.zeros(COMMON_CELLS, np.uint8)
+    common[cells.column("cell").to_numpy()] = cells.column("level").to_numpy()
+
+    def first(batches):
+        for batch in batches:
+            for i, j, h, offsets in flat(batch):
+                e, of = first_elements(h, offsets, common, num, den)
+                yield pa.RecordBatch.from_pydict({"g": pa.array(e.view(np.int64)), "w": batch.column("w").slice(i, j - i).take(pa.array(of))})
+
+    firsts = materialised(sets.mapInArrow(first, "g long, w long"), "first-elements")
+    low = F.col("w").bitwiseAND(0xFFFFFFFF)
+    told = firsts.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum(low).alias("x"), F.sum(F.shiftrightunsigned("w", 32)).alias("y")).filter(F.col("n") > 1)
+    told = materialised(told.groupBy("n", "x", "y").agg(F.min("g").alias("g")).select("g"), "element-groups")
+    return materialised(groups.join(large, "g", "left_anti").unionByName(firsts.join(bounded(told), "g", "left_semi")), "split-groups")
+
+
 def candidate_links(nodes: DataFrame, groups: DataFrame, num: int, den: int, group_rows: int) -> DataFrame:
     """Links (a, b) that connect every two sets of a group that sizes and sketches allow to be linked.
     nodes has (w, r, n, s), and links are between the sets' documents r."""
@@ -354,11 +419,12 @@ def exact_links(ids: np.ndarray, h: np.ndarray, offsets: np.ndarray, num: int, d
     return _forest(ids[rows[x]], ids[rows[y]]) if found else (ids[:0], ids[:0])
 
 
-def linked_sets(docs: DataFrame, table: DataFrame, doc: str, text: str, k: int, num: int, den: int, cluster_bytes: int, group_rows: int) -> DataFrame:
+def linked_sets(docs: DataFrame, table: DataFrame, doc: str, text: str, k: int, num: int, den: int, cluster_bytes: int, group_rows: int, split_rows: int) -> DataFrame:
     """(w, component) of the sets of a shingle_table() that have a link or are in more than one document."""
     own = table.filter(F.col("d").isNotNull() & (F.col("n") > 0))
     nodes = own.groupBy("w").agg(F.min("d").alias("r"), F.max("d").alias("last"), F.first("n").alias("n"), F.first("bytes").alias("bytes"), F.first("s").alias("s"))
     groups = materialised(candidate_groups(docs.filter(F.col(doc).isNotNull()), text, k, num, den), "signature-groups")
+    groups = split_groups(docs, nodes, groups, doc, text, k, num, den, split_rows)
     near = candidate_links(nodes.select("w", "r", "n", "s"), groups, num, den, group_rows)
     clusters = materialised(components(near), "clusters")
     band = F.floor(F.log("n") / F.log(F.lit(1.001 * den / num))).cast("int")  # linked sets are in one or in adjacent ones
@@ -407,18 +473,18 @@ def _table(docs: DataFrame, doc: str, text: str, k: int) -> DataFrame:
     return materialised(shingle_table(docs, doc, text, k), "shingle-sets")
 
 
-def jaccard_components(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100, cluster_bytes: int = 8 << 20, group_rows: int = 1000) -> DataFrame:
+def jaccard_components(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100, cluster_bytes: int = 8 << 20, group_rows: int = 1000, split_rows: int = 100) -> DataFrame:
     """(node, component) of the documents that have a link: two documents link when den times the
     size of their sets' intersection is num times the size of their union, or more."""
     table = _table(docs, doc, text, k)
-    found = bounded(materialised(linked_sets(docs, table, doc, text, k, num, den, cluster_bytes, group_rows), "linked-sets"))
+    found = bounded(materialised(linked_sets(docs, table, doc, text, k, num, den, cluster_bytes, group_rows, split_rows), "linked-sets"))
     return table.filter(F.col("d").isNotNull()).select("d", "w").join(found, "w").select(F.col("d").alias("node"), "component").distinct()
 
 
-def jaccard_join(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100, cluster_bytes: int = 8 << 20, group_rows: int = 1000) -> DataFrame:
+def jaccard_join(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100, cluster_bytes: int = 8 << 20, group_rows: int = 1000, split_rows: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     table = _table(docs, doc, text, k)
-    found = bounded(materialised(linked_sets(docs, table, doc, text, k, num, den, cluster_bytes, group_rows), "linked-sets"))
+    found = bounded(materialised(linked_sets(docs, table, doc, text, k, num, den, cluster_bytes, group_rows, split_rows), "linked-sets"))
     own = F.when(F.col("d").isNotNull(), F.coalesce("component", "d"))
     return table.select("d", "w", "n").join(found, "w", "left").select(F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"))
 

@@ -254,6 +254,52 @@ def test_jaccard_large_groups_and_repeated_ids(make, corpus):
     assert {r.node: r.component for r in got} == {d: c for d, c in want.items() if list(want.values()).count(c) > 1} and len(got) > 10
 
 
+@pytest.mark.parametrize(("k", "num"), [(3, 90), (5, 80), (3, 60)])
+def test_jaccard_split_groups(make, corpus, k, num):
+    """Groups of more than two sets meet by rare elements; near copies of one text beside them."""
+    rng = random.Random(31)
+    base = [f"c{i}" for i in range(120)]
+    near = [" ".join(base[:i] + [f"n{rng.randrange(9)}"] + base[i + 1 :]) for i in range(0, 120, 9)]
+    texts = corpus + near
+    want = brute_components(list(enumerate(texts)), k, num, 100)
+    got = jaccard_join.jaccard_join(make(texts), k=k, num=num, split_rows=2, group_rows=6).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_jaccard_shared_passage(make):
+    """Documents that share most of their words, no two of them alike: few comparisons, and linear growth."""
+    rng = random.Random(32)
+    passage = [f"p{i}" for i in range(250)]
+    texts = [" ".join(passage + [f"o{rng.randrange(10**9)}" for _ in range(40)]) for _ in range(600)]
+    docs = make(texts + [texts[0] + " tail"])
+    pairs = []
+    for split_rows in (100, 10**9):
+        table = jaccard_join._table(docs, "doc_id", "text", 3)
+        nodes = table.select("w", F.col("d").alias("r"))
+        groups = jaccard_join.materialised(jaccard_join.candidate_groups(docs, "text", 3, 90, 100), "g")
+        split = jaccard_join.split_groups(docs, nodes, groups, "doc_id", "text", 3, 90, 100, split_rows)
+        pairs.append(sum(r["count"] * (r["count"] - 1) // 2 for r in split.groupBy("g").count().collect()))
+    assert pairs[0] < 2_000 < 100_000 < pairs[1]
+    linked = {(r.node, r.component) for r in jaccard_join.jaccard_components(docs, k=3, num=90).collect()}
+    assert linked == {(0, 0), (600, 0)}
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(1, 300), st.integers(0, 10_000), st.sampled_from([60, 80, 90]))
+def test_linked_sets_share_a_first_element(n, seed, num):
+    """Whatever the table of common elements says."""
+    rng = np.random.default_rng(seed)
+    a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.int64).astype(np.uint64))
+    out = int(rng.integers(0, len(a) * (100 - num) // 100 + 1))
+    more = int(rng.integers(0, max(1, (len(a) - out) * 100 // num - len(a) + 1)))
+    b = np.unique(np.concatenate([rng.permutation(a)[out:], rng.integers(0, 1 << 63, more, dtype=np.int64).astype(np.uint64)]))
+    both = len(np.intersect1d(a, b))
+    common = rng.integers(0, 4, 64).astype(np.uint8)
+    e, of = jaccard_join.first_elements(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), common, num, 100)
+    if len(b) and 100 * both >= num * (len(a) + len(b) - both):
+        assert set(e[of == 0].tolist()) & set(e[of == 1].tolist())
+
+
 def test_hashes_tell_opposites_apart(spark, make):
     """Two words of 1,024 letters that polynomials modulo 2**64 over bytes can't tell apart."""
     one = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
