@@ -53,6 +53,8 @@ CELLS = (64, 1 << 15)
 LOT_ROWS, LOT_BYTES = 20_000, 4 << 20
 #: Cells of the table that tells how common an element is, by its low bits: a byte each.
 COMMON_CELLS = 1 << 20
+#: Bytes of elements that one task counts at once, at least; see blocks_for().
+SUMMED_BYTES = 4 << 20
 _PAIRS = ((0, 1), (0, 2), (1, 2))
 
 
@@ -329,7 +331,8 @@ def split_groups(docs: DataFrame, nodes: DataFrame, groups: DataFrame, doc: str,
                 e, n = np.unique(h, return_counts=True)
                 yield pa.RecordBatch.from_pydict({"e": pa.array(e.view(np.int64)), "n": pa.array(n.astype(np.int64))})
 
-    often = sets.mapInArrow(counted, "e long, n long").groupBy("e").agg(F.sum("n").alias("n")).filter(F.col("n") > split_rows)
+    total = text_bytes(sets, "e")  # partitions by number: adaptive execution would join them to large hash tables
+    often = sets.mapInArrow(counted, "e long, n long").repartition(blocks_for(total, SUMMED_BYTES), "e").groupBy("e").agg(F.sum("n").alias("n")).filter(F.col("n") > split_rows)
     cells = often.groupBy(F.col("e").bitwiseAND(COMMON_CELLS - 1).cast("int").alias("cell")).agg(F.max(F.floor(F.log2("n"))).cast("int").alias("level")).toArrow()
     common = np.zeros(COMMON_CELLS, np.uint8)
     common[cells.column("cell").to_numpy()] = cells.column("level").to_numpy()
@@ -341,8 +344,19 @@ def split_groups(docs: DataFrame, nodes: DataFrame, groups: DataFrame, doc: str,
                 yield pa.RecordBatch.from_pydict({"g": pa.array(e.view(np.int64)), "w": batch.column("w").slice(i, j - i).take(pa.array(of))})
 
     firsts = materialised(sets.mapInArrow(first, "g long, w long"), "first-elements")
-    low = F.col("w").bitwiseAND(0xFFFFFFFF)
-    told = firsts.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum(low).alias("x"), F.sum(F.shiftrightunsigned("w", 32)).alias("y")).filter(F.col("n") > 1)
+
+    def summed(batches):
+        for batch in batches:
+            g, w = (batch.column(c).to_numpy() for c in ("g", "w"))
+            order = np.argsort(g, kind="stable")
+            g, w = g[order], w[order].view(U)
+            at = runs(g)
+            if len(at):
+                sums = [np.add.reduceat(c.astype(np.int64), at) for c in (np.ones(len(w)), w & U(0xFFFFFFFF), w >> U(32))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (g[at], *sums)], ["g", "n", "x", "y"])
+
+    told = firsts.mapInArrow(summed, "g long, n long, x long, y long").repartition(blocks_for(total, SUMMED_BYTES), "g").groupBy("g")
+    told = told.agg(*[F.sum(c).alias(c) for c in ("n", "x", "y")]).filter(F.col("n") > 1)
     told = materialised(told.groupBy("n", "x", "y").agg(F.min("g").alias("g")).select("g"), "element-groups")
     return materialised(groups.join(large, "g", "left_anti").unionByName(firsts.join(bounded(told), "g", "left_semi")), "split-groups")
 
