@@ -131,3 +131,51 @@ def test_no_vectors(spark, tmp_path):
     index = VectorIndex.build(none, str(tmp_path / "i"))
     asked = spark.createDataFrame([(1, [1.0, 0.0])], "qid long, qvec array<float>")
     assert index.search(asked.limit(0)).count() == 0
+
+
+def test_a_term_of_many_questions_is_looked_up_once(spark, tmp_path, monkeypatch):
+    """The rows before the limit grow with the postings, not with postings times questions, with and without an index;
+    a text with many hits is scored beside several copies."""
+    from lorewell.operators import keyword_index
+
+    seen = []
+    real = keyword_index.first_hits
+
+    def watched(asked, postings, limit, early=None):
+        found = real(asked, postings, limit, early)
+        terms = asked.select("term").distinct()
+        one = terms.filter(F.size("term") == 1).select(F.col("term")[0].alias("token"))
+        seen.append((asked.count(), terms.count(), (postings if early is None else early).join(one, "token").count(), found.count()))
+        return found
+
+    monkeypatch.setattr(keyword_index, "first_hits", watched)
+    monkeypatch.setattr(retrieval, "first_hits", watched)
+    monkeypatch.setattr(retrieval, "_HITS_OF_A_TEXT", 8)
+    points = points_of(spark, 200).cache()
+    questions = spark.createDataFrame([(i, f"common word{i % 3} two-part e_mail") for i in range(60)], "qid long, qtext string")
+    plain = rows_of(retrieval.keyword_search(questions, points), "qid", "chunk_id", "matches", "k_rank")
+    index = KeywordIndex(spark, str(tmp_path / "k"), block=16)
+    index.upsert(points)
+    index.delete(points.filter("chunk_id < 'c0050'"))
+    live = points.filter("chunk_id >= 'c0050'")
+    assert rows_of(retrieval.keyword_search(questions, live, 10, index), "qid", "chunk_id", "matches", "k_rank") == rows_of(retrieval.keyword_search(questions, live), "qid", "chunk_id", "matches", "k_rank")
+    texts = {r["chunk_id"]: r["text"] for r in points.collect()}
+    want = []
+    for q in range(60):
+        tokens = ["common", f"word{q % 3}", "two-part", "e_mail"]
+        hits = sorted(sorted(texts)[:10], key=lambda c: (-sum(t in texts[c].lower() for t in tokens), c))
+        want += [(q, c, sum(t in texts[c].lower() for t in tokens), k) for k, c in enumerate(hits, 1)]
+    assert plain == sorted(want)
+    assert all(asked == 240 and terms == 6 and rows <= 200 * 5 and found <= 60 * 200 for asked, terms, rows, found in seen) and len(seen) == 3
+
+
+def test_the_best_by_rounded_score():
+    from lorewell.operators.retrieval import best_rounded
+
+    r = np.random.default_rng(3)
+    for n in (1, 4, 19, 20, 21, 400):
+        score = r.normal(size=(50, n)).round(r.integers(1, 3)) + r.integers(-6, 7, (50, n)) * 1e-7  # many equal once rounded
+        whole = np.round(score, 6)
+        want = np.argsort(-whole, axis=1, kind="stable")[:, :5]
+        top, value = best_rounded(score, 5)
+        assert (top == want).all() and (value == np.take_along_axis(whole, want, 1)).all()
