@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import url_part
+from ..shared import materialised
+
+_BROADCAST_CRONS = 100_000  # expressions whose next times are sent to all executors at most
 
 
 def overlay(base: DataFrame, over: DataFrame) -> DataFrame:
@@ -103,29 +106,41 @@ def cron_fields(cron: str) -> list[set[int]]:
 
 def cron_next_runs(schedules: DataFrame, start: str, n: int = 5, days: int = 366 * 5) -> DataFrame:
     """(id, run, run_at): the next n times after start of the enabled schedules (id, cron, enabled) whose
-    expression is valid.  Of each schedule the days that fit are listed and only the first of them, which
-    are enough, are dealt into minutes."""
+    expression is valid.  The times hang on the expression alone, so they are made once for each distinct one, within
+    its row, which is bounded: of the days that fit the first n + 1, which are enough, and of each the first n
+    minutes after start.  Then the schedules look them up; nothing is sorted."""
 
     @F.pandas_udf("array<array<int>>")
     def fields(cron: pd.Series) -> pd.Series:
-        out = []
-        for c in cron:
+        def of(c: str | None) -> list[list[int]] | None:
             try:
-                out.append([sorted(f) for f in cron_fields(c or "")])
+                return [sorted(f) for f in cron_fields(c or "")]
             except ValueError:
-                out.append(None)
-        return pd.Series(out, dtype=object)
+                return None
+
+        return pd.Series([of(c) for c in cron], dtype=object)
 
     free = lambda k: F.split(F.trim("cron"), r"\s+")[k] == "*"
-    rows = schedules.filter("enabled").withColumn("f", fields("cron")).filter("f IS NOT NULL")
-    listed = rows.select("id", "f", free(2).alias("any_day"), free(4).alias("any_weekday"), F.explode(F.sequence(F.lit(0), F.lit(days))).alias("k")).withColumn("d", F.date_add(F.to_date(F.lit(start)), F.col("k")))
-    on_day, on_weekday = F.array_contains(F.col("f")[2], F.dayofmonth("d")), F.array_contains(F.col("f")[4], F.dayofweek("d") - 1)
-    fits = F.when(~F.col("any_day") & ~F.col("any_weekday"), on_day | on_weekday).otherwise(on_day & on_weekday)
-    found = listed.filter(F.array_contains(F.col("f")[3], F.month("d")) & fits)
-    first = found.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("d"))).filter(F.col("_r") <= n + 1)
-    minutes = F.flatten(F.transform(F.col("f")[1], lambda h: F.transform(F.col("f")[0], lambda m: h * 60 + m)))
-    at = first.select("id", "d", F.explode(minutes).alias("m")).select("id", (F.col("d").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("m"))).alias("run_at")).filter(F.col("run_at") > F.lit(start).cast("timestamp_ntz"))
-    return at.withColumn("run", F.row_number().over(Window.partitionBy("id").orderBy("run_at"))).filter(F.col("run") <= n).select("id", "run", "run_at")
+    begin = F.lit(start).cast("timestamp_ntz")
+    enabled = schedules.filter("enabled").select("id", "cron")
+    rows = enabled.select("cron").distinct().withColumn("f", fields("cron")).filter("f IS NOT NULL")
+    rows = rows.select("cron", "f", free(2).alias("any_day"), free(4).alias("any_weekday"))
+
+    def fits(d: Column) -> Column:
+        on_day, on_weekday = F.array_contains(F.col("f")[2], F.dayofmonth(d)), F.array_contains(F.col("f")[4], F.dayofweek(d) - 1)
+        return F.array_contains(F.col("f")[3], F.month(d)) & F.when(~F.col("any_day") & ~F.col("any_weekday"), on_day | on_weekday).otherwise(on_day & on_weekday)
+
+    first = F.to_date(F.lit(start))
+    found = rows.select(
+        "cron", F.slice(F.filter(F.sequence(first, F.date_add(first, days)), fits), 1, n + 1).alias("d"),
+        F.flatten(F.transform(F.col("f")[1], lambda h: F.transform(F.col("f")[0], lambda m: h * 60 + m))).alias("minutes"),
+    )
+    at = lambda d, m: d.cast("timestamp_ntz") + F.make_dt_interval(mins=m)
+    later = lambda d: F.slice(F.when(d == first, F.filter("minutes", lambda m: at(d, m) > begin)).otherwise(F.col("minutes")), 1, n)
+    times = found.select("cron", F.slice(F.flatten(F.transform("d", lambda d: F.transform(later(d), lambda m: at(d, m)))), 1, n).alias("times"))
+    times = materialised(times, "times")
+    some = enabled.join(F.broadcast(times) if times.count() <= _BROADCAST_CRONS else times, "cron")
+    return some.select("id", F.posexplode("times").alias("run", "run_at")).withColumn("run", F.col("run") + 1)
 
 
 def phrase_scores(docs: DataFrame, boilerplate: list[str], content: list[str]) -> DataFrame:

@@ -88,3 +88,29 @@ def test_cron_fields():
 def test_embed_context(spark):
     row = spark.range(1).select(retrieval.embed_context(F.lit("T"), F.array(F.lit("A"), F.lit("B")), F.lit("x")).alias("a"), retrieval.embed_context(F.lit("T"), F.array().cast("array<string>"), F.lit("x")).alias("b")).first()
     assert row.a == "Title: T\nSection: B\nPath: A > B\n\nx" and row.b == "Title: T\n\nx"
+
+
+def test_next_runs_of_many_schedules_are_made_once_an_expression(spark):
+    """Nothing grows with days times schedules: no window or sort, and Python sees each expression once."""
+    from datetime import datetime, timedelta
+
+    crons = ["*/20 1-3 * * *", "5 0 31 * 1", "30 12 * * 1-5", "99 * * * *", None, "* * * * *", "0 0 29 2 *"]
+    rows = spark.createDataFrame([(i, crons[i % 7], i % 5 != 0) for i in range(70)], "id long, cron string, enabled boolean")
+    found = admin.cron_next_runs(rows, "2024-01-30 23:58:00", 4, 800)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort " not in plan
+    want, begin = [], datetime(2024, 1, 30, 23, 58)
+    for i in range(70):
+        if i % 5 and i % 7 not in (3, 4):
+            m, h, d, mo, wd = admin.cron_fields(crons[i % 7])
+            free = [p == "*" for p in crons[i % 7].split()]
+            times = []
+            for k in range(801):
+                day = datetime(2024, 1, 30) + timedelta(days=k)
+                on = (day.day in d, day.isoweekday() % 7 in wd)
+                if day.month in mo and (any(on) if not free[2] and not free[4] else all(on)):
+                    times += [t for t in (day + timedelta(hours=x, minutes=y) for x in sorted(h) for y in sorted(m)) if t > begin]
+                if len(times) >= 4:
+                    break
+            want += [(i, k, t) for k, t in enumerate(times[:4], 1)]
+    assert sorted(tuple(r) for r in found.select("id", "run", "run_at").collect()) == want
