@@ -6,13 +6,15 @@ import re
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CHROME, Chrome
 from ..functions.text import let, strip, with_contact
 
+_PAGES = 64  # pages of a batch that are Python strings at once
+
 
 def _echo(mark: str) -> str:
     """The pattern of a link that only repeats its target."""
@@ -67,13 +69,14 @@ class Cleaner:
 
 
 def without_chrome(body: Column, rules: Chrome = CHROME) -> Column:
-    """body without the blocks and lines that the rules name."""
+    """body without the blocks and lines that the rules name.  Of a batch only a few pages at a time are Python strings."""
 
-    @F.pandas_udf("string")
-    def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cleaner = Cleaner(rules)
-        for t in texts:
-            yield t.map(cleaner, na_action="ignore")
+        some = lambda texts: pa.array([None if t is None else cleaner(t) for t in texts.to_pylist()], pa.string())
+        for texts in batches:
+            yield pa.concat_arrays([some(texts.slice(i, _PAGES)) for i in range(0, max(1, len(texts)), _PAGES)])
 
     return clean(body)
 

@@ -114,3 +114,20 @@ def test_next_runs_of_many_schedules_are_made_once_an_expression(spark):
                     break
             want += [(i, k, t) for k, t in enumerate(times[:4], 1)]
     assert sorted(tuple(r) for r in found.select("id", "run", "run_at").collect()) == want
+
+
+def test_python_strings_of_a_batch_are_few(spark):
+    """Cleaner and embedder turn only a slice of an Arrow batch into Python strings; nulls and the order stay."""
+    import numpy as np
+
+    from lorewell.operators import index
+
+    rows = spark.createDataFrame([(i, None if i % 7 == 0 else f"Menu\nline {i}\nClose") for i in range(300)], "i int, v string").coalesce(1)
+    found = rows.select("i", cleaning.without_chrome(F.col("v")).alias("x"))
+    assert cleaning._PAGES < 300
+    assert [r["x"] for r in found.orderBy("i").collect()] == [None if i % 7 == 0 else f"line {i}" for i in range(300)]
+    one = index.embedder(lambda: lambda texts: np.array([[len(t), len(texts)] for t in texts], float), 2, 100)
+    got = [tuple(r["x"]) for r in rows.select("i", one("v").alias("x")).orderBy("i").collect()]
+    assert got == [(0.0 if i % 7 == 0 else float(len(f"Menu\nline {i}\nClose")), 100.0) for i in range(300)]
+    none = rows.filter("i < 0").select(one("v").alias("x"), cleaning.without_chrome(F.col("v")).alias("y"))
+    assert none.count() == 0
