@@ -6,7 +6,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,17 +38,19 @@ def embedder(load, dims: int, batch_size: int = 32):
     time.  A model that gives vectors of another size, or another number of them, is an error.  A null
     text counts as empty."""
 
-    @F.pandas_udf("array<float>")
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = load()
-        for texts in batches:
-            rows, out = texts.fillna("").tolist(), []
-            for i in range(0, len(rows), batch_size):
-                got = np.asarray(model(rows[i : i + batch_size]), np.float32)
-                if got.shape != (len(rows[i : i + batch_size]), dims):
-                    raise ValueError(f"the model gave {got.shape} for {len(rows[i : i + batch_size])} texts of {dims} dimensions")
-                out += list(got)
-            yield pd.Series(out, dtype=object)
+        for texts in batches:  # of a batch only what the model gets at a time are Python strings
+            out = [np.zeros((0, dims), np.float32)]
+            for i in range(0, len(texts), batch_size):
+                rows = [t or "" for t in texts.slice(i, batch_size).to_pylist()]
+                got = np.asarray(model(rows), np.float32)
+                if got.shape != (len(rows), dims):
+                    raise ValueError(f"the model gave {got.shape} for {len(rows)} texts of {dims} dimensions")
+                out.append(got)
+            flat = np.concatenate(out).ravel()
+            yield pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, dims, dtype=np.int32)), pa.array(flat))
 
     return embed
 
@@ -57,10 +59,10 @@ def _hash_model(dims: int):
     """Tokens hashed with signs into `dims`, then normalised."""
 
     def model(texts: list[str]) -> np.ndarray:
-        words = [t.lower().split() for t in texts]
-        h = np.fromiter((zlib.crc32(w.encode()) for ws in words for w in ws), np.int64)
-        row = np.repeat(np.arange(len(texts)), [len(ws) for ws in words])
-        v = np.bincount(row * dims + h % dims, np.where(h & 0x10000, 1.0, -1.0), len(texts) * dims).reshape(-1, dims)
+        v = np.zeros((len(texts), dims))
+        for i, t in enumerate(texts):  # the words of one text at a time
+            h = np.fromiter((zlib.crc32(w.encode()) for w in t.lower().split()), np.int64)
+            v[i] = np.bincount(h % dims, np.where(h & 0x10000, 1.0, -1.0), dims)
         n = np.linalg.norm(v, axis=1, keepdims=True)
         return v / np.where(n > 0, n, 1)
 
