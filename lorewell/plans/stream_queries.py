@@ -10,21 +10,28 @@ from ..streaming import sessions
 from .chat_queries import ORACLE_SQL as _CHAT_SQL
 from .derivations import table
 
+_FILE_ROWS = 2_000_000  # of one file of arrivals; each micro-batch costs something for each partition of the state
 _SCHEMA = "session_id long, event_id long, ts timestamp, minted boolean"
 
 
 def _arrivals(spark, d) -> tuple[DataFrame, str]:
     """A stream of all events in several files that overlap in time, with a last row of long after; and a delay of the
-    watermark that no row exceeds."""
+    watermark that no row exceeds.
+
+    A quarter of the time arrives after the other, and of three rows one is as late as a 20th of the time, and
+    one half as late.  Files have at most about _FILE_ROWS rows, and those of a quarter come in any order."""
     rows = table(spark, d, "events").select(F.col("user_id").alias("session_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "view").alias("minted"))
-    n, first, last = rows.agg(F.count(F.lit(1)), F.min("ts"), F.max("ts")).first()
-    folder, part = own_folder(spark, "arrivals"), F.least(F.lit(3), F.floor((F.col("event_id") + (F.col("event_id") % 3) * (n // 40)) * 4 / max(1, n)))
+    at = F.unix_micros("ts")
+    n, first, last, low, high = rows.agg(F.count(F.lit(1)), F.min("ts"), F.max("ts"), F.min(at), F.max(at)).first()
+    span = high - low + 1 if n else 1
+    files = max(1, -(-n // (4 * _FILE_ROWS)))
+    folder, part = own_folder(spark, "arrivals"), F.least(F.lit(3), F.floor((at - F.lit(low) + (F.col("event_id") % 3) * F.lit(span // 40)) * 4 / F.lit(span)))
     for k in range(4):
-        rows.filter(part == k).write.mode("append").parquet(folder)
+        rows.filter(part == k).repartition(files).write.mode("append").parquet(folder)
     seconds = int((last - first).total_seconds()) if n else 0
     end = spark.range(1).select(F.lit(-1).cast("long").alias("session_id"), F.lit(-1).cast("long").alias("event_id"), (F.lit(last).cast("timestamp") + F.make_dt_interval(secs=F.lit(2 * seconds + 86_400 * 30))).alias("ts"), F.lit(False).alias("minted"))
     end.write.mode("append").parquet(folder)
-    return spark.readStream.schema(_SCHEMA).option("maxFilesPerTrigger", 4).parquet(folder), f"{seconds // 4 + 60} seconds"
+    return spark.readStream.schema(_SCHEMA).option("maxFilesPerTrigger", 4).parquet(folder), f"{3 * seconds // 10 + 60} seconds"
 
 
 def _drained(spark, stream: DataFrame) -> DataFrame:

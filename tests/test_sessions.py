@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorewell.operators import chat
+from lorewell.plans.chat_queries import rate_limit
 from lorewell.streaming import runs, sessions
 
 SCHEMA = "session_id long, event_id long, ts timestamp, minted boolean"
@@ -77,6 +78,36 @@ def test_late_rows_are_dropped(spark, arrivals, tmp_path):
     assert decided(run(), "allowed") == {}
 
 
+def test_what_waits_is_kept_by_buckets_of_sessions(spark, tmp_path):
+    """3,000 sessions wait in a few entries a bucket, and are decided as a batch decides them; one has no number."""
+    start = datetime(2024, 1, 1)
+    rows = [(None if i % 3000 == 7 else i % 3000, i, start + timedelta(seconds=i // 7), i % 11 == 0) for i in range(12_000)]
+    folder, end = str(tmp_path / "in"), [(-1, -1, datetime(2025, 1, 1), False)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(folder)
+    stream = lambda: spark.readStream.schema(SCHEMA).parquet(folder)
+    query = sessions.limited(stream(), "1 hour", 2, 900).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]) < 1500
+    spark.createDataFrame(end, SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+    got = sessions.drained(sessions.limited(stream(), "1 hour", 2, 900), str(tmp_path / "out"), str(tmp_path / "c")).filter("event_id >= 0")
+    want = chat.rate_limited(spark.createDataFrame(rows, SCHEMA).filter("session_id IS NOT NULL"), 2, 900)
+    named = got.filter("session_id IS NOT NULL")
+    assert sorted(tuple(r) for r in named.collect()) == sorted(tuple(r) for r in want.select("session_id", "event_id", "allowed").collect()) and got.count() == 12_000
+    assert {r.allowed for r in named.collect()} == {True, False}
+
+
+def test_no_arrival_is_too_late_when_ids_do_not_follow_time(spark, tmp_path, monkeypatch):
+    from lorewell.plans import stream_queries
+
+    monkeypatch.setattr(stream_queries, "_FILE_ROWS", 100, raising=False)  # many files, many micro-batches
+    r, start = random.Random(4), datetime(2024, 1, 1)
+    rows = [(i, start + timedelta(seconds=r.randrange(30 * 86_400)), r.randrange(50), r.choice(["view", "click"])) for i in range(3000)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string").repartition(6).write.parquet(str(tmp_path / "events.parquet"))
+    d = str(tmp_path)
+    for stream, batch in ((stream_queries.stream_rate_limit, rate_limit), (stream_queries.stream_known_sessions, stream_queries.known_sessions)):
+        assert sorted(tuple(r) for r in stream(spark, d).collect()) == sorted(tuple(r) for r in batch(spark, d).collect())
+
+
 def test_running_completed_and_failed_queries_are_registered(spark, arrivals, tmp_path):
     _, put, stream = arrivals
     put(0), put(1)
