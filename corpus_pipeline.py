@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorewell.llm import bpe, decontamination, jaccard_join, substring_dedup, toxicity
-from lorewell.llm.support import bounded, materialised, shared_folder, table, text_batches
+from lorewell.llm.support import materialised, shared_folder, table, text_batches, without
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     text_batches(spark)
     found = jaccard_join.jaccard_components(docs, k=5, num=80, den=100)
     later = materialised(found.filter("node <> component").select(F.col("node").alias("doc_id")), "near-copies")
-    return docs.join(bounded(later), "doc_id", "left_anti").select(docs.columns)
+    return without(docs, later, "doc_id").select(docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,14 +11,17 @@ SPARE first-level parts that have such subsets; other sets send all.  Where K_j
 are the set and the set without each one element; where it is 0, the set itself.
 
 A set is a node, told by a 64-bit hash of it, so exact copies are one node from the start.
-Signatures join in hash ranges: a task sends each signature and set once, and a range gives the
+Signatures join in hash ranges: a task sends each signature and set once, both shortened to the bits that tell
+most of them apart, and a range gives the
 groups of sets that share a signature, each distinct group once.  A group of more than `split_rows` sets
 may share no more than a passage, so its sets meet anew, by their rare elements.  Elements have an order,
 the rare ones of those sets first; linked sets differ in so few elements that the first ones of each, one
 more than may be missing, have one in common.  Sets of a group are compared by
 sketches: the parities of their elements' counts in hashed cells.  An element that only one of two
 sets has changes one cell, so sketches differ in no more cells than the sets have elements apart, and
-a pair whose sketches differ in more than linked sets may isn't linked.  What is left of the pairs is
+a pair whose sketches differ in more than linked sets may isn't linked.  Sketches are folded no further than
+the smaller set of a pair needs: a sketch of far fewer cells than elements differs from any other in half of
+its cells, and says nothing.  What is left of the pairs is
 nearly all true; its components are clusters, and each cluster's texts meet once to be compared
 exactly.  Groups of more than `group_rows` sets are dealt into blocks, each pair of which is compared,
 and clusters of more than `cluster_bytes` of text by size band and then likewise, so every task is
@@ -38,6 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import support
 from .columnar import U, WORD_BASE, Words, mix, pack, pieces, ranged, runs, running, texts, unpack
 from .components import components
 from .support import blocks_for, bounded, materialised, text_bytes
@@ -51,10 +55,10 @@ HELD = 500_000
 CELLS = (64, 1 << 15)
 #: Rows of groups, and bytes of clusters' texts, that one task compares at once.
 LOT_ROWS, LOT_BYTES = 20_000, 4 << 20
-#: Cells of the table that tells how common an element is, by its low bits: a byte each.
+#: Cells of the table that tells how common an element is, by its high bits: a byte each.
 COMMON_CELLS = 1 << 20
-#: Bytes of elements that one task counts at once, at least; see blocks_for().
-SUMMED_BYTES = 4 << 20
+#: Bits that keys have beyond those of their number, and sets beyond those of theirs: a false match only costs a comparison.
+KEY_BITS, SET_BITS = 12, 8
 _PAIRS = ((0, 1), (0, 2), (1, 2))
 
 
@@ -193,24 +197,35 @@ def _folded(rows: list[bytes]) -> np.ndarray:
 
 
 def alike(size: np.ndarray, rows: list[bytes], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of sets that connect every two sets which their sizes and sketches allow to be
-    linked: every pair of a few sets, and of many those that aren't connected already."""
-    m, flat = len(rows), _folded(rows)
-    fits = lambda i, j, x: ((den + num) * np.bitwise_count(x).sum(-1, dtype=np.int64) <= (den - num) * (size[i] + size[j])) & (den * np.minimum(size[i], size[j]) >= num * np.maximum(size[i], size[j]))
-    if m * m * flat.shape[1] <= 1 << 20:
-        i, j = np.triu_indices(m, 1)
-        ok = fits(i, j, flat[i] ^ flat[j])
-        return i[ok], j[ok]
-    label, a, b = np.arange(m), [], []
-    for i in range(m - 1):
-        later = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
-        for c in range(0, len(later), 1000):
-            some = later[c : c + 1000]
-            some = some[fits(i, some, flat[some] ^ flat[i])]
-            a += [i] * len(some)
-            b += some.tolist()
-            label[np.isin(label, label[some])] = label[i]
-    return np.array(a, np.int64), np.array(b, np.int64)
+    """Pairs (i, j), i < j, of sets that connect every two sets which their sizes and sketches allow to be
+    linked: every pair of a few sets, and of many those that aren't connected already.  The sketches of a pair
+    are folded to the length of the shorter one, whatever others there are."""
+    length, label, a, b = np.array([len(x) for x in rows]), np.arange(len(rows)), [], []
+    for short in np.unique(length).tolist():
+        own = np.flatnonzero(length == short)
+        some = np.concatenate([own, np.flatnonzero((length > short) & (num * size <= den * size[own].max()))])
+        m, flat, n = len(own), _folded([rows[i] for i in some.tolist()]), size[some]
+        near = lambda i, j: den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j])  # noqa: B023, E731
+        fits = lambda i, j: (den + num) * np.bitwise_count(flat[i] ^ flat[j]).sum(-1, dtype=np.int64) <= (den - num) * (n[i] + n[j])  # noqa: B023, E731
+        if len(some) ** 2 * flat.shape[1] <= 1 << 20:
+            i, j = np.triu_indices(len(some), 1)
+            ok = (i < m) & near(i, j)
+            i, j = i[ok], j[ok]
+            ok = fits(i, j)
+            a += some[i[ok]].tolist()
+            b += some[j[ok]].tolist()
+            continue
+        for i in range(m):
+            later = i + 1 + np.flatnonzero(label[some[i + 1 :]] != label[some[i]])
+            later = later[near(i, later)]
+            for c in range(0, len(later), 1000):
+                found = later[c : c + 1000]
+                found = some[found[fits(i, found)]]
+                a += [some[i]] * len(found)
+                b += found.tolist()
+                label[np.isin(label, label[found])] = label[some[i]]
+    x, y = np.array(a, np.int64), np.array(b, np.int64)
+    return np.minimum(x, y), np.maximum(x, y)
 
 
 def shingle_table(docs: DataFrame, doc: str, text: str, k: int) -> DataFrame:
@@ -235,39 +250,59 @@ def shingle_counts(docs: DataFrame, doc: str, text: str, k: int) -> DataFrame:
     return shingle_table(docs, doc, text, k).select(F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"))
 
 
-def candidate_groups(docs: DataFrame, text: str, k: int, num: int, den: int) -> DataFrame:
-    """(g, w): the sets w that share a signature are a group g; each group of sets is there once."""
-    total = text_bytes(docs, text)
-    ranges = blocks_for(total, RANGE_BYTES, 8 * RANGE_BYTES)
-    shift = U(64 - max(1, (ranges - 1).bit_length()))
-    # signatures need 18 bits more than their number has; a false match only costs a comparison
-    spare_bits = U(64 - min(64, max(1, total // 2).bit_length() + 18))
+def _dropped(bits: int) -> int:
+    """Low bits of a 64-bit hash that go if `bits` are to stay: whole bytes, since these are what pack() saves."""
+    return max(0, 64 - bits) // 8 * 8
 
-    def packed(held):
-        keys, sets = _pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        at = runs(keys >> shift)
-        cut = [*at, len(keys)]
-        p = [pack(keys[i:j], sets[i:j]) for i, j in zip(cut, cut[1:], strict=False)]
-        return pa.RecordBatch.from_pydict({"r": pa.array((keys[at] >> shift).astype(np.int32)), "p": pa.array(p, pa.binary())})
 
-    def sent(batches):
-        held = []
-        for batch in batches:
-            for i, j in pieces(batch, "t"):
-                h, offsets = shingle_sets(Words(*texts(batch.column("t").slice(i, j - i)), lower=True), k)
-                w = set_hashes(h, offsets)
-                some = np.flatnonzero(np.diff(offsets) > 0)
-                some = some[np.unique(w[some], return_index=True)[1]]
-                sig, of = signatures(*_some(h, offsets, some), num, den)
-                held.append((sig >> spare_bits << spare_bits, w[some][of]))
-                if sum(len(x[0]) for x in held) >= HELD:
-                    yield packed(held)
-                    held = []
-        if held:
-            yield packed(held)
+def _ranges(total: int) -> U:
+    """By how many bits hashes are shifted to tell their range, for so many bytes of text."""
+    return U(64 - max(1, (blocks_for(total, RANGE_BYTES, 8 * RANGE_BYTES) - 1).bit_length()))
+
+
+def _sent(keys: np.ndarray, other: np.ndarray, shift: U) -> pa.RecordBatch:
+    """(r, p): ascending keys and what belongs to them, packed by range."""
+    at = runs(keys >> shift)
+    cut = [*at, len(keys)]
+    p = [pack(keys[i:j], other[i:j]) for i, j in zip(cut, cut[1:], strict=False)]
+    return pa.RecordBatch.from_pydict({"r": pa.array((keys[at] >> shift).astype(np.int32)), "p": pa.array(p, pa.binary())})
+
+
+def _got(x: pa.Table) -> list[np.ndarray]:
+    """The columns that _sent() has packed."""
+    return [np.concatenate(c) for c in zip(*(unpack(p, 2) for p in x.column("p").to_pylist()), strict=True)]
+
+
+def _in_lots(batches, k: int, made, merged, shift: U):
+    """_sent() of what made(h, offsets) gives for the sets of the texts t, merged for some HELD keys."""
+    held = []
+    for batch in batches:
+        for i, j in pieces(batch, "t"):
+            held.append(made(*shingle_sets(Words(*texts(batch.column("t").slice(i, j - i)), lower=True), k)))
+            if sum(len(x[0]) for x in held) >= HELD:
+                yield _sent(*merged(*(np.concatenate(x) for x in zip(*held, strict=True))), shift)
+                held = []
+    if held:
+        yield _sent(*merged(*(np.concatenate(x) for x in zip(*held, strict=True))), shift)
+
+
+def key_groups(rows: DataFrame, total: int, k: int, keys_of, cut: int) -> DataFrame:
+    """(g, w): the sets w, without their `cut` low bits, that share a key are a group g; each group of sets is there
+    once.  keys_of(h, offsets) gives keys of sets and the set that each belongs to; rows has texts t, of `total` bytes
+    at most."""
+    shift, spare, low = _ranges(total), U(_dropped(max(1, total // 8).bit_length() + KEY_BITS)), U(cut)
+
+    def made(h, offsets):
+        w = set_hashes(h, offsets)
+        some = np.flatnonzero(np.diff(offsets) > 0)
+        some = some[np.unique(w[some], return_index=True)[1]]
+        if not len(some):
+            return h, w[some]
+        keys, of = keys_of(*_some(h, offsets, some))
+        return keys >> spare << spare, w[some][of] >> low << low
 
     def grouped(x: pa.Table) -> pa.Table:
-        keys, sets = _pairs(*(np.concatenate(c) for c in zip(*(unpack(p, 2) for p in x.column("p").to_pylist()), strict=True)))
+        keys, sets = _pairs(*_got(x))
         at = runs(keys)
         size = np.diff(np.append(at, len(keys)))
         name = mix(np.add.reduceat(mix(sets + U(1)), at)) if len(at) else keys
@@ -277,7 +312,12 @@ def candidate_groups(docs: DataFrame, text: str, k: int, num: int, den: int) ->
         skip = np.repeat(at - np.concatenate([[0], np.cumsum(size)[:-1]]), size) if len(at) else at
         return pa.table({"g": pa.array(np.repeat(name, size).view(np.int64)), "w": pa.array(sets[np.arange(int(size.sum())) + skip].view(np.int64))})
 
-    return docs.select(F.col(text).alias("t")).mapInArrow(sent, "r int, p binary").groupBy("r").applyInArrow(grouped, "g long, w long").distinct()
+    return rows.mapInArrow(lambda batches: _in_lots(batches, k, made, _pairs, shift), "r int, p binary").groupBy("r").applyInArrow(grouped, "g long, w long").distinct()
+
+
+def candidate_groups(docs: DataFrame, text: str, k: int, num: int, den: int, cut: int = 0) -> DataFrame:
+    """key_groups() by signatures."""
+    return key_groups(docs.select(F.col(text).alias("t")), text_bytes(docs, text), k, lambda h, offsets: signatures(h, offsets, num, den), cut)
 
 
 def _pairs(keys: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -289,76 +329,65 @@ def _pairs(keys: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[new], sets[new]
 
 
+def _cells(h: np.ndarray, cells: int) -> np.ndarray:
+    """The cell of each element, by its high bits; cells is a power of two."""
+    return (h >> U(65 - cells.bit_length())).astype(np.int64)
+
+
 def first_elements(h: np.ndarray, offsets: np.ndarray, common: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """The first elements of sets and the set that each belongs to.  Elements are in the order of (their cell
     of `common`, hash), whatever `common` is: of n elements num * n / den are shared with a linked set at least,
     so that n - num * n / den + 1 of them reach one that is shared, and the first shared one is the same for both."""
     size = np.diff(offsets)
     of = np.repeat(np.arange(len(size)), size)
-    order = np.lexsort((h, common[(h & U(len(common) - 1)).astype(np.int64)], of))
+    order = np.lexsort((h, common[_cells(h, len(common))], of))
     place = np.arange(len(h)) - np.repeat(offsets[:-1], size)
     some = place <= np.repeat(size - -(-num * size // den), size)
     return h[order][some], of[some]
 
 
-def split_groups(docs: DataFrame, nodes: DataFrame, groups: DataFrame, doc: str, text: str, k: int, num: int, den: int, split_rows: int) -> DataFrame:
-    """groups with those of more than split_rows sets replaced: their sets are grouped by their first elements.
-    Of groups of the same sets one is left.  Only a table of COMMON_CELLS cells goes to the driver."""
-    large = materialised(groups.groupBy("g").count().filter(F.col("count") > split_rows).select("g"), "large-groups")
-    if not large.count():
-        return groups
-    large = bounded(large)
-    again = materialised(groups.join(large, "g", "left_semi").select("w").distinct().join(nodes.select("w", "r"), "w").select(F.col("r").alias("node")).distinct(), "sets-of-large-groups")
-    texts_again = docs.filter(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("node"), F.col(text).alias("t")).join(bounded(again), "node", "left_semi").select("t")
-
-    def elements(batches):
-        for batch in batches:
-            for i, j in pieces(batch, "t"):
-                h, offsets = shingle_sets(Words(*texts(batch.column("t").slice(i, j - i)), lower=True), k)
-                e = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(8 * offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(h))])
-                yield pa.RecordBatch.from_pydict({"w": pa.array(set_hashes(h, offsets).view(np.int64)), "e": e.cast(pa.binary())})
+def common_elements(rows: DataFrame, total: int, k: int, least: int) -> np.ndarray:
+    """The level, log2 of the number of sets, of the most common element of each of COMMON_CELLS cells, of those in more than
+    `least` sets.  Elements are counted without their low bits; one that is taken for another is said to be more common."""
+    shift, spare = _ranges(total), U(_dropped(max(1 << 31, total // 8).bit_length()))
 
-    sets = materialised(texts_again.mapInArrow(elements, "w long, e binary"), "elements")
-
-    def flat(batch):
-        for i, j in pieces(batch, "e"):
-            rows = batch.column("e").slice(i, j - i).to_pylist()
-            yield i, j, np.frombuffer(b"".join(rows), U), np.concatenate([[0], np.cumsum([len(x) // 8 for x in rows])])
+    def merged(keys, n):
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order]
+        at = runs(keys)
+        return (keys[at], np.add.reduceat(n, at)) if len(at) else (keys, n)
 
-    def counted(batches):
-        for batch in batches:
-            for _, _, h, _ in flat(batch):
-                e, n = np.unique(h, return_counts=True)
-                yield pa.RecordBatch.from_pydict({"e": pa.array(e.view(np.int64)), "n": pa.array(n.astype(np.int64))})
+    def counted(x: pa.Table) -> pa.Table:
+        keys, n = merged(*_got(x))
+        cell, level = _cells(keys[n > U(least)], COMMON_CELLS), np.log2(n[n > U(least)]).astype(np.int32)
+        at = runs(cell)
+        return pa.table({"cell": pa.array(cell[at].astype(np.int32)), "level": pa.array(np.maximum.reduceat(level, at) if len(at) else level)})
 
-    total = text_bytes(sets, "e")  # partitions by number: adaptive execution would join them to large hash tables
-    often = sets.mapInArrow(counted, "e long, n long").repartition(blocks_for(total, SUMMED_BYTES), "e").groupBy("e").agg(F.sum("n").alias("n")).filter(F.col("n") > split_rows)
-    cells = often.groupBy(F.col("e").bitwiseAND(COMMON_CELLS - 1).cast("int").alias("cell")).agg(F.max(F.floor(F.log2("n"))).cast("int").alias("level")).toArrow()
+    made = lambda h, offsets: (h >> spare << spare, np.ones(len(h), U))
+    cells = rows.mapInArrow(lambda batches: _in_lots(batches, k, made, merged, shift), "r int, p binary").groupBy("r").applyInArrow(counted, "cell int, level int")
+    cells = cells.groupBy("cell").agg(F.max("level").alias("level")).toArrow()
     common = np.zeros(COMMON_CELLS, np.uint8)
     common[cells.column("cell").to_numpy()] = cells.column("level").to_numpy()
+    return common
 
-    def first(batches):
-        for batch in batches:
-            for i, j, h, offsets in flat(batch):
-                e, of = first_elements(h, offsets, common, num, den)
-                yield pa.RecordBatch.from_pydict({"g": pa.array(e.view(np.int64)), "w": batch.column("w").slice(i, j - i).take(pa.array(of))})
-
-    firsts = materialised(sets.mapInArrow(first, "g long, w long"), "first-elements")
-
-    def summed(batches):
-        for batch in batches:
-            g, w = (batch.column(c).to_numpy() for c in ("g", "w"))
-            order = np.argsort(g, kind="stable")
-            g, w = g[order], w[order].view(U)
-            at = runs(g)
-            if len(at):
-                sums = [np.add.reduceat(c.astype(np.int64), at) for c in (np.ones(len(w)), w & U(0xFFFFFFFF), w >> U(32))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (g[at], *sums)], ["g", "n", "x", "y"])
 
-    told = firsts.mapInArrow(summed, "g long, n long, x long, y long").repartition(blocks_for(total, SUMMED_BYTES), "g").groupBy("g")
-    told = told.agg(*[F.sum(c).alias(c) for c in ("n", "x", "y")]).filter(F.col("n") > 1)
-    told = materialised(told.groupBy("n", "x", "y").agg(F.min("g").alias("g")).select("g"), "element-groups")
-    return materialised(groups.join(large, "g", "left_anti").unionByName(firsts.join(bounded(told), "g", "left_semi")), "split-groups")
+def split_groups(docs: DataFrame, nodes: DataFrame, groups: DataFrame, doc: str, text: str, k: int, num: int, den: int, split_rows: int, cut: int = 0) -> DataFrame:
+    """groups with those of more than split_rows sets replaced: their sets are grouped by their first elements.
+    Of groups of the same sets one is left.  Only a table of COMMON_CELLS cells goes to the driver.  If the sets
+    are too many to be broadcast, all sets are grouped by their first elements: that adds candidates, and costs less than
+    to deal out all texts.  Elements are made anew from the texts for each pass; on disk they would be as large as these."""
+    large = materialised(groups.groupBy("g").count().filter(F.col("count") > split_rows).select("g"), "large-groups")
+    if not large.count():
+        return groups
+    large = bounded(large)
+    again = materialised(groups.join(large, "g", "left_semi").select("w").distinct().join(nodes.select("w", "r"), "w").select(F.col("r").alias("node")).distinct(), "sets-of-large-groups")
+    rows = docs.filter(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("node"), F.col(text).alias("t"))
+    if again.count() <= support.BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(again), "node", "left_semi")
+    rows, total = rows.select("t"), text_bytes(docs, text)
+    common = common_elements(rows, total, k, split_rows)
+    found = key_groups(rows, total, k, lambda h, offsets: first_elements(h, offsets, common, num, den), cut)
+    return materialised(groups.join(large, "g", "left_anti").unionByName(found).distinct(), "split-groups")
 
 
 def candidate_links(nodes: DataFrame, groups: DataFrame, num: int, den: int, group_rows: int) -> DataFrame:
@@ -437,9 +466,11 @@ def linked_sets(docs: DataFrame, table: DataFrame, doc: str, text: str, k: int,
     """(w, component) of the sets of a shingle_table() that have a link or are in more than one document."""
     own = table.filter(F.col("d").isNotNull() & (F.col("n") > 0))
     nodes = own.groupBy("w").agg(F.min("d").alias("r"), F.max("d").alias("last"), F.first("n").alias("n"), F.first("bytes").alias("bytes"), F.first("s").alias("s"))
-    groups = materialised(candidate_groups(docs.filter(F.col(doc).isNotNull()), text, k, num, den), "signature-groups")
-    groups = split_groups(docs, nodes, groups, doc, text, k, num, den, split_rows)
-    near = candidate_links(nodes.select("w", "r", "n", "s"), groups, num, den, group_rows)
+    cut = _dropped(table.count().bit_length() + SET_BITS)  # two sets that look alike then are both in the groups of either
+    short = nodes.select(F.shiftleft(F.shiftright("w", cut), cut).alias("w"), "r", "n", "s")
+    groups = materialised(candidate_groups(docs.filter(F.col(doc).isNotNull()), text, k, num, den, cut), "signature-groups")
+    groups = split_groups(docs, short, groups, doc, text, k, num, den, split_rows, cut)
+    near = candidate_links(short, groups, num, den, group_rows)
     clusters = materialised(components(near), "clusters")
     band = F.floor(F.log("n") / F.log(F.lit(1.001 * den / num))).cast("int")  # linked sets are in one or in adjacent ones
     members = materialised(nodes.select(F.col("r").alias("node"), "bytes", band.alias("band")).join(bounded(clusters), "node"), "members")

@@ -64,6 +64,26 @@ def bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("merge")
 
 
+#: Bytes of bitmaps of ids that a broadcast may have; a bitmap tells 32,768 neighbouring ids.
+BITMAP_BYTES = 64 << 20
+
+
+def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose whole number `key` is not in ids, read from files, under the same name.  More ids than may be
+    broadcast are sent as bitmaps if they lie close enough together, so that the wide rows of df stay where they are; only
+    if they don't, both sides meet by a merge join."""
+    if ids.count() > BROADCAST_ROWS:
+        of = F.col(key).cast("long")
+        bits = ids.groupBy(F.bitmap_bucket_number(of).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(of)).alias("_bits"))
+        bits = materialised(bits.filter("_bucket is not null"), "ids")
+        if bits.count() * 4096 <= BITMAP_BYTES:
+            at = F.bitmap_bit_position(of)
+            byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+            told = df.join(F.broadcast(bits), F.bitmap_bucket_number(of) == F.col("_bucket"), "left")
+            return told.filter(F.coalesce(F.getbit(byte, (at % 8).cast("int")), F.lit(0)) == 0).drop("_bucket", "_bits")
+    return df.join(bounded(ids), key, "left_anti")
+
+
 def text_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Rows and bytes that go to a Python worker at once in this session, fewer than Spark's default: texts
     are long, and a worker and its executor each hold a batch."""

@@ -330,6 +330,53 @@ def test_sketches_never_lie(n, seed):
         assert [v.tolist() for v in jaccard_join.alike(size, rows, 80, 100)] == [[0], [1]]
 
 
+def test_sketches_are_folded_for_each_pair():
+    """Sets of other sizes in a group don't make unlike sets look alike."""
+    rng = np.random.default_rng(33)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.int64).astype(np.uint64)) for n in [40] * 3 + [900] * 70 + [3000] * 40]
+    sets += [sets[5][:-20], sets[80][:-1000]]  # linked with the 6th, and the 81st of too different a size
+    at = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    flat, cut = jaccard_join.sketches(np.concatenate(sets), at)
+    rows = [flat[i:j].tobytes() for i, j in zip(cut, cut[1:])]
+    assert [v.tolist() for v in jaccard_join.alike(np.diff(at), rows, 80, 100)] == [[5], [113]]
+
+
+@pytest.mark.parametrize("most", [-1, 2_000_000])
+def test_jaccard_shortened_hashes(make, corpus, monkeypatch, most):
+    """Keys and sets that are mistaken for each other cost comparisons, no link; so do elements of all sets."""
+    monkeypatch.setattr(jaccard_join, "_dropped", lambda bits: 58)
+    monkeypatch.setattr(support, "BROADCAST_ROWS", most)
+    want = brute_components(list(enumerate(corpus)), 3, 80, 100)
+    assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(make(corpus), k=3, num=80, split_rows=2).collect()} == want
+
+
+def test_jaccard_splits_without_elements_on_disk(make, monkeypatch):
+    """Splitting groups writes groups only, no elements of their sets."""
+    rng, written = random.Random(34), []
+    passage = [f"p{i}" for i in range(250)]
+    docs = make([" ".join(passage + [f"o{rng.randrange(10**9)}" for _ in range(40)]) for _ in range(300)])
+    kept = support.materialised
+    monkeypatch.setattr(jaccard_join, "materialised", lambda df, name: written.append((name, kept(df, name))) or written[-1][1])
+    jaccard_join.jaccard_components(docs, k=3, num=90, split_rows=20).collect()
+    assert "split-groups" in dict(written)
+    assert [name for name, df in written if "binary" in dict(df.dtypes).values()] == ["shingle-sets"]
+    assert sum(df.count() for name, df in written if name != "shingle-sets") < 300 * 40
+
+
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_rows_without_ids(spark, monkeypatch, most):
+    """Beyond the bound of broadcasts ids that lie close together go as bitmaps, and wide rows aren't dealt out."""
+    monkeypatch.setattr(support, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(support, "BITMAP_BYTES", most)
+    ids = [None, -70_000, -32_769, -32_768, -1, 0, 1, 7, 8, 32_767, 32_768, 32_769, 65_536, 500_000]
+    docs = spark.createDataFrame([(i, f"t{i}") for i in [*ids, *[i + 1 for i in ids[1:]], 3]], "doc_id long, text string")
+    gone = support.materialised(spark.createDataFrame([(i,) for i in ids], "doc_id long"), "gone")
+    left = support.without(docs, gone, "doc_id")
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in left.collect()) == sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in docs.join(gone, "doc_id", "left_anti").collect())
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert left.columns == docs.columns and ("SortMergeJoin" in plan) == (not most)
+
+
 @pytest.mark.parametrize("most", [0, 1000])
 def test_components(spark, most):
     """With most=0, nodes of more than two edges are hot and the rest is merged."""
